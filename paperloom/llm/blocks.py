@@ -1,7 +1,8 @@
 """Whole texts as numpy arrays, a block of documents at a time.
 
 A task walks through its Arrow batches in blocks of about ``BLOCK_BYTES`` of UTF-8, so memory is bounded by the block
-size or by one text, whichever is larger. Words are runs of bytes outside space and \\t\\n\\v\\f\\r. Hashes are 64-bit
+size or by one text, whichever is larger. Words are runs of bytes outside space and \\t\\n\\v\\f\\r, or
+outside another given set of bytes. Hashes are 64-bit
 polynomials over random byte values, so that all words of a block are hashed by a few array operations.
 """
 
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 2 << 20
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Blanks, and everything else in ASCII that is no letter or digit.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -54,10 +57,10 @@ class Block:
     """Some documents: ``data`` their bytes, ``offsets`` where each starts, ``starts``/``ends`` of each word,
     ``first`` the index of each document's first word (and the end)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, blanks: np.ndarray = BLANK):
         self.data = LOWER[data] if lower else data
         self.offsets = offsets
-        blank = BLANK[data]
+        blank = blanks[data]
         begin, last = ~blank, ~blank
         inner = offsets[(offsets > 0) & (offsets < len(data))]
         edge = np.zeros(len(data), dtype=bool)
@@ -102,7 +105,7 @@ class Block:
         return out, at
 
 
-def blocks_of(texts: pa.Array, lower: bool = True, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Block]]:
+def blocks_of(texts: pa.Array, lower: bool = True, limit: int = BLOCK_BYTES, blanks: np.ndarray = BLANK) -> Iterator[tuple[int, int, Block]]:
     """Cuts a string column into blocks: (first row, end row, block). A null text is an empty one."""
     if not len(texts):
         return
@@ -114,14 +117,14 @@ def blocks_of(texts: pa.Array, lower: bool = True, limit: int = BLOCK_BYTES) ->
     while low < len(large):
         high = int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1
         high = min(max(high, low + 1), len(large))
-        yield low, high, Block(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], lower)
+        yield low, high, Block(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], lower, blanks)
         low = high
 
 
-def text_blocks(batches: Iterable[pa.RecordBatch], lower: bool = True) -> Iterator[tuple[pa.RecordBatch, Block]]:
+def text_blocks(batches: Iterable[pa.RecordBatch], lower: bool = True, blanks: np.ndarray = BLANK, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Block]]:
     """The blocks of the column ``text``, each with the slice of the batch that it covers."""
     for batch in batches:
-        for low, high, block in blocks_of(batch.column("text"), lower):
+        for low, high, block in blocks_of(batch.column("text"), lower, limit, blanks):
             yield batch.slice(low, high - low), block
 
 
