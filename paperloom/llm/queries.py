@@ -107,9 +107,9 @@ def _sql() -> dict[str, str]:
             c AS (SELECT *, 3 * source_size AS cap FROM s),
             o AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0) AS rest, sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_weight
                   FROM c WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-            f AS (SELECT *, rest * weight > cap * rest_weight AS full FROM o),
-            l AS (SELECT rest AS l_rest, rest_weight AS l_weight FROM f WHERE NOT full ORDER BY rest_weight DESC LIMIT 1),
-            t AS (SELECT source, source_size, CASE WHEN full THEN cap::DOUBLE ELSE l_rest::DOUBLE * weight / l_weight END AS target FROM f LEFT JOIN l ON true),
+            f AS (SELECT *, rest * weight > cap * rest_weight AS is_full FROM o),
+            l AS (SELECT rest AS l_rest, rest_weight AS l_weight FROM f WHERE NOT is_full ORDER BY rest_weight DESC LIMIT 1),
+            t AS (SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE l_rest::DOUBLE * weight / l_weight END AS target FROM f LEFT JOIN l ON true),
             p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY turn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
             q AS (SELECT p.*, source_size, target, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
             SELECT doc_id, source, size, source_size, target, (epochs * size + greatest(0, least(start + size, round(target)::BIGINT - epochs * source_size) - start))::BIGINT AS taken FROM q""",
@@ -123,8 +123,8 @@ def _sql() -> dict[str, str]:
             WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
             g AS (SELECT DISTINCT doc_id, list_slice(ws, i, i + 4) AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
             n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-            i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-            e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+            i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+            e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
             u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
             c AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a),
             m AS (SELECT a AS doc_id, min(b) AS component_id FROM c GROUP BY a)
