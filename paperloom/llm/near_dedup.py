@@ -4,8 +4,8 @@ Every text becomes the set of its distinct five-word shingles. One hash of each
 bins and the smallest of a bin is kept (one permutation); an empty bin borrows from bins drawn by a fixed random probe
 sequence (optimal densification). ``ROWS`` bins make a band; texts with an equal band share a bucket. Short sets
 (``SHORT`` shingles or fewer) also get exact buckets: two sets that are similar enough share one of their smallest
-``n - ceil(t * n) + 1`` hashes. In each bucket the smallest document is the star's centre; only centre and member are
-compared, on full texts. What a star leaves open (members of a bucket that are not yet connected) is compared in
+``n - ceil(t * n) + 1`` hashes. In each bucket the text that meets most others is the star's centre; only centre and member
+are compared, on full texts. What a star leaves open (members of a bucket that are not yet connected) is compared in
 further rounds with more centres per bucket, each round without the centres already done, until nothing is open: the
 number of pairs stays small where documents are copies, and no link is lost.
 
@@ -155,22 +155,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = digest.where("doc_id is not null and n_shingles > 0")
     sets = stage(own.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "sets")
     entries = sets.where("keys is not null").select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    members = stage(entries.join(shared, "key", "left_semi"), "members")
+    # A text's fame is how often it meets others in buckets. The famous one of a bucket is its centre: the original of
+    # many edited copies is closer to each of them than they are to each other.
+    shared = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = stage(entries.join(shared, "key"), "met")
+    fame = members.groupBy("rep").agg(F.sum("m").alias("fame"))
+    members = stage(members.drop("m").join(fame, "rep"), "members")
     similar = (100 * F.least("n", "centre_n") >= THRESHOLD * F.greatest("n", "centre_n")) & (F.col("centre") != F.col("rep"))
     edges = same = done = None
     k = 1
     while not members.isEmpty():
-        if k == 1:
-            centres = members.groupBy("key").agg(F.min(F.struct("rep", "n", F.col("rep").alias("label"))).alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.label").alias("centre_label"))
+        if same is None:
+            best = F.min(F.struct((-F.col("fame")).alias("f"), "rep", "n"))
+            centres = members.groupBy("key").agg(best.alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.rep").alias("centre_label"))
             members = members.withColumn("label", F.col("rep"))
         else:
-            centres = members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("r") <= k).select("key", F.col("rep").alias("centre"), F.col("n").alias("centre_n"), F.col("label").alias("centre_label"))
-        pairs = members.join(centres, "key").where(similar & (F.col("label") != F.col("centre_label"))).select(F.least("centre", "rep").alias("centre"), F.greatest("centre", "rep").alias("member")).distinct()
+            place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("fame").desc(), "rep"))
+            centres = members.withColumn("r", place).where(F.col("r") <= k).select("key", F.col("rep").alias("centre"), F.col("n").alias("centre_n"), F.col("label").alias("centre_label"))
+        pairs = members.join(centres, "key").where(similar & (F.col("label") != F.col("centre_label"))).select("centre", F.col("rep").alias("member"), F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
+        # two texts meet in many buckets, and may be each other's centre: they are compared once
+        pairs = pairs.groupBy("a", "b").agg(F.min("centre").alias("centre"))
         if done is not None:
-            pairs = pairs.join(done, ["centre", "member"], "left_anti")
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stage(pairs, "candidates")
-        done = pairs if done is None else done.unionByName(pairs)
+        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
+        pairs = pairs.select("centre", (F.col("a") + F.col("b") - F.col("centre")).alias("member"))
         fresh = stage(_verified(pairs, docs), "links").select(F.col("centre").alias("u"), F.col("member").alias("v"))
         if same is None or not fresh.isEmpty():
             edges = fresh if edges is None else edges.unionByName(fresh)
@@ -179,7 +188,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rest = members.drop("label").join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti")
         rest = rest.join(same.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         open_ = rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-        members, k = stage(rest.join(open_, "key", "left_semi").select("key", "rep", "n", "label"), "rest"), 16 * k
+        members, k = stage(rest.join(open_, "key", "left_semi").select("key", "rep", "n", "fame", "label"), "rest"), 4 * k
     named = sets.select("f1", "f2", "n_shingles", "rep")
     if same is not None:
         named = named.join(same, named.rep == same.node, "left").select("f1", "f2", "n_shingles", F.coalesce("label", "rep").alias("rep"))
