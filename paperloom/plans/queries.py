@@ -5,6 +5,579 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.functions import text as tx
+from paperloom.functions import values as vl
+from paperloom.operators import audit, codebook, collate, evaluate, linkage, results, sheet
+from paperloom.plans.fixtures import table, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+FIELDS = ["quantity", "flag", "discount"]
+
+_JUDGED = """, t AS (SELECT ordinal, trim(row_id) AS row_id, trim(source_pdf) AS source_pdf, trim(locator) AS locator, trim(authors) AS authors, trim(year) AS year, trim(title) AS title, trim(doi) AS doi FROM sheet),
+fu AS (SELECT row_id, min(ordinal) AS first_use FROM t WHERE row_id <> '' GROUP BY row_id),
+judged AS (SELECT t.*, first_use, CASE WHEN t.row_id = '' THEN 'row_id is required.'
+  WHEN first_use < ordinal THEN 'row_id `' || t.row_id || '` is a duplicate (first used on row ' || (first_use + 2) || ').'
+  WHEN authors = '' THEN 'row_id `' || t.row_id || '` has no authors.' WHEN year = '' THEN 'row_id `' || t.row_id || '` has no year.'
+  WHEN source_pdf = '' THEN 'row_id `' || t.row_id || '` has no source.' WHEN source_pdf NOT IN (SELECT name FROM uploaded) THEN 'row_id `' || t.row_id || '` references `' || source_pdf || '`, which is not there.' END AS message
+  FROM t LEFT JOIN fu USING (row_id)),
+issues AS (SELECT ordinal + 2 AS row_number, row_id, message, CASE WHEN message LIKE '%no source.' OR message LIKE '%not there.' THEN 'pdf' ELSE 'sheet' END AS kind FROM judged WHERE message IS NOT NULL),
+valid AS (SELECT ordinal, row_id, source_pdf, locator, authors, year, title, doi FROM judged WHERE message IS NULL) """
+_LAST = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY source_pdf ORDER BY attempt_ts DESC, attempt DESC) AS r, row_number() OVER (PARTITION BY source_pdf ORDER BY status = 'ok' DESC, attempt_ts DESC, attempt DESC) AS s FROM attempts),
+latest AS (SELECT source_pdf, attempt, attempt_ts, status, input_tokens FROM ranked WHERE r = 1), selected AS (SELECT source_pdf, attempt, attempt_ts, status, input_tokens FROM ranked WHERE s = 1),
+kept AS (SELECT l.source_pdf FROM latest l JOIN selected s USING (source_pdf) WHERE l.status <> 'ok' AND s.status = 'ok') """
+_CELLS = """, cells AS (
+  SELECT row_id, 'quantity' AS field, CASE WHEN quantity % 7 = 0 THEN 'null' ELSE 'integer' END AS value_type, CASE WHEN quantity % 7 = 0 THEN NULL ELSE CAST(quantity AS VARCHAR) END AS value_text, 'p. ' || line AS evidence, CASE WHEN quantity % 3 = 0 THEN 'low' ELSE 'high' END AS confidence FROM rows WHERE quantity % 11 <> 0
+  UNION ALL SELECT row_id, 'flag', 'string', flag, 'Table 1', CASE WHEN discount % 4 = 0 THEN 'low' ELSE 'medium' END FROM rows
+  UNION ALL SELECT row_id, 'discount', 'integer', CAST(discount AS VARCHAR), NULL, 'high' FROM rows WHERE line <> 2) """
+_SCORED = """, scored AS (SELECT t.row_id, t.field, CASE WHEN t.missing <> '' THEN c.value_type IS NOT NULL AND v IS NULL ELSE v IS NOT NULL AND CASE WHEN compare = 'bool' THEN c.value_type = 'boolean' AND v = t.value ELSE abs(TRY_CAST(v AS DOUBLE) - TRY_CAST(t.value AS DOUBLE)) <= 0.5 END END AS ok,
+  c.confidence, t.missing <> '' AS human_missing, v AS coded, CASE WHEN t.missing <> '' THEN t.missing ELSE t.value END AS expected
+  FROM truth t JOIN run_rows USING (row_id) LEFT JOIN (SELECT *, CASE WHEN value_type = 'null' OR trim(value_text) = '' THEN NULL ELSE value_text END AS v FROM coded) c ON c.row_id = t.row_id AND c.field = t.field) """
+
+
+def query(sql: str | None = None, views: str = "") -> Callable:
+    """Registers a query under its function's name, with the SQL that follows the views."""
+
+    def register(f: Callable) -> Callable:
+        name = f.__name__.rstrip("_")
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = with_views(views + sql)
+        return f
+
+    return register
+
+
+def _valid(s: SparkSession, d: str) -> DataFrame:
+    return sheet.sheet_valid_rows(view(s, d, "sheet"), view(s, d, "uploaded"))
+
+
+def _cells(s: SparkSession, d: str) -> DataFrame:
+    r = view(s, d, "rows")
+    null = F.col("quantity") % 7 == 0
+    cell = lambda field, type_, value, evidence, confidence: F.struct(F.lit(field).alias("field"), type_.alias("value_type"), value.cast("string").alias("value_text"), evidence.cast("string").alias("evidence"), confidence.alias("confidence"))
+    cells = F.array_compact(
+        F.array(
+            F.when(F.col("quantity") % 11 != 0, cell("quantity", F.when(null, "null").otherwise("integer"), F.when(~null, F.col("quantity")), F.concat(F.lit("p. "), F.col("line")), F.when(F.col("quantity") % 3 == 0, "low").otherwise("high"))),
+            cell("flag", F.lit("string"), F.col("flag"), F.lit("Table 1"), F.when(F.col("discount") % 4 == 0, "low").otherwise("medium")),
+            F.when(F.col("line") != 2, cell("discount", F.lit("integer"), F.col("discount"), F.lit(None), F.lit("high"))),
+        )
+    )
+    return r.select("row_id", F.explode(cells).alias("c")).select("row_id", "c.*")
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.score_cells(view(s, d, "truth"), view(s, d, "run_rows"), view(s, d, "coded"))
+
+
+def _fields(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "fields").withColumn("levels", F.when(F.col("level_text").isNotNull(), F.split("level_text", " "))).drop("level_text")
+
+
+# The sheet
+
+
+@query("SELECT * FROM issues", _JUDGED)
+def sheet_row_issues(s, d):
+    return sheet.sheet_row_issues(view(s, d, "sheet"), view(s, d, "uploaded"))
+
+
+@query("SELECT * FROM valid", _JUDGED)
+def sheet_valid_rows(s, d):
+    return _valid(s, d)
+
+
+@query("SELECT kind, count(*) AS n FROM issues GROUP BY kind", _JUDGED)
+def sheet_issue_kinds(s, d):
+    return sheet.sheet_issue_kinds(sheet_row_issues(s, d))
+
+
+@query("SELECT source_pdf, list(row_id ORDER BY ordinal) AS row_ids, list(locator ORDER BY ordinal) AS locators FROM valid GROUP BY source_pdf", _JUDGED)
+def rows_per_document(s, d):
+    return sheet.rows_per_document(_valid(s, d))
+
+
+@query("SELECT name FROM uploaded WHERE name NOT IN (SELECT source_pdf FROM valid)", _JUDGED)
+def orphan_documents(s, d):
+    return sheet.orphan_documents(view(s, d, "uploaded"), _valid(s, d))
+
+
+@query(
+    """, f2 AS (SELECT row_id, min(ordinal) AS first_any FROM t GROUP BY row_id), x AS (SELECT t.*, first_any FROM t JOIN f2 USING (row_id))
+    SELECT ordinal + 2 AS row_number, 'error' AS severity, 'row_id is required' AS message FROM x WHERE row_id = '' UNION ALL SELECT ordinal + 2, 'error', 'row_id is a duplicate' FROM x WHERE row_id <> '' AND first_any < ordinal
+    UNION ALL SELECT ordinal + 2, 'warning', 'authors missing' FROM x WHERE authors = '' UNION ALL SELECT ordinal + 2, 'warning', 'year missing' FROM x WHERE year = '' UNION ALL SELECT ordinal + 2, 'warning', 'source missing' FROM x WHERE source_pdf = ''""",
+    _JUDGED,
+)
+def draft_sheet_validate(s, d):
+    return sheet.draft_sheet_validate(view(s, d, "sheet"))
+
+
+@query("SELECT o_orderkey AS source_row, 'omitted' AS problem FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) UNION ALL SELECT DISTINCT l_orderkey + 1000000000, 'invalid' FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 0")
+def lineage_coverage(s, d):
+    lines = table(s, d, "lineitem").where("l_linenumber = 1")
+    listed = F.when(F.col("l_orderkey") % 50 == 0, F.array("l_orderkey", F.col("l_orderkey") + 1_000_000_000)).otherwise(F.array("l_orderkey"))
+    return sheet.lineage_coverage(lines.select(listed.alias("source_rows")), table(s, d, "orders").select(F.col("o_orderkey").alias("source_row")))
+
+
+@query("SELECT ordinal, CASE WHEN trim(source_pdf) = 'doc3.pdf' THEN '' ELSE source_pdf END AS source_pdf FROM sheet")
+def unmatch(s, d):
+    return sheet.unmatch(view(s, d, "sheet"), "doc3.pdf").select("ordinal", "source_pdf")
+
+
+_KEY = "CASE WHEN source_pdf <> '' THEN source_pdf WHEN doi <> '' THEN 'doi:' || doi WHEN title <> '' THEN 'title:' || title WHEN authors <> '' OR year <> '' THEN 'authors:' || authors || '|' || year END"
+
+
+def _key():
+    return tx.paper_key(*(F.col(c) for c in ("source_pdf", "doi", "title", "authors", "year")))
+
+
+@query(f"SELECT ordinal, {_KEY} AS key FROM t", _JUDGED)
+def paper_key(s, d):
+    return view(s, d, "sheet").select("ordinal", _key().alias("key"))
+
+
+def _papers_sql(test: str) -> str:
+    first = ", ".join(f"arg_min({c}, ordinal) AS {c}" for c in ("source_pdf", "authors", "year", "locator", "title", "doi"))
+    return f"SELECT key, {first}, count(*) AS row_count FROM (SELECT *, {_KEY} AS key FROM t WHERE source_pdf {test} (SELECT name FROM uploaded)) WHERE key IS NOT NULL GROUP BY key"
+
+
+@query(_papers_sql("NOT IN"), _JUDGED)
+def unmatched_papers(s, d):
+    return sheet.papers(view(s, d, "sheet"), view(s, d, "uploaded"), _key(), matched=False)
+
+
+@query(_papers_sql("IN"), _JUDGED)
+def matched_papers(s, d):
+    return sheet.papers(view(s, d, "sheet"), view(s, d, "uploaded"), _key(), matched=True)
+
+
+@query(f"SELECT ordinal, CASE WHEN ordinal % 7 = 0 AND k NOT LIKE 'authors%' AND name IS NOT NULL THEN name ELSE source_pdf END AS source_pdf FROM (SELECT sheet.*, t.k, 'doc' || (t.ordinal - t.ordinal % 3) || '.pdf' AS nm FROM sheet JOIN (SELECT *, {_KEY} AS k FROM t) t ON t.ordinal = sheet.ordinal) LEFT JOIN uploaded ON name = nm AND ordinal % 7 = 0 AND ordinal % 29 <> 0", _JUDGED)
+def apply_matches(s, d):
+    rows = view(s, d, "sheet")
+    mapping = rows.where("ordinal % 7 = 0 and ordinal % 29 <> 0").select(_key().alias("key"), F.concat(F.lit("doc"), (F.col("ordinal") - F.col("ordinal") % 3).cast("string"), F.lit(".pdf")).alias("name"))
+    return sheet.apply_matches(rows, mapping, view(s, d, "uploaded"), _key()).select("ordinal", "source_pdf")
+
+
+# Text
+
+_SPLIT = r"regexp_replace(regexp_replace({}, '(\p{{L}})(\p{{Nd}})', '\1 \2', 'g'), '(\p{{Nd}})(\p{{L}})', '\1 \2', 'g')"
+_TOKENS = r"regexp_extract_all(" + _SPLIT.format("lower(text)") + r", '[\p{L}\p{N}]+')"
+_STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "]"
+
+
+@query(f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS normal FROM documents")
+def normalize_text(s, d):
+    return table(s, d, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("normal"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(url, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)', 1), '') AS year FROM pages")
+def find_year(s, d):
+    return table(s, d, "pages").select("page_id", tx.find_year(F.col("url")).alias("year"))
+
+
+@query(rf"SELECT doc_id, list_sort(list_distinct(list_filter({_TOKENS}, lambda t: NOT list_contains({_STOP}, t) AND (length(t) >= 3 OR regexp_matches(t, '^\p{{Nd}}+$'))))) AS tokens FROM documents")
+def significant_tokens(s, d):
+    return table(s, d, "documents").select("doc_id", tx.significant_tokens(F.col("text")).alias("tokens"))
+
+
+@query(rf"SELECT doc_id, list_sort(list_distinct(list_filter({_TOKENS}, lambda t: NOT list_contains({_STOP}, t) AND (length(t) >= 2 OR regexp_matches(t, '^\p{{Nd}}+$'))))) AS tokens FROM documents")
+def signal_tokens(s, d):
+    return table(s, d, "documents").select("doc_id", tx.signal_tokens(F.col("text")).alias("tokens"))
+
+
+@query(rf"SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all({_SPLIT.format('text')}, '[\p{{L}}\p{{N}}]+'), lambda t: regexp_full_match(t, '\p{{Lu}}\p{{Ll}}')), lambda t: lower(t)), lambda t: NOT list_contains({_STOP}, t)))) AS tokens FROM documents")
+def short_name_tokens(s, d):
+    return table(s, d, "documents").select("doc_id", tx.short_name_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id, 'src' || doc_id || '_x_y.v1-' || substr(sha256('src' || doc_id || ' x/y.v1.pdf'), 1, 16) AS key FROM documents")
+def collision_free_key(s, d):
+    name = F.concat(F.lit("src"), F.col("doc_id").cast("string"), F.lit(" x/y.v1.pdf"))
+    return table(s, d, "documents").select("doc_id", tx.collision_free_key(name).alias("key"))
+
+
+_CELL = "CASE c_custkey % 6 WHEN 0 THEN '=' || c_name WHEN 1 THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) WHEN 2 THEN '  -' || c_mktsegment WHEN 3 THEN '-1.5e3' WHEN 4 THEN chr(9) || 'x' ELSE c_name END"
+
+
+@query(rf"SELECT c_custkey, CASE WHEN regexp_matches(x, '^[\t\r]') OR (regexp_matches(x, '^\s*[=+\-@]') AND NOT regexp_full_match(ltrim(x), '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?')) THEN '''' || x ELSE x END AS cell FROM (SELECT c_custkey, {_CELL.replace('CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR)', 'CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR)')} AS x FROM customer)")
+def spreadsheet_safe(s, d):
+    k = F.col("c_custkey") % 6
+    cell = F.when(k == 0, F.concat(F.lit("="), "c_name")).when(k == 1, F.floor("c_acctbal").cast("string")).when(k == 2, F.concat(F.lit("  -"), "c_mktsegment")).when(k == 3, "-1.5e3").when(k == 4, "\tx").otherwise(F.col("c_name"))
+    return table(s, d, "customer").select("c_custkey", tx.spreadsheet_safe(cell).alias("cell"))
+
+
+@query("SELECT doc_id, replace(replace(text, 'the ', '[REDACTED]'), 'the%20', '[REDACTED]') AS text FROM documents")
+def redact_secrets(s, d):
+    return table(s, d, "documents").select("doc_id", tx.redact_secrets(F.col("text"), ("the ",)).alias("text"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(replace(replace(url, 'ref=', 'token='), 'utm_source=', 'KEY='), '#.*$', ''), '([?&](?:key|api_key|token|access_token)=)[^&]*', '\1[REDACTED]', 'gi') AS url FROM pages")
+def redact_url_query(s, d):
+    url = F.replace(F.replace("url", F.lit("ref="), F.lit("token=")), F.lit("utm_source="), F.lit("KEY="))
+    return table(s, d, "pages").select("page_id", tx.redact_url_query(url).alias("url"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role ELSE NULL END AS kept, CASE WHEN turn % 3 = 0 THEN 'v' END AS id FROM conversations")
+def header_allowlist(s, d):
+    name = F.when(F.col("turn") % 2 == 0, "Date").otherwise("cookie")
+    headers = tx.header_allowlist(F.create_map(name, F.col("role"), F.when(F.col("turn") % 3 == 0, "X-Request-Id").otherwise("x-other"), F.lit("v")))
+    return table(s, d, "conversations").select("conv_id", "turn", headers["Date"].alias("kept"), headers["X-Request-Id"].alias("id"))
+
+
+@query("SELECT event_id, CASE lower(trim(r)) WHEN '' THEN NULL WHEN 'finish_reason_unspecified' THEN NULL WHEN 'max_tokens' THEN 'length' ELSE lower(trim(r)) END AS reason FROM (SELECT event_id, CASE event_type WHEN 'click' THEN ' MAX_TOKENS ' WHEN 'view' THEN 'STOP' WHEN 'error' THEN 'FINISH_REASON_UNSPECIFIED' WHEN 'signup' THEN ' ' ELSE event_type END AS r FROM events)")
+def normalize_finish_reason(s, d):
+    return table(s, d, "events").select("event_id", vl.normalize_finish_reason(_reason()).alias("reason"))
+
+
+def _reason():
+    e = F.col("event_type")
+    return F.when(e == "click", " MAX_TOKENS ").when(e == "view", "STOP").when(e == "error", "FINISH_REASON_UNSPECIFIED").when(e == "signup", " ").otherwise(e)
+
+
+@query("SELECT event_id, array_to_string(list_filter([CASE event_type WHEN 'click' THEN 'stopped early: length' WHEN 'purchase' THEN 'stopped early: purchase' END, CASE WHEN event_id % 3 = 0 THEN 'repaired JSON' END], lambda x: x IS NOT NULL), '; ') AS flags FROM events")
+def review_flags(s, d):
+    flags = vl.review_flags(F.when(F.col("event_id") % 3 == 0, F.col("props")), vl.normalize_finish_reason(_reason()))
+    return table(s, d, "events").select("event_id", F.array_join(flags, "; ").alias("flags"))
+
+
+@query("SELECT event_id, CASE WHEN value / 100 >= 0.85 THEN 'high' WHEN value / 100 >= 0.5 THEN 'medium' WHEN value / 100 >= 0.25 THEN 'low' ELSE 'none' END AS band FROM events")
+def confidence_band(s, d):
+    return table(s, d, "events").select("event_id", vl.confidence_band(F.col("value") / 100).alias("band"))
+
+
+@query(r"SELECT id, coalesce(CASE split_part(compare, ':', 1) WHEN 'bool' THEN value_text = 'true' WHEN 'number' THEN abs(CAST(value_text AS DOUBLE) - CAST(truth AS DOUBLE)) <= 1.5 WHEN 'number_abs' THEN abs(abs(CAST(value_text AS DOUBLE)) - abs(CAST(truth AS DOUBLE))) <= 0.5 WHEN 'years' THEN replace(replace(value_text, '–', '-'), ' ', '') = truth ELSE trim(regexp_replace(lower(value_text), '\s+', ' ', 'g')) = truth END, false) AS same FROM pairs")
+def values_match(s, d):
+    return view(s, d, "pairs").select("id", vl.values_match(F.col("value_type"), F.col("value_text"), F.col("truth"), F.col("compare")).alias("same"))
+
+
+@query("SELECT row_id, field, CASE field WHEN 'flag' THEN value_text IN ('A', 'R') ELSE true END AS valid FROM cells", _CELLS)
+def cell_type_check(s, d):
+    type_ = F.when(F.col("field") == "flag", "string").when(F.col("field") == "discount", "number").otherwise("integer")
+    levels = F.when(F.col("field") == "flag", F.array(F.lit("A"), F.lit("R")))
+    return _cells(s, d).select("row_id", "field", vl.cell_type_check(type_, levels, F.col("value_type"), F.col("value_text")).alias("valid"))
+
+
+# Results
+
+
+@query("SELECT * FROM latest", _LAST)
+def latest_attempt(s, d):
+    return results.latest_attempt(view(s, d, "attempts"))
+
+
+@query("SELECT * FROM selected", _LAST)
+def selected_result(s, d):
+    return results.selected_result(view(s, d, "attempts"))
+
+
+@query("SELECT * FROM kept", _LAST)
+def kept_success(s, d):
+    return results.kept_success(view(s, d, "attempts"))
+
+
+@query("SELECT DISTINCT source_pdf FROM valid WHERE source_pdf NOT IN (SELECT source_pdf FROM selected WHERE status = 'ok')", _JUDGED + _LAST)
+def pending_documents(s, d):
+    return results.pending_documents(_valid(s, d), results.selected_result(view(s, d, "attempts")))
+
+
+@query("SELECT source_pdf, status FROM latest WHERE status <> 'ok' AND source_pdf IN (SELECT source_pdf FROM valid)", _JUDGED + _LAST)
+def retry_candidates(s, d):
+    return results.retry_candidates(results.latest_attempt(view(s, d, "attempts")), _valid(s, d))
+
+
+@query("SELECT name, sha256(text) AS digest FROM uploaded")
+def document_digest(s, d):
+    return view(s, d, "uploaded").select("name", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+_PRINTS = ", prints AS (SELECT v.source_pdf, sha256(concat_ws(chr(10), '1', 'book', 'p', 'm', sha256(text), string_agg(row_id || chr(9) || locator, chr(10) ORDER BY row_id || chr(9) || locator))) AS fingerprint FROM valid v JOIN uploaded u ON u.name = v.source_pdf GROUP BY v.source_pdf, text) "
+
+
+def _prints(s, d):
+    return results.input_fingerprint(_valid(s, d), document_digest(s, d), "book", "p", "m")
+
+
+@query("SELECT * FROM prints", _JUDGED + _PRINTS)
+def input_fingerprint(s, d):
+    return _prints(s, d)
+
+
+_OLD = "CASE WHEN attempt % 3 = 0 THEN NULL WHEN attempt % 3 = 1 THEN 'old' ELSE fingerprint END"
+
+
+@query(f"SELECT s.source_pdf, CASE WHEN {_OLD} IS NULL OR {_OLD} = fingerprint THEN status ELSE 'stale' END AS status, {_OLD} AS input_fingerprint, CASE WHEN {_OLD} IS NULL OR {_OLD} = fingerprint THEN NULL WHEN fingerprint IS NULL AND s.source_pdf IN (SELECT source_pdf FROM valid) THEN 'document is missing' ELSE 'inputs have changed' END AS error FROM selected s LEFT JOIN prints p ON p.source_pdf = s.source_pdf", _JUDGED + _PRINTS + _LAST)
+def mark_stale(s, d):
+    prints = _prints(s, d)
+    old = F.when(F.col("attempt") % 3 == 0, F.lit(None).cast("string")).when(F.col("attempt") % 3 == 1, "old").otherwise(F.col("fingerprint"))
+    stored = results.selected_result(view(s, d, "attempts")).join(prints, "source_pdf", "left").select("source_pdf", "status", old.alias("input_fingerprint"), F.lit(None).cast("string").alias("error"))
+    return results.mark_stale(stored, prints, _valid(s, d))
+
+
+@query("SELECT count(*) AS total, count(status) AS processed, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'cancelled') AS cancelled, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens FROM (SELECT DISTINCT source_pdf FROM valid) LEFT JOIN latest USING (source_pdf)", _JUDGED + _LAST)
+def run_progress(s, d):
+    return results.run_progress(_valid(s, d), view(s, d, "attempts"))
+
+
+_ARTICLES = ", articles AS (SELECT v.source_pdf, arg_min(authors, ordinal) AS authors, arg_min(year, ordinal) AS year, count(*) AS n_rows, coalesce(any_value(s.status), 'not_run') AS status, any_value(s.input_tokens) AS input_tokens, coalesce(any_value(s.status), '') IN ('error', 'needs_review', 'cancelled', 'stale') AS retryable, v.source_pdf IN (SELECT source_pdf FROM kept) AS kept FROM valid v LEFT JOIN selected s ON s.source_pdf = v.source_pdf GROUP BY v.source_pdf) "
+
+
+def _articles(s, d):
+    attempts = view(s, d, "attempts")
+    return results.article_table(results.selected_result(attempts), _valid(s, d), attempts)
+
+
+@query("SELECT * FROM articles", _JUDGED + _LAST + _ARTICLES)
+def article_table(s, d):
+    return _articles(s, d)
+
+
+@query("SELECT * FROM articles ORDER BY coalesce(input_tokens, -1) DESC, source_pdf", _JUDGED + _LAST + _ARTICLES)
+def sort_articles(s, d):
+    return results.sort_articles(_articles(s, d), "input_tokens", descending=True)
+
+
+@query("SELECT source_pdf, authors FROM articles ORDER BY source_pdf LIMIT 10 OFFSET 10", _JUDGED + _LAST + _ARTICLES)
+def paginate(s, d):
+    return results.paginate(_articles(s, d).select("source_pdf", "authors"), ["source_pdf"], 2)
+
+
+@query("SELECT n_nationkey, n_name, count(c_custkey) AS documents FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def documents_per_project(s, d):
+    n = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("documents"))
+    return table(s, d, "nation").join(n, "n_nationkey", "left").select("n_nationkey", "n_name", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00') ORDER BY c_custkey DESC")
+def search_sort(s, d):
+    return table(s, d, "customer").where(F.lower("c_name").contains("00")).select("c_custkey", "c_name").orderBy(F.col("c_custkey").desc())
+
+
+# Collation
+
+
+def _wide_sql(shown: str, where: str = "true") -> str:
+    fields = ", ".join(f"coalesce(max(CASE WHEN field = '{f}' AND {where} THEN {shown} END), '') AS {f}" for f in FIELDS)
+    return f"SELECT r.row_id, r.source_pdf, r.locator, r.authors, r.year, coalesce(any_value(o.status), 'not_run') AS status, {fields.replace(' AS quantity', ' AS quantity')} FROM rows r LEFT JOIN orders_run o ON o.source_pdf = r.source_pdf LEFT JOIN cells c ON c.row_id = r.row_id GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY r.row_id, r.source_pdf, r.locator, r.authors, r.year")
+
+
+def _sheet_rows(s, d):
+    return view(s, d, "rows").select("row_id", "source_pdf", "locator", "authors", "year")
+
+
+@query(_wide_sql("CASE WHEN value_type = 'null' THEN 'Not Reported' ELSE value_text END"), _CELLS)
+def collate_coded(s, d):
+    return collate.collate_coded(_sheet_rows(s, d), view(s, d, "orders_run"), _cells(s, d), FIELDS)
+
+
+@query(_wide_sql("evidence"), _CELLS)
+def collate_evidence(s, d):
+    return collate.collate_evidence(_sheet_rows(s, d), view(s, d, "orders_run"), _cells(s, d), FIELDS)
+
+
+@query(_wide_sql("confidence"), _CELLS)
+def collate_key(s, d):
+    return collate.collate_key("confidence", _sheet_rows(s, d), view(s, d, "orders_run"), _cells(s, d), FIELDS)
+
+
+@query("SELECT row_id, r.source_pdf, coalesce(provider, '') AS provider, coalesce(model, '') AS model, coalesce(CAST(operation_id AS VARCHAR), '') AS operation_id FROM rows r LEFT JOIN orders_run o ON o.source_pdf = r.source_pdf")
+def collate_provenance(s, d):
+    return collate.collate_provenance(_sheet_rows(s, d), view(s, d, "orders_run"))
+
+
+@query("SELECT r.source_pdf, count(c.field) AS n FROM rows r LEFT JOIN (SELECT * FROM cells WHERE confidence = 'low' AND field = 'quantity') c ON c.row_id = r.row_id GROUP BY r.source_pdf", _CELLS)
+def low_confidence_cells(s, d):
+    rated = s.createDataFrame([("quantity",)], "field string")
+    return collate.low_confidence_cells(_cells(s, d), _sheet_rows(s, d), rated)
+
+
+@query("SELECT codebook_id, ordinal, field FROM fields WHERE codebook_id IN (SELECT codebook_id FROM codebooks WHERE confidence) AND field <> 'notes'")
+def rated_fields(s, d):
+    return collate.rated_fields(view(s, d, "codebooks"), _fields(s, d))
+
+
+@query(", q AS (SELECT DISTINCT source_pdf, row_id FROM rows WHERE line <> 3), g AS (SELECT DISTINCT source_pdf, row_id FROM rows WHERE line <> 1) SELECT source_pdf, coalesce(list(row_id ORDER BY row_id) FILTER (g.row_id IS NULL), []) AS missing, coalesce(list(row_id ORDER BY row_id) FILTER (q.row_id IS NULL), []) AS extra FROM q FULL JOIN g USING (source_pdf, row_id) GROUP BY source_pdf")
+def missing_extra_ids(s, d):
+    r = view(s, d, "rows")
+    return collate.missing_extra_ids(r.where("line <> 3"), r.where("line <> 1"))
+
+
+# Evaluation
+
+
+@query("SELECT * FROM scored", _SCORED)
+def score_cells(s, d):
+    return _scored(s, d)
+
+
+@query("SELECT count(*) FILTER (ok) AS correct, count(*) AS cells, round(count(*) FILTER (ok) / count(*), 4) AS accuracy FROM scored", _SCORED)
+def score_total(s, d):
+    return evaluate.score_total(_scored(s, d))
+
+
+@query("SELECT field, count(*) FILTER (ok) AS correct, count(*) AS cells FROM scored GROUP BY field", _SCORED)
+def score_by_field(s, d):
+    return evaluate.score_by_field(_scored(s, d))
+
+
+@query("SELECT confidence, count(*) FILTER (ok) AS correct, count(*) AS cells FROM scored WHERE confidence IS NOT NULL GROUP BY confidence", _SCORED)
+def score_by_confidence(s, d):
+    return evaluate.score_by_confidence(_scored(s, d))
+
+
+@query("SELECT count(*) FILTER (human_missing AND ok) AS left_blank, count(*) FILTER (human_missing AND coded IS NOT NULL) AS value_given, count(*) FILTER (NOT human_missing AND coded IS NULL) AS value_missed FROM scored", _SCORED)
+def missing_tallies(s, d):
+    return evaluate.missing_tallies(_scored(s, d))
+
+
+@query("SELECT row_id, field, expected, coded FROM scored WHERE NOT ok", _SCORED)
+def score_errors(s, d):
+    return evaluate.score_errors(_scored(s, d))
+
+
+@query("SELECT field, confidence, CASE WHEN grouping(field) = 1 AND grouping(confidence) = 1 THEN 'total' WHEN grouping(confidence) = 1 THEN 'field' ELSE 'confidence' END AS level, count(*) FILTER (ok) AS correct, count(*) AS cells FROM scored GROUP BY GROUPING SETS ((), (field), (confidence)) HAVING NOT (grouping(confidence) = 0 AND confidence IS NULL)", _SCORED)
+def score_rollup(s, d):
+    return evaluate.score_rollup(_scored(s, d))
+
+
+@query("SELECT status, count(*) AS n, sum(input_tokens)::BIGINT AS input_tokens FROM selected GROUP BY status", _LAST)
+def run_rollup(s, d):
+    return evaluate.run_rollup(results.selected_result(view(s, d, "attempts")))
+
+
+_KAPPA = ", p AS (SELECT field, x.code AS a, y.code AS b FROM coder_a x JOIN coder_b y USING (unit, field)), n AS (SELECT field, count(*) AS n, count(*) FILTER (a = b) / count(*) AS agree FROM p GROUP BY field), ma AS (SELECT field, a AS code, count(*) AS na FROM p GROUP BY ALL), mb AS (SELECT field, b AS code, count(*) AS nb FROM p GROUP BY ALL), pe AS (SELECT field, sum(na * nb / (n * n)) AS pe FROM ma JOIN mb USING (field, code) JOIN n USING (field) GROUP BY field) SELECT field, n, agree, (agree - pe) / (1 - pe) AS kappa FROM n JOIN pe USING (field)"
+
+
+@query(_KAPPA)
+def agreement_by_field(s, d):
+    return evaluate.agreement_by_field(view(s, d, "coder_a"), view(s, d, "coder_b"))
+
+
+@query(", p AS (SELECT field, x.code::DOUBLE AS x, y.code::DOUBLE AS y FROM coder_a x JOIN coder_b y USING (unit, field)), s AS (SELECT field, count(*) AS n, avg((x = y)::INT) AS exact, avg(abs(x - y)) AS mean_abs_diff, 2 * count(*) * var_pop((x + y) / 2) / (count(*) - 1) AS msr, count(*) * var_pop(x - y) / 2 / (count(*) - 1) AS mse, count(*) * avg(x - y) * avg(x - y) / 2 AS msc FROM p GROUP BY field) SELECT field, n, exact, mean_abs_diff, (msr - mse) / (msr + mse + 2 * (msc - mse) / n) AS icc FROM s")
+def numeric_agreement(s, d):
+    return evaluate.numeric_agreement(evaluate.numbers(view(s, d, "coder_a")), evaluate.numbers(view(s, d, "coder_b")))
+
+
+@query("SELECT ordinal, source_pdf FROM (SELECT v.*, dense_rank() OVER (PARTITION BY authors ORDER BY md5('seed/' || source_pdf), source_pdf) AS r FROM valid v) WHERE r <= 3", _JUDGED)
+def validation_sample(s, d):
+    return evaluate.validation_sample(_valid(s, d), 3, "seed", "authors").select("ordinal", "source_pdf")
+
+
+@query("SELECT avg(input_tokens) AS mean_tokens, avg(input_tokens) * 200 * 0.375 / 1e6 * 1.1 AS cost FROM attempts")
+def cost_estimate(s, d):
+    return evaluate.cost_estimate(view(s, d, "attempts"), 200, 0.375)
+
+
+@query("SELECT 'cell count differs' AS problem FROM scored HAVING count(*) <> count(*) FILTER (field = 'quality') UNION ALL SELECT 'accuracy fell' FROM scored HAVING count(*) FILTER (ok) / count(*) < count(*) FILTER (ok AND field = 'quality') / count(*) FILTER (field = 'quality') - 0.05", _SCORED)
+def regression_check(s, d):
+    scored = _scored(s, d)
+    summary = lambda x: x.agg(F.count("*").alias("cells"), (F.count_if("ok") / F.count("*")).alias("accuracy"), F.lit(0).alias("not_ok"))
+    return evaluate.regression_check(summary(scored), summary(scored.where("field = 'quality'")))
+
+
+# Codebooks
+
+_LEVELS = ", f AS (SELECT *, CASE WHEN level_text IS NULL THEN NULL ELSE string_split(level_text, ' ') END AS levels, trim(field) AS name, lower(trim(field)) AS key FROM fields) "
+
+
+@query(
+    """, u AS (SELECT codebook_id, key, min(ordinal) AS first_use FROM f WHERE key <> '' GROUP BY ALL), x AS (SELECT f.*, first_use FROM f LEFT JOIN u USING (codebook_id, key))
+    SELECT codebook_id, name AS field, 'blank name' AS rule FROM x WHERE name = '' UNION ALL SELECT codebook_id, name, 'reserved name' FROM x WHERE key IN ('row_id', 'source_pdf', 'locator', 'authors', 'year', 'status')
+    UNION ALL SELECT codebook_id, name, 'clashes with notes' FROM x WHERE key = 'notes' AND name <> 'notes' UNION ALL SELECT codebook_id, name, 'duplicate name' FROM x WHERE first_use < ordinal
+    UNION ALL SELECT codebook_id, name, 'unknown type' FROM x WHERE type = 'date' UNION ALL SELECT codebook_id, name, 'levels on non-string' FROM x WHERE levels IS NOT NULL AND type <> 'string'
+    UNION ALL SELECT codebook_id, name, 'blank level' FROM x WHERE list_contains(levels, '') UNION ALL SELECT codebook_id, name, 'duplicate level' FROM x WHERE len(list_distinct(levels)) < len(levels)
+    UNION ALL SELECT codebook_id, '', 'no effect definition' FROM codebooks WHERE trim(effect_definition) = '' UNION ALL SELECT codebook_id, '', 'no fields' FROM codebooks WHERE codebook_id NOT IN (SELECT codebook_id FROM fields)""",
+    _LEVELS,
+)
+def codebook_lint(s, d):
+    return codebook.codebook_lint(view(s, d, "codebooks"), _fields(s, d))
+
+
+@query("SELECT codebook_id, ordinal, field, type FROM fields WHERE field <> 'notes' UNION ALL SELECT codebook_id, max(ordinal) + 1, 'notes', 'string' FROM fields GROUP BY codebook_id")
+def codebook_effective(s, d):
+    return codebook.codebook_effective(_fields(s, d))
+
+
+@query("SELECT codebook_id, ordinal, CASE WHEN level_text IS NOT NULL THEN 'string' ELSE type END AS type FROM fields")
+def codebook_type_coercion(s, d):
+    return codebook.codebook_type_coercion(_fields(s, d)).select("codebook_id", "ordinal", "type")
+
+
+@query(", h AS (SELECT codebook_id, string_agg(lpad(ordinal::VARCHAR, 10, '0') || chr(9) || name || chr(9) || type || chr(9) || coalesce(array_to_string(levels, ','), ''), chr(10) ORDER BY ordinal) AS t FROM f GROUP BY codebook_id) SELECT codebook_id, sha256(trim(effect_definition) || chr(10) || coalesce(t, '')) AS hash FROM codebooks LEFT JOIN h USING (codebook_id)", _LEVELS)
+def codebook_canonical_hash(s, d):
+    return codebook.codebook_canonical_hash(view(s, d, "codebooks"), _fields(s, d))
+
+
+@query("SELECT codebook_id, string_agg('- ' || field || ' (' || type || ')' || coalesce(array_to_string(list_transform(levels, lambda x: chr(10) || '  - ' || x), ''), ''), chr(10) ORDER BY ordinal) AS text FROM f GROUP BY codebook_id", _LEVELS)
+def render_codebook(s, d):
+    return codebook.render_codebook(_fields(s, d))
+
+
+# Linkage
+
+
+def _paper_rows(s, d):
+    b = table(s, d, "benchmark")
+    return b.select(F.col("item_id").cast("string").alias("key"), F.col("text").alias("title"), F.concat(F.lit("y "), (2000 + F.col("item_id") % 3).cast("string")).alias("year"), *(F.lit("").alias(c) for c in ("authors", "source_pdf", "doi")))
+
+
+def _signals(s, d):
+    docs = table(s, d, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("name"), tx.signal_tokens(F.col("text")).alias("tokens"), F.when(F.col("doc_id") % 2 == 0, (2000 + F.col("doc_id") % 5).cast("string")).alias("year"))
+
+
+def _scores(s, d):
+    return linkage.pair_score(_paper_rows(s, d), _signals(s, d))
+
+
+_ALL = r"regexp_extract_all(" + _SPLIT.format("lower({})") + r", '[\p{{L}}\p{{N}}]+')"
+
+
+@query(
+    rf""", p AS (SELECT item_id::VARCHAR AS key, (2000 + item_id % 3)::VARCHAR AS year, list_distinct(list_filter({_TOKENS.replace("lower(text)", "lower('y ' || (2000 + item_id % 3) || ' ' || text)")}, lambda t: NOT list_contains({_STOP}, t) AND (length(t) >= 3 OR regexp_matches(t, '^\p{{Nd}}+$')))) AS tokens FROM benchmark),
+    g AS (SELECT doc_id::VARCHAR AS name, CASE WHEN doc_id % 2 = 0 THEN (2000 + doc_id % 5)::VARCHAR END AS year, unnest(list_distinct({_TOKENS})) AS token FROM documents),
+    m AS (SELECT key, name, len(tokens) AS n, p.year AS py, g.year AS sy, count(*) AS m FROM (SELECT *, unnest(tokens) AS token FROM p) p JOIN g USING (token) GROUP BY ALL),
+    r AS (SELECT key, name, least(1.0, m / n + CASE WHEN py = sy THEN 0.15 ELSE 0.0 END) AS raw, py, sy FROM m)
+    SELECT * FROM (SELECT key, name, CASE WHEN py <> sy THEN least(raw, 0.4) ELSE raw END AS score FROM r) WHERE score >= 0.25"""
+)
+def pair_score(s, d):
+    return _scores(s, d)
+
+
+@query()
+def assign_one_to_one(s, d):
+    return linkage.assign_one_to_one(_scores(s, d))
+
+
+@query()
+def match_suggestions(s, d):
+    return linkage.match_suggestions(_paper_rows(s, d), _scores(s, d))
+
+
+# Audit
+
+
+@query("SELECT sha256(content) AS sha256, any_value(strlen(content))::BIGINT AS bytes, count(*) AS uses FROM exchanges GROUP BY sha256(content)")
+def blob_dedupe(s, d):
+    return audit.blob_dedupe(view(s, d, "exchanges"))[0]
+
+
+@query(", o AS (SELECT name, CASE WHEN strlen(text) % 5 = 0 THEN 'bad' ELSE sha256(text) END AS want FROM uploaded), h AS (SELECT 'doc' || doc_id || '.pdf' AS name, sha256(text) AS have FROM documents WHERE doc_id % 6 <> 0) SELECT name, CASE WHEN have IS NULL THEN 'absent' WHEN want IS NULL THEN 'unexpected' ELSE 'differs' END AS problem FROM o FULL JOIN h USING (name) WHERE have IS NULL OR want IS NULL OR have <> want")
+def verify_checksums(s, d):
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    want = view(s, d, "uploaded").select("name", F.when(F.octet_length("text") % 5 == 0, "bad").otherwise(digest).alias("sha256"))
+    files = table(s, d, "documents").where("doc_id % 6 <> 0").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), digest.alias("sha256"))
+    return audit.verify_checksums(want, files)
+
+
+@query("SELECT user_id AS operation_id, coalesce(n, 0) AS exchanges, CASE WHEN user_id % 4 = 0 THEN NULL ELSE date_diff('second', date_trunc('second', lo), date_trunc('second', hi)) END AS seconds, user_id % 4 = 0 AS interrupted FROM (SELECT user_id, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY user_id) LEFT JOIN (SELECT operation_id, count(*) AS n FROM exchanges GROUP BY operation_id) ON operation_id = user_id")
+def operation_rollup(s, d):
+    e = table(s, d, "events").groupBy(F.col("user_id").alias("operation_id")).agg(F.min("ts").alias("started_at"), F.max("ts").alias("hi"))
+    return audit.operation_rollup(e.withColumn("finished_at", F.when(F.col("operation_id") % 4 != 0, F.col("hi"))), view(s, d, "exchanges"))
+
+
+@query(", e AS (SELECT *, row_number() OVER (PARTITION BY operation_id ORDER BY sequence) AS n, http_status IN (429, 500, 502, 503, 504) AS ok, coalesce(retry_after::DOUBLE, 0) AS asked FROM exchanges) SELECT operation_id, sequence, ok AS retryable, ok AND (asked > 30 OR n >= 3) AS give_up, CASE WHEN ok AND NOT (asked > 30 OR n >= 3) THEN greatest(2.0 * pow(2, n - 1), asked) END AS delay FROM e")
+def retry_classification(s, d):
+    return audit.retry_classification(view(s, d, "exchanges"))
