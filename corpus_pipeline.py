@@ -50,8 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard and their slot in it."""
-    columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    return sharding.assign_shards(docs.select(columns), "doc_id", SHARDS)
+    return sharding.assign_shards(docs, "doc_id", SHARDS)
 
 
 STAGES = [

@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 
 from paperloom.plans.staging import stage
 
-BLANKS = r"[\x20\x09-\x0D]+"
 BLOCK_WORDS = 2048
 MAX_EPOCHS = 3
-#: Slots, and documents, that one ranking task sorts together.
-CHUNK = 4096
+#: Slots, and documents, that are ranked together.
+CHUNK, DOC_CHUNK = 4096, 512
 
 
 def count_words(text: Column) -> Column:
@@ -64,9 +63,9 @@ def placed(docs: DataFrame, sources: DataFrame) -> DataFrame:
     md5(doc_id), the same in every run."""
     docs = docs.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     docs = docs.withColumn("chunk", F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"))
-    # about CHUNK documents of the largest source in each chunk: the number of chunks follows the table
+    # about DOC_CHUNK documents of the largest source in each chunk: the number of chunks follows the table
     parts = docs.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    step = max(1, (1 << 32) // max(1, parts // CHUNK))
+    step = max(1, (1 << 32) // max(1, parts // DOC_CHUNK))
     docs = docs.withColumn("chunk", F.floor(F.col("chunk") / step))
     totals = docs.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -85,8 +85,8 @@ def plan_loads(points: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
 
 
 def assign_shards(docs: DataFrame, key: str, shards: int, vnodes: int = VNODES, order_by: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with shard (0 to shards-1) and slot (0, 1, ... in each shard). Only rows that carry the columns of
-    ``docs`` are shuffled, once, so give it narrow ones.
+    """``docs`` with shard (0 to shards-1) and slot (0, 1, ... in each shard), which replace columns of these names.
+    The rows of ``docs`` are shuffled once, so give it narrow ones where that is enough.
 
     Defined cases: a null key stands at the place of the empty string; rows with the same key are placed one by one
     (ordered by ``order_by``), and equal rows are interchangeable; an empty table gives no rows.
@@ -94,16 +94,19 @@ def assign_shards(docs: DataFrame, key: str, shards: int, vnodes: int = VNODES,
     spark = docs.sparkSession
     points = stage(ring(spark, shards, vnodes), "points")
     cells = arc_cells(points)
-    place = ring_place(F.coalesce(F.col(key).cast("string"), F.lit("")))
 
-    def on_ring(df: DataFrame) -> DataFrame:
-        df = df.withColumn("_place", place).withColumn("_cell", F.shiftright("_place", _RING_LOG2 - CELLS_LOG2))
+    def on_ring(columns: list[str]) -> DataFrame:
+        # the columns travel as one, so their names can't clash with the plan's
+        df = docs.select(F.struct(*columns).alias("_row"), ring_place(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_place"))
+        df = df.withColumn("_cell", F.shiftright("_place", _RING_LOG2 - CELLS_LOG2))
         # bounded: 2^CELLS_LOG2 + shards * vnodes short rows
-        return df.join(F.broadcast(cells), (F.col("_cell") == F.col("cell")) & (F.col("_place") > F.col("low")) & (F.col("_place") <= F.col("high"))).drop("cell", "low", "high", "_cell")
+        return df.join(F.broadcast(cells), (F.col("_cell") == F.col("cell")) & (F.col("_place") > F.col("low")) & (F.col("_place") <= F.col("high"))).select("_row", "_place", "cell_arc")
 
-    loads = on_ring(docs.select(key)).groupBy(F.col("cell_arc").alias("arc")).agg(F.count("*").alias("load"))
+    loads = on_ring([key]).groupBy(F.col("cell_arc").alias("arc")).agg(F.count("*").alias("load"))
     plan = plan_loads(points, loads, shards).withColumnRenamed("arc", "plan_arc")
-    ranked = on_ring(docs).withColumn("_rank", F.row_number().over(Window.partitionBy("cell_arc").orderBy("_place", key, *order_by)) - 1)
+    order = [F.col("_row").getField(c) for c in (key, *order_by)]
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    ranked = on_ring(kept).withColumn("_rank", F.row_number().over(Window.partitionBy("cell_arc").orderBy("_place", *order)) - 1)
     # bounded: at most 3 * shards * vnodes short rows
     out = ranked.join(F.broadcast(plan), (F.col("cell_arc") == F.col("plan_arc")) & (F.col("_rank") >= F.col("from_rank")) & (F.col("_rank") < F.col("to_rank")))
-    return out.withColumn("slot", F.col("first_slot") + F.col("_rank") - F.col("from_rank")).drop("cell_arc", "plan_arc", "_rank", "_place", "from_rank", "to_rank", "first_slot")
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in kept), "shard", (F.col("first_slot") + F.col("_rank") - F.col("from_rank")).alias("slot"))
