@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
 from paperloom.functions import values as vl
-from paperloom.operators import audit, codebook, collate, evaluate, linkage, results, sheet
+from paperloom.operators import audit, codebook, collate, evaluate, linkage, requests, results, sheet
 from paperloom.plans.fixtures import table, view, with_views
+from paperloom.sources import sheets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -581,3 +582,71 @@ def operation_rollup(s, d):
 @query(", e AS (SELECT *, row_number() OVER (PARTITION BY operation_id ORDER BY sequence) AS n, http_status IN (429, 500, 502, 503, 504) AS ok, coalesce(retry_after::DOUBLE, 0) AS asked FROM exchanges) SELECT operation_id, sequence, ok AS retryable, ok AND (asked > 30 OR n >= 3) AS give_up, CASE WHEN ok AND NOT (asked > 30 OR n >= 3) THEN greatest(2.0 * pow(2, n - 1), asked) END AS delay FROM e")
 def retry_classification(s, d):
     return audit.retry_classification(view(s, d, "exchanges"))
+
+
+# Sources, requests, incremental work
+
+
+@query("SELECT doc_id, CASE WHEN t <> '' THEN t END AS text, CASE WHEN t = '' THEN 'no text' END AS error FROM (SELECT doc_id, coalesce(string_agg('[Page ' || i || ']' || chr(10) || body, chr(10) || chr(10) ORDER BY i) FILTER (body <> ''), '') AS t FROM (SELECT doc_id, i, trim(ps[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS body FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents))) GROUP BY doc_id)")
+def assemble_page_text(s, d):
+    pages = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "text"))
+    return sheets.assemble_page_text(pages.withColumn("page_no", F.col("page_no") + 1))
+
+
+@query("SELECT source_pdf, attempt, is_canonical, file_name FROM (SELECT *, row_number() OVER (PARTITION BY source_pdf ORDER BY is_canonical DESC, file_name DESC) AS r FROM (SELECT source_pdf, attempt, attempt % 3 = 0 AS is_canonical, lpad(CAST(attempt AS VARCHAR), 9, '0') AS file_name FROM attempts)) WHERE r = 1")
+def dedupe_result_records(s, d):
+    records = view(s, d, "attempts").select("source_pdf", "attempt", (F.col("attempt") % 3 == 0).alias("is_canonical"), F.lpad(F.col("attempt").cast("string"), 9, "0").alias("file_name"))
+    return sheets.dedupe_result_records(records)
+
+
+@query("SELECT a.source_pdf, coalesce(list(row_id ORDER BY row_id) FILTER (row_id IS NOT NULL), []) AS row_ids FROM (SELECT DISTINCT source_pdf FROM (SELECT 'order' || o_orderkey || '.pdf' AS source_pdf, 'broad' || CASE WHEN o_orderkey % 3 = 0 THEN ' small' ELSE '' END AS sets FROM orders) WHERE list_contains(string_split(sets, ' '), 'small')) a LEFT JOIN rows r ON r.source_pdf = a.source_pdf GROUP BY a.source_pdf")
+def scan_eval_set(s, d):
+    name = F.concat(F.lit("order"), F.col("o_orderkey").cast("string"), F.lit(".pdf"))
+    articles = table(s, d, "orders").select(name.alias("source_pdf"), F.when(F.col("o_orderkey") % 3 == 0, "broad small").otherwise("broad").alias("sets"))
+    return sheets.scan_eval_set(articles, view(s, d, "rows"), "small")
+
+
+@query("SELECT path, sha256(text) AS sha256, strlen(text)::BIGINT AS bytes FROM (SELECT 'a/' || CASE WHEN doc_id % 9 = 0 THEN '.' ELSE '' END || doc_id || CASE WHEN doc_id % 10 = 0 THEN '.tmp' ELSE '.txt' END AS path, text FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 10 <> 0)")
+def export_manifest(s, d):
+    i = F.col("doc_id")
+    path = F.concat(F.lit("a/"), F.when(i % 9 == 0, ".").otherwise(""), i.cast("string"), F.when(i % 10 == 0, ".tmp").otherwise(".txt"))
+    return sheets.export_manifest(table(s, d, "documents").select(path.alias("path"), F.col("text").alias("content")))
+
+
+@query("SELECT v.source_pdf, list(row_id ORDER BY ordinal) AS row_ids, 'Rules.' || chr(10) || chr(10) || 'Book.' || chr(10) || chr(10) || 'Rows: ' || count(*) || chr(10) || chr(10) || string_agg('- ' || row_id || ': ' || CASE WHEN locator = '' THEN '(none)' ELSE locator END, chr(10) ORDER BY ordinal) || chr(10) || chr(10) || any_value(text) AS prompt FROM valid v JOIN uploaded ON name = source_pdf GROUP BY v.source_pdf", _JUDGED)
+def build_requests(s, d):
+    return requests.build_requests(_valid(s, d), view(s, d, "uploaded"), "Rules.", "Book.")
+
+
+@query()
+def annotate_documents(s, d):
+    """A keyword coder over every request: deterministic, and failing where a text is toxic."""
+
+    def coder(prompt: str, row_ids: list[str]) -> str:
+        if "worthless" in prompt:
+            raise ValueError("refused")
+        return ",".join(f"{i}={prompt.count('***')}" for i in row_ids)
+
+    return requests.annotate_documents(build_requests(s, d), coder)
+
+
+_RAW = "SELECT event_id AS id, CASE event_type WHEN 'click' THEN concat('{\"candidates\":[{\"content\":{\"parts\":[{\"text\":\"t', CAST(event_id AS STRING), '\"}]},\"finishReason\":\"MAX_TOKENS\"}],\"usageMetadata\":{\"promptTokenCount\":', CAST(user_id AS STRING), ',\"thoughtsTokenCount\":3},\"modelVersion\":\"m1\"}') WHEN 'view' THEN concat('{\"choices\":[{\"message\":{\"content\":\"c', CAST(event_id AS STRING), '\"},\"finish_reason\":\"stop\"}],\"usage\":{\"prompt_tokens\":', CAST(user_id AS STRING), ',\"completion_tokens\":7},\"model\":\"m2\"}') ELSE '{\"error\":1}' END AS raw FROM "
+
+
+@query("SELECT event_id AS id, CASE event_type WHEN 'click' THEN 't' || event_id WHEN 'view' THEN 'c' || event_id END AS text, CASE event_type WHEN 'click' THEN 'length' WHEN 'view' THEN 'stop' END AS finish_reason, CASE WHEN event_type IN ('click', 'view') THEN user_id END AS input_tokens, CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 7 END AS output_tokens, CASE event_type WHEN 'click' THEN 'm1' WHEN 'view' THEN 'm2' END AS served_model, CASE WHEN event_type NOT IN ('click', 'view') THEN 'no text in response' END AS error FROM events")
+def parse_envelope(s, d):
+    table(s, d, "events").createOrReplaceTempView("paperloom_events")
+    return requests.parse_envelope(s.sql(_RAW + "paperloom_events"))
+
+
+@query("SELECT source_pdf, operation_id, 'm' || (o_custkey % 4) AS asked_model, served_model, CASE WHEN o_custkey IS NULL THEN 'unknown operation' ELSE 'another model served' END AS problem FROM (SELECT source_pdf, operation_id, model AS served_model FROM orders_run WHERE model IS NOT NULL) LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 <> 0) ON o_orderkey = operation_id WHERE o_custkey IS NULL OR 'm' || (o_custkey % 4) <> served_model")
+def attempt_provenance_link(s, d):
+    operations = table(s, d, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("operation_id"), F.concat(F.lit("m"), (F.col("o_custkey") % 4).cast("string")).alias("model"))
+    return requests.attempt_provenance_link(view(s, d, "orders_run").where("model is not null").withColumnRenamed("model", "served_model"), operations)
+
+
+@query("SELECT p_name AS name, p_size AS size, p_partkey AS mtime FROM part WHERE NOT (p_partkey % 3 = 0 AND p_partkey % 5 <> 0)")
+def incremental_signals(s, d):
+    docs = table(s, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_partkey").alias("mtime"))
+    stored = docs.where("mtime % 3 = 0").withColumn("version", F.when(F.col("mtime") % 5 == 0, 1).otherwise(2))
+    return requests.incremental_signals(docs, stored, 2)
