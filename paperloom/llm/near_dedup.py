@@ -2,12 +2,13 @@
 
 Every text becomes the set of its distinct five-word shingles. One hash of each shingle is dealt to one of ``BINS``
 bins and the smallest of a bin is kept (one permutation); an empty bin borrows from bins drawn by a fixed random probe
-sequence (optimal densification). ``ROWS`` bins make a band; texts with an equal band share a bucket. Short sets
-(``SHORT`` shingles or fewer) also get exact buckets: two sets that are similar enough share one of their smallest
-``n - ceil(t * n) + 1`` hashes. In each bucket the text that meets most others is the star's centre; only centre and member
-are compared, on full texts. What a star leaves open (members of a bucket that are not yet connected) is compared in
-further rounds with more centres per bucket, each round without the centres already done, until nothing is open: the
-number of pairs stays small where documents are copies, and no link is lost.
+sequence (optimal densification). ``ROWS`` bins make a band; texts with an equal band share a bucket. In each bucket
+the text that meets most others is the star's centre; only centre and member are compared, on full texts.
+
+What the stars leave open (texts that share a bucket, are not its centre and are not yet connected) is closed by an
+exact index over these texts alone: their shingles are ordered from the rarest to the most frequent, and two sets that
+are similar enough share one near the front of both orders. Texts that have only a common passage share no rare
+shingle, so a large group of them makes few pairs, and no link is lost.
 
 Equal sets are one node from the start, so a group of exact copies costs one row per copy and no pairs.
 """
@@ -25,9 +26,8 @@ from paperloom.llm.blocks import blocks_of, constants, mixed, text_blocks
 from paperloom.plans.staging import stage
 
 WORDS, THRESHOLD = 5, 75
-ROWS, BANDS = 4, 40
+ROWS, BANDS = 6, 48
 BINS = ROWS * BANDS
-SHORT = 64
 PROBES = 64
 #: Members that one star task compares with its centre.
 STAR_ROWS = 400
@@ -58,13 +58,9 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def bucket_keys(hashes: np.ndarray) -> np.ndarray:
-    """The buckets of a sorted set: one per band and, for short sets, its exact prefix."""
+    """The buckets of a sorted set, one per band."""
     bands = (mixed(signature(hashes).reshape(BANDS, ROWS)) * _ROW).sum(axis=1, dtype=np.uint64)
-    keys = mixed(bands + _BAND)
-    if len(hashes) <= SHORT:
-        n = len(hashes)
-        keys = np.concatenate((keys, mixed(hashes[: n - -(-THRESHOLD * n // 100) + 1] ^ np.uint64(0x5A5A))))
-    return np.unique(keys)
+    return np.unique(mixed(bands + _BAND))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +79,16 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, block in text_blocks(batches):
+        hashes, at = block.shingles(WORDS)
+        ids = batch.column("doc_id").to_numpy()
+        for i in range(len(block)):
+            own = np.unique(hashes[at[i] : at[i + 1]])
+            one = np.full(len(own), own.sum(dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), ids[i])), pa.array(one), pa.array(own.view(np.int64))], ["rep", "set", "shingle"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by star, its centre first: the pairs whose full sets are similar enough."""
     star, own = None, None
@@ -113,9 +119,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = pairs.join(sizes, "centre").withColumn("star", F.when(F.col("m") <= STAR_ROWS, F.lit(-1)).otherwise(F.col("star"))).drop("m")
     stars = pairs.select("centre", "star").distinct()
     needed = stage(pairs.select(F.col("member").alias("doc_id")).union(pairs.select("centre")).distinct(), "needed")
-    if needed.count() <= BROADCAST_IDS:
-        needed = F.broadcast(needed)
-    texts = stage(docs.join(needed, "doc_id", "left_semi"), "texts")
+    texts = stage(_texts_of(docs, needed), "texts")
     rows = (
         pairs.select("centre", "star", "member", F.lit(False).alias("is_centre"))
         .unionByName(stars.select("centre", "star", F.col("centre").alias("member"), F.lit(True).alias("is_centre")))
@@ -125,6 +129,35 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("centre", "star", "member", "is_centre", "text").mapInArrow(_compare, "centre long, member long")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in the staged ``ids``: few ids are sent to the texts."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def rare_pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of ``nodes`` (rep, n, label) with different labels: all that can be similar enough.
+
+    In an order of shingles common to all sets, rarest first, take the first shingle that two linked sets share. From
+    it on, each set must still hold as many shingles as they share at least, so it stands in both among the first
+    n - overlap + 1, where the overlap is at least t / (1 + t) of the two sizes' sum."""
+    ids = stage(nodes.select(F.col("rep").alias("doc_id")).distinct(), "open")
+    # rows that repeat a doc_id may have different sets
+    held = stage(_texts_of(docs, ids).mapInArrow(_explode, "rep long, set long, shingle long").distinct(), "shingles")
+    often = held.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    # a shingle of one text only meets nobody: its place in the order is all that counts
+    alone = held.groupBy("rep", "set").agg(F.count("*").alias("all"))
+    common = held.join(often, "shingle")
+    place = F.row_number().over(Window.partitionBy("rep", "set").orderBy("df", "shingle"))
+    shared = common.groupBy("rep", "set").agg(F.count("*").alias("some"))
+    front = common.withColumn("r", place).join(alone.join(shared, ["rep", "set"]), ["rep", "set"]).withColumn("i", F.col("r") - 1 + F.col("all") - F.col("some"))
+    front = front.where(100 * (F.col("all") - F.col("i")) >= THRESHOLD * F.col("all")).join(nodes.select("rep", "label").distinct(), "rep")
+    front = stage(front.select("rep", "label", "shingle", "i", F.col("all").alias("n")), "front")
+    other = front.select("shingle", F.col("rep").alias("b"), F.col("label").alias("b_label"), F.col("i").alias("b_i"), F.col("n").alias("b_n"))
+    left = F.least(F.col("n") - F.col("i"), F.col("b_n") - F.col("b_i"))
+    can = ((100 + THRESHOLD) * left >= THRESHOLD * (F.col("n") + F.col("b_n"))) & (100 * F.least("n", "b_n") >= THRESHOLD * F.greatest("n", "b_n"))
+    return front.join(other, "shingle").where((F.col("rep") < F.col("b")) & (F.col("label") != F.col("b_label")) & can).select(F.col("rep").alias("a"), "b").distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """The smallest node that each node of ``edges`` (u, v) reaches: (node, label). Alternates stars towards larger
     and smaller neighbours; each round is staged, so that lineage stays short and lost executors cost one round."""
@@ -162,36 +195,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fame = members.groupBy("rep").agg(F.sum("m").alias("fame"))
     members = stage(members.drop("m").join(fame, "rep"), "members")
     similar = (100 * F.least("n", "centre_n") >= THRESHOLD * F.greatest("n", "centre_n")) & (F.col("centre") != F.col("rep"))
-    edges = same = done = None
-    k = 1
-    while not members.isEmpty():
-        if same is None:
-            best = F.min(F.struct((-F.col("fame")).alias("f"), "rep", "n"))
-            centres = members.groupBy("key").agg(best.alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.rep").alias("centre_label"))
-            members = members.withColumn("label", F.col("rep"))
-        else:
-            place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("fame").desc(), "rep"))
-            centres = members.withColumn("r", place).where(F.col("r") <= k).select("key", F.col("rep").alias("centre"), F.col("n").alias("centre_n"), F.col("label").alias("centre_label"))
-        pairs = members.join(centres, "key").where(similar & (F.col("label") != F.col("centre_label"))).select("centre", F.col("rep").alias("member"), F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
-        # two texts meet in many buckets, and may be each other's centre: they are compared once
-        pairs = pairs.groupBy("a", "b").agg(F.min("centre").alias("centre"))
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "candidates")
-        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-        pairs = pairs.select("centre", (F.col("a") + F.col("b") - F.col("centre")).alias("member"))
-        fresh = stage(_verified(pairs, docs), "links").select(F.col("centre").alias("u"), F.col("member").alias("v"))
-        if same is None or not fresh.isEmpty():
-            edges = fresh if edges is None else edges.unionByName(fresh)
-            same = connected(edges)
-        # The rest: without this round's centres, buckets whose members are still in more than one component.
-        rest = members.drop("label").join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti")
-        rest = rest.join(same.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        open_ = rest.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-        members, k = stage(rest.join(open_, "key", "left_semi").select("key", "rep", "n", "fame", "label"), "rest"), 4 * k
+    best = F.min(F.struct((-F.col("fame")).alias("f"), "rep", "n"))
+    centres = members.groupBy("key").agg(best.alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"))
+    pairs = members.join(centres, "key").where(similar).select("centre", F.col("rep").alias("member"), F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
+    # two texts meet in many buckets, and may be each other's centre: they are compared once
+    done = stage(pairs.groupBy("a", "b").agg(F.min("centre").alias("centre")), "candidates")
+    edges = stage(_verified(done.select("centre", (F.col("a") + F.col("b") - F.col("centre")).alias("member")), docs), "links").select(F.col("centre").alias("u"), F.col("member").alias("v"))
+    same = connected(edges)
+    # The rest: without their centres, buckets whose members are still in more than one component.
+    rest = members.select("key", "rep", "n").join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti")
+    rest = stage(rest.join(same.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "rest")
+    open_ = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    nodes = stage(rest.join(open_, "key", "left_semi").select("rep", "n", "label").distinct(), "nodes")
+    pairs = stage(rare_pairs(nodes, docs).join(done.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+    fresh = stage(_verified(pairs.select(F.col("a").alias("centre"), F.col("b").alias("member")), docs), "links").select(F.col("centre").alias("u"), F.col("member").alias("v"))
+    if not fresh.isEmpty():
+        same = connected(edges.unionByName(fresh))
     named = sets.select("f1", "f2", "n_shingles", "rep")
-    if same is not None:
-        named = named.join(same, named.rep == same.node, "left").select("f1", "f2", "n_shingles", F.coalesce("label", "rep").alias("rep"))
+    named = named.join(same, named.rep == same.node, "left").select("f1", "f2", "n_shingles", F.coalesce("label", "rep").alias("rep"))
     out = digest.drop("keys").join(named, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
