@@ -122,3 +122,29 @@ def cost_estimate(attempts: DataFrame, n_docs: int, price_in: float, margin: flo
 def numbers(cells: DataFrame) -> DataFrame:
     """Cells (unit, field, code) whose code spells a number, as values."""
     return cells.select("unit", "field", number_of(F.col("code")).alias("value")).where("value is not null")
+
+
+def eval_set_integrity(truth: DataFrame, rows: DataFrame, fields: list[str], reasons: tuple[str, ...] = ("not_reported", "not_applicable", "unclear")) -> DataFrame:
+    """(row_id, field, problem): human codes given more than once, with both or neither of value and missing reason,
+    with an unknown reason, or absent for a row (row_id) and one of ``fields``. Null counts as blank."""
+    value, missing = (F.coalesce(F.col(c), F.lit("")) for c in ("value", "missing"))
+    codes = truth.groupBy("row_id", "field").agg(F.count("*").alias("n"), F.bool_or((value != "") == (missing != "")).alias("both"), F.bool_or(~missing.isin("", *reasons)).alias("unknown"))
+    problems = F.array_compact(F.array(F.when(F.col("n") > 1, "repeated"), F.when(F.col("both"), "value or missing"), F.when(F.col("unknown"), "missing reason")))
+    wrong = codes.select("row_id", "field", F.explode(problems).alias("problem"))
+    due = rows.select("row_id").distinct().select("row_id", F.explode(F.array(*map(F.lit, fields))).alias("field"))
+    return wrong.unionByName(due.join(codes, ["row_id", "field"], "left_anti").withColumn("problem", F.lit("absent")))
+
+
+def ordinal_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(field, n, kappa_w, alpha) of two coders' ranks (unit, field, code): kappa with linear weights, and nominal
+    alpha; null where all codes are equal. Units that one coder left out, and codes that are no numbers, don't count."""
+    rank = lambda df, name: df.select("unit", "field", F.expr("try_cast(code AS double)").alias(name)).where(F.col(name).isNotNull())
+    cells = rank(a, "x").join(rank(b, "y"), ["unit", "field"]).groupBy("field", "x", "y").agg(F.count("*").alias("m"))
+    seen = cells.groupBy("field").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.abs(F.col("x") - F.col("y"))).alias("apart"), F.sum(F.when(F.col("x") != F.col("y"), F.col("m")).otherwise(0)).alias("differ"))
+    xs, ys = (cells.groupBy("field", c).agg(F.sum("m").alias(f"m_{c}")) for c in ("x", "y"))
+    by_chance = xs.join(ys, "field").groupBy("field").agg(F.sum(F.col("m_x") * F.col("m_y") * F.abs(F.col("x") - F.col("y"))).alias("chance"))
+    codes = cells.select("field", "m", F.explode(F.array("x", "y")).alias("code")).groupBy("field", "code").agg(F.sum("m").alias("m"))
+    equal = codes.groupBy("field").agg(F.sum(F.col("m") * F.col("m")).alias("equal"))
+    unequal = F.nullif(4 * F.col("n") * F.col("n") - F.col("equal"), F.lit(0))
+    kappa = 1 - F.col("apart") * F.col("n") / F.nullif(F.col("chance"), F.lit(0.0))
+    return seen.join(by_chance, "field").join(equal, "field").select("field", "n", kappa.alias("kappa_w"), (1 - 2 * F.col("differ") * (2 * F.col("n") - 1) / unequal).alias("alpha"))

@@ -84,3 +84,12 @@ def paginate(rows: DataFrame, order: list[str], page: int, page_size: int = 10)
     pages = max(1, -(-rows.count() // page_size))
     at = min(max(page, 1), pages)
     return rows.orderBy(*order).offset((at - 1) * page_size).limit(page_size)
+
+
+def attempt_status(call_error: Column, cancelled: Column, problem: Column, flags: Column) -> Column:
+    """A struct of status and error: a failed call is an error, or cancelled; an invalid response or one with review
+    flags (an array) needs review, its reasons joined; else ok. Null is no problem."""
+    reasons = F.array_join(F.array_compact(F.concat(F.array(problem), F.coalesce(flags, F.array().cast("array<string>")))), "; ")
+    state = lambda status, error: F.struct(F.lit(status).alias("status"), error.alias("error"))
+    none = F.lit(None).cast("string")
+    return F.when(F.coalesce(cancelled, F.lit(False)), state("cancelled", call_error)).when(call_error.isNotNull(), state("error", call_error)).when(reasons != "", state("needs_review", reasons)).otherwise(state("ok", none))

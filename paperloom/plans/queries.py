@@ -650,3 +650,37 @@ def incremental_signals(s, d):
     docs = table(s, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_partkey").alias("mtime"))
     stored = docs.where("mtime % 3 = 0").withColumn("version", F.when(F.col("mtime") % 5 == 0, 1).otherwise(2))
     return requests.incremental_signals(docs, stored, 2)
+
+
+@query(
+    ", codes AS (SELECT row_id, field, count(*) AS n, bool_or((value <> '') = (missing <> '')) AS both_, bool_or(missing NOT IN ('', 'not_reported', 'not_applicable', 'unclear')) AS unknown FROM truth GROUP BY 1, 2) "
+    "SELECT row_id, field, 'repeated' AS problem FROM codes WHERE n > 1 UNION ALL SELECT row_id, field, 'value or missing' FROM codes WHERE both_ UNION ALL SELECT row_id, field, 'missing reason' FROM codes WHERE unknown "
+    "UNION ALL SELECT row_id, field, 'absent' FROM (SELECT DISTINCT row_id FROM run_rows) CROSS JOIN (VALUES ('quality'), ('toxic')) AS f(field) WHERE (row_id, field) NOT IN (SELECT (row_id, field) FROM codes)"
+)
+def eval_set_integrity(s, d):
+    return evaluate.eval_set_integrity(view(s, d, "truth"), view(s, d, "run_rows"), ["quality", "toxic"])
+
+
+@query(
+    ", both_ AS (SELECT field, CAST(a.code AS DOUBLE) AS x, CAST(b.code AS DOUBLE) AS y FROM coder_a a JOIN coder_b b USING (unit, field)), "
+    "seen AS (SELECT field, count(*) AS n, avg(abs(x - y)) AS apart, avg(CAST(x <> y AS INT)) AS differ FROM both_ GROUP BY field), "
+    "mx AS (SELECT field, x, count(*) AS m FROM both_ GROUP BY 1, 2), my AS (SELECT field, y, count(*) AS m FROM both_ GROUP BY 1, 2), "
+    "chance AS (SELECT field, sum(mx.m * my.m * abs(x - y)) AS c FROM mx JOIN my USING (field) GROUP BY field), "
+    "codes AS (SELECT field, code, sum(m) AS m FROM (SELECT field, x AS code, m FROM mx UNION ALL SELECT field, y, m FROM my) GROUP BY 1, 2), "
+    "eq AS (SELECT field, sum(m * m) AS e FROM codes GROUP BY field) "
+    "SELECT field, n, 1 - apart * n * n / nullif(c, 0) AS kappa_w, 1 - differ * 2 * n * (2 * n - 1) / nullif(4 * n * n - CAST(e AS DOUBLE), 0) AS alpha FROM seen JOIN chance USING (field) JOIN eq USING (field)"
+)
+def ordinal_agreement(s, d):
+    return evaluate.ordinal_agreement(view(s, d, "coder_a"), view(s, d, "coder_b"))
+
+
+@query(
+    "SELECT operation_id, sequence, CASE WHEN sequence % 7 = 6 THEN 'cancelled' WHEN http_status <> 200 THEN 'error' WHEN content LIKE '%?%' OR length(content) < 60 THEN 'needs_review' ELSE 'ok' END AS status, "
+    "CASE WHEN http_status <> 200 THEN 'HTTP ' || http_status WHEN sequence % 7 = 6 THEN NULL WHEN content LIKE '%?%' AND length(content) < 60 THEN 'not a record; short' WHEN content LIKE '%?%' THEN 'not a record' WHEN length(content) < 60 THEN 'short' END AS error FROM exchanges"
+)
+def attempt_status(s, d):
+    failed = F.when(F.col("http_status") != 200, F.concat(F.lit("HTTP "), F.col("http_status").cast("string")))
+    problem = F.when(F.col("content").contains("?"), "not a record")
+    flags = F.array(F.when(F.length("content") < 60, "short"))
+    state = results.attempt_status(failed, F.col("sequence") % 7 == 6, problem, flags)
+    return view(s, d, "exchanges").withColumn("r", state).select("operation_id", "sequence", "r.status", "r.error")
