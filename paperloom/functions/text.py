@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words too common to identify a paper.
 STOP_WORDS = ("pdf", "et", "al", "and", "the", "of", "in", "a", "an", "is", "are", "on", "for", "with", "to", "as", "by", "not", "same", "effect", "effects", "task", "study", "https", "http", "www", "doi", "org", "dx", "com", "de", "jr")
@@ -104,3 +108,28 @@ def redact_url_query(url: Column) -> Column:
 def header_allowlist(headers: Column, names: tuple[str, ...] = KEPT_HEADERS) -> Column:
     """The entries of a map whose key, in any case, is one of ``names``."""
     return F.map_filter(headers, lambda k, _: F.lower(k).isin(*names))
+
+
+@F.pandas_udf(StringType())
+def _composed(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: None if n is None else unicodedata.normalize("NFC", n))
+
+
+@F.pandas_udf(StringType())
+def _within_bytes(stems: pd.Series, most: pd.Series) -> pd.Series:
+    """The longest prefix of whole characters that fits."""
+    return pd.Series([None if s is None else s.encode()[:m].decode(errors="ignore") for s, m in zip(stems, most)], dtype=object)
+
+
+def safe_document_name(name: Column, suffix: str = ".pdf") -> Column:
+    """A struct of ``name``, the file name that an upload may have, and ``error``, why it may have none. Folders go,
+    unsafe runs become ``_``, device names are set off, and a name above 180 bytes gets a stem of at most 160."""
+    base = F.element_at(F.split(F.regexp_replace(F.translate(_blank(name), "\\", "/"), r"/+$", ""), "/"), -1)
+    clean = F.btrim(F.regexp_replace(_composed(base), r'[<>:"/\\|?*\x00-\x1f\x7f]+', "_"), F.lit(" ."))
+    device = F.rtrim(F.split(clean, r"\.")[0]).rlike(r"(?i)^(CON|PRN|AUX|NUL|COM[1-9¹²³]|LPT[1-9¹²³])$")
+    safe = F.when(device, F.concat(F.lit("_"), clean)).otherwise(clean)
+    end = F.regexp_extract(safe, r"(?<=.)(\.[^.]*)$", 1)
+    stem = F.substring(safe, F.lit(1), F.length(safe) - F.length(end))
+    short = F.when(F.octet_length(safe) > 180, F.concat(_within_bytes(stem, F.lit(160)), end)).otherwise(safe)
+    error = F.when(clean == "", "A file name is required.").when(F.lower(end) != suffix, F.concat(base, F.lit(f" is not a {suffix[1:].upper()}.")))
+    return F.struct(F.when(error.isNull(), short).alias("name"), error.alias("error"))

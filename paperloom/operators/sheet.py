@@ -107,3 +107,27 @@ def papers(rows: DataFrame, documents: DataFrame, key: Column, matched: bool) ->
     rows = trimmed(rows).join(known, "source_pdf", "left_semi" if matched else "left_anti").withColumn("key", key).where("key is not null")
     first = [F.min_by(c, "ordinal").alias(c) for c in ("source_pdf", "authors", "year", "locator", "title", "doi")]
     return rows.groupBy("key").agg(*first, F.count("*").alias("row_count"))
+
+
+#: The columns that a sheet must have, and those that it may have.
+REQUIRED, OPTIONAL = ("row_id", "source_pdf", "locator", "authors", "year"), ("title", "doi")
+
+
+def sheet_shape_check(header: list[str], rows: DataFrame) -> DataFrame:
+    """(row_number, message): why a file as a whole is no sheet, at most one issue; rows (cells, an array) are looked at
+    only for their number of cells. Null cells count as none."""
+    absent, other = [c for c in REQUIRED if c not in header], [c for c in header if c not in REQUIRED + OPTIONAL]
+    say = lambda df, text: df.select(F.lit(None).cast("int").alias("row_number"), F.lit(text).alias("message"))
+    one = rows.sparkSession.range(1)
+    if len(header) != len(set(header)):
+        return say(one, "Duplicate coding-sheet column headers.")
+    ragged = say(rows.where(F.coalesce(F.size("cells"), F.lit(0)) != len(header)).limit(1), "A coding-sheet row has the wrong number of cells.")
+    if absent:
+        then = f"Missing required column(s): {', '.join(absent)}."
+    elif other:
+        then = f"Unexpected column(s): {', '.join(other)}. The coding sheet only accepts {', '.join(REQUIRED + OPTIONAL)}."
+    else:
+        return ragged
+    # cell counts are judged before names
+    both = ragged.withColumn("_at", F.lit(0)).unionByName(say(one, then).withColumn("_at", F.lit(1)))
+    return both.agg(F.min_by("message", "_at").alias("message")).select(F.lit(None).cast("int").alias("row_number"), "message")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
 from paperloom.functions import values as vl
-from paperloom.operators import audit, codebook, collate, evaluate, linkage, requests, results, sheet
+from paperloom.operators import audit, codebook, collate, evaluate, linkage, requests, responses, results, sheet
+from paperloom.plans import staging
 from paperloom.plans.fixtures import table, view, with_views
 from paperloom.sources import sheets
 
@@ -684,3 +685,127 @@ def attempt_status(s, d):
     flags = F.array(F.when(F.length("content") < 60, "short"))
     state = results.attempt_status(failed, F.col("sequence") % 7 == 6, problem, flags)
     return view(s, d, "exchanges").withColumn("r", state).select("operation_id", "sequence", "r.status", "r.error")
+
+
+@query("SELECT CAST(NULL AS INT) AS row_number, 'A coding-sheet row has the wrong number of cells.' AS message WHERE EXISTS (SELECT * FROM documents WHERE doc_id % 10 = 0)")
+def sheet_shape_check(s, d):
+    cells = F.array("row_id", "source_pdf", "locator", "authors", "year", "title", "doi")
+    rows = view(s, d, "sheet").select(F.when(F.col("ordinal") % 10 == 0, F.slice(cells, 1, 6)).otherwise(cells).alias("cells"))
+    return sheet.sheet_shape_check([*sheet.REQUIRED, *sheet.OPTIONAL], rows)
+
+
+@query(
+    rf", g AS (SELECT doc_id, 'Paper_X-' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '_' || (1990 + doc_id % 40) ELSE '' END AS stem, coalesce(text, '') AS page FROM documents), t AS (SELECT stem || '.pdf' AS name, stem, page, translate(stem, '_-', '  ') || ' ' || page AS text FROM g) "
+    rf"SELECT name, list_sort(list_distinct(list_filter({_TOKENS}, lambda t: NOT list_contains({_STOP}, t) AND (length(t) >= 2 OR regexp_matches(t, '^\p{{Nd}}+$'))))) AS tokens, "
+    r"coalesce(nullif(regexp_extract(stem, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)', 1), ''), nullif(regexp_extract(page, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)', 1), '')) AS year FROM t"
+)
+def document_signal(s, d):
+    docs, id_ = table(s, d, "documents"), F.col("doc_id")
+    year = F.when(id_ % 2 == 0, F.concat(F.lit("_"), (1990 + id_ % 40).cast("string"))).otherwise("")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n[Page 2]\nlater words of 1907"))
+    return linkage.document_signal(docs.select(F.concat(F.lit("Paper_X-"), id_.cast("string"), year, F.lit(".pdf")).alias("name"), text.alias("text")))
+
+
+@query(
+    "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN p_name || '.PDF' WHEN 1 THEN 'a_b_' || p_partkey || '.pdf' WHEN 2 THEN '_con.pdf' END AS name, "
+    "CASE p_partkey % 5 WHEN 3 THEN p_name || '.txt is not a PDF.' WHEN 4 THEN 'A file name is required.' END AS error FROM part"
+)
+def safe_document_name(s, d):
+    id_ = F.col("p_partkey")
+    given = F.when(id_ % 5 == 0, F.concat(F.lit("dir\\"), "p_name", F.lit(".PDF"))).when(id_ % 5 == 1, F.concat(F.lit("/x/a<>b?"), id_.cast("string"), F.lit(".pdf. "))).when(id_ % 5 == 2, "con.pdf").when(id_ % 5 == 3, F.concat("p_name", F.lit(".txt"))).otherwise(" .. ")
+    return table(s, d, "part").withColumn("r", tx.safe_document_name(given)).select(id_.alias("id"), "r.name", "r.error")
+
+
+_PAIRS = ORACLE_SQL["pair_score"]
+
+
+@query()
+def contested_demotion(s, d):
+    scores = staging.stage(_scores(s, d), "scores")
+    return linkage.contested_demotion(scores, linkage.assign_one_to_one(scores))
+
+
+@query()
+def incremental_pair_scores(s, d):
+    papers, signals = _paper_rows(s, d), _signals(s, d)
+    none = s.createDataFrame([], "paper_hash string, signal_hash string, score double")
+    _, stored = linkage.incremental_pair_scores(papers.where("cast(key as long) % 2 = 0"), signals.where("cast(name as long) % 3 <> 0"), none, none, none)
+    stored = staging.stage(stored, "stored")
+    return linkage.incremental_pair_scores(papers, signals, stored, stored, stored)[0]
+
+
+ORACLE_SQL["incremental_pair_scores"] = _PAIRS
+
+#: One answer per order, of each kind that the rules tell apart.
+_FIELDS = (responses.Field("n", "integer"), responses.Field("flag", "string", ("F", "O"), evidence_required=False))
+_ANSWERS = """SELECT concat('order', CAST(o_orderkey AS STRING), '.pdf') AS source_pdf, CASE o_orderkey % 9 WHEN 0 THEN 'no record' WHEN 1 THEN '[1]' WHEN 2 THEN '{{"x":1}}'
+    WHEN 3 THEN '{{"effects":[{{"row_id":5}}]}}' WHEN 4 THEN '{{"effects":[{{"row_id":"a"}},{{"row_id":"a"}}]}}' WHEN 5 THEN '{{"effects":[{{"row_id":"a","flag":1}}]}}'
+    WHEN 6 THEN '{{"effects":[{{"row_id":"a","flag":1,"n":{{"value":1}}}}]}}'
+    ELSE concat('{{"effects":[{{"row_id":"b","n":{{"value":null,"evidence":"p. 1"}},"flag":{{"value":null}}}},{{"row_id":"', CASE WHEN o_custkey % 4 = 0 THEN 'c' ELSE 'a' END, '","flag":{{"value":"', o_orderstatus, '"}},"n":{{"value":', CAST(o_custkey AS STRING), ',"evidence":"p. 2"}}}}]}}') END AS raw, o_orderkey, o_custkey, o_orderstatus FROM {orders}"""
+_PLAIN = _ANSWERS.format(orders="orders").replace("AS STRING", "AS VARCHAR")
+_JUDGED_ANSWERS = f""", answers AS ({_PLAIN}), verdict AS (SELECT *, CASE WHEN o_orderkey % 9 < 7 THEN ['json', 'object', 'effects', 'row_id', 'duplicate', 'omitted', 'malformed'][o_orderkey % 9 + 1] WHEN o_orderstatus NOT IN ('F', 'O') THEN 'invalid' WHEN o_custkey % 4 = 0 THEN 'ids' END AS stage FROM answers),
+  told AS (SELECT *, CASE stage WHEN 'json' THEN 'Response is not valid JSON.' WHEN 'object' THEN 'Response is not a JSON object.' WHEN 'effects' THEN 'Response is missing an `effects` array.' WHEN 'row_id' THEN 'effects[1] is missing a non-empty string `row_id`.'
+  WHEN 'duplicate' THEN 'Duplicate row_id in response: `a`.' WHEN 'omitted' THEN 'Response omitted required field(s): `a`: n.' WHEN 'malformed' THEN 'Response returned malformed field value(s): `a`: flag.'
+  WHEN 'invalid' THEN 'Response returned invalid field value(s): `' || CASE WHEN o_custkey % 4 = 0 THEN 'c' ELSE 'a' END || '`: flag.' WHEN 'ids' THEN 'Returned row_id set does not match the requested set.' END AS error FROM verdict) """
+
+
+def _answers(s, d):
+    return s.sql(_ANSWERS, orders=table(s, d, "orders"))
+
+
+def _asked(s, d):
+    return _answers(s, d).select("source_pdf", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("row_id"))
+
+
+@query(
+    "SELECT source_pdf, c.position, c.row_id, c.field, c.value_type, c.value_text, c.evidence FROM (SELECT source_pdf, unnest(["
+    "{'position': 1, 'row_id': 'b', 'field': 'n', 'value_type': 'null', 'value_text': NULL, 'evidence': 'p. 1'}, {'position': 1, 'row_id': 'b', 'field': 'flag', 'value_type': 'null', 'value_text': NULL, 'evidence': NULL}, "
+    "{'position': 2, 'row_id': CASE WHEN o_custkey % 4 = 0 THEN 'c' ELSE 'a' END, 'field': 'flag', 'value_type': 'string', 'value_text': o_orderstatus, 'evidence': NULL}, "
+    "{'position': 2, 'row_id': CASE WHEN o_custkey % 4 = 0 THEN 'c' ELSE 'a' END, 'field': 'n', 'value_type': 'integer', 'value_text': CAST(o_custkey AS VARCHAR), 'evidence': 'p. 2'}]) AS c FROM answers WHERE o_orderkey % 9 > 6) "
+    "UNION ALL SELECT source_pdf, 1, 'a', 'flag', 'null', NULL, NULL FROM answers WHERE o_orderkey % 9 IN (5, 6) UNION ALL SELECT source_pdf, 1, 'a', 'n', 'integer', '1', NULL FROM answers WHERE o_orderkey % 9 = 6",
+    _JUDGED_ANSWERS,
+)
+def parse_response_cells(s, d):
+    return responses.parse_response_cells(_answers(s, d))[1].select("source_pdf", "position", "row_id", "field", "value_type", "value_text", "evidence")
+
+
+@query("SELECT source_pdf, stage IS NULL AS ok, stage, error, CASE WHEN stage = 'ids' THEN ['a'] ELSE [] END AS missing, CASE WHEN stage = 'ids' THEN ['c'] ELSE [] END AS extra FROM told", _JUDGED_ANSWERS)
+def validate_response(s, d):
+    return responses.validate_response(responses.parse_response_cells(_answers(s, d))[0], _asked(s, d), _FIELDS)
+
+
+@query("SELECT source_pdf, CASE WHEN o_orderkey % 11 = 0 THEN 'error' WHEN stage = 'json' THEN 'error' WHEN stage IS NULL THEN 'ok' ELSE 'needs_review' END AS status, CASE WHEN o_orderkey % 11 = 0 THEN 'timed out' ELSE error END AS error, CASE WHEN o_orderkey % 11 <> 0 THEN raw END AS raw FROM told", _JUDGED_ANSWERS)
+def replay(s, d):
+    failed = F.col("o_orderkey") % 11 == 0
+    attempts = _answers(s, d).select("source_pdf", F.when(failed, "error").otherwise("ok").alias("status"), F.when(failed, "timed out").alias("error"), F.when(~failed, F.col("raw")).alias("raw"))
+    return responses.replay(attempts, _asked(s, d), _FIELDS)
+
+
+@query(
+    """, f AS (SELECT codebook_id, ordinal, field, type, level_text, confidence, to_json(field)::VARCHAR AS q FROM fields JOIN codebooks USING (codebook_id) WHERE type <> 'date' AND trim(field) <> ''),
+    j AS (SELECT codebook_id, ordinal, q, q || ':{"type":"object","description":' || to_json('Coded value for `' || field || '`.')::VARCHAR || ',"properties":{"value":{"type":["' || type || '","null"]'
+      || CASE WHEN level_text IS NULL THEN '' ELSE ',"enum":[' || array_to_string(list_transform(string_split(level_text, ' '), lambda x: to_json(x)::VARCHAR), ',') || ',null]' END || '}'
+      || CASE WHEN confidence AND field <> 'notes' THEN ',"confidence":{"type":"string","description":"How confident you are in this value.","enum":["high","medium","low"]}' ELSE '' END
+      || ',"evidence":{"type":"string","description":"Page number or a short quotation that supports this value."}},"required":["value"' || CASE WHEN confidence AND field <> 'notes' THEN ',"confidence"' ELSE '' END || ',"evidence"],"additionalProperties":false}' AS one FROM f)
+    SELECT codebook_id, '{"type":"object","properties":{"effects":{"type":"array","description":"One entry per requested row.","items":{"type":"object","properties":{"row_id":{"type":"string","description":"One of the requested row ids, unchanged."},' || string_agg(one, ',' ORDER BY ordinal)
+      || '},"required":["row_id",' || string_agg(q, ',' ORDER BY ordinal) || '],"additionalProperties":false}}},"required":["effects"],"additionalProperties":false}' AS schema_json FROM j GROUP BY codebook_id"""
+)
+def response_schema(s, d):
+    fields = _fields(s, d).where("type <> 'date' and trim(field) <> ''").withColumn("description", F.lit(None).cast("string")).withColumn("evidence_required", F.lit(True))
+    return responses.response_schema(view(s, d, "codebooks"), fields)
+
+
+@query(
+    "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'http_error' WHEN user_id % 6 = 0 THEN 'transport_error' WHEN event_type IN ('click', 'view') THEN 'received' ELSE 'in_progress' END AS status, "
+    "CASE WHEN user_id % 6 <> 0 THEN CASE event_type WHEN 'click' THEN 'm1' WHEN 'view' THEN 'm2' END END AS reported_model, CASE WHEN user_id % 6 <> 0 THEN CASE event_type WHEN 'click' THEN 'r' || event_id WHEN 'view' THEN 'i' || event_id END END AS response_id, "
+    "CASE WHEN user_id % 6 <> 0 AND event_type = 'view' THEN 'fp' END AS system_fingerprint, CASE WHEN user_id % 6 <> 0 THEN CASE event_type WHEN 'click' THEN '{\"promptTokenCount\":' || user_id || '}' WHEN 'view' THEN '{\"prompt_tokens\":' || user_id || '}' END END AS usage FROM events"
+)
+def exchange_facts(s, d):
+    e = table(s, d, "events")
+    id_, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    click = F.concat(F.lit('{"modelVersion":"m1","responseId":"r'), id_, F.lit('","usageMetadata":{"promptTokenCount":'), user, F.lit("}}"))
+    seen = F.concat(F.lit('{"model":"m2","id":"i'), id_, F.lit('","system_fingerprint":"fp","usage":{"prompt_tokens":'), user, F.lit("}}"))
+    raw = F.when(F.col("event_type") == "click", click).when(F.col("event_type") == "view", seen)
+    http = F.when(F.col("event_type") == "error", 503).when(raw.isNotNull(), 200)
+    error = F.when((F.col("user_id") % 6 == 0) & (F.col("event_type") != "error"), "timed out")
+    return responses.exchange_facts(e.select(F.col("event_id").alias("id"), http.alias("http_status"), error.alias("error"), raw.alias("raw")))

@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from paperloom.functions.text import find_year, signal_tokens
+from paperloom.operators.linkage import document_signal
 
 
 def stream_signals(documents: DataFrame, sink_path: str, checkpoint: str) -> StreamingQuery:
     """Scans each arriving document (name, text) once and appends its signal: tokens and year."""
-    both = F.concat_ws(" ", "name", "text")
-    signals = documents.select("name", signal_tokens(both).alias("tokens"), F.coalesce(find_year(F.col("name")), find_year(F.col("text"))).alias("year"))
-    return signals.writeStream.format("parquet").option("path", sink_path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return document_signal(documents).writeStream.format("parquet").option("path", sink_path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def stream_selected_result(attempts: DataFrame) -> DataFrame:
