@@ -1,7 +1,8 @@
 """Quality rules with a host-level verdict.
 
-Every document is measured over its whole text by built-in functions, and fails if one of its rules fails. Failures are
-counted by host (partial sums before the shuffle), a beta prior is fitted to the hosts' rates by their moments, and
+Every document is measured over its whole text by built-in functions, and fails if one of its rules fails: the base rules
+(too few words, too many words in repeated windows), and rules on symbols per word, mean word length and repeated lines.
+Failures are counted by host (partial sums before the shuffle), a beta prior is fitted to the hosts' rates by their moments, and
 each host's rate is shrunk towards it: hosts with few documents stay near the mean, so a host is rejected only on
 enough evidence. The verdict is joined back, and a document is kept if neither it nor its host fails.
 """
@@ -16,6 +17,10 @@ from paperloom.plans.staging import stage
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+#: Document rules beside the base rules: symbols per 100 words, characters per word, repeated among the lines that aren't blank.
+MAX_SYMBOL_PERCENT = 10
+MEAN_WORD_CHARS = (3, 10)
+MAX_DUP_LINE_PERCENT = 30
 #: Hosts whose shrunk failure rate is above this are rejected with all their documents.
 HOST_RATE = 0.6
 #: A prior as strong as this many documents, where the hosts' rates differ too little to tell.
@@ -35,7 +40,8 @@ def _paired(hashes: Column, apart: int) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, host) to their measures: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    """``docs`` (doc_id, text, host) to their measures: n_words, word_chars, n_symbols, n_lines, n_dup_lines,
+    n_repeat_words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", "host", text.alias("text"))
     d = d.withColumn("w", words(F.col("text"))).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
@@ -45,6 +51,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("w") > WINDOW, F.transform("w", lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>")).alias("h"),
     )
@@ -60,7 +67,7 @@ def measured(docs: DataFrame) -> DataFrame:
     d = d.withColumn("at", F.array_sort(F.transform(at, lambda x: x["i"]))).drop("h", "s")
     fresh = F.transform("at", lambda x, j: F.when(j == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), x - F.get("at", j - 1))))
     covered = F.aggregate(fresh, F.lit(0), lambda a, x: a + x)
-    return d.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return d.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def host_verdicts(docs: DataFrame, max_rate: float = HOST_RATE) -> DataFrame:
@@ -81,16 +88,21 @@ def host_verdicts(docs: DataFrame, max_rate: float = HOST_RATE) -> DataFrame:
     return out.select("host", "n", "failed", "mean", "strength", "rate", (F.col("rate") <= max_rate).alias("host_kept"))
 
 
-def judge(docs: DataFrame, max_rate: float = HOST_RATE) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, host): measures, base_failed, the host's rate, kept.
+def judge(docs: DataFrame, max_rate: float = HOST_RATE, by: str = "rule_failed") -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, host): measures, base_failed, rule_failed, the host's rate, kept.
 
-    Defined cases: a null or blank text has no words and fails; a null host is a host of its own; repeated rows are
-    judged and counted one by one; an empty table gives no rows.
+    ``by`` names the failures that are counted by host and decide with the host's verdict what is kept: rule_failed (all
+    rules), or base_failed (the base rules alone). Defined cases: a null or blank text has no words and fails; a null host
+    is a host of its own; repeated rows are judged and counted one by one; an empty table gives no rows.
     """
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    symbols = 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("n_words")
+    low, high = MEAN_WORD_CHARS
+    length = (F.col("word_chars") < low * F.col("n_words")) | (F.col("word_chars") > high * F.col("n_words"))
+    lines = 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines")
     # staged: one pass over the texts serves the counts and the result
-    docs = stage(measured(docs).withColumn("base_failed", failed), "measures")
-    hosts = host_verdicts(docs, max_rate).select(F.col("host").alias("v_host"), F.col("rate").alias("host_rate"), "host_kept")
+    docs = stage(measured(docs).withColumn("base_failed", base).withColumn("rule_failed", base | symbols | length | lines), "measures")
+    hosts = host_verdicts(docs.select("host", F.col(by).alias("base_failed")), max_rate).select(F.col("host").alias("v_host"), F.col("rate").alias("host_rate"), "host_kept")
     # the hosts' side is small, or a shuffled side whose hot keys adaptive execution splits
     out = docs.join(hosts, F.col("host").eqNullSafe(F.col("v_host"))).drop("v_host")
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
+    return out.withColumn("kept", ~F.col(by) & F.col("host_kept"))

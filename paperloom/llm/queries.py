@@ -51,7 +51,14 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"))
-    return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    # kept as the SQL below has it, by the base rules; by all rules: quality_rules_all
+    return quality_rules.judge(docs, by="base_failed").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def quality_rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator by all its rules."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"))
+    return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rule_failed", "host_rate", "kept")
 
 
 def op6_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +90,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_language_id, op4_near_dedup, op5_quality_rules, op6_shard_ring, op7_decontaminate, op8_html_text, op9_quality_model, op10_token_counts, language_id_pages)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_language_id, op4_near_dedup, op5_quality_rules, op6_shard_ring, op7_decontaminate, op8_html_text, op9_quality_model, op10_token_counts, language_id_pages, quality_rules_all)}
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 

@@ -141,6 +141,18 @@ def test_quality_rules_edges(spark):
     assert quality_rules.judge(docs_of(spark, []).withColumnRenamed("source", "host")).count() == 0
 
 
+def test_quality_rules_beyond_the_base(spark):
+    plain = " ".join(words(60, 1))
+    bad = {20: plain + " #" * 7, 21: "of it " * 2 + " ".join(f"{a}{b}" for a in "abcdefg" for b in "hijklm"), 22: " ".join(w * 3 for w in words(40, 2)), 23: "\n".join([" ".join(words(60, 3))] + ["a line that is here"] * 3)}
+    rows = [(1, plain, "good"), *((i, t, "good") for i, t in bad.items()), *((100 + i, plain, "good") for i in range(200)), *((400 + i, " ".join(words(60, i)) + " #" * 7, "bad") for i in range(190)), *((700 + i, plain, "bad") for i in range(10))]
+    got = {r.doc_id: r for r in quality_rules.judge(docs_of(spark, rows).withColumnRenamed("source", "host")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].rule_failed and not got[i].base_failed and not got[i].kept for i in bad)
+    assert got[1].kept and got[100].kept
+    # the clean documents of a host that fails by the other rules alone go too
+    assert not any(got[700 + i].rule_failed or got[700 + i].kept for i in range(10))
+
+
 def test_host_verdict_rejects_bad_hosts(spark):
     rows = [("good", False)] * 200 + [("good", True)] * 5 + [("bad", True)] * 190 + [("bad", False)] * 10 + [("new", True)]
     got = {r.host: r for r in quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, base_failed boolean")).collect()}
