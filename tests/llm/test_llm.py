@@ -201,6 +201,25 @@ def test_language_id(spark):
     assert language_id.identified(df.limit(0)).count() == 0
 
 
+def test_language_id_rejects_other_languages(spark):
+    text = {"en": "the house of the old man and the sea ", "fr": "la maison du vieil homme et la mer elle ", "de": "das haus des alten mannes und das meer ", "es": "la casa del viejo hombre y el mar que "}
+    rng = random.Random(4)
+    gibberish = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(40))
+    other = ["все люди рождаются свободными и равными " * 4, "人人生而自由在尊严和权利上一律平等" * 6, gibberish, "wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci " * 3]
+    rows = [(i, text[k] * (1 + i % 5), k if i % 3 else f"{k}-XX", f"h{k}") for i, k in enumerate(list(text) * 30)]
+    rows += [(500 + i, t, d, h) for i, (t, d, h) in enumerate((t, d, h) for t in other for d, h in ((None, None), ("ru", "x"), ("und", "hen")))]
+    rows += [(900, "   \n \t  ", None, "hen"), (901, "12 34   56", "en", "hen"), (902, "\u2026\u2026 \u2014\u2014 \u00bf\u00bf", "en", "hen"), (903, "qua", "it", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string").withColumn("suffix", F.lit(None).cast("string"))
+    got = {r.doc_id: r for r in language_id.identified(df).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].kept and got[i].language == d[:2] for i, _, d, _ in rows if i < 500)
+    assert all(r.language == "other" and not r.kept for i, r in got.items() if 500 <= i < 900)
+    assert all(got[i].language is None and got[i].n_grams == 0 and not got[i].kept for i in (900, 901, 902))
+    assert not got[903].kept
+    only = {r.doc_id: r.kept for r in language_id.identified(df, keep=("de",)).collect()}
+    assert {i for i, kept in only.items() if kept} == {i for i, _, d, _ in rows if i < 500 and d[:2] == "de"}
+
+
 def test_token_counts_equal_plain_spelling(spark):
     pieces = token_counts.pieces_of(TOKENIZER)
     longest = max(map(len, pieces))
