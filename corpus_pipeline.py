@@ -37,15 +37,21 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix's epochs take more than half of its words: the mix in whole documents."""
-    sizes = stage(docs.select("doc_id", "source", mixing.count_words(F.col("text")).alias("size")), "sizes")
-    _, _, pieces = mixing.mix(sizes)
-    rounds = pieces.groupBy("source", "start", "doc_id", "size", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
-    copies = rounds.where("doc_id is not null and 2 * words > size").groupBy("doc_id").agg(F.count("*").cast("int").alias("_copies"))
-    copies = stage(copies, "copies")
+    """Each row as often as the mix's epochs take more than half of its words: the mix in whole documents. A row without
+    doc_id, or with one that others have too, is repeated by its own epochs; a row without words is in no mix."""
+    # staged: the rows' keys must be the same in every reading
+    docs, columns = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), docs.columns
+    sizes = stage(docs.select("_row", "doc_id", "source", mixing.count_words(F.col("text")).alias("size")), "sizes")
+    places, _, pieces = mixing.mix(sizes)
+    rounds = pieces.groupBy("source", "start", "size", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
+    copies = rounds.where("2 * words > size").groupBy("source", "start").agg(F.count("*").cast("int").alias("_copies"))
+    # in a source, a row with words is known by its start
+    copies = copies.select(F.col("source").alias("_source"), F.col("start").alias("_start"), "_copies")
+    copies = places.where("size > 0").join(copies, F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")))
+    copies = stage(copies.select("_row", "_copies"), "copies")
     side = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-    out = docs.join(side, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(docs.columns)
+    out = docs.join(side, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select(columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -269,3 +269,20 @@ def test_pipeline_stages(spark):
     kept = {r.doc_id for r in corpus_pipeline.drop_benchmark(spark, docs, SF).select("doc_id").collect()}
     assert leaks and kept == {r.doc_id for r in docs.select("doc_id").collect()} - leaks
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_mix_sources_repeats_each_row_by_its_own_epochs(spark):
+    rows = [(None, f"nul{i} " * (5 + i % 9), "a") for i in range(60)] + [(7, "same text here " * 4, "b")] * 20 + [(100 + i, f"one{i} " * 20, "c") for i in range(60)] + [(None, None, "a"), (8, " ", None)]
+    docs = docs_of(spark, rows)
+    out = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+    size = lambda t: len((t or "").split())
+    sizes = docs.select("doc_id", "source", mixing.count_words(F.col("text")).alias("size"))
+    target = {r.source: r.target for r in mixing.taken_words(sizes).select("source", "target").distinct().collect()}
+    have, own = Counter(), Counter(rows)
+    for (i, t, s), n in got.items():
+        assert n <= 3 * own[i, t, s]
+        have[s] += n * size(t)
+    # whole documents meet the target to within one per epoch
+    assert all(abs(have[s] - target[s]) <= 60 for s in "abc")
