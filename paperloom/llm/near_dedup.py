@@ -6,9 +6,10 @@ sequence (optimal densification). ``ROWS`` bins make a band; texts with an equal
 the text that meets most others is the star's centre; only centre and member are compared, on full texts.
 
 What the stars leave open (texts that share a bucket, are not its centre and are not yet connected) is closed by an
-exact index over these texts alone: their shingles are ordered from the rarest to the most frequent, and two sets that
+exact index over these texts and all sets of up to ``SHORT`` shingles, with whatever may be similar to those: their shingles are ordered from the rarest to the most frequent, and two sets that
 are similar enough share one near the front of both orders. Texts that have only a common passage share no rare
-shingle, so a large group of them makes few pairs, and no link is lost.
+shingle, so a large group of them makes few pairs. No link of a set of up to ``SHORT`` shingles is lost, whatever buckets
+it has; two longer sets are compared if they share a bucket, or a third text ties them together.
 
 Equal sets are one node from the start, so a group of exact copies costs one row per copy and no pairs.
 """
@@ -26,7 +27,9 @@ from paperloom.llm.blocks import blocks_of, constants, mixed, text_blocks
 from paperloom.plans.staging import stage
 
 WORDS, THRESHOLD = 5, 75
-ROWS, BANDS = 6, 48
+ROWS, BANDS = 6, 80
+#: Sets of up to this many shingles are compared by the exact index, whatever their buckets.
+SHORT = 64
 BINS = ROWS * BANDS
 PROBES = 64
 #: Members that one star task compares with its centre.
@@ -89,9 +92,17 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), ids[i])), pa.array(one), pa.array(own.view(np.int64))], ["rep", "set", "shingle"])
 
 
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are linked."""
+    if not len(a) or not len(b):
+        return False
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= THRESHOLD * (len(a) + len(b) - both)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by star, its centre first: the pairs whose full sets are similar enough."""
-    star, own = None, None
+    star, own = None, []
     for batch in batches:
         stars, member, is_centre = (batch.column(c).to_pylist() for c in ("star", "member", "is_centre"))
         centre = batch.column("centre").to_pylist()
@@ -101,12 +112,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(len(block)):
                 row, mine = low + i, np.unique(hashes[at[i] : at[i + 1]])
                 if is_centre[row]:
-                    star, own = (centre[row], stars[row]), mine
-                elif star == (centre[row], stars[row]) and len(mine) and len(own):
-                    where = np.minimum(np.searchsorted(own, mine), len(own) - 1)
-                    both = int((own[where] == mine).sum())
-                    if 100 * both >= THRESHOLD * (len(own) + len(mine) - both):
-                        found.append((centre[row], member[row]))
+                    # rows that repeat the centre's id may have different sets
+                    own = [*own, mine] if star == (centre[row], stars[row]) else [mine]
+                    star = (centre[row], stars[row])
+                elif star == (centre[row], stars[row]) and len(mine) and any(_similar(x, mine) for x in own):
+                    found.append((centre[row], member[row]))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["centre", "member"])
 
 
@@ -135,7 +145,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def rare_pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of ``nodes`` (rep, n, label) with different labels: all that can be similar enough.
+    """Pairs (a, b), a < b, of ``nodes`` (rep, label) with different labels: all that can be similar enough.
 
     In an order of shingles common to all sets, rarest first, take the first shingle that two linked sets share. From
     it on, each set must still hold as many shingles as they share at least, so it stands in both among the first
@@ -152,6 +162,9 @@ def rare_pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     front = common.withColumn("r", place).join(alone.join(shared, ["rep", "set"]), ["rep", "set"]).withColumn("i", F.col("r") - 1 + F.col("all") - F.col("some"))
     front = front.where(100 * (F.col("all") - F.col("i")) >= THRESHOLD * F.col("all")).join(nodes.select("rep", "label").distinct(), "rep")
     front = stage(front.select("rep", "label", "shingle", "i", F.col("all").alias("n")), "front")
+    # a shingle whose texts are all connected has no pair to find
+    mixed_ = front.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+    front = stage(front.join(mixed_, "shingle", "left_semi"), "front")
     other = front.select("shingle", F.col("rep").alias("b"), F.col("label").alias("b_label"), F.col("i").alias("b_i"), F.col("n").alias("b_n"))
     left = F.least(F.col("n") - F.col("i"), F.col("b_n") - F.col("b_i"))
     can = ((100 + THRESHOLD) * left >= THRESHOLD * (F.col("n") + F.col("b_n"))) & (100 * F.least("n", "b_n") >= THRESHOLD * F.greatest("n", "b_n"))
@@ -187,7 +200,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     digest = stage(docs.mapInArrow(_digest, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"), "digest")
     own = digest.where("doc_id is not null and n_shingles > 0")
     sets = stage(own.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys")), "sets")
-    entries = sets.where("keys is not null").select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    entries = sets.where("keys is not null").select("rep", F.col("f1").alias("set"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     # A text's fame is how often it meets others in buckets. The famous one of a bucket is its centre: the original of
     # many edited copies is closer to each of them than they are to each other.
     shared = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -195,18 +208,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fame = members.groupBy("rep").agg(F.sum("m").alias("fame"))
     members = stage(members.drop("m").join(fame, "rep"), "members")
     similar = (100 * F.least("n", "centre_n") >= THRESHOLD * F.greatest("n", "centre_n")) & (F.col("centre") != F.col("rep"))
-    best = F.min(F.struct((-F.col("fame")).alias("f"), "rep", "n"))
-    centres = members.groupBy("key").agg(best.alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"))
+    best = F.min(F.struct((-F.col("fame")).alias("f"), "rep", "n", "set"))
+    centres = members.groupBy("key").agg(best.alias("c")).select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.set").alias("centre_set"))
     pairs = members.join(centres, "key").where(similar).select("centre", F.col("rep").alias("member"), F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
     # two texts meet in many buckets, and may be each other's centre: they are compared once
     done = stage(pairs.groupBy("a", "b").agg(F.min("centre").alias("centre")), "candidates")
     edges = stage(_verified(done.select("centre", (F.col("a") + F.col("b") - F.col("centre")).alias("member")), docs), "links").select(F.col("centre").alias("u"), F.col("member").alias("v"))
     same = connected(edges)
     # The rest: without their centres, buckets whose members are still in more than one component.
-    rest = members.select("key", "rep", "n").join(centres.select("key", F.col("centre").alias("rep")), ["key", "rep"], "left_anti")
-    rest = stage(rest.join(same.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "rest")
+    labels = same.select(F.col("node").alias("rep"), "label")
+    rest = members.select("key", "rep", "set", "n").join(centres.select("key", F.col("centre").alias("rep"), F.col("centre_set").alias("set")), ["key", "rep", "set"], "left_anti")
+    rest = stage(rest.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "rest")
     open_ = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    nodes = stage(rest.join(open_, "key", "left_semi").select("rep", "n", "label").distinct(), "nodes")
+    nodes = rest.join(open_, "key", "left_semi").select("rep", "label")
+    # All short sets, and the longest that may be similar to one; a set of one shingle is similar to its equals only.
+    short = sets.where((F.col("n_shingles") > 1) & (THRESHOLD * F.col("n_shingles") <= 100 * SHORT)).select("rep")
+    short = short.join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
+    nodes = stage(nodes.unionByName(short).distinct(), "nodes")
     pairs = stage(rare_pairs(nodes, docs).join(done.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
     fresh = stage(_verified(pairs.select(F.col("a").alias("centre"), F.col("b").alias("member")), docs), "links").select(F.col("centre").alias("u"), F.col("member").alias("v"))
     if not fresh.isEmpty():

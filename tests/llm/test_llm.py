@@ -69,6 +69,33 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dedup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_short_links_need_no_bucket(spark):
+    # texts of eight words and their first seven (3 of 4 shingles alike), without a common bucket
+    rows, step = [], 0
+    while len(rows) < 4 and step < 200:
+        texts = [f"{step}w{k}a {k}b c d e f g{k} h" for k in range(2000)]
+        sets = [np.sort(x) for x in np.split(*(lambda h, at: (h, at[1:-1]))(*decontaminate._block(texts).shingles(5)))]
+        for t, own in zip(texts, sets):
+            less = np.sort(decontaminate._block([t.rsplit(" ", 1)[0]]).shingles(5)[0])
+            if len(rows) < 4 and not len(np.intersect1d(near_dedup.bucket_keys(own), near_dedup.bucket_keys(less))):
+                rows += [(2 * len(rows) + 1, t, "a"), (2 * len(rows) + 2, t.rsplit(" ", 1)[0], "a")]
+        step += 1
+    assert len(rows) == 4
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_longer_links_share_a_bucket():
+    assert (1 - 0.75**near_dedup.ROWS) ** near_dedup.BANDS < 1e-6
+
+
+def test_a_centre_of_several_sets_keeps_all(spark):
+    a, b = words(90, 31), words(90, 32)
+    rows = [(1, " ".join(a), "a"), (1, " ".join(b), "a"), *((10 + k, " ".join([*a[:89], f"x{k}"]), "a") for k in range(6)), *((20 + k, " ".join([*b[:89], f"x{k}"]), "a") for k in range(6))]
+    got = near_dedup.near_duplicates(docs_of(spark, rows)).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {1}
+
+
 def test_signature_agreement_estimates_similarity():
     from paperloom.llm.blocks import constants
 
