@@ -279,6 +279,17 @@ def test_html_rendering():
     assert html_text.page_text("<div>" * 5000 + "deep")[1] == "deep"
 
 
+def test_html_tables_lose_no_text():
+    cases = {
+        "<table>text<tr><td>a<td>b</table>": "text\n\na | b", "<table><tr>text<td>a</table>": "text\na", "<table><tr><form><td>x</td></form></tr></table>": "x",
+        "<table><tbody><td>a<td>b</table>": "a | b", "<table><td>a<td>b<tr><td>c</table>": "a | b\nc", "<table><form><tr><td>a</tr></form><tr><td>b</table>": "a\nb",
+        "<table><caption>Cap<tr><td>a</table>": "Cap\na", "<table><tr><td>a<table><td>in</table><td>b</table>": "a in | b", "<table>one<b>two</b><div>three</div><tr><td>a</table>": "onetwo\nthree\na",
+        "<table><div>" + "<div>" * 3000 + "<tr><td>deep</table>": "deep", "<td>alone": "alone",
+    }
+    for page, want in cases.items():
+        assert re.sub(r"\n+", "\n", html_text.page_text(page)[1]) == re.sub(r"\n+", "\n", want), page[:60]
+
+
 def test_html_tables(spark):
     pages = spark.createDataFrame([(1, "<p>a</p>"), (1, "<p>a</p>"), (None, None)], "page_id long, html string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extracted(pages).collect()) == [(0, ""), (1, "a"), (1, "a")]
