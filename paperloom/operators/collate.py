@@ -39,7 +39,7 @@ def collate_provenance(valid: DataFrame, results: DataFrame) -> DataFrame:
 
 def low_confidence_cells(cells: DataFrame, valid: DataFrame, rated: DataFrame) -> DataFrame:
     """Per document, how many of its rows' rated cells were coded with low confidence."""
-    low = cells.where("confidence = 'low'").join(F.broadcast(rated.select("field").distinct().limit(10_000)), "field", "left_semi")
+    low = cells.where("confidence = 'low'").join(rated.select("field").distinct(), "field", "left_semi")
     return valid.select("row_id", "source_pdf").join(low.select("row_id", "field"), "row_id", "left").groupBy("source_pdf").agg(F.count("field").alias("n"))
 
 

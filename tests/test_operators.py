@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from paperloom.functions import text, values
-from paperloom.operators import linkage, results, sheet
+from paperloom.operators import collate, linkage, results, sheet
 
 
 def test_assignment_equals_greedy(spark):
@@ -58,3 +58,11 @@ def test_failed_retry_keeps_success(spark):
     assert {r.source_pdf: r.attempt for r in results.selected_result(a).collect()} == {"d": 1, "e": 4}
     assert {r.source_pdf: r.attempt for r in results.latest_attempt(a).collect()} == {"d": 2, "e": 4}
     assert [r.source_pdf for r in results.kept_success(a).collect()] == ["d"]
+
+
+def test_low_confidence_counts_every_rated_field(spark):
+    n = 10_050
+    rated = spark.range(n).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("field"))
+    cells = rated.select(F.lit("r1").alias("row_id"), "field", F.lit("low").alias("confidence"))
+    valid = spark.createDataFrame([("r1", "a.pdf")], "row_id string, source_pdf string")
+    assert [(r.source_pdf, r.n) for r in collate.low_confidence_cells(cells, valid, rated).collect()] == [("a.pdf", n)]
