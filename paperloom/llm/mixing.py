@@ -9,11 +9,14 @@ points beyond the last share are idle. Reversing bits is its own inverse, so the
 its share, without a search. A source's slots are ranked in schedule order; rank r takes block r of the source's
 shuffled words (epochs follow each other), and a block's documents are found by joining on (source, block).
 
-All ranks and running sums are in two levels (chunk totals, then within chunks), so no task sees a whole source.
+All ranks and running sums are in two levels (chunk totals, then within chunks) of about the square root of a source
+each, so no task sees a whole source.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +24,6 @@ from paperloom.plans.staging import stage
 
 BLOCK_WORDS = 2048
 MAX_EPOCHS = 3
-#: Slots, and documents, that are ranked together.
-CHUNK, DOC_CHUNK = 4096, 512
 
 
 def count_words(text: Column) -> Column:
@@ -60,12 +61,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
 
 def placed(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """Each document's place in its source's shuffled row of words: ``start`` (words before it). The order is that of
-    md5(doc_id), the same in every run."""
-    docs = docs.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    md5 over doc_id and, where there is one, the column ``salt`` (a digest of the text, which tells apart rows without
+    doc_id): the same in every run. Rows equal in all of these are interchangeable."""
+    salt = F.coalesce(F.col("salt"), F.lit("")) if "salt" in docs.columns else F.lit("")
+    docs = docs.withColumn("turn", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), salt).cast("binary"))).drop("salt")
     docs = docs.withColumn("chunk", F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"))
-    # about DOC_CHUNK documents of the largest source in each chunk: the number of chunks follows the table
+    # as many chunks as a chunk of the largest source has documents
     parts = docs.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    step = max(1, (1 << 32) // max(1, parts // DOC_CHUNK))
+    step = -(-(1 << 32) // max(1, math.isqrt(parts)))
     docs = docs.withColumn("chunk", F.floor(F.col("chunk") / step))
     totals = docs.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -90,10 +93,11 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     order = Window.partitionBy(F.lit(1)).orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     s = stage(s.withColumn("low", F.coalesce(F.sum("slots").over(order), F.lit(0))), "shares")
     bits = max(1, int((s.agg(F.sum("slots")).first()[0] or 1) - 1).bit_length())
-    chunks = s.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("part"))
+    chunk = 1 << (bits + 1) // 2
+    chunks = s.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / chunk))).alias("part"))
     chunks = chunks.repartition(F.col("source"), F.col("part"))
-    points = chunks.select("*", F.explode(F.sequence(F.col("part") * CHUNK, F.least(F.col("part") * CHUNK + CHUNK, F.col("slots")) - 1)).alias("p"))
-    slots = points.withColumn("slot", reverse_bits(F.col("low") + F.col("p"), bits)).withColumn("chunk", F.floor(F.col("slot") / CHUNK))
+    points = chunks.select("*", F.explode(F.sequence(F.col("part") * chunk, F.least(F.col("part") * chunk + chunk, F.col("slots")) - 1)).alias("p"))
+    slots = points.withColumn("slot", reverse_bits(F.col("low") + F.col("p"), bits)).withColumn("chunk", F.floor(F.col("slot") / chunk))
     # rank of a slot among its source's: slots in earlier chunks, then those before it in its own
     totals = slots.groupBy("source", "chunk").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -107,7 +111,7 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The mix of ``docs`` (doc_id, source, size): the documents with their places, the sources with their targets, and
+    """The mix of ``docs`` (doc_id, source, size, perhaps salt): the documents with their places, the sources with their targets, and
     the pieces (slot, epoch, doc_id, source, start, size, from_word, to_word) of which the mix consists, slot by slot.
 
     Defined cases: a null source is a source of its own, last in order; a document without words is in no piece; rows
@@ -126,12 +130,13 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...
 
 
 def taken_words(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, source, size) to one row per document: with source_size, target and the words that the mix takes."""
-    docs, sources, pieces = mix(docs.select("doc_id", "source", "size"), **how)
+    """(doc_id, source, size, perhaps salt) to one row per document: with source_size, target, the words that the mix takes
+    and the first slot in which it does (null if none)."""
+    docs, sources, pieces = mix(docs.select("doc_id", "source", "size", *(c for c in docs.columns if c == "salt")), **how)
     # in a source, a document with words is known by its start
-    taken = pieces.groupBy("source", "start", "doc_id", "size").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    taken = taken.select(F.col("source").alias("t_source"), F.col("start").alias("t_start"), F.col("size").alias("t_size"), "taken")
+    taken = pieces.groupBy("source", "start", "doc_id", "size").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot"))
+    taken = taken.select(F.col("source").alias("t_source"), F.col("start").alias("t_start"), F.col("size").alias("t_size"), "taken", "first_slot")
     out = docs.join(taken, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("start") == F.col("t_start")) & (F.col("size") == F.col("t_size")), "left")
     sources = sources.select(F.col("source").alias("s_source"), "source_size", "target")
     out = out.join(sources, F.col("source").eqNullSafe(F.col("s_source")))
-    return out.select("doc_id", "source", "size", "start", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "start", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")

@@ -18,10 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.count_words(F.col("text")).alias("size"))
+    """``first_slot``: where in the mix's order a document stands first."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.count_words(F.col("text")).alias("size"), F.md5(F.col("text").cast("binary")).alias("salt"))
     # staged: the texts are read once
     taken = mixing.taken_words(stage(docs, "sizes"))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,14 +52,13 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"))
-    # kept as the SQL below has it, by the base rules; by all rules: quality_rules_all
-    return quality_rules.judge(docs, by="base_failed").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule_failed", "host_kept", "kept")
 
 
 def quality_rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same operator by all its rules."""
+    """The same operator, its rules one by one and the host's rate beside them."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"))
-    return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rule_failed", "host_rate", "kept")
+    return quality_rules.judge(docs).select("doc_id", "n_words", "n_lines", *quality_rules.RULES, "host_rate", "host_kept", "kept")
 
 
 def op6_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def _sql() -> dict[str, str]:
     weight = " + ".join(f"{w} * {_term(t)}::INT" for t, w in url_filter.SOFT.items())
     return {
         "op1_mix_sources": f"""
-            WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS turn FROM documents),
+            WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '/' || coalesce(md5(text), '')) AS turn FROM documents),
             s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
             c AS (SELECT *, 3 * source_size AS cap FROM s),
             o AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0) AS rest, sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_weight
@@ -118,8 +118,14 @@ def _sql() -> dict[str, str]:
             l AS (SELECT rest AS l_rest, rest_weight AS l_weight FROM f WHERE NOT is_full ORDER BY rest_weight DESC LIMIT 1),
             t AS (SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE l_rest::DOUBLE * weight / l_weight END AS target FROM f LEFT JOIN l ON true),
             p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY turn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
-            q AS (SELECT p.*, source_size, target, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
-            SELECT doc_id, source, size, source_size, target, (epochs * size + greatest(0, least(start + size, round(target)::BIGINT - epochs * source_size) - start))::BIGINT AS taken FROM q""",
+            w AS (SELECT source, source_size, round(target)::BIGINT AS want, ceil(source_size / {mixing.BLOCK_WORDS})::BIGINT AS per_epoch, round(target)::BIGINT // source_size AS epochs, round(target)::BIGINT % source_size AS rest FROM t WHERE source_size > 0),
+            k AS (SELECT *, (epochs * per_epoch + ceil(rest / {mixing.BLOCK_WORDS}))::BIGINT AS slots FROM w),
+            lo AS (SELECT *, coalesce(sum(slots) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low, greatest(1, length(bin(greatest(sum(slots) OVER () - 1, 0)::BIGINT)))::BIGINT AS bits FROM k),
+            pt AS (SELECT source, bits, low + unnest(range(slots)) AS x FROM lo),
+            sl AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS place FROM (SELECT source, list_sum(list_transform(range(bits), lambda i: ((x >> i) & 1) << (bits - 1 - i)))::BIGINT AS slot FROM pt)),
+            q AS (SELECT p.*, source_size, target, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source),
+            z AS (SELECT *, (epochs * size + greatest(0, least(start + size, round(target)::BIGINT - epochs * source_size) - start))::BIGINT AS taken FROM q)
+            SELECT doc_id, z.source, size, source_size, target, taken, CASE WHEN taken > 0 THEN slot END AS first_slot FROM z LEFT JOIN sl ON z.source IS NOT DISTINCT FROM sl.source AND place = start // {mixing.BLOCK_WORDS}""",
         "op2_url_filter": f"""
             WITH h AS (SELECT page_id, {lower.format("coalesce(url, '')")} AS u,
                 {lower.format("coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '')")} AS host,
@@ -142,14 +148,16 @@ def _sql() -> dict[str, str]:
             f AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM g) WHERE n > 1),
             r AS (SELECT doc_id, sum(least(8, coalesce(j - i, 8)))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM f) GROUP BY doc_id),
             m AS (SELECT d.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
-                  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
-            b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
-            h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS failed FROM b GROUP BY source),
-            a AS (SELECT sum(n) AS nn, count(*) AS k, sum(failed)::DOUBLE / sum(n) AS mean, sum(failed * failed::DOUBLE / n) AS sq, sum(n * n::DOUBLE) AS n2 FROM h),
-            p AS (SELECT mean, CASE WHEN mean * (1 - mean) > 0 AND nn - k - n2 / nn + 1 > 0 THEN (sq - nn * mean * mean - (k - 1) * mean * (1 - mean)) / (mean * (1 - mean) * (nn - k - n2 / nn + 1)) ELSE 0.0 END AS rho FROM a),
-            t AS (SELECT mean, CASE WHEN rho > 1 / {quality_rules.MAX_STRENGTH + 1} THEN greatest(1 / rho - 1, 1.0) ELSE {quality_rules.MAX_STRENGTH} END AS strength FROM p),
-            v AS (SELECT source, (failed + mean * strength) / (n + strength) <= {quality_rules.HOST_RATE} AS host_kept FROM h, t)
-            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source""",
+                  len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+            b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed, 100 * n_symbols > {quality_rules.MAX_SYMBOL_PERCENT} * n_words AS symbols_failed,
+                  word_chars < {quality_rules.MEAN_WORD_CHARS[0]} * n_words OR word_chars > {quality_rules.MEAN_WORD_CHARS[1]} * n_words AS length_failed, 100 * n_dup_lines > {quality_rules.MAX_DUP_LINE_PERCENT} * n_lines AS lines_failed FROM m),
+            h AS (SELECT source, rule, count(*) AS n, sum(bad::INT) AS failed FROM (SELECT source, unnest([{{'rule': 1, 'bad': base_failed}}, {{'rule': 2, 'bad': symbols_failed}}, {{'rule': 3, 'bad': length_failed}}, {{'rule': 4, 'bad': lines_failed}}], recursive := true) FROM b) GROUP BY source, rule),
+            a AS (SELECT rule, sum(n) AS nn, count(*) AS k, sum(failed)::DOUBLE / sum(n) AS mean, sum(failed * failed::DOUBLE / n) AS sq, sum(n * n::DOUBLE) AS n2 FROM h GROUP BY rule),
+            p AS (SELECT rule, mean, CASE WHEN mean * (1 - mean) > 0 AND nn - k - n2 / nn + 1 > 0 THEN (sq - nn * mean * mean - (k - 1) * mean * (1 - mean)) / (mean * (1 - mean) * (nn - k - n2 / nn + 1)) ELSE 0.0 END AS rho FROM a),
+            t AS (SELECT rule, mean, CASE WHEN rho > 1 / {quality_rules.MAX_STRENGTH + 1} THEN greatest(1 / rho - 1, 1.0) ELSE {quality_rules.MAX_STRENGTH} END AS strength FROM p),
+            v AS (SELECT source, bool_and((failed + mean * strength) / (n + strength) <= greatest({quality_rules.HOST_LEAST}, {quality_rules.HOST_ODDS} * mean / (1 - mean + {quality_rules.HOST_ODDS} * mean))) AS host_kept FROM h JOIN t USING (rule) GROUP BY source),
+            o AS (SELECT b.*, host_kept, base_failed OR symbols_failed OR length_failed OR lines_failed AS rule_failed FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source)
+            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule_failed, host_kept, NOT rule_failed AND host_kept AS kept FROM o""",
     }
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from paperloom.plans.staging import stage
 
 VNODES = 128
+#: Rows of an arc that are ranked together, about.
+ARC_ROWS = 4096
 #: The ring is cut into cells, so that a place finds its arc by an equi-join on the cell.
 CELLS_LOG2 = 14
 _RING_LOG2 = 60
@@ -88,25 +90,34 @@ def assign_shards(docs: DataFrame, key: str, shards: int, vnodes: int = VNODES,
     """``docs`` with shard (0 to shards-1) and slot (0, 1, ... in each shard), which replace columns of these names.
     The rows of ``docs`` are shuffled once, so give it narrow ones where that is enough.
 
-    Defined cases: a null key stands at the place of the empty string; rows with the same key are placed one by one
-    (ordered by ``order_by``), and equal rows are interchangeable; an empty table gives no rows.
+    Defined cases: rows with the same key are placed one by one (told apart by ``order_by``), and equal rows are
+    interchangeable; a null key stands where its ``order_by`` columns do, so rows without key spread over the ring; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     points = stage(ring(spark, shards, vnodes), "points")
     cells = arc_cells(points)
+    # an arc's rows are ranked in chunks of about ARC_ROWS
+    chunks = max(1, docs.count() // (shards * vnodes * ARC_ROWS))
+    told = [F.col(c) for c in (key, *order_by)]
+    place = ring_place(F.coalesce(F.col(key).cast("string"), F.concat_ws("/", F.lit(""), *(c.cast("string") for c in told[1:]))))
 
     def on_ring(columns: list[str]) -> DataFrame:
         # the columns travel as one, so their names can't clash with the plan's
-        df = docs.select(F.struct(*columns).alias("_row"), ring_place(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_place"))
+        df = docs.select(F.struct(*columns).alias("_row"), place.alias("_place"), F.pmod(F.xxhash64(*told), F.lit(chunks)).alias("_chunk"))
         df = df.withColumn("_cell", F.shiftright("_place", _RING_LOG2 - CELLS_LOG2))
         # bounded: 2^CELLS_LOG2 + shards * vnodes short rows
-        return df.join(F.broadcast(cells), (F.col("_cell") == F.col("cell")) & (F.col("_place") > F.col("low")) & (F.col("_place") <= F.col("high"))).select("_row", "_place", "cell_arc")
+        return df.join(F.broadcast(cells), (F.col("_cell") == F.col("cell")) & (F.col("_place") > F.col("low")) & (F.col("_place") <= F.col("high"))).select("_row", "_place", "cell_arc", "_chunk")
 
-    loads = on_ring([key]).groupBy(F.col("cell_arc").alias("arc")).agg(F.count("*").alias("load"))
-    plan = plan_loads(points, loads, shards).withColumnRenamed("arc", "plan_arc")
+    loads = stage(on_ring([key]).groupBy(F.col("cell_arc").alias("arc"), F.col("_chunk").alias("chunk")).agg(F.count("*").alias("load")), "loads")
+    plan = plan_loads(points, loads.groupBy("arc").agg(F.sum("load").alias("load")), shards).withColumnRenamed("arc", "plan_arc")
+    before = F.coalesce(F.sum("load").over(Window.partitionBy("arc").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     order = [F.col("_row").getField(c) for c in (key, *order_by)]
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    ranked = on_ring(kept).withColumn("_rank", F.row_number().over(Window.partitionBy("cell_arc").orderBy("_place", *order)) - 1)
+    ranked = on_ring(kept).withColumn("_rank", F.row_number().over(Window.partitionBy("cell_arc", "_chunk").orderBy("_place", *order)) - 1)
+    if chunks > 1:
+        since = loads.select(F.col("arc").alias("b_arc"), F.col("chunk").alias("b_chunk"), before.alias("b_rows"))
+        ranked = ranked.join(since, (F.col("cell_arc") == F.col("b_arc")) & (F.col("_chunk") == F.col("b_chunk"))).withColumn("_rank", F.col("_rank") + F.col("b_rows"))
     # bounded: at most 3 * shards * vnodes short rows
     out = ranked.join(F.broadcast(plan), (F.col("cell_arc") == F.col("plan_arc")) & (F.col("_rank") >= F.col("from_rank")) & (F.col("_rank") < F.col("to_rank")))
     return out.select(*(F.col("_row").getField(c).alias(c) for c in kept), "shard", (F.col("first_slot") + F.col("_rank") - F.col("from_rank")).alias("slot"))
