@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import decontaminate, language_id, mixing, near_dedup, sharding
-from paperloom.llm.selection import BROADCAST_IDS, one_row_each, without_ids
-from paperloom.plans.staging import stage
+from paperloom.llm.selection import BROADCAST_IDS, one_row_each, row_key, without_keys
+from paperloom.plans.staging import discard, stage
 
 SHARDS = 24
 
@@ -20,43 +20,73 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language, or too doubtful in it. A row without doc_id can't be named and stays."""
-    seen = docs.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
-    return without_ids(docs, language_id.identified(seen).where("not kept"))
+    """Drops documents without a language, or too doubtful in it.
+
+    Every row is judged by its own text, lang and source: rows without doc_id, or that share one, like any other. Rows
+    without letters go; equal rows stay or go together; an empty table gives no rows.
+    """
+    key = row_key("doc_id", "text", "lang", "source")
+    seen = docs.select(key.alias("doc_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    return without_keys(docs, key, language_id.identified(seen).where("not kept").select("doc_id"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates, and one row of each id."""
-    return one_row_each(without_ids(docs, near_dedup.near_duplicates(docs).where("not kept")))
+    """Keeps one document of each group of near-duplicates: that of the smallest doc_id, one without doc_id last.
+
+    Rows that share a doc_id and have different texts are different documents; rows without doc_id are grouped by their
+    texts like any other. Rows equal in doc_id and text are copies, and the smallest stays. Rows without words are no
+    copies of anything and all stay; an empty table gives no rows.
+    """
+    key = row_key("doc_id", "text")
+    found = stage(near_dedup.near_duplicates(docs.select(key.alias("doc_id"), "text")).where("n_shingles > 0"), "groups")
+    rows = found.groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
+    groups = rows.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
+    members = rows.join(groups, "component_id").select(F.col("doc_id").alias("_key"), "component_id")
+    members = stage(members.join(docs.select(key.alias("_key"), "doc_id").distinct(), "_key"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
+    others = members.join(first, "component_id").where(F.col("_key") != F.col("first._key")).select("_key")
+    out = without_keys(docs, key, others)
+    return one_row_each(out, key, rows.where("n > 1").select("doc_id"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a test item."""
+    """Drops documents that hold a test item, whatever their doc_id. Rows without text hold none and stay; equal texts stay
+    or go together; an empty table, or a benchmark without items, drops nothing."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without_ids(docs, decontaminate.contaminated(docs, items))
+    key = row_key("text")
+    return without_keys(docs, key, decontaminate.contaminated(docs.select(key.alias("doc_id"), "text"), items).select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix's epochs take more than half of its words: the mix in whole documents. A row without
-    doc_id, or with one that others have too, is repeated by its own epochs; a row without words is in no mix."""
+    """The mix in whole documents, in its order: a row stands once for each of the mix's epochs that takes more than half
+    of its words, at the first slot in which that epoch takes it.
+
+    Every row has epochs of its own, also without doc_id or with one that others have; a null source is a source. A row
+    without words is in no mix and goes; an empty table gives no rows.
+    """
     # staged: the rows' keys must be the same in every reading
-    docs, columns = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), docs.columns
-    sizes = stage(docs.select("_row", "doc_id", "source", mixing.count_words(F.col("text")).alias("size")), "sizes")
+    docs = stage(docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "rows")
+    sizes = stage(docs.select("_row", "_doc.doc_id", "_doc.source", mixing.count_words(F.col("_doc.text")).alias("size"), F.md5(F.col("_doc.text").cast("binary")).alias("salt")), "sizes")
     places, _, pieces = mixing.mix(sizes)
-    rounds = pieces.groupBy("source", "start", "size", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
-    copies = rounds.where("2 * words > size").groupBy("source", "start").agg(F.count("*").cast("int").alias("_copies"))
+    rounds = pieces.groupBy("source", "start", "size", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("words"), F.min("slot").alias("_slot"))
+    copies = rounds.where("2 * words > size").select(F.col("source").alias("_source"), F.col("start").alias("_start"), "_slot")
     # in a source, a row with words is known by its start
-    copies = copies.select(F.col("source").alias("_source"), F.col("start").alias("_start"), "_copies")
     copies = places.where("size > 0").join(copies, F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")))
-    copies = stage(copies.select("_row", "_copies"), "copies")
+    copies = stage(copies.select("_row", "_slot"), "copies")
+    discard(sizes)
     side = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-    out = docs.join(side, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(columns)
+    return docs.join(side, "_row").repartitionByRange("_slot", "_row").sortWithinPartitions("_slot", "_row").select("_doc.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and their slot in it."""
-    return sharding.assign_shards(docs, "doc_id", SHARDS)
+    """All rows with their shard and their slot in it, which replace columns of these names. A row stands on the ring where
+    its doc_id does; one without doc_id where its text does. The texts travel once, to their places.
+
+    Repeated rows get slots of their own; an empty table gives no rows.
+    """
+    place = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text/"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    out = sharding.assign_shards(docs.withColumn("_ring_key", place), "_ring_key", SHARDS, order_by=("text",))
+    return out.drop("_ring_key")
 
 
 STAGES = [
