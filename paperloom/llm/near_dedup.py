@@ -34,6 +34,8 @@ BINS = ROWS * BANDS
 PROBES = 64
 #: Members that one star task compares with its centre.
 STAR_ROWS = 400
+#: Shingles are dealt to 2^BITS_LOG2 bits by hash; a set keeps each bit's parity.
+BITS_LOG2 = 9
 #: Sizes of sets are in one class of the exact index up to this factor.
 CLASS = 1.1
 #: Ids that may be broadcast to pick texts; beyond it the join shuffles.
@@ -92,7 +94,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([x.sum(dtype=np.uint64) for x in own], dtype=np.uint64).view(np.int64)
         ends = np.concatenate(([0], np.cumsum([len(x) for x in own])))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names), lists], ["rep", "set", "own"])
+        bits = np.stack([np.bincount((x >> np.uint64(64 - BITS_LOG2)).astype(np.int64), minlength=1 << BITS_LOG2) & 1 for x in own])
+        parity = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+        parities = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1) * parity.shape[1], pa.int32()), pa.array(parity.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names), lists, parities], ["rep", "set", "own", "parity"])
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -122,14 +127,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _held(docs: DataFrame, needed: DataFrame, repeated: bool) -> DataFrame:
-    """The staged sets (rep, set, own) of ``needed`` (rep, set): their texts are read again where they lie. Few ids are
+    """The staged sets (rep, set, own, parity) of ``needed`` (rep, set): their texts are read again where they lie. Few ids are
     sent there; many are joined by a shuffle of both sides."""
     ids = stage(needed.select("rep", "set").distinct(), "needed")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join((F.broadcast if few else lambda x: x)(ids.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    held = texts.mapInArrow(_sets, "rep long, set long, own array<long>")
+    held = texts.mapInArrow(_sets, "rep long, set long, own array<long>, parity array<long>")
     if repeated:  # rows that repeat a doc_id: one row of each set, and no other sets
-        held = held.groupBy("rep", "set").agg(F.any_value("own").alias("own")).join(ids, ["rep", "set"], "left_semi")
+        held = held.groupBy("rep", "set").agg(F.any_value("own").alias("own"), F.any_value("parity").alias("parity")).join(ids, ["rep", "set"], "left_semi")
     held = stage(held, "held")
     discard(ids)
     return held
@@ -161,15 +166,16 @@ def rare_pairs(nodes: DataFrame, held: DataFrame) -> DataFrame:
     set is indexed by the front that this leaves it beside its equals in size; the larger one asks, for each class of
     smaller sizes, with the front that is left to it there. So texts that differ from each other by more than the
     threshold allows, and share a template, meet in no key. In a key, members of its most frequent label never meet each
-    other, so the pairs that are looked at are at most twice those with different labels."""
-    at = held.join(nodes.select("rep", "set").distinct(), ["rep", "set"], "left_semi").select("rep", "set", F.size("own").alias("n"), F.explode("own").alias("shingle"))
+    other, so the pairs that are looked at are at most twice those with different labels. Of these only pairs are made
+    whose parities differ in no more bits than linked sets have shingles apart."""
+    at = held.join(nodes.select("rep", "set").distinct(), ["rep", "set"], "left_semi").select("rep", "set", F.size("own").alias("n"), "parity", F.explode("own").alias("shingle"))
     often = at.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     # a shingle of one set only meets nobody: its place in the order is all that counts
     common = stage(at.join(often, "shingle"), "common")
     place = F.row_number().over(Window.partitionBy("rep", "set").orderBy(F.col("df").desc(), F.col("shingle").desc()))
     # of the n - i shingles from a place on, counted from the most frequent
     front = common.withColumn("left", place).where((100 + THRESHOLD) * F.col("left") >= THRESHOLD * (F.col("n") + F.ceil(F.col("n") * (THRESHOLD / 100))))
-    front = stage(front.select("rep", "set", "n", "shingle", "left").join(nodes.select("rep", "set", "label").distinct(), ["rep", "set"]), "front")
+    front = stage(front.select("rep", "set", "n", "parity", "shingle", "left").join(nodes.select("rep", "set", "label").distinct(), ["rep", "set"]), "front")
     class_ = lambda n: F.floor(F.log(n) / math.log(CLASS) + 1e-9)
     index = front.where((100 + THRESHOLD) * F.col("left") >= 2 * THRESHOLD * F.col("n")).withColumn("class", class_(F.col("n")))
     asks = front.withColumn("class", F.explode(F.sequence(class_(F.ceil(F.col("n") * (THRESHOLD / 100))), class_(F.col("n")))))
@@ -179,11 +185,15 @@ def rare_pairs(nodes: DataFrame, held: DataFrame) -> DataFrame:
     keys = counts.groupBy("shingle", "class", "label").agg(F.sum("m").alias("m")).groupBy("shingle", "class")
     # a key whose sets are all connected has no pair to find
     keys = stage(keys.agg(F.max_by("label", "m").alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels"), "keys")
-    index, asks = (stage(x.join(keys, ["shingle", "class"]).drop("left"), "index") for x in (index, asks))
+    index, asks = (stage(x.join(keys, ["shingle", "class"]), "index") for x in (index, asks))
     staged = (common, front, keys, index, asks)
-    other = asks.select("shingle", "class", F.col("rep").alias("a"), F.col("set").alias("a_set"), F.col("n").alias("a_n"), F.col("label").alias("a_label"), "most")
-    index = index.select("shingle", "class", F.col("rep").alias("b"), F.col("set").alias("b_set"), F.col("n").alias("b_n"), F.col("label").alias("b_label"), F.col("most").alias("b_most"))
+    other = asks.select("shingle", "class", F.col("rep").alias("a"), F.col("set").alias("a_set"), F.col("n").alias("a_n"), F.col("label").alias("a_label"), F.col("left").alias("a_left"), F.col("parity").alias("a_parity"), "most")
+    index = index.select("shingle", "class", F.col("rep").alias("b"), F.col("set").alias("b_set"), F.col("n").alias("b_n"), F.col("label").alias("b_label"), F.col("left").alias("b_left"), F.col("parity").alias("b_parity"), F.col("most").alias("b_most"))
     can = (F.col("a_label") != F.col("b_label")) & (F.col("b_n") <= F.col("a_n")) & (100 * F.col("b_n") >= THRESHOLD * F.col("a_n"))
+    both = F.col("a_n") + F.col("b_n")
+    can &= (100 + THRESHOLD) * F.least("a_left", "b_left") >= THRESHOLD * both
+    apart = sum((F.bit_count(F.col("a_parity")[i].bitwiseXOR(F.col("b_parity")[i])) for i in range(1, 1 << BITS_LOG2 - 6)), F.bit_count(F.col("a_parity")[0].bitwiseXOR(F.col("b_parity")[0])))
+    can &= (100 + THRESHOLD) * (both - apart) >= 2 * THRESHOLD * both
     met = index.where("b_label <> b_most").join(other, ["shingle", "class"]).where(can)
     met = met.unionByName(index.where("b_label = b_most").join(other.where("a_label <> most"), ["shingle", "class"]).where(can))
     turned = (F.col("a") > F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("a_set") > F.col("b_set")))
@@ -193,6 +203,12 @@ def rare_pairs(nodes: DataFrame, held: DataFrame) -> DataFrame:
     return found
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with each u's ``least``: a staged table of few rows is sent to the edges; else adaptive execution may
+    split the hot ones."""
+    return edges.join(F.broadcast(least) if least.count() <= BROADCAST_IDS else least, "u")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """The smallest node that each node of ``edges`` (u, v) reaches: (node, label). Alternates stars towards larger
     and smaller neighbours; each round is staged, so that lineage stays short and lost executors cost one round."""
@@ -200,12 +216,12 @@ def connected(edges: DataFrame) -> DataFrame:
     edges, before = stage(edges, "edges"), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = stage(_with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        smallest = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = _with_least(large, smallest).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         last, edges = edges, stage(small, "edges")
-        discard(last)
+        discard(last, least, large, smallest)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
