@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,13 +28,33 @@ def operation_rollup(operations: DataFrame, exchanges: DataFrame) -> DataFrame:
     return out.select("operation_id", F.coalesce("exchanges", F.lit(0)).alias("exchanges"), seconds.alias("seconds"), F.col("finished_at").isNull().alias("interrupted"))
 
 
-def retry_classification(exchanges: DataFrame, retryable: tuple[int, ...] = (429, 500, 502, 503, 504), attempts: int = 3, longest: float = 30.0) -> DataFrame:
-    """Per failed exchange (operation_id, sequence, http_status, retry_after): may it be retried, after how many
-    seconds (2 * 2^n, or as long as was asked for), or is it given up?"""
+#: The HTTP states after which each provider may be asked again, and who says how long to wait.
+RETRYABLE = {"gemini": (429, 500, 502, 503, 504), "openai_compatible": (408, 409, 429, 500, 502, 503, 504), "openrouter": (408, 409, 429, 500, 502, 503, 504)}
+WAITS_AS_ASKED = ("gemini",)
+
+
+def asked_to_wait(header: Column, now: Column) -> Column:
+    """The seconds that a Retry-After header asks for: whole seconds, or until an HTTP date (0 if that is past; without a
+    zone it is GMT); null for anything else."""
+    text = F.trim(F.coalesce(header, F.lit("")))
+    date = F.regexp_extract(text, r"^(?:[A-Za-z]{3},\s*)?(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})(?: (?:GMT|UTC|UT|[+-]\d{4}))?$", 1)
+    zone = F.coalesce(F.nullif(F.regexp_extract(text, r"([+-]\d{4})$", 1), F.lit("")), F.lit("+0000"))
+    until = F.unix_micros(F.try_to_timestamp(F.concat(date, F.lit(" "), zone), F.lit("d MMM yyyy HH:mm:ss xx"))) - F.unix_micros(now)
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("double")).when((date != "") & until.isNotNull(), F.greatest(until / 1e6, F.lit(0.0)))
+
+
+def retry_classification(exchanges: DataFrame, attempts: int = 3, longest: float = 30.0) -> DataFrame:
+    """Per exchange (operation_id, sequence, http_status, retry_after, and perhaps provider and at, when it came): may it
+    be retried, after how many seconds (2 * 2^n, or as long as was asked for), or is it given up? Without provider it is
+    judged by the first one's states; without ``at``, dates count from now."""
     n = F.row_number().over(Window.partitionBy("operation_id").orderBy("sequence"))
+    provider = F.coalesce("provider", F.lit("gemini")) if "provider" in exchanges.columns else F.lit("gemini")
+    now = F.col("at") if "at" in exchanges.columns else F.current_timestamp()
     e = exchanges.withColumn("n", n)
-    ok = F.col("http_status").isin(*retryable)
-    asked = F.coalesce(F.col("retry_after").cast("double"), F.lit(0.0))
+    ok = F.lit(False)
+    for name, states in RETRYABLE.items():
+        ok |= (provider == name) & F.coalesce(F.col("http_status").isin(*states), F.lit(False))
+    asked = F.when(provider.isin(*WAITS_AS_ASKED), F.coalesce(asked_to_wait(F.col("retry_after"), now), F.lit(0.0))).otherwise(0.0)
     give_up = ok & ((asked > longest) | (F.col("n") >= attempts))
     delay = F.when(ok & ~give_up, F.greatest(F.lit(2.0) * F.pow(F.lit(2.0), F.col("n") - 1), asked))
     return e.select("operation_id", "sequence", ok.alias("retryable"), delay.alias("delay"), give_up.alias("give_up"))

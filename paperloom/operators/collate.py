@@ -9,9 +9,10 @@ BASE = ("row_id", "source_pdf", "locator", "authors", "year", "status")
 
 
 def _wide(valid: DataFrame, results: DataFrame, cells: DataFrame, fields: list[str], shown: Column) -> DataFrame:
-    """The sheet, each row with its document's status and one column per field; a missing cell is blank."""
+    """The sheet, each row with its document's status and one column per field; a missing cell is blank, and of cells that
+    are given twice the greatest text is shown."""
     long = cells.select("row_id", "field", shown.alias("_shown")).where(F.col("field").isin(*fields))
-    wide = long.groupBy("row_id").pivot("field", fields).agg(F.first("_shown", ignorenulls=True))
+    wide = long.groupBy("row_id").pivot("field", fields).agg(F.max("_shown"))
     status = results.select("source_pdf", "status")
     out = valid.join(status, "source_pdf", "left").join(wide, "row_id", "left")
     return out.select(*(F.coalesce("status", F.lit("not_run")).alias(c) if c == "status" else c for c in BASE), *(F.coalesce(f, F.lit("")).alias(f) for f in fields))

@@ -54,17 +54,29 @@ def score_rollup(scored: DataFrame) -> DataFrame:
 
 
 def run_rollup(results: DataFrame) -> DataFrame:
-    """Results and tokens by status."""
-    return results.groupBy("status").agg(F.count("*").alias("n"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"))
+    """Results and tokens by status, and in all (status null), with the distinct ``provider/model`` and prompt versions,
+    sorted. Columns that ``results`` lacks count as null."""
+    have = lambda c, t: F.col(c).cast(t) if c in results.columns else F.lit(None).cast(t)
+    said = lambda c: F.coalesce(have(c, "string"), F.lit("None"))
+    r = results.select("status", *(have(c, "long").alias(c) for c in ("input_tokens", "output_tokens")), F.concat(said("provider"), F.lit("/"), said("model")).alias("by"), said("prompt_version").alias("prompt"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens")]
+    sets = [F.array_sort(F.collect_set(c)).alias(name) for c, name in (("by", "providers"), ("prompt", "prompt_versions"))]
+    return r.rollup("status").agg(F.count("*").alias("n"), *sums, *sets)
 
 
 def regression_check(summary: DataFrame, baseline: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """What got worse between two one-row summaries (cells, accuracy, not_ok): one row per problem."""
-    b = baseline.select(*(F.col(c).alias(f"b_{c}") for c in baseline.columns))
-    both = summary.join(F.broadcast(b.limit(1)), F.lit(True))  # one row each
+    """What got worse between two one-row summaries (cells, accuracy, not_ok, and perhaps providers): one row per problem.
+    Runs over other cells, or by other providers, can't be compared. A summary of several rows is an error."""
+    one = lambda df: df.select("*", F.assert_true(F.count("*").over(Window.partitionBy(F.lit(0))) == 1, "a summary is one row").alias("_one")).where("_one is null").drop("_one")
+    b = one(baseline.limit(2)).select(*(F.col(c).alias(f"b_{c}") for c in baseline.columns))
+    both = one(summary.limit(2)).join(F.broadcast(b), F.lit(True))  # one row each
+    others = F.lit(False)
+    if "providers" in summary.columns and "providers" in baseline.columns:
+        others = (F.coalesce(F.size("b_providers"), F.lit(0)) > 0) & ~F.array_sort("providers").eqNullSafe(F.array_sort("b_providers"))
     problems = F.array_compact(
         F.array(
             F.when(~F.col("cells").eqNullSafe(F.col("b_cells")), "cell count differs"),
+            F.when(others, "providers differ"),
             F.when(F.col("accuracy") < F.col("b_accuracy") - tolerance, "accuracy fell"),
             F.when(F.col("not_ok") > F.col("b_not_ok"), "documents not ok rose"),
         )
@@ -105,12 +117,14 @@ def numeric_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def validation_sample(rows: DataFrame, k: int, seed: str, strata: str | None = None) -> DataFrame:
-    """All rows of ``k`` documents (per stratum), drawn by a hash of seed and name: the same in every run."""
+    """All rows of ``k`` documents (per stratum), drawn by a hash of seed and name: the same in every run. Each of a few
+    hundred parts of the documents names its first ``k``, and the first of these are drawn, so no task sees them all."""
     by = [strata] if strata else []
-    documents = rows.select("source_pdf", *by).distinct()
     turn = F.md5(F.concat(F.lit(seed), F.lit("/"), F.col("source_pdf")).cast("binary"))
-    place = F.row_number().over(Window.partitionBy(*by or [F.lit(0)]).orderBy(turn, "source_pdf"))
-    return rows.join(documents.withColumn("r", place).where(F.col("r") <= k).drop("r"), ["source_pdf", *by], "left_semi")
+    documents = rows.select("source_pdf", *by).distinct().withColumn("turn", turn).withColumn("part", F.pmod(F.xxhash64("source_pdf"), F.lit(256)))
+    first = lambda df, *part: df.withColumn("r", F.row_number().over(Window.partitionBy(*by, *part).orderBy("turn", "source_pdf"))).where(F.col("r") <= k)
+    drawn = first(first(documents, "part"), F.lit(0))
+    return rows.join(drawn.select("source_pdf", *by), ["source_pdf", *by], "left_semi")
 
 
 def cost_estimate(attempts: DataFrame, n_docs: int, price_in: float, margin: float = 0.1) -> DataFrame:
@@ -124,15 +138,25 @@ def numbers(cells: DataFrame) -> DataFrame:
     return cells.select("unit", "field", number_of(F.col("code")).alias("value")).where("value is not null")
 
 
-def eval_set_integrity(truth: DataFrame, rows: DataFrame, fields: list[str], reasons: tuple[str, ...] = ("not_reported", "not_applicable", "unclear")) -> DataFrame:
+def eval_set_integrity(truth: DataFrame, rows: DataFrame, fields: list[str], reasons: tuple[str, ...] = ("not_reported", "not_applicable", "unclear"), levels: dict[str, tuple[str, ...]] | None = None, articles: DataFrame | None = None) -> DataFrame:
     """(row_id, field, problem): human codes given more than once, with both or neither of value and missing reason,
-    with an unknown reason, or absent for a row (row_id) and one of ``fields``. Null counts as blank."""
+    with an unknown reason, with a value that is none of the field's ``levels``, for a field that isn't among ``fields``, or
+    absent for a row (row_id) and one of them. With ``articles`` (source_pdf), the documents of ``rows`` must be these: the
+    others are named in place of the row. Null counts as blank."""
     value, missing = (F.coalesce(F.col(c), F.lit("")) for c in ("value", "missing"))
-    codes = truth.groupBy("row_id", "field").agg(F.count("*").alias("n"), F.bool_or((value != "") == (missing != "")).alias("both"), F.bool_or(~missing.isin("", *reasons)).alias("unknown"))
-    problems = F.array_compact(F.array(F.when(F.col("n") > 1, "repeated"), F.when(F.col("both"), "value or missing"), F.when(F.col("unknown"), "missing reason")))
+    other = F.lit(False)
+    for field, allowed in (levels or {}).items():
+        other |= (F.col("field") == field) & (value != "") & ~value.isin(*allowed)
+    codes = truth.groupBy("row_id", "field").agg(F.count("*").alias("n"), F.bool_or((value != "") == (missing != "")).alias("both"), F.bool_or(~missing.isin("", *reasons)).alias("unknown"), F.bool_or(other).alias("other"))
+    problems = F.array_compact(F.array(F.when(F.col("n") > 1, "repeated"), F.when(F.col("both"), "value or missing"), F.when(F.col("unknown"), "missing reason"), F.when(F.col("other"), "no such level"), F.when(~F.col("field").isin(*fields), "no such field")))
     wrong = codes.select("row_id", "field", F.explode(problems).alias("problem"))
     due = rows.select("row_id").distinct().select("row_id", F.explode(F.array(*map(F.lit, fields))).alias("field"))
-    return wrong.unionByName(due.join(codes, ["row_id", "field"], "left_anti").withColumn("problem", F.lit("absent")))
+    wrong = wrong.unionByName(due.join(codes, ["row_id", "field"], "left_anti").withColumn("problem", F.lit("absent")))
+    if articles is not None:
+        have, listed = (df.select(F.col("source_pdf").alias("row_id"), F.lit(None).cast("string").alias("field")).distinct() for df in (rows, articles))
+        wrong = wrong.unionByName(have.join(listed, "row_id", "left_anti").select("row_id", "field", F.lit("no article").alias("problem")))
+        wrong = wrong.unionByName(listed.join(have, "row_id", "left_anti").select("row_id", "field", F.lit("no rows").alias("problem")))
+    return wrong
 
 
 def ordinal_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -148,3 +172,32 @@ def ordinal_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     unequal = F.nullif(4 * F.col("n") * F.col("n") - F.col("equal"), F.lit(0))
     kappa = 1 - F.col("apart") * F.col("n") / F.nullif(F.col("chance"), F.lit(0.0))
     return seen.join(by_chance, "field").join(equal, "field").select("field", "n", kappa.alias("kappa_w"), (1 - 2 * F.col("differ") * (2 * F.col("n") - 1) / unequal).alias("alpha"))
+
+
+def krippendorff_alpha(codes: DataFrame) -> DataFrame:
+    """(field, units, codes, alpha_nominal, alpha_ordinal) of any number of coders (unit, field, coder, code). Null codes,
+    and units with a single code, don't count; alpha is null where all codes are equal. Codes are ordered as numbers; a
+    field with a code that is none has no ordinal alpha.
+
+    The distance of two ranks is that of their mean places among all codes of the field, so sums of places and of their
+    squares, by unit and by field, stand for all pairs."""
+    c = codes.where("code is not null").select("unit", "field", "code", F.col("code").try_cast("double").alias("rank"))
+    c = c.groupBy("field", "unit", "code", "rank").agg(F.count("*").alias("n"))
+    paired = c.groupBy("field", "unit").agg(F.sum("n").alias("m")).where("m > 1")
+    c = c.join(paired, ["field", "unit"])
+    marks = c.groupBy("field", "code", "rank").agg(F.sum("n").alias("all"))
+    # a row per field and code: how many codes stand before it, and half of its own
+    upto = F.sum("all").over(Window.partitionBy("field").orderBy("rank").rangeBetween(Window.unboundedPreceding, 0))
+    same = F.sum("all").over(Window.partitionBy("field", "rank"))
+    marks = marks.withColumn("place", upto - same / 2)
+    x = F.col("n").cast("double")
+    units = c.join(marks.select("field", "code", "place"), ["field", "code"]).groupBy("field", "unit", "m").agg(F.sum(x * x).alias("nn"), F.sum(x * F.col("place")).alias("p"), F.sum(x * F.col("place") * F.col("place")).alias("pp"))
+    m = F.col("m").cast("double")
+    seen = units.groupBy("field").agg(F.count("*").alias("units"), F.sum((m * m - F.col("nn")) / (m - 1)).alias("o_nominal"), F.sum(2 * (m * F.col("pp") - F.col("p") * F.col("p")) / (m - 1)).alias("o_ordinal"))
+    y = F.col("all").cast("double")
+    chance = marks.groupBy("field").agg(F.sum("all").alias("codes"), F.sum(y * y).alias("yy"), F.sum(y * F.col("place")).alias("q"), F.sum(y * F.col("place") * F.col("place")).alias("qq"), F.bool_or(F.col("rank").isNull()).alias("odd"))
+    n = F.col("codes").cast("double")
+    alpha = lambda seen, chance: 1 - (n - 1) * F.col(seen) / F.nullif(chance, F.lit(0.0))
+    nominal = alpha("o_nominal", n * n - F.col("yy"))
+    ordinal = F.when(~F.col("odd"), alpha("o_ordinal", 2 * (n * F.col("qq") - F.col("q") * F.col("q"))))
+    return seen.join(chance, "field").select("field", "units", "codes", nominal.alias("alpha_nominal"), ordinal.alias("alpha_ordinal"))

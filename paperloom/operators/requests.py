@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.values import normalize_finish_reason
@@ -20,9 +21,10 @@ def build_requests(valid: DataFrame, texts: DataFrame, rules: str, codebook_text
     return asked.join(texts, asked.source_pdf == texts.name).select("source_pdf", F.transform("r", lambda x: x["row_id"]).alias("row_ids"), prompt.alias("prompt"))
 
 
-def annotate_documents(requests: DataFrame, coder: Callable[[str, list[str]], str], max_attempts: int = 3) -> DataFrame:
+def annotate_documents(requests: DataFrame, coder: Callable[[str, list[str]], str], max_attempts: int = 3, delay: float = 2.0) -> DataFrame:
     """Applies ``coder(prompt, row_ids) -> raw response`` to each request on the executors: (source_pdf, status, raw,
-    error, attempts). A coder that fails is asked again, and then gives an error row; the job goes on."""
+    error, attempts). A coder that fails is asked again after ``delay`` seconds, twice as long each time, and then gives
+    an error row; the job goes on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -33,27 +35,92 @@ def annotate_documents(requests: DataFrame, coder: Callable[[str, list[str]], st
                         out.append((pdf, "received", coder(prompt, list(ids)), None, n))
                         break
                     except Exception as e:  # whatever a coder raises becomes a row
-                        if n == max_attempts:
+                        if n < max_attempts:
+                            time.sleep(delay * 2 ** (n - 1))
+                        else:
                             out.append((pdf, "error", None, f"{type(e).__name__}: {e}", n))
             yield pd.DataFrame(out, columns=["source_pdf", "status", "raw", "error", "attempts"])
 
     return requests.select("source_pdf", "row_ids", "prompt").mapInPandas(run, "source_pdf string, status string, raw string, error string, attempts int")
 
 
+def _kind(value: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BIGINT, BOOLEAN, VOID, ... of a variant; null where there is none."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def _within(value: Column, path: str, type_: str = "variant") -> Column:
+    return F.try_variant_get(value, path, type_)
+
+
+def _given(value: Column) -> Column:
+    """A variant, or null where it is null or empty in the sense of JSON's readers: "", 0, false, [] and {}."""
+    return F.when(~F.to_json(value).isin("null", '""', "0", "0.0", "false", "[]", "{}"), value)
+
+
+def _wrong(value: Column, kind: str) -> Column:
+    """Whether a variant is given and is of another kind."""
+    return F.coalesce(_kind(_given(value)) != kind, F.lit(False))
+
+
+def _count(usage: Column, name: str) -> Column:
+    value = _within(usage, f"$.{name}")
+    return F.when(_kind(value) == "BIGINT", _within(usage, f"$.{name}", "bigint"))
+
+
 def parse_envelope(exchanges: DataFrame) -> DataFrame:
-    """(id, raw) to text, finish reason, tokens, model and error, from either provider's JSON."""
-    at = lambda path: F.get_json_object("raw", path)
-    answer, thought = at("$.usageMetadata.candidatesTokenCount").cast("long"), at("$.usageMetadata.thoughtsTokenCount").cast("long")
+    """(id, raw) to text, finish reason, tokens, model and error, from either provider's JSON.
+
+    Candidates: the texts of all parts of all candidates, joined. Choices: the first one's message. An envelope that is no
+    JSON object, or has a part of another kind than it must have, is an error and gives nothing else; so is one without
+    text, as ``no text``. Counts that are no integers are an error among candidates, and null among choices."""
+    e = exchanges.select("id", F.try_parse_json("raw").alias("v")).withColumns({"choices": _within(F.col("v"), "$.choices"), "candidates": _within(F.col("v"), "$.candidates")})
+    none = F.array().cast("array<variant>")
+    listed = lambda v, path="$": F.coalesce(_within(_given(v), path, "array<variant>"), none)
+    candidates = F.when(_kind(F.col("candidates")) == "ARRAY", listed(F.col("candidates"))).otherwise(none)
+    e = e.withColumn("c", candidates)
+    content = lambda c: _given(_within(c, "$.content"))
+    parts = lambda c: F.when(_kind(content(c)) == "OBJECT", F.when(_kind(_within(content(c), "$.parts")) == "ARRAY", listed(_within(content(c), "$.parts"))).otherwise(none)).otherwise(none)
+    e = e.withColumn("parts", F.flatten(F.transform("c", lambda c: F.when(_kind(c) == "OBJECT", parts(c)).otherwise(none))))
+    said = lambda x: _within(x, "$.text")
+    usage, tokens = _within(F.col("v"), "$.usageMetadata"), ("promptTokenCount", "candidatesTokenCount", "thoughtsTokenCount")
+    bad_counts = F.lit(False)
+    for name in tokens:
+        bad_counts |= F.coalesce(~_kind(_within(usage, f"$.{name}")).isin("BIGINT", "VOID"), F.lit(False))
+    first = F.try_element_at(F.when(_kind(F.col("choices")) == "ARRAY", listed(F.col("choices"))).otherwise(none), F.lit(1))
+    by_choice = F.col("choices").isNotNull()
+    message = _given(_within(first, "$.message"))
+    text = F.when(by_choice, F.when(_kind(_within(message, "$.content")) == "STRING", _within(message, "$.content", "string")))
+    text = text.otherwise(F.array_join(F.transform(F.filter("parts", lambda x: _kind(said(x)) == "STRING"), lambda x: _within(x, "$.text", "string")), ""))
+    error = (
+        F.when(F.col("v").isNull() | (_kind(F.col("v")) != "OBJECT"), "no JSON object")
+        .when(by_choice & _wrong(F.col("choices"), "ARRAY"), "choices are no list")
+        .when(by_choice & F.coalesce(_kind(first) != "OBJECT", F.lit(True)), "choice is no object")
+        .when(by_choice & _wrong(message, "OBJECT"), "message is no object")
+        .when(_wrong(F.col("candidates"), "ARRAY"), "candidates are no list")
+        .when(F.exists("c", lambda c: _kind(c) != "OBJECT"), "candidate is no object")
+        .when(F.exists("c", lambda c: _wrong(_within(c, "$.content"), "OBJECT")), "content is no object")
+        .when(F.exists("c", lambda c: _wrong(_within(content(c), "$.parts"), "ARRAY")), "parts are no list")
+        .when(F.exists("parts", lambda x: _kind(x) != "OBJECT"), "part is no object")
+        .when(F.exists("parts", lambda x: F.coalesce(_kind(said(x)) != "STRING", F.lit(False))), "text is no string")
+        .when(~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)), "no text")
+        .when(~by_choice & (_wrong(usage, "OBJECT") | bad_counts), "usage is malformed")
+    )
+    e = e.withColumn("text", text).withColumn("error", error)
+    answer, thought = _count(usage, tokens[1]), _count(usage, tokens[2])
     both = F.when(answer.isNotNull() | thought.isNotNull(), F.coalesce(answer, F.lit(0)) + F.coalesce(thought, F.lit(0)))
-    text = F.coalesce(at("$.candidates[0].content.parts[0].text"), at("$.choices[0].message.content"))
-    return exchanges.select(
+    own = _within(F.col("v"), "$.usage")
+    name = lambda path: F.when(_kind(_within(F.col("v"), path)) == "STRING", F.nullif(_within(F.col("v"), path, "string"), F.lit("")))
+    ended = F.when(by_choice, _within(first, "$.finish_reason", "string")).otherwise(_within(F.try_element_at("c", F.lit(1)), "$.finishReason", "string"))
+    fine = lambda c: F.when(F.col("error").isNull(), c)
+    return e.select(
         "id",
-        text.alias("text"),
-        normalize_finish_reason(F.coalesce(at("$.candidates[0].finishReason"), at("$.choices[0].finish_reason"))).alias("finish_reason"),
-        F.coalesce(at("$.usageMetadata.promptTokenCount"), at("$.usage.prompt_tokens")).cast("long").alias("input_tokens"),
-        F.coalesce(both, at("$.usage.completion_tokens").cast("long")).alias("output_tokens"),
-        F.coalesce(at("$.modelVersion"), at("$.model")).alias("served_model"),
-        F.when(text.isNull(), "no text in response").alias("error"),
+        fine(F.col("text")).alias("text"),
+        fine(normalize_finish_reason(ended)).alias("finish_reason"),
+        fine(F.when(by_choice, _count(own, "prompt_tokens")).otherwise(_count(usage, tokens[0]))).alias("input_tokens"),
+        fine(F.when(by_choice, _count(own, "completion_tokens")).otherwise(both)).alias("output_tokens"),
+        fine(F.when(by_choice, name("$.model")).otherwise(name("$.modelVersion"))).alias("served_model"),
+        "error",
     )
 
 

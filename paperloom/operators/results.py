@@ -39,37 +39,65 @@ def retry_candidates(results: DataFrame, valid: DataFrame) -> DataFrame:
     return results.where(F.col("status").isin(*RETRY)).join(valid, "source_pdf", "left_semi").select("source_pdf", "status")
 
 
-def input_fingerprint(valid: DataFrame, digests: DataFrame, codebook_hash: str, provider: str, model: str, version: str = "1") -> DataFrame:
-    """(source_pdf, fingerprint): a hash of all that a result depends on; row order and bibliography don't count."""
-    rows = valid.groupBy("source_pdf").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\t", "row_id", "locator"))), "\n").alias("rows"))
-    text = F.concat_ws("\n", F.lit(version), F.lit(codebook_hash), F.lit(provider), F.lit(model), "digest", "rows")
-    return rows.join(digests, rows.source_pdf == digests.name).select("source_pdf", F.sha2(text, 256).alias("fingerprint"))
+#: The settings that a provider's answers depend on, beside provider and model.
+SETTINGS = {"gemini": (), "openrouter": ("reasoning_effort",), "openai_compatible": ("reasoning_effort", "base_url", "response_format")}
+
+
+def input_fingerprint(valid: DataFrame, digests: DataFrame, codebook_hash: str | None, provider: str, model: str, version: str = "1", **settings: str) -> DataFrame:
+    """(source_pdf, fingerprint): a hash of all that a result depends on: the codebook, the rows with their locators in any
+    order, the document, provider, model and those ``settings`` that the provider heeds. Bibliography doesn't count. A
+    document without rows, or that isn't there, has none; nor has any without a codebook."""
+    rows = valid.groupBy("source_pdf").agg(F.array_sort(F.collect_list(F.struct("row_id", "locator"))).alias("rows"))
+    heeded = [F.lit(settings.get(k, "") if k in SETTINGS.get(provider, tuple(settings)) else "").alias(k) for k in ("base_url", "reasoning_effort", "response_format")]
+    inputs = F.struct(F.lit(version).alias("version"), F.lit(codebook_hash).alias("codebook"), F.lit(provider).alias("provider"), F.lit(model).alias("model"), *heeded, "digest", "rows")
+    out = rows.join(digests, rows.source_pdf == digests.name).select("source_pdf", F.sha2(F.to_json(inputs, {"ignoreNullFields": "false"}), 256).alias("fingerprint"))
+    return out.where(F.lit(codebook_hash is not None))
+
+
+#: What a stale result loses.
+BLANKED = ("coded_by_row_id", "missing_ids", "extra_ids")
 
 
 def mark_stale(results: DataFrame, fingerprints: DataFrame, valid: DataFrame) -> DataFrame:
     """Results (source_pdf, status, input_fingerprint, error, ...) against today's fingerprints: one that doesn't
-    match is stale, with the reason; one without a fingerprint is from before there were any and stays."""
+    match is stale, with the reason, and its values and ids (``BLANKED``, where there are such columns) are empty; one
+    without a fingerprint is from before there were any and stays."""
     rows = valid.select("source_pdf").distinct().withColumn("_rows", F.lit(True))
     out = results.join(fingerprints, "source_pdf", "left").join(rows, "source_pdf", "left")
     current = F.col("input_fingerprint").isNull() | F.coalesce(F.col("input_fingerprint") == F.col("fingerprint"), F.lit(False))
     why = F.when(F.col("fingerprint").isNull() & F.col("_rows"), "document is missing").otherwise("inputs have changed")
-    return out.withColumn("error", F.when(current, F.col("error")).otherwise(why)).withColumn("status", F.when(current, F.col("status")).otherwise("stale")).select(results.columns)
+    empty = lambda kind: F.from_json(F.lit("{}"), kind) if kind.startswith("map") else F.from_json(F.lit("[]"), kind)
+    blank = {c: F.when(current, F.col(c)).otherwise(empty(kind)) for c, kind in results.dtypes if c in BLANKED}
+    out = out.withColumns({"error": F.when(current, F.col("error")).otherwise(why), "status": F.when(current, F.col("status")).otherwise("stale"), **blank})
+    return out.select(results.columns)
 
 
-def run_progress(worklist: DataFrame, attempts: DataFrame) -> DataFrame:
-    """One row: documents in all, processed, by status, and tokens."""
-    last = worklist.select("source_pdf").distinct().join(latest_attempt(attempts), "source_pdf", "left")
+_COUNTED = {"input_tokens": "long", "output_tokens": "long", "repaired": "boolean", "low_confidence": "long"}
+
+
+def run_progress(worklist: DataFrame, attempts: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """One row: documents in all, processed, by status, tokens, repaired answers and cells of low confidence. ``live``
+    (source_pdf, status, and any of the counts) is what runs now, and stands before the last attempt of the past."""
+    past = latest_attempt(attempts)
+    have = lambda df: df.select("source_pdf", "status", *(F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in _COUNTED.items()))
+    last = have(past) if live is None else have(past.join(live, "source_pdf", "left_anti")).unionByName(have(live))
+    last = worklist.select("source_pdf").distinct().join(last, "source_pdf", "left")
     by = [F.count_if(F.col("status") == s).alias(s) for s in ("ok", "needs_review", "error", "cancelled")]
-    return last.agg(F.count("*").alias("total"), F.count("status").alias("processed"), *by, F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "low_confidence")]
+    done = F.count_if(F.col("status").isNotNull() & (F.col("status") != "running")).alias("processed")
+    return last.agg(F.count("*").alias("total"), done, *by, F.count_if("repaired").alias("repaired"), *sums)
 
 
 def article_table(results: DataFrame, valid: DataFrame, attempts: DataFrame) -> DataFrame:
-    """One row per document with rows: its first row's authors and year, its result, and flags."""
+    """One row per document with rows: its first row's authors and year, its result, and flags: may it be tried again,
+    does an earlier success stand for it (kept), and is it a success from before there were fingerprints (unverified)?"""
     first = valid.groupBy("source_pdf").agg(F.min_by("authors", "ordinal").alias("authors"), F.min_by("year", "ordinal").alias("year"), F.count("*").alias("n_rows"))
     kept = kept_success(attempts).withColumn("kept", F.lit(True))
-    out = first.join(results.select("source_pdf", "status", "input_tokens"), "source_pdf", "left").join(kept, "source_pdf", "left")
+    more = [F.col(c).cast(t).alias(c) if c in results.columns else F.lit(None).cast(t).alias(c) for c, t in (*_COUNTED.items(), ("input_fingerprint", "string"))]
+    out = first.join(results.select("source_pdf", "status", *more), "source_pdf", "left").join(kept, "source_pdf", "left")
     status = F.coalesce("status", F.lit("not_run"))
-    return out.select("source_pdf", "authors", "year", "n_rows", status.alias("status"), "input_tokens", status.isin(*RETRY).alias("retryable"), F.coalesce("kept", F.lit(False)).alias("kept"))
+    unverified = (status == "ok") & F.col("input_fingerprint").isNull() if "input_fingerprint" in results.columns else F.lit(False)
+    return out.select("source_pdf", "authors", "year", "n_rows", status.alias("status"), *_COUNTED, status.isin(*RETRY).alias("retryable"), F.coalesce("kept", F.lit(False)).alias("kept"), unverified.alias("unverified"))
 
 
 def sort_articles(articles: DataFrame, key: str = "source_pdf", descending: bool = False) -> DataFrame:
@@ -80,7 +108,8 @@ def sort_articles(articles: DataFrame, key: str = "source_pdf", descending: bool
 
 
 def paginate(rows: DataFrame, order: list[str], page: int, page_size: int = 10) -> DataFrame:
-    """One page of the ordered rows; a page beyond the last is the last, one before the first the first."""
+    """One page of the ordered rows; a page beyond the last is the last, one before the first the first. The rows are
+    counted when this is called."""
     pages = max(1, -(-rows.count() // page_size))
     at = min(max(page, 1), pages)
     return rows.orderBy(*order).offset((at - 1) * page_size).limit(page_size)
@@ -93,3 +122,14 @@ def attempt_status(call_error: Column, cancelled: Column, problem: Column, flags
     state = lambda status, error: F.struct(F.lit(status).alias("status"), error.alias("error"))
     none = F.lit(None).cast("string")
     return F.when(F.coalesce(cancelled, F.lit(False)), state("cancelled", call_error)).when(call_error.isNotNull(), state("error", call_error)).when(reasons != "", state("needs_review", reasons)).otherwise(state("ok", none))
+
+
+def search_sort(named: DataFrame, text: str = "", order: str = "newest") -> DataFrame:
+    """Of (id, name, created_at) those whose name holds ``text``, whatever the case, with the number of all (total) and of
+    those that match (matching). In the order newest, oldest or name, ids deciding ties; any other order is newest."""
+    rows = named.select("id", "name", "created_at")
+    found = rows.where(F.contains(F.lower("name"), F.lower(F.lit(text.strip()))))
+    # one row each
+    found = found.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total")))).crossJoin(F.broadcast(found.agg(F.count("*").alias("matching"))))
+    by = {"oldest": [F.col("created_at").asc(), F.col("id").asc()], "name": [F.lower("name").asc(), F.col("id").asc()]}
+    return found.orderBy(*by.get(order, [F.col("created_at").desc(), F.col("id").desc()]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
 from paperloom.functions import values as vl
-from paperloom.operators import audit, codebook, collate, evaluate, linkage, requests, responses, results, sheet
+from paperloom.operators import audit, codebook, collate, evaluate, linkage, requests, responses, results, sheet, uploads
 from paperloom.plans import staging
 from paperloom.plans.fixtures import table, view, with_views
 from paperloom.sources import sheets
@@ -29,7 +29,7 @@ judged AS (SELECT t.*, first_use, CASE WHEN t.row_id = '' THEN 'row_id is requir
 issues AS (SELECT ordinal + 2 AS row_number, row_id, message, CASE WHEN message LIKE '%no source.' OR message LIKE '%not there.' THEN 'pdf' ELSE 'sheet' END AS kind FROM judged WHERE message IS NOT NULL),
 valid AS (SELECT ordinal, row_id, source_pdf, locator, authors, year, title, doi FROM judged WHERE message IS NULL) """
 _LAST = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY source_pdf ORDER BY attempt_ts DESC, attempt DESC) AS r, row_number() OVER (PARTITION BY source_pdf ORDER BY status = 'ok' DESC, attempt_ts DESC, attempt DESC) AS s FROM attempts),
-latest AS (SELECT source_pdf, attempt, attempt_ts, status, input_tokens FROM ranked WHERE r = 1), selected AS (SELECT source_pdf, attempt, attempt_ts, status, input_tokens FROM ranked WHERE s = 1),
+latest AS (SELECT * EXCLUDE (r, s) FROM ranked WHERE r = 1), selected AS (SELECT * EXCLUDE (r, s) FROM ranked WHERE s = 1),
 kept AS (SELECT l.source_pdf FROM latest l JOIN selected s USING (source_pdf) WHERE l.status <> 'ok' AND s.status = 'ok') """
 _CELLS = """, cells AS (
   SELECT row_id, 'quantity' AS field, CASE WHEN quantity % 7 = 0 THEN 'null' ELSE 'integer' END AS value_type, CASE WHEN quantity % 7 = 0 THEN NULL ELSE CAST(quantity AS VARCHAR) END AS value_text, 'p. ' || line AS evidence, CASE WHEN quantity % 3 = 0 THEN 'low' ELSE 'high' END AS confidence FROM rows WHERE quantity % 11 <> 0
@@ -76,7 +76,8 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
 
 
 def _fields(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "fields").withColumn("levels", F.when(F.col("level_text").isNotNull(), F.split("level_text", " "))).drop("level_text")
+    notes = F.when(F.col("level_note").isNotNull(), F.array("level_note"))
+    return view(s, d, "fields").withColumn("levels", F.when(F.col("level_text").isNotNull(), F.split("level_text", " "))).withColumn("level_descriptions", notes).drop("level_text", "level_note")
 
 
 # The sheet
@@ -295,11 +296,11 @@ def document_digest(s, d):
     return view(s, d, "uploaded").select("name", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
-_PRINTS = ", prints AS (SELECT v.source_pdf, sha256(concat_ws(chr(10), '1', 'book', 'p', 'm', sha256(text), string_agg(row_id || chr(9) || locator, chr(10) ORDER BY row_id || chr(9) || locator))) AS fingerprint FROM valid v JOIN uploaded u ON u.name = v.source_pdf GROUP BY v.source_pdf, text) "
+_PRINTS = ", prints AS (SELECT v.source_pdf, sha256(to_json({'version': '1', 'codebook': 'book', 'provider': 'openrouter', 'model': 'm', 'base_url': '', 'reasoning_effort': 'high', 'response_format': '', 'digest': sha256(text), 'rows': list({'row_id': row_id, 'locator': locator} ORDER BY row_id, locator)})) AS fingerprint FROM valid v JOIN uploaded u ON u.name = v.source_pdf GROUP BY v.source_pdf, text) "
 
 
 def _prints(s, d):
-    return results.input_fingerprint(_valid(s, d), document_digest(s, d), "book", "p", "m")
+    return results.input_fingerprint(_valid(s, d), document_digest(s, d), "book", "openrouter", "m", reasoning_effort="high", base_url="not heeded")
 
 
 @query("SELECT * FROM prints", _JUDGED + _PRINTS)
@@ -310,20 +311,25 @@ def input_fingerprint(s, d):
 _OLD = "CASE WHEN attempt % 3 = 0 THEN NULL WHEN attempt % 3 = 1 THEN 'old' ELSE fingerprint END"
 
 
-@query(f"SELECT s.source_pdf, CASE WHEN {_OLD} IS NULL OR {_OLD} = fingerprint THEN status ELSE 'stale' END AS status, {_OLD} AS input_fingerprint, CASE WHEN {_OLD} IS NULL OR {_OLD} = fingerprint THEN NULL WHEN fingerprint IS NULL AND s.source_pdf IN (SELECT source_pdf FROM valid) THEN 'document is missing' ELSE 'inputs have changed' END AS error FROM selected s LEFT JOIN prints p ON p.source_pdf = s.source_pdf", _JUDGED + _PRINTS + _LAST)
+@query(f"SELECT s.source_pdf, CASE WHEN {_OLD} IS NULL OR {_OLD} = fingerprint THEN status ELSE 'stale' END AS status, {_OLD} AS input_fingerprint, CASE WHEN {_OLD} IS NULL OR {_OLD} = fingerprint THEN NULL WHEN fingerprint IS NULL AND s.source_pdf IN (SELECT source_pdf FROM valid) THEN 'document is missing' ELSE 'inputs have changed' END AS error, CASE WHEN {_OLD} IS NULL OR {_OLD} = fingerprint THEN ['r1'] ELSE [] END AS missing_ids, CASE WHEN {_OLD} IS NULL OR {_OLD} = fingerprint THEN [status] ELSE [] END AS extra_ids FROM selected s LEFT JOIN prints p ON p.source_pdf = s.source_pdf", _JUDGED + _PRINTS + _LAST)
 def mark_stale(s, d):
     prints = _prints(s, d)
     old = F.when(F.col("attempt") % 3 == 0, F.lit(None).cast("string")).when(F.col("attempt") % 3 == 1, "old").otherwise(F.col("fingerprint"))
-    stored = results.selected_result(view(s, d, "attempts")).join(prints, "source_pdf", "left").select("source_pdf", "status", old.alias("input_fingerprint"), F.lit(None).cast("string").alias("error"))
+    stored = results.selected_result(view(s, d, "attempts")).join(prints, "source_pdf", "left").select("source_pdf", "status", old.alias("input_fingerprint"), F.lit(None).cast("string").alias("error"), F.array(F.lit("r1")).alias("missing_ids"), F.array("status").alias("extra_ids"))
     return results.mark_stale(stored, prints, _valid(s, d))
 
 
-@query("SELECT count(*) AS total, count(status) AS processed, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'cancelled') AS cancelled, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens FROM (SELECT DISTINCT source_pdf FROM valid) LEFT JOIN latest USING (source_pdf)", _JUDGED + _LAST)
+@query(
+    ", both_ AS (SELECT source_pdf, status, input_tokens, output_tokens, repaired, low_confidence FROM latest WHERE source_pdf NOT IN (SELECT source_pdf FROM live) UNION ALL SELECT source_pdf, status, input_tokens, NULL, NULL, NULL FROM live) "
+    "SELECT count(*) AS total, count(*) FILTER (status <> 'running') AS processed, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'cancelled') AS cancelled, "
+    "count(*) FILTER (repaired) AS repaired, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens, coalesce(sum(low_confidence), 0)::BIGINT AS low_confidence FROM (SELECT DISTINCT source_pdf FROM valid) LEFT JOIN both_ USING (source_pdf)",
+    _JUDGED + _LAST,
+)
 def run_progress(s, d):
-    return results.run_progress(_valid(s, d), view(s, d, "attempts"))
+    return results.run_progress(_valid(s, d), view(s, d, "attempts"), view(s, d, "live"))
 
 
-_ARTICLES = ", articles AS (SELECT v.source_pdf, arg_min(authors, ordinal) AS authors, arg_min(year, ordinal) AS year, count(*) AS n_rows, coalesce(any_value(s.status), 'not_run') AS status, any_value(s.input_tokens) AS input_tokens, coalesce(any_value(s.status), '') IN ('error', 'needs_review', 'cancelled', 'stale') AS retryable, v.source_pdf IN (SELECT source_pdf FROM kept) AS kept FROM valid v LEFT JOIN selected s ON s.source_pdf = v.source_pdf GROUP BY v.source_pdf) "
+_ARTICLES = ", articles AS (SELECT v.source_pdf, arg_min(authors, ordinal) AS authors, arg_min(year, ordinal) AS year, count(*) AS n_rows, coalesce(any_value(s.status), 'not_run') AS status, any_value(s.input_tokens) AS input_tokens, any_value(s.output_tokens) AS output_tokens, any_value(s.repaired) AS repaired, any_value(s.low_confidence) AS low_confidence, coalesce(any_value(s.status), '') = 'ok' AND any_value(s.input_fingerprint) IS NULL AS unverified, coalesce(any_value(s.status), '') IN ('error', 'needs_review', 'cancelled', 'stale') AS retryable, v.source_pdf IN (SELECT source_pdf FROM kept) AS kept FROM valid v LEFT JOIN selected s ON s.source_pdf = v.source_pdf GROUP BY v.source_pdf) "
 
 
 def _articles(s, d):
@@ -352,9 +358,10 @@ def documents_per_project(s, d):
     return table(s, d, "nation").join(n, "n_nationkey", "left").select("n_nationkey", "n_name", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00') ORDER BY c_custkey DESC")
+@query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS created_at, (SELECT count(*) FROM customer) AS total, count(*) OVER () AS matching FROM customer WHERE contains(lower(c_name), lower('R#0')) ORDER BY c_acctbal, c_custkey")
 def search_sort(s, d):
-    return table(s, d, "customer").where(F.lower("c_name").contains("00")).select("c_custkey", "c_name").orderBy(F.col("c_custkey").desc())
+    named = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("created_at"))
+    return results.search_sort(named, " R#0 ", "oldest")
 
 
 # Collation
@@ -444,7 +451,7 @@ def score_rollup(s, d):
     return evaluate.score_rollup(_scored(s, d))
 
 
-@query("SELECT status, count(*) AS n, sum(input_tokens)::BIGINT AS input_tokens FROM selected GROUP BY status", _LAST)
+@query("SELECT status, count(*) AS n, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, list_sort(list(DISTINCT provider || '/' || coalesce(model, 'None'))) AS providers, list_sort(list(DISTINCT prompt_version)) AS prompt_versions FROM selected GROUP BY ROLLUP (status)", _LAST)
 def run_rollup(s, d):
     return evaluate.run_rollup(results.selected_result(view(s, d, "attempts")))
 
@@ -472,11 +479,12 @@ def cost_estimate(s, d):
     return evaluate.cost_estimate(view(s, d, "attempts"), 200, 0.375)
 
 
-@query("SELECT 'cell count differs' AS problem FROM scored HAVING count(*) <> count(*) FILTER (field = 'quality') UNION ALL SELECT 'accuracy fell' FROM scored HAVING count(*) FILTER (ok) / count(*) < count(*) FILTER (ok AND field = 'quality') / count(*) FILTER (field = 'quality') - 0.05", _SCORED)
+@query("SELECT 'cell count differs' AS problem FROM scored HAVING count(*) <> count(*) FILTER (field = 'quality') UNION ALL SELECT 'accuracy fell' FROM scored HAVING count(*) FILTER (ok) / count(*) < count(*) FILTER (ok AND field = 'quality') / count(*) FILTER (field = 'quality') - 0.05 UNION ALL SELECT 'providers differ'", _SCORED)
 def regression_check(s, d):
     scored = _scored(s, d)
     summary = lambda x: x.agg(F.count("*").alias("cells"), (F.count_if("ok") / F.count("*")).alias("accuracy"), F.lit(0).alias("not_ok"))
-    return evaluate.regression_check(summary(scored), summary(scored.where("field = 'quality'")))
+    by = lambda x, *names: x.withColumn("providers", F.array(*map(F.lit, names)))
+    return evaluate.regression_check(by(summary(scored), "a/m", "b/m"), by(summary(scored.where("field = 'quality'")), "b/m", "c/m"))
 
 
 # Codebooks
@@ -486,18 +494,19 @@ _LEVELS = ", f AS (SELECT *, CASE WHEN level_text IS NULL THEN NULL ELSE string_
 
 @query(
     """, u AS (SELECT codebook_id, key, min(ordinal) AS first_use FROM f WHERE key <> '' GROUP BY ALL), x AS (SELECT f.*, first_use FROM f LEFT JOIN u USING (codebook_id, key))
-    SELECT codebook_id, name AS field, 'blank name' AS rule FROM x WHERE name = '' UNION ALL SELECT codebook_id, name, 'reserved name' FROM x WHERE key IN ('row_id', 'source_pdf', 'locator', 'authors', 'year', 'status')
+    SELECT codebook_id, name AS field, 'blank name' AS rule FROM x WHERE name = '' UNION ALL SELECT codebook_id, name, 'reserved name, use ' || CASE key WHEN 'year' THEN 'publication_year' WHEN 'status' THEN 'publication_status' ELSE 'study_' || key END FROM x WHERE key IN ('row_id', 'source_pdf', 'locator', 'authors', 'year', 'status')
     UNION ALL SELECT codebook_id, name, 'clashes with notes' FROM x WHERE key = 'notes' AND name <> 'notes' UNION ALL SELECT codebook_id, name, 'duplicate name' FROM x WHERE first_use < ordinal
     UNION ALL SELECT codebook_id, name, 'unknown type' FROM x WHERE type = 'date' UNION ALL SELECT codebook_id, name, 'levels on non-string' FROM x WHERE levels IS NOT NULL AND type <> 'string'
     UNION ALL SELECT codebook_id, name, 'blank level' FROM x WHERE list_contains(levels, '') UNION ALL SELECT codebook_id, name, 'duplicate level' FROM x WHERE len(list_distinct(levels)) < len(levels)
-    UNION ALL SELECT codebook_id, '', 'no effect definition' FROM codebooks WHERE trim(effect_definition) = '' UNION ALL SELECT codebook_id, '', 'no fields' FROM codebooks WHERE codebook_id NOT IN (SELECT codebook_id FROM fields)""",
+    UNION ALL SELECT codebook_id, name, 'flag is not boolean' FROM x WHERE ordinal % 29 = 0 UNION ALL SELECT codebook_id, '', 'no effect definition' FROM codebooks WHERE trim(effect_definition) = '' UNION ALL SELECT codebook_id, '', 'no fields' FROM codebooks WHERE codebook_id NOT IN (SELECT codebook_id FROM fields)""",
     _LEVELS,
 )
 def codebook_lint(s, d):
-    return codebook.codebook_lint(view(s, d, "codebooks"), _fields(s, d))
+    fields = _fields(s, d).withColumn("evidence_required", F.when(F.col("ordinal") % 29 == 0, "maybe").otherwise(" True"))
+    return codebook.codebook_lint(view(s, d, "codebooks"), fields)
 
 
-@query("SELECT codebook_id, ordinal, field, type FROM fields WHERE field <> 'notes' UNION ALL SELECT codebook_id, max(ordinal) + 1, 'notes', 'string' FROM fields GROUP BY codebook_id")
+@query("SELECT codebook_id, ordinal, field, type, levels, description, evidence_required, CASE WHEN level_note IS NOT NULL THEN [level_note] END AS level_descriptions FROM f WHERE field <> 'notes' UNION ALL SELECT codebook_id, max(ordinal) + 1, 'notes', 'string', NULL, NULL, false, NULL FROM fields GROUP BY codebook_id", _LEVELS)
 def codebook_effective(s, d):
     return codebook.codebook_effective(_fields(s, d))
 
@@ -507,12 +516,20 @@ def codebook_type_coercion(s, d):
     return codebook.codebook_type_coercion(_fields(s, d)).select("codebook_id", "ordinal", "type")
 
 
-@query(", h AS (SELECT codebook_id, string_agg(lpad(ordinal::VARCHAR, 10, '0') || chr(9) || name || chr(9) || type || chr(9) || coalesce(array_to_string(levels, ','), ''), chr(10) ORDER BY ordinal) AS t FROM f GROUP BY codebook_id) SELECT codebook_id, sha256(trim(effect_definition) || chr(10) || coalesce(t, '')) AS hash FROM codebooks LEFT JOIN h USING (codebook_id)", _LEVELS)
+@query(
+    ", h AS (SELECT codebook_id, list({'field': name, 'type': lower(trim(type)), 'description': coalesce(trim(description), ''), 'evidence_required': evidence_required, 'levels': list_transform(coalesce(levels, []), lambda x, i: {'value': trim(x), 'description': CASE WHEN i = 1 THEN level_note END})} ORDER BY ordinal) AS fs FROM f GROUP BY codebook_id) "
+    "SELECT codebook_id, sha256(to_json({'name': trim(name), 'description': coalesce(description, ''), 'effect_definition': trim(effect_definition), 'confidence': confidence, 'fields': fs})) AS hash FROM codebooks LEFT JOIN h USING (codebook_id)",
+    _LEVELS,
+)
 def codebook_canonical_hash(s, d):
     return codebook.codebook_canonical_hash(view(s, d, "codebooks"), _fields(s, d))
 
 
-@query("SELECT codebook_id, string_agg('- ' || field || ' (' || type || ')' || coalesce(array_to_string(list_transform(levels, lambda x: chr(10) || '  - ' || x), ''), ''), chr(10) ORDER BY ordinal) AS text FROM f GROUP BY codebook_id", _LEVELS)
+@query(
+    "SELECT codebook_id, string_agg('- `' || field || '` (' || CASE WHEN levels IS NULL THEN type ELSE 'categorical' END || ')' || coalesce(chr(10) || '  Description: ' || description, '') "
+    "|| CASE WHEN levels IS NULL THEN '' ELSE chr(10) || '  Levels:' || array_to_string(list_transform(levels, lambda x, i: chr(10) || '  - `' || trim(x) || '`' || CASE WHEN i = 1 AND level_note IS NOT NULL THEN ': ' || level_note ELSE '' END), '') END, chr(10) ORDER BY ordinal) AS text FROM f GROUP BY codebook_id",
+    _LEVELS,
+)
 def render_codebook(s, d):
     return codebook.render_codebook(_fields(s, d))
 
@@ -580,9 +597,15 @@ def operation_rollup(s, d):
     return audit.operation_rollup(e.withColumn("finished_at", F.when(F.col("operation_id") % 4 != 0, F.col("hi"))), view(s, d, "exchanges"))
 
 
-@query(", e AS (SELECT *, row_number() OVER (PARTITION BY operation_id ORDER BY sequence) AS n, http_status IN (429, 500, 502, 503, 504) AS ok, coalesce(retry_after::DOUBLE, 0) AS asked FROM exchanges) SELECT operation_id, sequence, ok AS retryable, ok AND (asked > 30 OR n >= 3) AS give_up, CASE WHEN ok AND NOT (asked > 30 OR n >= 3) THEN greatest(2.0 * pow(2, n - 1), asked) END AS delay FROM e")
+@query(
+    ", e AS (SELECT *, row_number() OVER (PARTITION BY operation_id ORDER BY sequence) AS n, http_status IN (429, 500, 502, 503, 504) OR (provider = 'openrouter' AND http_status IN (408, 409)) AS ok, "
+    "CASE WHEN provider <> 'gemini' THEN 0 WHEN retry_after LIKE '%GMT' THEN CASE WHEN sequence % 2 = 0 THEN 20 ELSE 0 END ELSE coalesce(TRY_CAST(retry_after AS DOUBLE), 0) END AS asked FROM exchanges) "
+    "SELECT operation_id, sequence, ok AS retryable, ok AND (asked > 30 OR n >= 3) AS give_up, CASE WHEN ok AND NOT (asked > 30 OR n >= 3) THEN greatest(2.0 * pow(2, n - 1), asked) END AS delay FROM e"
+)
 def retry_classification(s, d):
-    return audit.retry_classification(view(s, d, "exchanges"))
+    # 20 seconds before the date that some answers name, or after it
+    at = F.timestamp_seconds(F.when(F.col("sequence") % 2 == 0, 1792567660).otherwise(1792567700))
+    return audit.retry_classification(view(s, d, "exchanges").withColumn("at", at))
 
 
 # Sources, requests, incremental work
@@ -628,16 +651,37 @@ def annotate_documents(s, d):
             raise ValueError("refused")
         return ",".join(f"{i}={prompt.count('***')}" for i in row_ids)
 
-    return requests.annotate_documents(build_requests(s, d), coder)
+    return requests.annotate_documents(build_requests(s, d), coder, delay=0)
 
 
-_RAW = "SELECT event_id AS id, CASE event_type WHEN 'click' THEN concat('{\"candidates\":[{\"content\":{\"parts\":[{\"text\":\"t', CAST(event_id AS STRING), '\"}]},\"finishReason\":\"MAX_TOKENS\"}],\"usageMetadata\":{\"promptTokenCount\":', CAST(user_id AS STRING), ',\"thoughtsTokenCount\":3},\"modelVersion\":\"m1\"}') WHEN 'view' THEN concat('{\"choices\":[{\"message\":{\"content\":\"c', CAST(event_id AS STRING), '\"},\"finish_reason\":\"stop\"}],\"usage\":{\"prompt_tokens\":', CAST(user_id AS STRING), ',\"completion_tokens\":7},\"model\":\"m2\"}') ELSE '{\"error\":1}' END AS raw FROM "
+#: One envelope of each kind: its JSON (with the event's i and u), and what is read from it.
+_ENVELOPES = (
+    ('{"candidates":[{"content":{"parts":[{"text":"t%i,"},{"text":"x"}]},"finishReason":"MAX_TOKENS"},{"content":{"parts":[{"text":"y"},{"other":1}]}}],"usageMetadata":{"promptTokenCount":%u,"candidatesTokenCount":2,"thoughtsTokenCount":3},"modelVersion":"m1"}', "'t' || event_id || ',xy', 'length', user_id, 5, 'm1', NULL"),
+    ('{"choices":[{"message":{"content":"c%i"},"finish_reason":"stop"},5],"usage":{"prompt_tokens":%u,"completion_tokens":7},"model":"m2"}', "'c' || event_id, 'stop', user_id, 7, 'm2', NULL"),
+    ('{"candidates":[{"content":{"parts":[{"text":"t%i"}]}}],"usageMetadata":{"thoughtsTokenCount":null},"modelVersion":""}', "'t' || event_id, NULL, NULL, NULL, NULL, NULL"),
+    ('{"choices":[{"message":{"content":"c%i"}}],"usage":{"prompt_tokens":"many"},"model":5}', "'c' || event_id, NULL, NULL, NULL, NULL, NULL"),
+    *((raw, f"NULL, NULL, NULL, NULL, NULL, '{error}'") for raw, error in (
+        ("[%i]", "no JSON object"), ('{"a"', "no JSON object"), ('{"error":%i}', "no text"), ('{"candidates":"x"}', "candidates are no list"), ('{"candidates":[%i]}', "candidate is no object"),
+        ('{"candidates":[{"content":[1]}]}', "content is no object"), ('{"candidates":[{"content":{"parts":{"text":"t"}}}]}', "parts are no list"), ('{"candidates":[{"content":{"parts":["t"]}}]}', "part is no object"),
+        ('{"candidates":[{"content":{"parts":[{"text":%i}]}}]}', "text is no string"), ('{"candidates":[{"content":{"parts":[{"text":" "}]}}]}', "no text"), ('{"candidates":[{"content":{"parts":[{"text":"t"}]}}],"usageMetadata":{"promptTokenCount":"many"}}', "usage is malformed"),
+        ('{"choices":"x"}', "choices are no list"), ('{"choices":[]}', "choice is no object"), ('{"choices":[{"message":"x"}]}', "message is no object"), ('{"choices":[{"message":{"content":5}}]}', "no text"),
+    )),
+)
 
 
-@query("SELECT event_id AS id, CASE event_type WHEN 'click' THEN 't' || event_id WHEN 'view' THEN 'c' || event_id END AS text, CASE event_type WHEN 'click' THEN 'length' WHEN 'view' THEN 'stop' END AS finish_reason, CASE WHEN event_type IN ('click', 'view') THEN user_id END AS input_tokens, CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 7 END AS output_tokens, CASE event_type WHEN 'click' THEN 'm1' WHEN 'view' THEN 'm2' END AS served_model, CASE WHEN event_type NOT IN ('click', 'view') THEN 'no text in response' END AS error FROM events")
+def _envelope_sql() -> str:
+    names = ("text", "finish_reason", "input_tokens", "output_tokens", "served_model", "error")
+    types = ("VARCHAR", "VARCHAR", "BIGINT", "BIGINT", "VARCHAR", "VARCHAR")
+    one = " UNION ALL ".join(f"SELECT event_id, {told} FROM events WHERE event_id % {len(_ENVELOPES)} = {k}" for k, (_, told) in enumerate(_ENVELOPES))
+    return f"SELECT id, {', '.join(f'{n}::{t} AS {n}' for n, t in zip(names, types))} FROM ({one}) AS t(id, {', '.join(names)})"
+
+
+@query(_envelope_sql())
 def parse_envelope(s, d):
-    table(s, d, "events").createOrReplaceTempView("paperloom_events")
-    return requests.parse_envelope(s.sql(_RAW + "paperloom_events"))
+    id_, user = F.col("event_id"), F.col("user_id")
+    raws = F.array(*(F.lit(raw) for raw, _ in _ENVELOPES))
+    raw = F.replace(F.replace(F.get(raws, (id_ % len(_ENVELOPES)).cast("int")), F.lit("%i"), id_.cast("string")), F.lit("%u"), user.cast("string"))
+    return requests.parse_envelope(table(s, d, "events").select(id_.alias("id"), raw.alias("raw")))
 
 
 @query("SELECT source_pdf, operation_id, 'm' || (o_custkey % 4) AS asked_model, served_model, CASE WHEN o_custkey IS NULL THEN 'unknown operation' ELSE 'another model served' END AS problem FROM (SELECT source_pdf, operation_id, model AS served_model FROM orders_run WHERE model IS NOT NULL) LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 <> 0) ON o_orderkey = operation_id WHERE o_custkey IS NULL OR 'm' || (o_custkey % 4) <> served_model")
@@ -656,10 +700,14 @@ def incremental_signals(s, d):
 @query(
     ", codes AS (SELECT row_id, field, count(*) AS n, bool_or((value <> '') = (missing <> '')) AS both_, bool_or(missing NOT IN ('', 'not_reported', 'not_applicable', 'unclear')) AS unknown FROM truth GROUP BY 1, 2) "
     "SELECT row_id, field, 'repeated' AS problem FROM codes WHERE n > 1 UNION ALL SELECT row_id, field, 'value or missing' FROM codes WHERE both_ UNION ALL SELECT row_id, field, 'missing reason' FROM codes WHERE unknown "
-    "UNION ALL SELECT row_id, field, 'absent' FROM (SELECT DISTINCT row_id FROM run_rows) CROSS JOIN (VALUES ('quality'), ('toxic')) AS f(field) WHERE (row_id, field) NOT IN (SELECT (row_id, field) FROM codes)"
+    "UNION ALL SELECT row_id, field, 'absent' FROM (SELECT DISTINCT row_id FROM run_rows) CROSS JOIN (VALUES ('quality'), ('toxic')) AS f(field) WHERE (row_id, field) NOT IN (SELECT (row_id, field) FROM codes) "
+    "UNION ALL SELECT DISTINCT row_id, field, 'no such level' FROM truth WHERE field = 'quality' AND value NOT IN ('', '0') UNION ALL SELECT DISTINCT row_id || '.pdf', NULL, 'no article' FROM run_rows WHERE row_id || '.pdf' NOT IN (SELECT name FROM uploaded) "
+    "UNION ALL SELECT DISTINCT name, NULL, 'no rows' FROM uploaded WHERE name NOT IN (SELECT row_id || '.pdf' FROM run_rows)"
 )
 def eval_set_integrity(s, d):
-    return evaluate.eval_set_integrity(view(s, d, "truth"), view(s, d, "run_rows"), ["quality", "toxic"])
+    rows = view(s, d, "run_rows").withColumn("source_pdf", F.concat("row_id", F.lit(".pdf")))
+    articles = view(s, d, "uploaded").select(F.col("name").alias("source_pdf"))
+    return evaluate.eval_set_integrity(view(s, d, "truth"), rows, ["quality", "toxic"], levels={"quality": ("0",)}, articles=articles)
 
 
 @query(
@@ -675,6 +723,32 @@ def ordinal_agreement(s, d):
     return evaluate.ordinal_agreement(view(s, d, "coder_a"), view(s, d, "coder_b"))
 
 
+@query(
+    ", c AS (SELECT unit, field, 'a' AS coder, code FROM coder_a UNION ALL SELECT unit, field, 'b', code FROM coder_b UNION ALL SELECT unit, field, 'c', CASE WHEN unit % 4 = 0 THEN '2' ELSE code END FROM coder_a WHERE unit % 3 <> 0), "
+    "k AS (SELECT *, count(*) OVER (PARTITION BY field, unit) AS m FROM c), n AS (SELECT field, code, count(*) AS n FROM k WHERE m > 1 GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY field ORDER BY code::DOUBLE) - n / 2.0 AS place FROM n), "
+    "o AS (SELECT x.field, sum((x.code <> y.code)::INT / (x.m - 1)) AS nominal, sum(power(u.place - v.place, 2) / (x.m - 1)) AS ordinal FROM k x JOIN k y ON y.field = x.field AND y.unit = x.unit AND y.coder <> x.coder JOIN r u ON u.field = x.field AND u.code = x.code JOIN r v ON v.field = y.field AND v.code = y.code GROUP BY x.field), "
+    "e AS (SELECT u.field, sum(u.n * v.n * (u.code <> v.code)::INT) AS nominal, sum(u.n * v.n * power(u.place - v.place, 2)) AS ordinal FROM r u JOIN r v ON v.field = u.field GROUP BY u.field), t AS (SELECT field, count(DISTINCT unit) AS units, count(*) AS codes FROM k WHERE m > 1 GROUP BY field) "
+    "SELECT field, units, codes, 1 - (codes - 1) * o.nominal / e.nominal AS alpha_nominal, 1 - (codes - 1) * o.ordinal / e.ordinal AS alpha_ordinal FROM t JOIN o USING (field) JOIN e USING (field)"
+)
+def krippendorff_alpha(s, d):
+    a, b = view(s, d, "coder_a"), view(s, d, "coder_b")
+    third = a.where("unit % 3 <> 0").withColumn("code", F.when(F.col("unit") % 4 == 0, "2").otherwise(F.col("code")))
+    codes = [df.select("unit", "field", F.lit(name).alias("coder"), "code") for name, df in (("a", a), ("b", b), ("c", third))]
+    return evaluate.krippendorff_alpha(codes[0].unionByName(codes[1]).unionByName(codes[2]))
+
+
+@query(
+    ", e AS (SELECT DISTINCT p_name || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' (2)' ELSE ' (4)' END || '.pdf' AS name FROM part WHERE p_partkey % 11 = 0), u AS (SELECT p_partkey AS arrival, p_name || '.pdf' AS wanted, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part), "
+    "f AS (SELECT wanted, name, row_number() OVER (PARTITION BY wanted ORDER BY n) AS r FROM (SELECT wanted, n, CASE n WHEN 1 THEN wanted ELSE replace(wanted, '.pdf', ' (' || n || ').pdf') END AS name FROM (SELECT wanted, unnest(range(1, max(r) + 4)) AS n FROM u GROUP BY wanted)) WHERE name NOT IN (SELECT name FROM e)) "
+    "SELECT arrival, wanted, name FROM u JOIN f USING (wanted, r)"
+)
+def unique_document_name(s, d):
+    k = F.col("p_partkey")
+    parts = table(s, d, "part")
+    there = parts.where(k % 11 == 0).select(F.concat("p_name", F.when(k % 3 == 0, "").when(k % 3 == 1, " (2)").otherwise(" (4)"), F.lit(".pdf")).alias("name"))
+    return uploads.unique_document_name(parts.select(k.alias("arrival"), F.concat("p_name", F.lit(".pdf")).alias("wanted")), there)
+
+
 @query(
     "SELECT operation_id, sequence, CASE WHEN sequence % 7 = 6 THEN 'cancelled' WHEN http_status <> 200 THEN 'error' WHEN content LIKE '%?%' OR length(content) < 60 THEN 'needs_review' ELSE 'ok' END AS status, "
     "CASE WHEN http_status <> 200 THEN 'HTTP ' || http_status WHEN sequence % 7 = 6 THEN NULL WHEN content LIKE '%?%' AND length(content) < 60 THEN 'not a record; short' WHEN content LIKE '%?%' THEN 'not a record' WHEN length(content) < 60 THEN 'short' END AS error FROM exchanges"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,9 +59,24 @@ def sink_wide_csv(wide: DataFrame, fields: list[str], path: str) -> None:
 
 
 def sink_spreadsheet_csv(wide: DataFrame, path: str) -> None:
-    """As CSV with every cell made safe for spreadsheets."""
-    safe = [spreadsheet_safe(F.col(f"`{c}`").cast("string")).alias(c) for c in wide.columns]
-    wide.select(*safe).write.csv(path, header=True, quote='"', escape='"', lineSep="\n")
+    """For spreadsheets: every cell and header made safe, lines ended by CRLF, a byte-order mark before the header of each
+    file; rows without any cell are left out."""
+    quoted = lambda c: F.when(c.rlike(r"[\",\r\n]"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    names = [F.lit(c) for c in wide.columns]
+    header = wide.sparkSession.range(1).select(F.concat_ws(",", *(quoted(spreadsheet_safe(c)) for c in names))).first()[0]
+    cells = [spreadsheet_safe(F.col(f"`{c}`").cast("string")) for c in wide.columns]
+    some = F.concat(*(F.coalesce(c, F.lit("")) for c in cells)) != ""
+    lines = wide.where(some).select(F.concat_ws(",", *map(quoted, cells)).alias("line"))
+
+    def with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        schema = first.schema if first is not None else pa.schema([("line", pa.string())])
+        yield pa.RecordBatch.from_pydict({"line": ["\ufeff" + header]}, schema)
+        if first is not None:
+            yield first
+            yield from batches
+
+    lines.mapInArrow(with_header, "line string").write.text(path, lineSep="\r\n")
 
 
 def sink_document_record(rows: DataFrame, cells: DataFrame, results: DataFrame, path: str) -> None:
