@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, deque
 
 import numpy as np
@@ -349,6 +350,54 @@ def test_html_tables_lose_no_text():
         assert re.sub(r"\n+", "\n", html_text.page_text(page)[1]) == re.sub(r"\n+", "\n", want), page[:60]
 
 
+def test_html_shows_what_is_visible():
+    cases = {
+        "<table>stray<tr><td>x": "stray\nx", "<tr><div>lost?</div><td>x": "lost?\nx", "<math><mi>x</mi></math> <svg><title>no</title><text>T</text></svg>": "x T",
+        "<select><option>a<option>b</select>": "a\nb", '<div style="visibility:hidden">no<b style="visibility: visible">yes</b></div>': "yes", '<p>a<img alt="x>b</p>': "ab",
+        "<ol type=a reversed><li>x<li value=7>y</ol>": "b. x\ng. y", "<ol type=I start=9><li>x<li>y</ol>": "IX. x\nX. y", "<ol start=-1><li>x<li>y</ol>": "-1. x\n0. y",
+        "<table><tr><td colspan=2>head head head<td>z<tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e</table>": "head head head | z\na | b          | c\n  | d          | e",
+        "a < b <3 <!-- x --> c <! y> d": "a < b <3 c d", "<svg><![CDATA[ raw <x> ]]></svg>": "raw <x>", "cut <a href='q": "cut", "<b><td>1</b>2": "12",
+        "<input type=submit value=go><input type=hidden value=no>": "go", "<p>one<div>two</div>three": "one\ntwo\nthree",
+    }
+    for page, want in cases.items():
+        assert re.sub(r"\n+", "\n", html_text.page_text(page)[1]) == want, page
+
+
+@pytest.mark.parametrize("page", ['<a "' * 60000, '<a ="' * 60000, "<div>" * 20000 + "</x>" * 20000, "<table><tr><b><td>" + "<div>" * 20000 + "</b>" * 20000, "<p>" + "<span>" * 20000 + "<div>x</div>" * 20000, "<ul><li>" * 20000, "<table><tr><td>" * 4000, "<!--" * 60000, "<svg>" + "<![CDATA[" * 60000, "<table>" + "<tr><td colspan=1000 rowspan=65534>x" * 3000, "<table><tr><td>" + "w " * 100000 + "<td>z" + "<tr><td>x<td>y" * 10000])
+def test_bad_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    text = html_text.page_text(page)[1]
+    assert time.process_time() - began < 8 and len(text) <= 12 * len(page) + 10_000
+
+
+def test_html_equals_a_plain_renderer():
+    rng = random.Random(6)
+
+    def make(depth):
+        """(markup, words that are seen, in order)"""
+        kind = rng.choice(["text", "text", "div", "p", "b", "hidden", "ul", "comment", "table"]) if depth else "text"
+        inner = [make(depth - 1) for _ in range(rng.randrange(1, 4))] if kind != "text" else []
+        markup, seen = "".join(m for m, _ in inner), [w for _, ws in inner for w in ws]
+        if kind == "text":
+            w = f"w{rng.randrange(10**9)}"
+            return f" {w}&amp; ", [w + "&"]
+        if kind == "hidden":
+            return f"<div hidden>{markup}</div>" if rng.random() < 0.5 else f'<i style="display:none">{re.sub("<.*?>", "", markup)}</i>', []
+        if kind == "comment":
+            return f"<!-- {re.sub('<.*?>|-', '', markup)} -->", []
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{m}" for m, _ in inner) + "</ul>", [x for _, ws in inner for x in ("-", *ws)]
+        if kind == "table":
+            words_ = [ws for _, ws in inner]
+            return "<table><tr>" + "".join(f"<td>{re.sub('<(/?(ul|li|table|tr|td|p|div hidden|div)).*?>', ' ', m) if 'hidden' not in m and '-->' not in m else ws[0] if ws else ''}" for (m, ws) in inner) + "</table>", [x for m, ws in inner for x in ([y for y in ws if y != "-"] if "hidden" not in m and "-->" not in m else ws[:1])] if words_ else []
+        return f"<{kind}>{markup}</{kind}>", seen
+
+    for _ in range(150):
+        markup, seen = make(4)
+        got = html_text.page_text(markup)[1].replace("|", " ").split()
+        assert [w for w in got if w != "-"] == [w for w in seen if w != "-"], markup
+
+
 def test_html_tables(spark):
     pages = spark.createDataFrame([(1, "<p>a</p>"), (1, "<p>a</p>"), (None, None)], "page_id long, html string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extracted(pages).collect()) == [(0, ""), (1, "a"), (1, "a")]
