@@ -168,14 +168,14 @@ def rare_pairs(nodes: DataFrame, held: DataFrame) -> DataFrame:
     threshold allows, and share a template, meet in no key. In a key, members of its most frequent label never meet each
     other, so the pairs that are looked at are at most twice those with different labels. Of these only pairs are made
     whose parities differ in no more bits than linked sets have shingles apart."""
-    at = held.join(nodes.select("rep", "set").distinct(), ["rep", "set"], "left_semi").select("rep", "set", F.size("own").alias("n"), "parity", F.explode("own").alias("shingle"))
+    at = held.join(nodes.select("rep", "set").distinct(), ["rep", "set"], "left_semi").select("rep", "set", F.size("own").alias("n"), F.explode("own").alias("shingle"))
     often = at.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     # a shingle of one set only meets nobody: its place in the order is all that counts
     common = stage(at.join(often, "shingle"), "common")
     place = F.row_number().over(Window.partitionBy("rep", "set").orderBy(F.col("df").desc(), F.col("shingle").desc()))
     # of the n - i shingles from a place on, counted from the most frequent
     front = common.withColumn("left", place).where((100 + THRESHOLD) * F.col("left") >= THRESHOLD * (F.col("n") + F.ceil(F.col("n") * (THRESHOLD / 100))))
-    front = stage(front.select("rep", "set", "n", "parity", "shingle", "left").join(nodes.select("rep", "set", "label").distinct(), ["rep", "set"]), "front")
+    front = stage(front.select("rep", "set", "n", "shingle", "left").join(nodes.select("rep", "set", "label").distinct(), ["rep", "set"]), "front")
     class_ = lambda n: F.floor(F.log(n) / math.log(CLASS) + 1e-9)
     index = front.where((100 + THRESHOLD) * F.col("left") >= 2 * THRESHOLD * F.col("n")).withColumn("class", class_(F.col("n")))
     asks = front.withColumn("class", F.explode(F.sequence(class_(F.ceil(F.col("n") * (THRESHOLD / 100))), class_(F.col("n")))))
@@ -187,6 +187,7 @@ def rare_pairs(nodes: DataFrame, held: DataFrame) -> DataFrame:
     keys = stage(keys.agg(F.max_by("label", "m").alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels"), "keys")
     index, asks = (stage(x.join(keys, ["shingle", "class"]), "index") for x in (index, asks))
     staged = (common, front, keys, index, asks)
+    index, asks = (x.join(held.select("rep", "set", "parity"), ["rep", "set"]) for x in (index, asks))
     other = asks.select("shingle", "class", F.col("rep").alias("a"), F.col("set").alias("a_set"), F.col("n").alias("a_n"), F.col("label").alias("a_label"), F.col("left").alias("a_left"), F.col("parity").alias("a_parity"), "most")
     index = index.select("shingle", "class", F.col("rep").alias("b"), F.col("set").alias("b_set"), F.col("n").alias("b_n"), F.col("label").alias("b_label"), F.col("left").alias("b_left"), F.col("parity").alias("b_parity"), F.col("most").alias("b_most"))
     can = (F.col("a_label") != F.col("b_label")) & (F.col("b_n") <= F.col("a_n")) & (100 * F.col("b_n") >= THRESHOLD * F.col("a_n"))
