@@ -1,15 +1,21 @@
-"""Benchmark decontamination: a BM25 index of the test items, queried by every training passage.
-
-The items are the indexed documents and the passages are the queries. Items stand in blocks of ``BLOCK_ITEMS``; for
-each term the index holds its scores in the items (as shares of an item's score against itself) and their maximum in
-each block. A text is read in cells; a passage is two neighbouring cells, each at least as long as the longest item,
-so an item that occurs lies within a passage. As in block-max WAND, a passage first sums the block maxima of its terms
-and skips the blocks whose bound is below the threshold; in the others its distinct terms are scored exactly. All
-items at or above the threshold are verified: the words of the question and of the answer must occur in the text as
-runs of ``RUN`` words. Words are letters and digits, so marks and blanks may differ. Whole arrays of passages are handled together, so a task's work is numpy's.
-
-The items are read in segments of at most ``SEGMENT_ITEMS``, so the index that is sent to the executors stays bounded
-however many items there are; each segment is one more pass over the texts.
+"""Benchmark decontamination: a BM25 inverted index of the test items, queried by every training passage.
+
+The items are the indexed documents and the passages are the queries. Each term has a list of postings (item, score as a
+share of the item's score against itself), in blocks of ``BLOCK_ITEMS`` items with the largest score of each. A text is
+read in cells; a passage is two neighbouring cells, each at least as long as the longest item, so an item that occurs lies
+within a passage.
+
+As in block-max WAND, the largest scores of a passage's terms are added up, the longest lists first: the terms before the
+pivot, at which the sum reaches the threshold, can't retrieve an item alone, so their lists are never entered. The lists
+from the pivot on name the blocks that are looked at; of these the ones are skipped whose bound, by the block maxima of all
+terms, stays below the threshold. In the others all postings are added up. These steps are taken for arrays of passages at
+once, so a task's work is numpy's; what is retrieved is what an exhaustive search finds.
+
+All items at or above the threshold are verified: words of the question and of the answer must stand in the passage in runs
+of ``RUN`` words. Words are letters and digits, so marks and blanks may differ.
+
+The index holds a posting for each word of the items, and is sent to the executors in segments of at most
+``SEGMENT_ITEMS`` items: one pass over the texts serves that many.
 """
 
 from __future__ import annotations
@@ -22,17 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.blocks import MARKS, Block, blocks_of, text_blocks
+from paperloom.llm.blocks import MARKS, Block, blocks_of, constants, mixed, text_blocks
 
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 8
-SEGMENT_ITEMS = 2048
+SEGMENT_ITEMS = 100_000
 #: A passage retrieves items of which it reaches this share of the score of the item itself.
 MIN_SCORE = 0.6
-#: Runs of words for verification, and the share of them that must occur, of the question and of the answer.
-RUN = 5
-MIN_OVERLAP = 0.8
+#: Runs of words for verification, and the shares of the question's and the answer's words that must stand in such runs: an
+#: edited word takes up to three words of them.
+RUN = 3
+MIN_OVERLAP, MIN_ANSWER = 0.75, 0.6
+#: Entries that are expanded at once.
+STEP = 1 << 20
 _TABLE_LOG2 = 20
+#: Largest scores that are kept as a table of the most frequent terms by block.
+_DENSE = 1 << 21
+_EPS = 1e-6
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -45,8 +57,51 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(words[: (len(words) + 1) // 2]), " ".join(words[(len(words) + 1) // 2 :])
 
 
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of some ranges, one range after the other, and the range of each."""
+    size = ends - starts
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + starts[owner], owner
+
+
+def steps(cost: np.ndarray, most: int = STEP) -> Iterator[slice]:
+    """Cuts a row of costs into slices of about ``most``, each of one at least."""
+    total, low = np.cumsum(cost), 0
+    while low < len(cost):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + most, side="right")))
+        yield slice(low, high)
+        low = high
+
+
+def runs_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words."""
+    factor = constants(size, 2)
+    n = max(0, len(hashes) - size + 1)
+    return mixed(sum((hashes[j : j + n] * factor[j] for j in range(1, size)), hashes[:n] * factor[0]))
+
+
+class Part:
+    """A question or an answer: its words' hashes, and those of its runs."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.n, self.size = len(hashes), max(1, min(RUN, len(hashes)))
+        self.runs = runs_of(hashes, self.size)
+
+    def overlap(self, runs: np.ndarray) -> float:
+        """The share of its words in runs that are in ``runs`` (sorted); without words 1."""
+        if not self.n:
+            return 1.0
+        if not len(runs):
+            return 0.0
+        there = np.flatnonzero(runs[np.minimum(np.searchsorted(runs, self.runs), len(runs) - 1)] == self.runs)
+        covered = np.zeros(self.n + 1, dtype=np.int64)
+        np.add.at(covered, there, 1)
+        np.add.at(covered, there + self.size, -1)
+        return float((np.cumsum(covered)[: self.n] > 0).mean())
+
+
 class Index:
-    """Scores and block maxima of a segment of items [(item_id, question, answer), ...]."""
+    """Postings and block maxima of a segment of items [(item_id, question, answer), ...]."""
 
     def __init__(self, items: list[tuple[int, str, str]], min_score: float = MIN_SCORE):
         items = [x for x in sorted(items) if (x[1] + x[2]).strip()]
@@ -57,20 +112,38 @@ class Index:
         self.longest = int(lengths.max(initial=1))
         self.terms, term = np.unique(hashes, return_inverse=True)
         row = np.repeat(np.arange(len(items)), lengths)
-        tf = np.zeros((len(self.terms), len(items)), dtype=np.float32)
-        np.add.at(tf, (term, row), 1)
-        df = (tf > 0).sum(axis=1)
+        key, tf = np.unique(term * max(1, len(items)) + row, return_counts=True)
+        term, item = key // max(1, len(items)), key % max(1, len(items))
+        df = np.bincount(term, minlength=len(self.terms))
         idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(1e-9, lengths.mean() if len(items) else 1))
-        weight = idf[:, None] * tf * (K1 + 1) / (tf + norm[None, :])
-        self.weight = (weight / np.maximum(weight.sum(axis=0), 1e-9)).astype(np.float32)
-        pad = -len(items) % BLOCK_ITEMS
-        self.weight = np.pad(self.weight, ((0, 0), (0, pad)))
-        self.bound = self.weight.reshape(len(self.terms), -1, BLOCK_ITEMS).max(axis=2)
+        score = idf[term] * tf * (K1 + 1) / (tf + norm[item])
+        score /= np.maximum(np.bincount(item, score, minlength=len(items)), 1e-9)[item]
+        # terms are numbered from the longest list to the shortest
+        number = np.empty(len(df), dtype=np.int64)
+        number[np.argsort(-df, kind="stable")] = np.arange(len(df))
+        self.number = number.astype(np.int32)
+        order = np.argsort(number[term] * max(1, len(items)) + item, kind="stable")
+        self.posting_term, self.posting_item, self.posting_score = number[term][order], item[order], score[order]
+        self.posting_key = self.posting_term * max(1, len(items)) + self.posting_item
+        self.blocks = -(-len(items) // BLOCK_ITEMS) or 1
+        at = self.posting_term * self.blocks + self.posting_item // BLOCK_ITEMS
+        self.block_key, first = np.unique(at, return_index=True)
+        self.block_max = np.maximum.reduceat(self.posting_score, first) if len(first) else np.zeros(0)
+        self.block_of = self.block_key % self.blocks
+        self.lists = np.searchsorted(self.block_key, np.arange(len(df) + 1) * self.blocks)
+        self.max = np.zeros(len(df))
+        np.maximum.at(self.max, self.posting_term, self.posting_score)
+        self.dense = min(len(df), _DENSE // self.blocks)
+        self.table = np.zeros((self.dense, self.blocks), dtype=np.float32)
+        top = self.block_key < self.dense * self.blocks
+        self.table.ravel()[self.block_key[top]] = self.block_max[top]
         # place of a term by the high bits of its hash; terms that share a place follow each other
         self.slot = np.searchsorted(self.terms >> np.uint64(64 - _TABLE_LOG2), np.arange((1 << _TABLE_LOG2) + 1, dtype=np.uint64)).astype(np.int32)
         self.deepest = int(np.diff(self.slot).max(initial=0))
-        self.parts = [[np.unique(_runs(_block([x]))) for x in (q, a)] for _, q, a in items]
+        sides = [_block([x[k] for x in items]) for k in (1, 2)]
+        words = [x.word_hashes() for x in sides]
+        self.parts = [[Part(w[x.first[i] : x.first[i + 1]]) for x, w in zip(sides, words)] for i in range(len(items))]
 
     def term_of(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word's term, or -1."""
@@ -81,81 +154,115 @@ class Index:
             at = np.flatnonzero(low + step < high)
             there = low[at] + step
             same = self.terms[there] == hashes[at]
-            out[at[same]] = there[same]
+            out[at[same]] = self.number[there[same]]
         return out
 
-    def hits(self, block: Block) -> Iterator[tuple[int, int, float]]:
-        """(document, item, score) of all passages of a block of texts, for items at or above the threshold."""
-        term = self.term_of(block.word_hashes())
+    def bounds(self, term: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The largest score of each term in each block."""
+        out, sparse = np.zeros(len(term)), term >= self.dense
+        out[~sparse] = self.table[term[~sparse], block[~sparse]]
+        key = term[sparse] * self.blocks + block[sparse]
+        at = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+        out[sparse] = np.where(self.block_key[at] == key, self.block_max[at], 0)
+        return out
+
+    def retrieve(self, first: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) at or above the threshold, for passages whose distinct terms, in the order of their
+        numbers, stand in ``term`` from ``first[p]`` to before ``first[p + 1]``."""
+        least = self.min_score - _EPS
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        top = np.concatenate(([0.0], np.cumsum(self.max[term])))
+        sums = top[1:] - top[first[:-1]][owner]
+        entered = sums >= least  # from the pivot on
+        pivot = first[:-1] + np.bincount(owner[~entered], minlength=len(first) - 1)
+        before = top[pivot] - top[first[:-1]]
+        found = []
+        at = np.flatnonzero(entered)
+        low, high = self.lists[term[at]], self.lists[term[at] + 1]
+        # passages are cut where the lists to enter are many
+        cost = np.bincount(owner[at], high - low, minlength=len(first) - 1)
+        edge = np.searchsorted(owner[at], np.arange(len(first)))
+        for some in steps(cost):
+            mine = slice(edge[some.start], edge[some.stop])
+            posting, which = ranges(low[mine], high[mine])
+            key, back = np.unique(owner[at[mine]][which] * self.blocks + self.block_of[posting], return_inverse=True)
+            bound = np.bincount(back, self.block_max[posting], minlength=len(key)) if len(key) else np.zeros(0)
+            passage, block = key // self.blocks, key % self.blocks
+            fine = np.flatnonzero(bound + before[passage] >= least)
+            passage, block, bound = passage[fine], block[fine], bound[fine]
+            for part in steps(pivot[passage] - first[passage] + 1):
+                p, b = passage[part], block[part]
+                entry, which = ranges(first[p], pivot[p])
+                full = bound[part] + np.bincount(which, self.bounds(term[entry].astype(np.int64), b[which]), minlength=len(p))
+                fine = np.flatnonzero(full >= least)
+                p, b = p[fine], b[fine]
+                entry, which = ranges(first[p], first[p + 1])
+                key = term[entry].astype(np.int64) * len(self.ids) + b[which] * BLOCK_ITEMS
+                posting, cell = ranges(np.searchsorted(self.posting_key, key), np.searchsorted(self.posting_key, np.minimum(key + BLOCK_ITEMS, (term[entry].astype(np.int64) + 1) * len(self.ids))))
+                place = which[cell] * BLOCK_ITEMS + self.posting_item[posting] % BLOCK_ITEMS
+                score = np.bincount(place, self.posting_score[posting], minlength=len(p) * BLOCK_ITEMS)
+                fine = np.flatnonzero(score >= least)
+                found.append((p[fine // BLOCK_ITEMS], b[fine // BLOCK_ITEMS] * BLOCK_ITEMS + fine % BLOCK_ITEMS, score[fine]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def hits(self, block: Block, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, first word, word behind the last, item, score) of all passages of a block of texts, for items at or
+        above the threshold."""
+        term = self.term_of(block.word_hashes() if hashes is None else hashes)
         first = block.first
         doc = np.repeat(np.arange(len(block)), block.n_words)
         cells = np.maximum(1, -(-block.n_words // self.longest))
         base = np.concatenate(([0], np.cumsum(cells)))
-        cell = base[doc] + (np.arange(len(term)) - first[doc]) // self.longest
         known = np.flatnonzero(term >= 0)
-        if not len(known):
-            return
+        cell = base[doc[known]] + (known - first[doc[known]]) // self.longest
         # a term counts once in a cell
-        key = np.unique(cell[known].astype(np.int64) << 32 | term[known])
+        key = np.unique(cell << 32 | term[known])
         cell, term = key >> 32, (key & 0xFFFFFFFF).astype(np.int64)
         edge = np.searchsorted(cell, np.arange(base[-1] + 1))
-        bound = np.zeros((base[-1] + 1, self.bound.shape[1]), dtype=np.float32)
-        full = np.flatnonzero(np.diff(edge))
-        for low in range(0, len(full), 4096):  # bounded by the cells of a block, in steps
-            some = full[low : low + 4096]
-            rows = self.bound[term[edge[some[0]] : edge[some[-1] + 1]]]
-            bound[some] = np.add.reduceat(rows, edge[some] - edge[some[0]], axis=0)
         owner = np.repeat(np.arange(len(block)), cells)
-        # a passage: a cell and the next one of the same text
-        pair = bound[:-1].copy()
-        inner = np.flatnonzero(owner[1:] == owner[:-1])
-        pair[inner] += bound[inner + 1]
-        passage, group = np.nonzero(pair >= self.min_score)
-        for p, g in zip(passage.tolist(), group.tolist()):
-            end = p + 2 if p + 1 < len(owner) and owner[p + 1] == owner[p] else p + 1
-            own = np.unique(term[edge[p] : edge[end]])
-            score = self.weight[own, g * BLOCK_ITEMS : (g + 1) * BLOCK_ITEMS].sum(axis=0)
-            for k in np.flatnonzero(score >= self.min_score).tolist():
-                if g * BLOCK_ITEMS + k < len(self.ids):
-                    yield int(owner[p]), g * BLOCK_ITEMS + k, float(score[k])
-
-    def overlap(self, item: int, runs: np.ndarray) -> tuple[float, float]:
-        """Shares of the question's and the answer's runs that are in ``runs`` (sorted); an empty part counts 1."""
-        return tuple(1.0 if not len(x) else float((runs[np.minimum(np.searchsorted(runs, x), len(runs) - 1)] == x).mean()) if len(runs) else 0.0 for x in self.parts[item])
+        # a passage: a cell and the next one of the same text, or the last cell of a text alone, if it has no other
+        second = np.zeros(len(owner), dtype=bool)
+        second[:-1] = owner[1:] == owner[:-1]
+        alone = cells[owner] == 1
+        total = np.concatenate(([0.0], np.cumsum(self.max[term])))
+        end = edge[np.arange(len(owner)) + 1 + second]
+        able = np.flatnonzero((second | alone) & (total[end] - total[edge[:-1]] >= self.min_score - _EPS))
+        out = []
+        for some in steps(end[able] - edge[able]):
+            p = able[some]
+            entry, which = ranges(edge[p], end[p])
+            key = np.unique(which << 32 | term[entry])
+            found, item, score = self.retrieve(np.searchsorted(key >> 32, np.arange(len(p) + 1)), (key & 0xFFFFFFFF).astype(np.int64))
+            q = p[found]
+            d = owner[q]
+            low = first[d] + (q - base[d]) * self.longest
+            out.append((d, low, np.minimum(low + 2 * self.longest, first[d + 1]), item, score))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0),)
 
 
 def _block(texts: list[str]) -> Block:
     return next((b for _, _, b in blocks_of(pa.array(texts, pa.string()), limit=1 << 40, blanks=MARKS)), Block(np.zeros(0, np.uint8), np.zeros(1, np.int64), True))
 
 
-def _runs(block: Block, size: int = RUN) -> np.ndarray:
-    return block.shingles(size)[0]
-
-
-def _contains(block: Block, i: int, sizes: set[int]) -> dict[int, np.ndarray]:
-    """Sorted runs of a text, by length; parts shorter than ``RUN`` words are looked for as they are."""
-    low, high = block.first[i], block.first[i + 1]
-    if low == high:
-        return {s: np.zeros(0, np.uint64) for s in sizes}
-    own = Block(block.data[block.starts[low] : block.ends[high - 1]], np.array([0, block.ends[high - 1] - block.starts[low]]), False, MARKS)
-    return {s: np.unique(own.shingles(s)[0]) for s in sizes}
-
-
-def _search(index: Index, items: list[tuple[int, str, str]]) -> Callable:
-    short = {}
-    for i, (_, q, a) in enumerate(x for x in sorted(items) if (x[1] + x[2]).strip()):
-        short[i] = tuple(min(RUN, len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", x))) or RUN for x in (q, a))
-
+def _search(index: Index) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block in text_blocks(batches, blanks=MARKS):
-            best: dict[tuple[int, int], float] = {}
-            for doc, item, score in index.hits(block):
-                best[doc, item] = max(score, best.get((doc, item), 0.0))
-            out, ids = [], batch.column("doc_id")
-            for (doc, item), score in sorted(best.items()):
-                runs = _contains(block, doc, set(short[item]))
-                q, a = (index.overlap(item, runs[short[item][k]])[k] for k in (0, 1))
-                out.append((ids[doc].as_py(), int(index.ids[item]), score, q, a))
+            hashes = block.word_hashes()
+            best: dict[tuple[int, int], tuple[float, float, float]] = {}
+            last, runs = None, {}
+            for doc, low, high, item, score in zip(*(x.tolist() for x in index.hits(block, hashes))):
+                if last != low:
+                    last, runs = low, {}
+                told = []
+                for part in index.parts[item]:
+                    if part.size not in runs:
+                        runs[part.size] = np.unique(runs_of(hashes[low:high], part.size))
+                    told.append(part.overlap(runs[part.size]))
+                # of a text's passages the one that holds most of the item, then the one that scores best
+                here = (min(told), score, *told)
+                best[doc, item] = max(here, best.get((doc, item), here))
+            ids = batch.column("doc_id")
+            out = [(ids[doc].as_py(), int(index.ids[item]), score, q, a) for (doc, item), (_, score, q, a) in sorted(best.items())]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
     return run
@@ -166,7 +273,8 @@ def retrieved(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -
 
     ``items`` has item_id and either question and answer, or text. Defined cases: null or blank texts and items match
     nothing; repeated documents and items match one by one (an item that occurs twice is reported once per id and
-    document); an empty table of either kind gives no rows.
+    document, for the passage that holds most of it); items of equal score are all reported; a text of any length is read
+    whole, passage by passage; other columns are passed over; an empty table of either kind gives no rows.
     """
     if not {"question", "answer"} <= set(items.columns):
         items = items.select("item_id", F.col("text").alias("question"), F.lit(None).cast("string").alias("answer"))
@@ -180,10 +288,10 @@ def retrieved(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -
         rows = [(r.item_id, *(question_and_answer(r.question or "") if r.answer is None else (r.question or "", r.answer))) for r in part.collect()]
         index = Index(rows, min_score)
         if len(index.ids):
-            out = out.unionByName(docs.mapInArrow(_search(index, rows), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"))
+            out = out.unionByName(docs.mapInArrow(_search(index), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"))
     return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, min_answer: float = MIN_ANSWER) -> DataFrame:
     """The verified matches of ``retrieved``."""
-    return retrieved(docs, items, min_score).where((F.col("question_overlap") >= min_overlap) & (F.col("answer_overlap") >= min_overlap))
+    return retrieved(docs, items, min_score).where((F.col("question_overlap") >= min_overlap) & (F.col("answer_overlap") >= min_answer))

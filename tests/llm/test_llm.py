@@ -255,14 +255,59 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs_of(spark, []), items).count() == 0
 
 
-def test_block_bounds_lose_no_item():
+def exhaustive(items, texts, least):
+    """Scores of all passages against all items, by the formula of BM25: {(text, passage, item): share}."""
+    docs = [(i, f"{q} {a}".split()) for i, q, a in items]
+    mean, df, size = sum(len(w) for _, w in docs) / len(docs), Counter(t for _, w in docs for t in set(w)), max(len(w) for _, w in docs)
+    table = []
+    for i, w in docs:
+        k = 1.2 * (0.25 + 0.75 * len(w) / mean)
+        score = {t: math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + k) for t, f in Counter(w).items()}
+        table.append((i, {t: x / sum(score.values()) for t, x in score.items()}))
+    out = {}
+    for n, text in enumerate(texts):
+        w = text.split()
+        cells = [set(w[k : k + size]) for k in range(0, max(1, len(w)), size)]
+        for c in range(max(1, len(cells) - 1)):
+            terms = cells[c] | (cells[c + 1] if c + 1 < len(cells) else set())
+            out |= {(n, c, i): x for i, s in table if (x := sum(v for t, v in s.items() if t in terms)) >= least - 1e-6}
+    return out
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 21])
+def test_the_index_retrieves_what_an_exhaustive_search_does(monkeypatch, dense):
+    monkeypatch.setattr(decontaminate, "_DENSE", dense)
+    monkeypatch.setattr(decontaminate, "STEP", 500)
     rng = random.Random(1)
-    vocabulary = [f"w{i}" for i in range(300)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(8, 40))), "end of it") for i in range(50)]
-    index = decontaminate.Index(items)
-    texts = [" ".join(rng.choices(vocabulary, k=30) + items[k][1].split() + ["end of it"] + rng.choices(vocabulary, k=90)) for k in range(50)]
-    found = {(d, int(index.ids[i])) for d, i, _ in index.hits(decontaminate._block(texts))}
-    assert {(k, k) for k in range(50)} <= found
+    vocabulary = [f"w{i}" for i in range(250)]
+    often = [1 / (i + 1) for i in range(250)]
+    items = [(i, " ".join(rng.choices(vocabulary, often, k=rng.randrange(4, 30))), "end of it") for i in range(120)]
+    texts = [" ".join(rng.choices(vocabulary, often, k=rng.randrange(0, 200)) + (items[rng.randrange(120)][1].split() if k % 2 else [])) for k in range(80)] + ["", "end of it"]
+    index, block = decontaminate.Index(items), decontaminate._block(texts)
+    got = {(d, (low - int(block.first[d])) // index.longest, int(index.ids[i])): s for d, low, _, i, s in zip(*(x.tolist() for x in index.hits(block)))}
+    want = exhaustive(items, texts, 0.6)
+    assert len(want) > 200 and set(got) == set(want) and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_lightly_edited_items_are_found(spark):
+    items = spark.createDataFrame([(i, " ".join(words(25, i)) + ". " + " ".join(words(9, 100 + i))) for i in range(20)], "item_id long, text string")
+    rng, rows = random.Random(3), []
+    for r in items.collect():
+        for k in range(4):
+            w = r.text.split()
+            w[rng.randrange(len(w))] = "edited"
+            rows.append((100 * r.item_id + k, " ".join([*words(80, 500 + k), *w, *words(200, 600 + k)]), "a"))
+        rows.append((100 * r.item_id + 50, " ".join([*words(80, 7), *r.text.split()[:25], *words(50, 8)]), "a"))  # the question alone
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(spark, rows), items).collect()}
+    assert got == {(i, i // 100) for i, _, _ in rows if i % 100 < 50}
+
+
+def test_items_that_are_equal_are_all_found_in_very_long_texts(spark):
+    items = spark.createDataFrame([(1, "what is the name of the river there? the slow brenta"), (2, "what is the name of the river there? the slow brenta"), (4, " "), (None, "x")], "item_id long, text string")
+    long = " ".join(words(60000, 1)) + " What is the name of the river there? The slow Brenta " + " ".join(words(60000, 2))
+    rows = [(1, long, "a"), (1, long, "a"), (2, " ".join(words(500, 3)), "a"), (None, long, "a")]
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(spark, rows).withColumn("item_id", F.lit(9)).withColumn("score", F.lit("x")), items).collect())
+    assert got == Counter({(1, 1): 2, (1, 2): 2, (None, 1): 1, (None, 2): 1})
 
 
 def test_quality_model_learns(spark):
