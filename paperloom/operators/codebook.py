@@ -88,7 +88,7 @@ def codebook_canonical_hash(codebooks: DataFrame, fields: DataFrame) -> DataFram
     text = lambda c, df=codebooks: F.coalesce(F.trim(F.col(c)), F.lit("")) if c in df.columns else F.lit("")
     f = complete(fields)
     one = F.struct(F.trim("field").alias("field"), F.lower(F.trim("type")).alias("type"), text("description", f).alias("description"), F.col("evidence_required"), _levels().alias("levels"))
-    grouped = f.groupBy("codebook_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", one.alias("f")))).alias("fs"))
+    grouped = f.groupBy("codebook_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", one.alias("f")))).alias("fs"))
     out = codebooks.join(grouped, "codebook_id", "left")
     sure = F.coalesce(F.col("confidence").cast("boolean"), F.lit(False)) if "confidence" in codebooks.columns else F.lit(False)
     listed = F.transform("fs", lambda x: x["f"])
@@ -109,5 +109,5 @@ def render_codebook(fields: DataFrame) -> DataFrame:
         F.when(F.size(_texts("levels")) > 0, "\n  Levels:").otherwise(""),
         F.array_join(F.transform(_levels(), lambda x: F.concat(F.lit("\n  - `"), x["value"], F.lit("`"), F.coalesce(F.concat(F.lit(": "), _inner(x["description"], "      ")), F.lit("")))), ""),
     )
-    lines = F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line"))))
+    lines = F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line"))))
     return complete(fields).groupBy("codebook_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))

@@ -54,5 +54,5 @@ def missing_extra_ids(requested: DataFrame, returned: DataFrame) -> DataFrame:
     r = requested.select("source_pdf", "row_id", F.lit(True).alias("asked")).distinct()
     g = returned.select("source_pdf", "row_id", F.lit(True).alias("given")).distinct()
     both = r.join(g, ["source_pdf", "row_id"], "full")
-    ids = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNull(), F.col("row_id"))))
+    ids = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNull(), F.col("row_id"))))
     return both.groupBy("source_pdf").agg(ids("given").alias("missing"), ids("asked").alias("extra"))

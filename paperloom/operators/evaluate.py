@@ -60,7 +60,7 @@ def run_rollup(results: DataFrame) -> DataFrame:
     said = lambda c: F.coalesce(have(c, "string"), F.lit("None"))
     r = results.select("status", *(have(c, "long").alias(c) for c in ("input_tokens", "output_tokens")), F.concat(said("provider"), F.lit("/"), said("model")).alias("by"), said("prompt_version").alias("prompt"))
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens")]
-    sets = [F.array_sort(F.collect_set(c)).alias(name) for c, name in (("by", "providers"), ("prompt", "prompt_versions"))]
+    sets = [F.sort_array(F.collect_set(c)).alias(name) for c, name in (("by", "providers"), ("prompt", "prompt_versions"))]
     return r.rollup("status").agg(F.count("*").alias("n"), *sums, *sets)
 
 
@@ -72,7 +72,7 @@ def regression_check(summary: DataFrame, baseline: DataFrame, tolerance: float =
     both = one(summary.limit(2)).join(F.broadcast(b), F.lit(True))  # one row each
     others = F.lit(False)
     if "providers" in summary.columns and "providers" in baseline.columns:
-        others = (F.coalesce(F.size("b_providers"), F.lit(0)) > 0) & ~F.array_sort("providers").eqNullSafe(F.array_sort("b_providers"))
+        others = (F.coalesce(F.size("b_providers"), F.lit(0)) > 0) & ~F.sort_array("providers").eqNullSafe(F.sort_array("b_providers"))
     problems = F.array_compact(
         F.array(
             F.when(~F.col("cells").eqNullSafe(F.col("b_cells")), "cell count differs"),

@@ -14,7 +14,7 @@ from paperloom.functions.values import normalize_finish_reason
 
 def build_requests(valid: DataFrame, texts: DataFrame, rules: str, codebook_text: str) -> DataFrame:
     """(source_pdf, row_ids, prompt): rules, codebook, the rows asked for with their locators, and the text."""
-    rows = F.array_sort(F.collect_list(F.struct("ordinal", "row_id", F.when(F.col("locator") == "", "(none)").otherwise(F.col("locator")).alias("locator"))))
+    rows = F.sort_array(F.collect_list(F.struct("ordinal", "row_id", F.when(F.col("locator") == "", "(none)").otherwise(F.col("locator")).alias("locator"))))
     asked = valid.groupBy("source_pdf").agg(rows.alias("r"))
     lines = F.array_join(F.transform("r", lambda x: F.concat(F.lit("- "), x["row_id"], F.lit(": "), x["locator"])), "\n")
     prompt = F.concat_ws("\n\n", F.lit(rules), F.lit(codebook_text), F.concat(F.lit("Rows: "), F.size("r").cast("string")), lines, "text")

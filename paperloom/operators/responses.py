@@ -19,7 +19,7 @@ NOTES = "notes"
 _TEXT, _FLAG = StringType(), BooleanType()
 _CELL = StructType().add("field", _TEXT).add("is_object", _FLAG).add("has_value", _FLAG).add("value_type", _TEXT).add("value_text", _TEXT).add("confidence", _TEXT).add("evidence", _TEXT)
 _ITEM = StructType().add("row_id", _TEXT).add("cells", ArrayType(_CELL))
-PARSED = StructType().add("is_json", _FLAG).add("is_object", _FLAG).add("has_effects", _FLAG).add("items", ArrayType(_ITEM))
+PARSED = StructType().add("repaired", _TEXT).add("is_json", _FLAG).add("is_object", _FLAG).add("has_effects", _FLAG).add("items", ArrayType(_ITEM))
 
 
 @dataclass(frozen=True)
@@ -45,21 +45,62 @@ def _cell(field: str, value: object) -> dict:
     return {"field": _said(field), "is_object": isinstance(value, dict), "has_value": "value" in more, "value_type": kind, "value_text": shown, "confidence": _said(more.get("confidence")), "evidence": _said(more.get("evidence"))}
 
 
+def repaired_json(raw: str) -> str | None:
+    """A broken answer as JSON, where no more is wrong with it than text around it, commas before a closing bracket, or an
+    end that is missing; else null."""
+    starts = [i for i in (raw.find("{"), raw.find("[")) if i >= 0]
+    out, open_, quoted, escaped = [], [], False, False
+    for c in raw[min(starts) :] if starts else "":
+        if quoted:
+            quoted, escaped = c != '"' or escaped, c == "\\" and not escaped
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            open_.append("}" if c == "{" else "]")
+        elif c in "}]":
+            while out and (out[-1].isspace() or out[-1] == ","):
+                out.pop()
+            if not open_ or open_.pop() != c:
+                return None
+        out.append(c)
+        if starts and not open_ and not quoted:
+            break
+    text = "".join(out[:-1] if quoted and escaped else out) + ('"' if quoted else "")
+    # what was cut off within a field goes up to the last whole value
+    for _ in range(4):
+        text = text.rstrip().rstrip(",")
+        whole = text + "".join(reversed(open_))
+        try:
+            json.loads(whole)
+            return whole if text else None
+        except (ValueError, RecursionError):
+            cut = max(text.rfind(","), text.rfind("{"), text.rfind("["))
+            if cut < 0 or not open_ or any(x in text[cut + 1 :] for x in "}]"):
+                return None
+            text = text[: cut + (text[cut] != ",")]
+    return None
+
+
 @F.udf(returnType=PARSED, useArrow=True)
 def parsed_response(raw: str | None) -> dict:
-    """The boundary to untyped JSON: everything after it is columns. No repair: what is no JSON is none."""
+    """The boundary to untyped JSON: everything after it is columns. A broken text is repaired where it can be, and the
+    repaired form told."""
+    repaired = None
     try:
         parsed = json.loads(raw or "")
     except (ValueError, RecursionError):
-        return {"is_json": False, "is_object": False, "has_effects": False, "items": []}
+        repaired = repaired_json(raw or "")
+        if repaired is None:
+            return {"repaired": None, "is_json": False, "is_object": False, "has_effects": False, "items": []}
+        parsed = json.loads(repaired)
     effects = parsed.get("effects") if isinstance(parsed, dict) else None
     items = [x if isinstance(x, dict) else {} for x in effects] if isinstance(effects, list) else []
     rows = [{"row_id": _said(x.get("row_id")), "cells": [_cell(k, v) for k, v in x.items() if k != "row_id"]} for x in items]
-    return {"is_json": True, "is_object": isinstance(parsed, dict), "has_effects": isinstance(effects, list), "items": rows}
+    return {"repaired": _said(repaired), "is_json": True, "is_object": isinstance(parsed, dict), "has_effects": isinstance(effects, list), "items": rows}
 
 
 def parse_response_cells(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Attempts (source_pdf, raw) as documents (source_pdf, is_json, is_object, has_effects, items) and as cells, one row
+    """Attempts (source_pdf, raw) as documents (source_pdf, repaired, is_json, is_object, has_effects, items) and as cells, one row
     per field of each item, numbered from 1 by ``position``. A null or broken text has no items."""
     documents = attempts.withColumn("_p", parsed_response("raw")).select("source_pdf", "_p.*")
     items = documents.select("source_pdf", F.posexplode("items").alias("position", "item"))
@@ -69,7 +110,7 @@ def parse_response_cells(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _listed(wrong: Callable[[Column], Column]) -> Column:
     """"`row`: a, b; `row`: c" of the items for which ``wrong`` gives fields; null if there are none."""
-    rows = F.transform("items", lambda x: F.struct(x["row_id"].alias("row_id"), F.array_sort(wrong(x)).alias("names")))
+    rows = F.transform("items", lambda x: F.struct(x["row_id"].alias("row_id"), F.sort_array(wrong(x)).alias("names")))
     lines = F.transform(F.filter(rows, lambda r: F.size(r["names"]) > 0), lambda r: F.concat(F.lit("`"), r["row_id"], F.lit("`: "), F.array_join(r["names"], ", ")))
     return F.when(F.size(lines) > 0, F.array_join(lines, "; "))
 
@@ -112,7 +153,7 @@ def _verdict(fields: Sequence[Field], confidence: bool) -> Column:
         .when(omitted.isNotNull(), say("omitted", told("omitted required", omitted)))
         .when(malformed.isNotNull(), say("malformed", told("returned malformed", malformed)))
         .when(invalid.isNotNull(), say("invalid", told("returned invalid", invalid)))
-        .when(F.array_sort(ids) != F.col("asked"), say("ids", F.lit("Returned row_id set does not match the requested set.")))
+        .when(F.sort_array(ids) != F.col("asked"), say("ids", F.lit("Returned row_id set does not match the requested set.")))
     )
 
 
@@ -122,21 +163,24 @@ def validate_response(documents: DataFrame, requested: DataFrame, fields: Sequen
     The first broken rule decides; a response is never accepted in part, and the items' order means nothing. Missing
     and extra ids are told only where the ids are what is wrong. A document of which nothing was requested has no
     ids to return. An answer is one row, so nothing but the requested ids is shuffled."""
-    asked = requested.groupBy("source_pdf").agg(F.array_sort(F.collect_set("row_id")).alias("asked"))
+    asked = requested.groupBy("source_pdf").agg(F.sort_array(F.collect_set("row_id")).alias("asked"))
     none = F.array().cast("array<string>")
     judged = documents.join(asked, "source_pdf", "left").withColumn("asked", F.coalesce("asked", none)).withColumn("v", _verdict(fields, confidence))
     ids = F.transform("items", lambda x: x["row_id"])
     apart = F.coalesce(F.col("v.stage") == "ids", F.lit(False))
-    missing, extra = F.array_except("asked", ids), F.array_sort(F.array_except(ids, "asked"))
+    missing, extra = F.array_except("asked", ids), F.sort_array(F.array_except(ids, "asked"))
     return judged.select("source_pdf", F.col("v").isNull().alias("ok"), "v.stage", "v.error", F.when(apart, missing).otherwise(none).alias("missing"), F.when(apart, extra).otherwise(none).alias("extra"))
 
 
 def replay(attempts: DataFrame, requested: DataFrame, fields: Sequence[Field], confidence: bool = False) -> DataFrame:
     """Attempts, one per document (source_pdf, status, error, raw), with status and error as today's rules decide.
-    One without a raw response stays as it is; what is no JSON is an error."""
+    One without a raw response stays as it is; what is no JSON, and can't be repaired, is an error; a repaired one needs
+    review, whatever else is right with it."""
     has_raw = F.coalesce(F.col("raw") != "", F.lit(False))
-    verdict = validate_response(parse_response_cells(attempts.where(has_raw))[0], requested, fields, confidence)
-    again = verdict.select("source_pdf", F.when(F.col("ok"), "ok").when(F.col("stage") == "json", "error").otherwise("needs_review").alias("now"), F.col("error").alias("why"))
+    documents = parse_response_cells(attempts.where(has_raw))[0]
+    verdict = validate_response(documents, requested, fields, confidence).join(documents.select("source_pdf", "repaired"), "source_pdf")
+    fine = F.when(F.col("repaired").isNull(), "ok").otherwise("needs_review")
+    again = verdict.select("source_pdf", F.when(F.col("ok"), fine).when(F.col("stage") == "json", "error").otherwise("needs_review").alias("now"), F.col("error").alias("why"))
     out = attempts.join(again, "source_pdf", "left")
     seen = F.col("now").isNotNull()
     return out.select("source_pdf", F.when(seen, F.col("now")).otherwise(F.col("status")).alias("status"), F.when(seen, F.col("why")).otherwise(F.col("error")).alias("error"), "raw")
@@ -171,7 +215,7 @@ def response_schema(codebooks: DataFrame, fields: DataFrame, dialect: str = "jso
         F.when(sure, degree).otherwise(""), F.when(F.col("evidence_required"), proof).otherwise(""), F.lit('},"required":'), required, end,
     )
     rows = fields.join(codebooks.select("codebook_id", "confidence"), "codebook_id").select("codebook_id", F.struct("ordinal", one.alias("json"), _quoted(F.col("field")).alias("name")).alias("f"))
-    grouped = rows.groupBy("codebook_id").agg(F.array_sort(F.collect_list("f")).alias("f"))
+    grouped = rows.groupBy("codebook_id").agg(F.sort_array(F.collect_list("f")).alias("f"))
     head = F.lit(f'{{"type":{kind("object")},"properties":{{"effects":{{"type":{kind("array")},"description":"One entry per requested row.","items":{{"type":{kind("object")},"properties":{{"row_id":{{"type":{kind("string")},"description":"One of the requested row ids, unchanged."}},')
     tail = F.array_join(F.transform("f", lambda x: x["name"]), ",")
     schema = F.concat(head, F.array_join(F.transform("f", lambda x: x["json"]), ","), F.lit('},"required":["row_id",'), tail, F.lit("]"), end, F.lit('}},"required":["effects"]'), end)

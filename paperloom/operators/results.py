@@ -47,7 +47,7 @@ def input_fingerprint(valid: DataFrame, digests: DataFrame, codebook_hash: str |
     """(source_pdf, fingerprint): a hash of all that a result depends on: the codebook, the rows with their locators in any
     order, the document, provider, model and those ``settings`` that the provider heeds. Bibliography doesn't count. A
     document without rows, or that isn't there, has none; nor has any without a codebook."""
-    rows = valid.groupBy("source_pdf").agg(F.array_sort(F.collect_list(F.struct("row_id", "locator"))).alias("rows"))
+    rows = valid.groupBy("source_pdf").agg(F.sort_array(F.collect_list(F.struct("row_id", "locator"))).alias("rows"))
     heeded = [F.lit(settings.get(k, "") if k in SETTINGS.get(provider, tuple(settings)) else "").alias(k) for k in ("base_url", "reasoning_effort", "response_format")]
     inputs = F.struct(F.lit(version).alias("version"), F.lit(codebook_hash).alias("codebook"), F.lit(provider).alias("provider"), F.lit(model).alias("model"), *heeded, "digest", "rows")
     out = rows.join(digests, rows.source_pdf == digests.name).select("source_pdf", F.sha2(F.to_json(inputs, {"ignoreNullFields": "false"}), 256).alias("fingerprint"))

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What is said of a row, of its id (1), source (2) and the row where its id stood first (3).
+MESSAGES = {
+    "no id": "row_id is required.",
+    "twice": "row_id `%1$s` is a duplicate (first used on row %3$d).",
+    "no authors": "row_id `%1$s` has no authors.",
+    "no year": "row_id `%1$s` has no year.",
+    "no source": "row_id `%1$s` has no source.",
+    "unknown": "row_id `%1$s` references `%2$s`, which is not there.",
+}
 FIELDS = ("row_id", "source_pdf", "locator", "authors", "year", "title", "doi")
 
 
@@ -20,14 +29,14 @@ def _judged(rows: DataFrame, documents: DataFrame) -> DataFrame:
     first = rows.where("row_id <> ''").groupBy("row_id").agg(F.min("ordinal").alias("first_use"))
     known = documents.select(F.col("name").alias("source_pdf"), F.lit(True).alias("_known")).distinct()
     rows = rows.join(first, "row_id", "left").join(known, "source_pdf", "left").withColumn("row_number", F.col("ordinal") + 2)
-    named = lambda text: F.concat(F.lit("row_id `"), F.col("row_id"), F.lit(f"` {text}"))
+    say = lambda name: F.format_string(MESSAGES[name], F.col("row_id"), F.col("source_pdf"), F.col("first_use") + 2)
     problem = (
-        F.when(F.col("row_id") == "", F.lit("row_id is required."))
-        .when(F.col("first_use") < F.col("ordinal"), F.concat(F.lit("row_id `"), F.col("row_id"), F.lit("` is a duplicate (first used on row "), (F.col("first_use") + 2).cast("string"), F.lit(").")))
-        .when(F.col("authors") == "", named("has no authors."))
-        .when(F.col("year") == "", named("has no year."))
-        .when(F.col("source_pdf") == "", named("has no source."))
-        .when(F.col("_known").isNull(), F.concat(F.lit("row_id `"), F.col("row_id"), F.lit("` references `"), F.col("source_pdf"), F.lit("`, which is not there.")))
+        F.when(F.col("row_id") == "", say("no id"))
+        .when(F.col("first_use") < F.col("ordinal"), say("twice"))
+        .when(F.col("authors") == "", say("no authors"))
+        .when(F.col("year") == "", say("no year"))
+        .when(F.col("source_pdf") == "", say("no source"))
+        .when(F.col("_known").isNull(), say("unknown"))
     )
     kind = F.when(problem.isNotNull(), F.when((F.col("row_id") != "") & ~(F.coalesce(F.col("first_use"), F.col("ordinal")) < F.col("ordinal")) & (F.col("authors") != "") & (F.col("year") != ""), "pdf").otherwise("sheet"))
     return rows.withColumn("message", problem).withColumn("kind", kind)
@@ -48,7 +57,7 @@ def sheet_issue_kinds(issues: DataFrame) -> DataFrame:
 
 def rows_per_document(valid: DataFrame) -> DataFrame:
     """All rows of a document together, in sheet order: what one request asks for."""
-    rows = F.array_sort(F.collect_list(F.struct("ordinal", "row_id", "locator")))
+    rows = F.sort_array(F.collect_list(F.struct("ordinal", "row_id", "locator")))
     return valid.groupBy("source_pdf").agg(F.transform(rows, lambda r: r["row_id"]).alias("row_ids"), F.transform(rows, lambda r: r["locator"]).alias("locators"))
 
 

@@ -41,8 +41,8 @@ def scan_results(spark: SparkSession, path: str) -> DataFrame:
         {
             "status": F.coalesce(F.nullif("status", F.lit("")), F.lit("error")),
             "coded_by_row_id": F.coalesce("coded_by_row_id", empty),
-            "missing_ids": F.array_sort(F.array_distinct(F.coalesce("missing_ids", none))),
-            "extra_ids": F.array_sort(F.array_distinct(F.coalesce("extra_ids", none))),
+            "missing_ids": F.sort_array(F.array_distinct(F.coalesce("missing_ids", none))),
+            "extra_ids": F.sort_array(F.array_distinct(F.coalesce("extra_ids", none))),
             "duration_sec": F.coalesce("duration_sec", F.lit(0.0)),
         }
     )

@@ -26,7 +26,7 @@ def assemble_page_text(pages: DataFrame, max_chars: int = PAGE_CHARS) -> DataFra
     are left out, and an empty or overlong document is an error without text."""
     body = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r"))
     page = F.when(body != "", F.struct("page_no", F.concat(F.lit("[Page "), F.col("page_no").cast("string"), F.lit("]\n"), body).alias("t")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda p: p["t"]), "\n\n")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(page)), lambda p: p["t"]), "\n\n")
     out = pages.groupBy("doc_id").agg(joined.alias("text"))
     error = F.when(F.col("text") == "", "no text").when(F.length("text") > max_chars, "too long")
     return out.withColumn("error", error).withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
@@ -41,7 +41,7 @@ def dedupe_result_records(records: DataFrame) -> DataFrame:
 def scan_eval_set(articles: DataFrame, sheet: DataFrame, set_name: str) -> DataFrame:
     """(source_pdf, row_ids) of the articles in a set; an article without rows has an empty list."""
     chosen = articles.where(F.array_contains(F.split("sets", r"\s+"), set_name)).select("source_pdf").distinct()
-    rows = sheet.groupBy("source_pdf").agg(F.array_sort(F.collect_list("row_id")).alias("row_ids"))
+    rows = sheet.groupBy("source_pdf").agg(F.sort_array(F.collect_list("row_id")).alias("row_ids"))
     return chosen.join(rows, "source_pdf", "left").select("source_pdf", F.coalesce("row_ids", F.array().cast("array<string>")).alias("row_ids"))
 
 
@@ -82,6 +82,6 @@ def sink_spreadsheet_csv(wide: DataFrame, path: str) -> None:
 def sink_document_record(rows: DataFrame, cells: DataFrame, results: DataFrame, path: str) -> None:
     """One JSON record per document: its status and, by row and field, value, confidence and evidence."""
     field = F.struct("field", F.struct("value_text", "confidence", "evidence").alias("cell"))
-    by_row = cells.groupBy("row_id").agg(F.map_from_entries(F.array_sort(F.collect_list(field))).alias("fields"))
-    effects = rows.join(by_row, "row_id", "left").groupBy("source_pdf").agg(F.array_sort(F.collect_list(F.struct("row_id", F.col("fields").isNotNull().alias("returned")))).alias("rows"), F.map_from_entries(F.collect_list(F.when(F.col("fields").isNotNull(), F.struct("row_id", "fields")))).alias("effects"))
+    by_row = cells.groupBy("row_id").agg(F.map_from_entries(F.sort_array(F.collect_list(field))).alias("fields"))
+    effects = rows.join(by_row, "row_id", "left").groupBy("source_pdf").agg(F.sort_array(F.collect_list(F.struct("row_id", F.col("fields").isNotNull().alias("returned")))).alias("rows"), F.map_from_entries(F.collect_list(F.when(F.col("fields").isNotNull(), F.struct("row_id", "fields")))).alias("effects"))
     effects.join(results.select("source_pdf", "status"), "source_pdf", "left").write.json(path)

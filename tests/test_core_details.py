@@ -127,3 +127,18 @@ def test_staged_tables_go(spark):
     discard(df, None, spark.range(1))
     with pytest.raises(Exception):
         spark.read.parquet(df._staged).count()
+
+
+def test_broken_answers_are_repaired_where_they_can_be(spark):
+    cases = {
+        '```json\n{"effects": [1, 2,],}\n```': '{"effects": [1, 2]}', 'Here: [1] and more': "[1]", '{"a": "cut o': '{"a": "cut o"}', '{"a": 1, "b": ': '{"a": 1}', '{"a": [1, {"b": tr': '{"a": [1, {}]}',
+        '{"a": "x\\': '{"a": "x"}', "no record": None, "": None, '{"a": 1]': None, "{a: 1}": None,
+    }
+    from paperloom.operators import responses
+
+    for raw, want in cases.items():
+        assert responses.repaired_json(raw) == want, raw
+    attempts = spark.createDataFrame([("a", "error", None, '{"effects":[{"row_id":"r","n":{"value":1}},]'), ("b", "ok", None, '{"effects":[{"row_id":"r","n":{"value":1}}]}'), ("c", "ok", None, "x")], "source_pdf string, status string, error string, raw string")
+    asked = spark.createDataFrame([(x, "r") for x in "abc"], "source_pdf string, row_id string")
+    got = {r.source_pdf: r.status for r in responses.replay(attempts, asked, [responses.Field("n", "integer", evidence_required=False)]).collect()}
+    assert got == {"a": "needs_review", "b": "ok", "c": "error"}
