@@ -116,14 +116,13 @@ def fitted(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int
         total[r.k, r.code] = r.n
     smooth = total + SMOOTH
     table = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
-    # bounded: a row per text of the sample
-    own = np.array(chosen.select("text", "declared").mapInArrow(_own_means(total, languages), "k int, n long, mean double").where("n > 0").collect()).reshape(-1, 3)
+    own = chosen.select("text", "declared").mapInArrow(_own_means(total, languages), "k int, n long, mean double").where("n > 0")
+    credit = math.log(DECLARED_RIGHT * len(languages) / (1 - DECLARED_RIGHT))
+    lowest = own.groupBy("k").agg(F.percentile(F.col("mean") + credit * (1 + F.col("n") / MAX_GRAMS) / F.col("n"), F.lit(FLOOR_SHARE)).alias("floor"))
     # without a sample a model knows nothing: no text is nearer to it than to OTHER
     floor = np.full(len(languages), -math.log(1 << BUCKETS_LOG2) + 1)
-    for k in range(len(languages)):
-        n, mean = own[own[:, 0] == k, 1:].T
-        if len(n):
-            floor[k] = np.quantile(mean + math.log(DECLARED_RIGHT * len(languages) / (1 - DECLARED_RIGHT)) / weighed(n), FLOOR_SHARE) - FLOOR_ROOM
+    for r in lowest.collect():  # a row per language
+        floor[r.k] = r.floor - FLOOR_ROOM
     return table, floor
 
 

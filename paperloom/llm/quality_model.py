@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.blocks import Block, constants, mixed, spans, text_blocks
+from paperloom.plans.staging import discard, stage
 
 BUCKETS_LOG2 = 16
 DIM = 12
@@ -25,8 +26,8 @@ GRAM = 3
 PAIRS = 3
 EPOCHS = 12
 RATE = 0.5
-#: Labelled rows that the model is fitted on, at most.
-SAMPLE = 3000
+#: Labelled rows that the model is fitted on, at most, and the bytes of their counted features.
+SAMPLE, SAMPLE_BYTES = 3000, 192 << 20
 
 _CODE = constants(1, 21)[0]
 _PAIR = (constants(PAIRS + 1, 22) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
@@ -64,7 +65,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = np.unique(np.concatenate((words[w[i] : w[i + 1]], grams[g[i] : g[i + 1]])), return_counts=True)
             ids.append(a.astype(np.int32).tobytes())
             counts.append(b.astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["label", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "h", "t")), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["label", "h", "t", "ids", "counts"])
 
 
 class Model:
@@ -103,14 +104,25 @@ class Model:
         return (self.table @ (self.out[:, 1] - self.out[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from ``labels`` (doc_id, label 0 or 1) and the texts of ``docs``; without any labels, one that says 0.5."""
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from ``labels`` (doc_id, label 0 or 1) and the texts of ``docs``; without any labels, one that says 0.5.
+
+    It is fitted on the ``sample`` labelled ids of the smallest hashes (of equal ones the smaller ids), and of their texts
+    on the first in the order of these hashes, up to ``sample`` texts and ``sample_bytes`` of features. An id with
+    several labels has the smallest; equal texts of an id count once."""
     chosen = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # bounded by the sample
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_counts, "label int, ids binary, counts binary").collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    counted = stage(texts.mapInArrow(_counts, "label int, h long, t long, ids binary, counts binary"), "sample")
+    sizes = counted.groupBy("h", "t").agg(F.max(F.octet_length("ids") + F.octet_length("counts")).alias("bytes")).orderBy("h", "t").limit(sample).collect()
+    n = int(np.searchsorted(np.cumsum([r.bytes for r in sizes]), sample_bytes, side="right"))
+    if not n:
+        return Model()
+    rows = counted.where((F.col("h") < sizes[n - 1].h) | ((F.col("h") == sizes[n - 1].h) & (F.col("t") <= sizes[n - 1].t))).dropDuplicates(["h", "t"]).collect()
+    discard(counted)
     rows = sorted((r.label, bytes(r.ids), bytes(r.counts)) for r in rows)
-    return Model().fit([(a, np.frombuffer(b, np.int32), np.frombuffer(c, np.float32)) for a, b, c in rows]) if rows else Model()
+    return Model().fit([(a, np.frombuffer(b, np.int32), np.frombuffer(c, np.float32)) for a, b, c in rows])
 
 
 def _scorer(model: Model) -> Callable:

@@ -66,9 +66,9 @@ def measured(docs: DataFrame) -> DataFrame:
     # Few texts repeat a window: only theirs are sorted. The sorted places of repeated windows are then covered one
     # after the other, each window adding the words that the one before doesn't hold.
     repeats = F.size(F.array_distinct("h")) < F.size("h")
-    d = d.withColumn("s", F.when(repeats, F.array_sort(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    d = d.withColumn("s", F.when(repeats, F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     at = F.filter("s", lambda x, j: (F.get("s", j - 1)["h"].eqNullSafe(x["h"])) | (F.get("s", j + 1)["h"].eqNullSafe(x["h"])))
-    d = d.withColumn("at", F.array_sort(F.transform(at, lambda x: x["i"]))).drop("h", "s")
+    d = d.withColumn("at", F.sort_array(F.transform(at, lambda x: x["i"]))).drop("h", "s")
     fresh = F.transform("at", lambda x, j: F.when(j == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), x - F.get("at", j - 1))))
     covered = F.aggregate(fresh, F.lit(0), lambda a, x: a + x)
     return d.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))

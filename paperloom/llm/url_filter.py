@@ -9,13 +9,21 @@ the longest one decides.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STRICT = ("adult", "casino", "escort", "hentai", "nude", "pills", "porn", "sex", "viagra", "xxx")
-SOFT = {"ads": 1.0, "bet": 1.0, "bets": 1.0, "bonus": 1.0, "cheap": 1.0, "click": 0.5, "farm": 1.0, "free": 1.0, "gratis": 1.0, "loan": 1.0, "lottery": 1.0, "poker": 1.5, "promo": 0.5, "spam": 1.5, "track": 1.0, "win": 1.0}
+
+
+def terms(path: str | Path) -> tuple[tuple[str, ...], dict[str, float]]:
+    """Strict terms, and soft ones with their weights, of a file of lines ``term,strict`` and ``term,weight``."""
+    rows = [x.strip().split(",") for x in Path(path).read_text().splitlines() if x.strip() and not x.startswith("#")]
+    return tuple(t for t, w in rows if w == "strict"), {t: float(w) for t, w in rows if w != "strict"}
+
+
+STRICT, SOFT = terms(Path(__file__).with_name("url_terms.csv"))
 SOFT_LIMIT = 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,7 +79,8 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = (), strict: tu
     replaced).
 
     Defined cases: a null address, or one without ``://``, has empty host and path, fits no rule and is searched as it
-    is (null: no terms, so allow); repeated rows are judged one by one; an empty table gives no rows.
+    is (null: no terms, so allow); repeated rows are judged one by one; an address of any length is searched whole; other
+    columns stay; an empty table gives no rows.
     """
     match = F.pandas_udf(_matcher(tuple(strict), dict(SOFT if soft is None else soft)), "strict_hits int, soft_weight double, soft_hits int")
     named = ("host", "path", "rule", "strict_hits", "soft_hits", "soft_weight", "verdict", "_hits", "_rule")

@@ -1,4 +1,5 @@
 import bisect
+import functools
 import hashlib
 import math
 import random
@@ -7,12 +8,14 @@ import time
 from collections import Counter, deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.llm import decontaminate, html_text, language_id, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, url_filter
+from paperloom.llm.blocks import blocks_of
 from paperloom.llm.queries import ORACLE_SQL, QUERIES, TOKENIZER
-from sqlcheck import compare
+from sqlcheck import SF, compare
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block int, start long, n long"
@@ -364,7 +367,7 @@ def test_token_counts_equal_plain_spelling(spark):
 
 
 def test_url_filter(spark):
-    urls = {"http://a.NET/x": ("a.net", "block"), "http://sub.example.net/en/1?q": ("sub.example.net", "allow"), "http://x.net": ("x.net", "allow"), "https://casino.org/fr": ("casino.org", "block"), "https://casinos.org/": ("casinos.org", "allow"), "https://free-bets.org/": ("free-bets.org", "block"), "https://free-free.org/": ("free-free.org", "allow"), "no scheme": ("", "allow"), None: ("", "allow"), "": ("", "allow")}
+    urls = {"http://a.NET/x": ("a.net", "block"), "http://sub.example.net/en/1?q": ("sub.example.net", "allow"), "http://x.net": ("x.net", "allow"), "https://casino.org/fr": ("casino.org", "block"), "https://casinola.org/": ("casinola.org", "allow"), "https://free-bets.org/": ("free-bets.org", "block"), "https://free-free.org/": ("free-free.org", "allow"), "no scheme": ("", "allow"), None: ("", "allow"), "": ("", "allow")}
     df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
     rules = (("block", "net/"), ("allow", "example.net/en/"))
     got = {r.url: (r.host, r.verdict) for r in url_filter.judged(df, rules).collect()}
@@ -372,6 +375,165 @@ def test_url_filter(spark):
     assert url_filter.judged(df.limit(0), rules).count() == 0
 
 
+def test_url_filter_reads_long_and_repeated_addresses(spark):
+    long = "http://a.org/" + "x/" * 200_000
+    rows = [(1, long + "casino"), (2, long + "casinox"), (3, "http://a.org/xxx"), (3, "http://a.org/xxx"), (4, "http://A.ORG/Win-BET")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(1), "strict_hits": F.lit("x"), "other": F.lit(2)})
+    got = Counter((r.page_id, r.verdict, r.other) for r in url_filter.judged(df).collect())
+    assert got == Counter({(1, "block", 2): 1, (2, "allow", 2): 1, (3, "block", 2): 2, (4, "block", 2): 1})
+
+
+def test_url_terms_equal_a_search_by_words(spark):
+    urls = [r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()] + [f"http://x.org/{a}-{b}_{c}" for a in ("win", "winx", "poker") for b in ("poker", "1poker", "bet") for c in ("win", "sale", "porn", "porn2")]
+    got = url_filter.judged(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    for r in got:
+        held = set(re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.url or "")))
+        soft = held & set(url_filter.SOFT)
+        assert (r.strict_hits, r.soft_hits, r.soft_weight) == (len(held & set(url_filter.STRICT)), len(soft), sum(url_filter.SOFT[t] for t in soft)), r.url
+
+
+def fused(rows, n):
+    """The posterior of each row by Bayes' rule, from its text's log-likelihoods: rows (log, declared, host, suffix)."""
+    share = []
+    for log, *_ in rows:
+        w = [math.exp(x) for x in log]
+        share.append([x / sum(w) for x in w])
+    total = lambda test: [sum(s[i] for s, r in zip(share, rows) if test(r)) for i in range(n)]
+    smooth = lambda own, above, strength: [(x + strength * y) / (sum(own) + strength) for x, y in zip(own, above)]
+    every = total(lambda r: True)
+    top = [(x + 1) / (sum(every) + n) for x in every]
+    out = []
+    for log, declared, host, suffix in rows:
+        prior = smooth(total(lambda r: r[2:] == (host, suffix)), smooth(total(lambda r: r[3] == suffix), top, language_id.SUFFIX_STRENGTH), language_id.HOST_STRENGTH)
+        said = [1.0] * n if declared is None else [language_id.DECLARED_RIGHT if i == declared else (1 - language_id.DECLARED_RIGHT) / (n - 1) for i in range(n)]
+        w = [math.exp(x) * p * d for x, p, d in zip(log, prior, said)]
+        out.append(max((x / sum(w), i) for i, x in enumerate(w)))
+    return out
+
+
+def test_language_fusion_equals_bayes_rule_by_hand(spark, monkeypatch):
+    names = (*language_id.LANGUAGES, language_id.OTHER)
+    rng = random.Random(8)
+    rows = [([-rng.random() * 6 for _ in names], rng.choice([None, 0, 1, 4]), rng.choice([None, "a", "b"]), rng.choice([None, "de", "org"])) for _ in range(60)]
+    # texts of one word each stand for their likelihoods
+    logs = {f"text{i}x": r[0] for i, r in enumerate(rows)}
+
+    def likelihoods(table, floor):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                flat = [logs[t] for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "declared", "host", "suffix")), pa.array([1] * len(flat), pa.int64()), pa.array(flat, pa.list_(pa.float64()))], ["doc_id", "declared", "host", "suffix", "n_grams", "log"])
+
+        return run
+
+    monkeypatch.setattr(language_id, "_likelihoods", likelihoods)
+    code = [*language_id.LANGUAGES, "ru"]
+    df = spark.createDataFrame([(i, f"text{i}x", None if d is None else code[d], h, s) for i, (_, d, h, s) in enumerate(rows)], "doc_id long, text string, declared string, host string, suffix string")
+    got = {r.doc_id: r for r in language_id.identified(df).collect()}
+    for i, (confidence, k) in enumerate(fused(rows, len(names))):
+        assert got[i].language == names[k] and math.isclose(got[i].confidence, confidence, rel_tol=1e-9)
+
+
+def test_language_is_known_without_being_declared(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.length("text") > 200)
+    # a third of the rows declare nothing; their own lang is the truth
+    hidden = F.col("doc_id") % 3 == 0
+    seen = docs.select("doc_id", "text", F.when(~hidden, F.col("lang")).alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    got = language_id.identified(seen).join(docs.where(hidden).select("doc_id", "lang"), "doc_id")
+    right, n = got.select(F.count_if(F.col("language") == F.col("lang")), F.count("*")).first()
+    assert n > 150 and right / n > 0.97
+
+
+def test_language_of_pages_and_odd_rows(spark):
+    got = QUERIES["language_id_pages"](spark, SF)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    assert got.count() == pages.count() and {r.language for r in got.collect()} <= {*language_id.LANGUAGES, language_id.OTHER, None}
+    assert set(got.columns) == {"page_id", "n_grams", "language", "confidence", "kept"}
+    rows = [(i, "the house of the old man and the sea " * (1 + i % 3), "en", "h") for i in range(40)] + [(1, "the house of the old man and the sea " * 40_000, None, None)] * 2 + [(None, "the old man and the sea", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string").withColumns({"suffix": F.lit(None).cast("string"), "language": F.lit(1), "prior": F.lit(2), "log": F.lit(3)})
+    out = language_id.identified(df).collect()
+    assert len(out) == len(rows) and all(r.language == "en" and r.kept for r in out)
+
+
+def test_quality_model_equals_plain_loops():
+    rng = np.random.default_rng(3)
+    rows = [(int(i % 2), np.sort(rng.choice(500, 30, replace=False)).astype(np.int32), rng.integers(1, 5, 30).astype(np.float32)) for i in range(12)]
+    model = quality_model.Model(seed=0).fit(rows, epochs=2, rate=0.3, seed=0)
+    start = quality_model.Model(seed=0)
+    table, out, bias = start.table.astype(float).tolist(), [[0.0, 0.0] for _ in range(quality_model.DIM)], [math.log(7 / 14), math.log(7 / 14)]
+    draw, steps = np.random.default_rng(0), 24
+    for step in range(steps):
+        if step % 12 == 0:
+            order = draw.permutation(12)
+        label, ids, counts = rows[order[step % 12]]
+        share = [c / sum(counts) for c in counts]
+        mean = [sum(s * table[i][d] for s, i in zip(share, ids)) for d in range(quality_model.DIM)]
+        odds = [sum(mean[d] * out[d][k] for d in range(quality_model.DIM)) + bias[k] for k in (0, 1)]
+        whole = sum(math.exp(x) for x in odds)
+        p = [(math.exp(x) / whole - (k == label)) * 0.3 * (1 - step / steps) for k, x in enumerate(odds)]
+        back = [sum(out[d][k] * p[k] for k in (0, 1)) for d in range(quality_model.DIM)]
+        for d in range(quality_model.DIM):
+            for k in (0, 1):
+                out[d][k] -= mean[d] * p[k]
+            for s, i in zip(share, ids):
+                table[i][d] -= s * back[d] * 20
+        bias = [b - 0.01 * x for b, x in zip(bias, p)]
+    assert np.allclose(model.out, out, atol=1e-4) and np.allclose(model.bias, bias, atol=1e-5)
+    assert np.allclose(model.table[:500], [table[i] for i in range(500)], atol=1e-4)
+    weight, constant = model.weights()
+    assert np.allclose(weight[:500], [sum(table[i][d] * (out[d][1] - out[d][0]) for d in range(quality_model.DIM)) for i in range(500)], atol=1e-4) and math.isclose(constant, bias[1] - bias[0], abs_tol=1e-5)
+
+
+def test_a_score_is_the_average_of_its_features(spark):
+    rng = np.random.default_rng(5)
+    model = quality_model.Model()
+    model.out = rng.normal(size=model.out.shape).astype(np.float32)
+    model.table = rng.normal(size=model.table.shape).astype(np.float32)
+    weight, constant = model.weights()
+    texts = ["one two two three", "naïve  x", "", None, "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality_model.scored(docs, model).collect()}
+    for i, text in enumerate(texts):
+        w, a, g, b = quality_model.features(next(x for _, _, x in blocks_of(pa.array([text or ""]), lower=False)))
+        parts = [float(weight[k]) for k in [*w[a[0] : a[1]], *g[b[0] : b[1]]]]
+        size = len((text or "").split()) * (quality_model.PAIRS + 1) + max(0, len((text or "").encode()) - quality_model.GRAM + 1)
+        assert len(parts) == size
+        odds = sum(parts) / max(1, size) + constant
+        assert math.isclose(got[i], 1 / (1 + math.exp(-odds)), rel_tol=1e-5)
+
+
+def test_token_counts_equal_a_search_of_all_spellings(spark):
+    pieces = token_counts.pieces_of(TOKENIZER)
+    text = "Étion naïve 王 \U0001f600 unbelievable " + " ".join(words(20, 8)) + " " + "ab" * 60
+
+    @functools.cache
+    def best(rest):
+        """(score, fewest pieces) of all ways to spell what is left, from the front."""
+        if not rest:
+            return 0, 0
+        ways = ((pieces[rest[:k]], best(rest[k:])) for k in range(1, min(len(rest), 64) + 1) if rest[:k] in pieces)
+        return max((a + b, n - 1) for a, (b, n) in ways)
+
+    want = sum(-best(token_counts.MARK + w)[1] for w in text.encode().split())
+    docs = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string").withColumn("n_tokens", F.lit("x"))
+    assert [(r.doc_id, r.n_tokens) for r in token_counts.counted(docs, TOKENIZER).collect()] == [(1, want)] * 2
+
+
+def test_templates_that_are_no_links_make_no_pairs(spark):
+    base, rows = words(100, 4), []
+    for i in range(2000):
+        w = list(base)
+        for k in (20, 50, 80):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = near_dedup.stage(docs.mapInArrow(near_dedup._sets, "rep long, set long, own array<long>, parity array<long>").select("rep", "set", F.col("rep").alias("label")), "nodes")
+    held = near_dedup._held(docs, nodes, False)
+    assert near_dedup.rare_pairs(nodes, held).count() == 0
+
+
 def test_html_rendering():
     page = """<html><head><title>T &amp; x</title><style>p{}</style></head><body>Hi <b>bold</b> x<p>One<p>Two<ul><li>a<li>b<ul><li>c</ul><li>d</ul>
 <ol start=3><li>x<li>y</ol><table><tr><th>Name<th>N<tr><td>Anna<td>1<tr><td>Bo<td>22</table><div hidden>no</div><div style="display: none">no</div><pre>a
