@@ -565,6 +565,16 @@ def pair_score(s, d):
     return _scores(s, d)
 
 
+#: The greedy assignment, one pair after the other.
+_SCORES = ORACLE_SQL["pair_score"]
+_ASSIGNED = f"""WITH RECURSIVE scores AS MATERIALIZED ({_SCORES}), greedy AS (
+    SELECT []::VARCHAR[] AS keys, []::VARCHAR[] AS names, NULL::STRUCT(s DOUBLE, k VARCHAR, n VARCHAR) AS pick, 0 AS i
+    UNION ALL SELECT list_append(keys, pick.k), list_append(names, pick.n), pick, i FROM (SELECT keys, names, i + 1 AS i, (SELECT min({{'s': -score, 'k': key, 'n': name}}) FROM scores WHERE NOT list_contains(keys, key) AND NOT list_contains(names, name)) AS pick FROM greedy) WHERE pick IS NOT NULL),
+  assigned AS MATERIALIZED (SELECT pick.k AS key, pick.n AS name, -pick.s AS score FROM greedy WHERE i > 0),
+  rivals AS (SELECT s.key FROM scores s JOIN assigned a ON a.key = s.key AND a.name <> s.name LEFT JOIN assigned o ON o.name = s.name WHERE NOT a.score - s.score >= 0.1 - 1e-9 AND NOT coalesce(o.score - s.score >= 0.1 - 1e-9, false)
+    UNION SELECT w.key FROM scores s JOIN assigned w ON w.name = s.name AND w.key <> s.key LEFT JOIN assigned o ON o.key = s.key WHERE NOT w.score - s.score >= 0.1 - 1e-9 AND NOT coalesce(o.score - s.score >= 0.1 - 1e-9, false)) """
+
+
 @query()
 def assign_one_to_one(s, d):
     return linkage.assign_one_to_one(_scores(s, d))
@@ -575,6 +585,13 @@ def match_suggestions(s, d):
     return linkage.match_suggestions(_paper_rows(s, d), _scores(s, d))
 
 
+ORACLE_SQL["assign_one_to_one"] = _ASSIGNED + "SELECT * FROM assigned"
+ORACLE_SQL["match_suggestions"] = _ASSIGNED + (
+    "SELECT item_id::VARCHAR AS key, CASE WHEN band <> 'none' THEN name END AS name, CASE WHEN contested AND band IN ('high', 'medium') THEN 'low' ELSE band END AS confidence FROM (SELECT item_id, name, item_id::VARCHAR IN (SELECT key FROM rivals) AS contested, "
+    "CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.5 THEN 'medium' WHEN score >= 0.25 THEN 'low' ELSE 'none' END AS band FROM benchmark LEFT JOIN assigned ON key = item_id::VARCHAR)"
+)
+
+
 # Audit
 
 
@@ -637,12 +654,19 @@ def export_manifest(s, d):
     return sheets.export_manifest(table(s, d, "documents").select(path.alias("path"), F.col("text").alias("content")))
 
 
-@query("SELECT v.source_pdf, list(row_id ORDER BY ordinal) AS row_ids, 'Rules.' || chr(10) || chr(10) || 'Book.' || chr(10) || chr(10) || 'Rows: ' || count(*) || chr(10) || chr(10) || string_agg('- ' || row_id || ': ' || CASE WHEN locator = '' THEN '(none)' ELSE locator END, chr(10) ORDER BY ordinal) || chr(10) || chr(10) || any_value(text) AS prompt FROM valid v JOIN uploaded ON name = source_pdf GROUP BY v.source_pdf", _JUDGED)
+_REQUESTS = "SELECT v.source_pdf, list(row_id ORDER BY ordinal) AS row_ids, 'Rules.' || chr(10) || chr(10) || 'Book.' || chr(10) || chr(10) || 'Rows: ' || count(*) || chr(10) || chr(10) || string_agg('- ' || row_id || ': ' || CASE WHEN locator = '' THEN '(none)' ELSE locator END, chr(10) ORDER BY ordinal) || chr(10) || chr(10) || any_value(text) AS prompt FROM valid v JOIN uploaded ON name = source_pdf GROUP BY v.source_pdf"
+
+
+@query(_REQUESTS, _JUDGED)
 def build_requests(s, d):
     return requests.build_requests(_valid(s, d), view(s, d, "uploaded"), "Rules.", "Book.")
 
 
-@query()
+@query(
+    f"SELECT source_pdf, CASE WHEN refused THEN 'error' ELSE 'received' END AS status, CASE WHEN NOT refused THEN array_to_string(list_transform(row_ids, lambda x: x || '=' || stars), ',') END AS raw, CASE WHEN refused THEN 'ValueError: refused' END AS error, CASE WHEN refused THEN 3 ELSE 1 END AS attempts "
+    f"FROM (SELECT *, contains(prompt, 'worthless') AS refused, (length(prompt) - length(replace(prompt, '***', ''))) // 3 AS stars FROM ({_REQUESTS}))",
+    _JUDGED,
+)
 def annotate_documents(s, d):
     """A keyword coder over every request: deterministic, and failing where a text is toxic."""
 
@@ -799,6 +823,9 @@ def contested_demotion(s, d):
     return linkage.contested_demotion(scores, linkage.assign_one_to_one(scores))
 
 
+ORACLE_SQL["contested_demotion"] = _ASSIGNED + "SELECT key, key IN (SELECT key FROM rivals) AS contested FROM assigned"
+
+
 @query()
 def incremental_pair_scores(s, d):
     papers, signals = _paper_rows(s, d), _signals(s, d)
