@@ -40,11 +40,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = row_key("doc_id", "text")
     found = stage(near_dedup.near_duplicates(docs.select(key.alias("doc_id"), "text")).where("n_shingles > 0"), "groups")
     rows = found.groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
-    groups = rows.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id")
-    members = rows.join(groups, "component_id").select(F.col("doc_id").alias("_key"), "component_id")
+    groups = stage(rows.groupBy("component_id").agg(F.count("*").alias("m")).where("m > 1").select("component_id"), "several")
+    # staged and counted: a group may hold a large part of the rows, and is either sent few names or split when joined
+    few = F.broadcast if groups.count() <= BROADCAST_IDS else lambda df: df
+    members = rows.join(few(groups), "component_id").select(F.col("doc_id").alias("_key"), "component_id")
     members = stage(members.join(docs.select(key.alias("_key"), "doc_id").distinct(), "_key"), "members")
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
-    others = members.join(first, "component_id").where(F.col("_key") != F.col("first._key")).select("_key")
+    first = stage(members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first")), "first")
+    others = members.join(few(first), "component_id").where(F.col("_key") != F.col("first._key")).select("_key")
     out = without_keys(docs, key, others)
     return one_row_each(out, key, rows.where("n > 1").select("doc_id"))
 
