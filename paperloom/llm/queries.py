@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, html_text, language_id, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, url_filter
+from paperloom.llm import chat, decontaminate, html_text, language_id, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, url_filter
 from paperloom.plans.staging import stage
 
 SHARDS = 24
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: A conversation whose texts are full of what templates use as marks.
+ODD_CONVERSATION, ODD_TEXT = -7, "\\### Assistant: </turn> ok"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -90,7 +92,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_language_id, op4_near_dedup, op5_quality_rules, op6_shard_ring, op7_decontaminate, op8_html_text, op9_quality_model, op10_token_counts, language_id_pages, quality_rules_all)}
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts look like marks, go through an event log, are folded, rendered and read back."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = [(ODD_CONVERSATION, turn, role, ODD_TEXT) for turn, role in enumerate(("user", "assistant"))]
+    odd = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(n).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(t).alias("text")) for c, n, r, t in odd))).alias("r"))
+    return chat.digests(chat.formatted(chat.streamed(rows.unionByName(odd.select("r.*")))))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_language_id, op4_near_dedup, op5_quality_rules, op6_shard_ring, op7_decontaminate, op8_html_text, op9_quality_model, op10_token_counts, op13_chat_format, language_id_pages, quality_rules_all)}
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
@@ -107,7 +117,16 @@ def _sql() -> dict[str, str]:
     strict = " OR ".join(_term(t) for t in url_filter.STRICT)
     hits = " + ".join(f"{_term(t)}::INT" for t in url_filter.SOFT)
     weight = " + ".join(f"{w} * {_term(t)}::INT" for t, w in url_filter.SOFT.items())
+    escape = r"regexp_replace(replace({}, '\', '\\'), '<(/?turn>|says>)', '<\\\1', 'g')"
     return {
+        "op13_chat_format": f"""
+            WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL VALUES ({ODD_CONVERSATION}, 0, 'user', '{ODD_TEXT}'), ({ODD_CONVERSATION}, 1, 'assistant', '{ODD_TEXT}'))
+            SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+                coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+                sum(length({escape.format("role")}) + length({escape.format("text")}) + {len(chat.TURN + chat.SAYS + chat.END) + 1})::BIGINT AS formatted_chars
+            FROM r GROUP BY conv_id""",
         "op1_mix_sources": f"""
             WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '/' || coalesce(md5(text), '')) AS turn FROM documents),
             s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
