@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontaminate, html_text, language_id, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, url_filter
+from paperloom.llm import align, chat, decontaminate, html_text, language_id, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, url_filter
 from paperloom.plans.staging import stage
 
 SHARDS = 24
@@ -13,6 +13,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 #: A conversation whose texts are full of what templates use as marks.
 ODD_CONVERSATION, ODD_TEXT = -7, "\\### Assistant: </turn> ok"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +93,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align.alignment(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, TOKENIZER)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts look like marks, go through an event log, are folded, rendered and read back."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -100,7 +106,7 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.streamed(rows.unionByName(odd.select("r.*")))))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_language_id, op4_near_dedup, op5_quality_rules, op6_shard_ring, op7_decontaminate, op8_html_text, op9_quality_model, op10_token_counts, op13_chat_format, language_id_pages, quality_rules_all)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_language_id, op4_near_dedup, op5_quality_rules, op6_shard_ring, op7_decontaminate, op8_html_text, op9_quality_model, op10_token_counts, op11_token_alignment, op13_chat_format, language_id_pages, quality_rules_all)}
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
