@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import align, chat, decontaminate, html_text, language_id, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, url_filter
+from paperloom.llm import align, chat, decontaminate, html_text, language_id, mixing, near_dedup, negatives, quality_model, quality_rules, sharding, token_counts, url_filter
 from paperloom.plans.staging import stage
 
 SHARDS = 24
@@ -98,6 +98,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 100; a seventh of the rows have another label than theirs."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts look like marks, go through an event log, are folded, rendered and read back."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -106,7 +112,7 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.streamed(rows.unionByName(odd.select("r.*")))))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_language_id, op4_near_dedup, op5_quality_rules, op6_shard_ring, op7_decontaminate, op8_html_text, op9_quality_model, op10_token_counts, op11_token_alignment, op13_chat_format, language_id_pages, quality_rules_all)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_language_id, op4_near_dedup, op5_quality_rules, op6_shard_ring, op7_decontaminate, op8_html_text, op9_quality_model, op10_token_counts, op11_token_alignment, op12_hard_negatives, op13_chat_format, language_id_pages, quality_rules_all)}
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
@@ -125,6 +131,14 @@ def _sql() -> dict[str, str]:
     weight = " + ".join(f"{w} * {_term(t)}::INT" for t, w in url_filter.SOFT.items())
     escape = r"regexp_replace(replace({}, '\', '\\'), '<(/?turn>|says>)', '<\\\1', 'g')"
     return {
+        "op12_hard_negatives": """
+            WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+                WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT a.vec_id AS anchor_id, a.label AS a_label, b.vec_id, b.label, list_dot_product(a.q, b.q)::BIGINT AS score FROM r a JOIN r b ON true WHERE a.vec_id % 100 = 0),
+            p AS (SELECT anchor_id, a_label, vec_id AS positive_id, score AS positive_score FROM s WHERE label = a_label AND vec_id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+            SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.a_label AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+            QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5""",
         "op13_chat_format": f"""
             WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                 UNION ALL VALUES ({ODD_CONVERSATION}, 0, 'user', '{ODD_TEXT}'), ({ODD_CONVERSATION}, 1, 'assistant', '{ODD_TEXT}'))

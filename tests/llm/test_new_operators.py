@@ -1,13 +1,15 @@
 """Chat formatting, alignment of tokenizers and hard negatives, against brute force."""
 
 import hashlib
+import math
 import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from paperloom.llm import align, chat
+from paperloom.llm import align, chat, negatives
 from paperloom.llm.queries import BYTE_TOKENIZER, QUERIES, TOKENIZER
 from sqlcheck import SF
 
@@ -162,3 +164,68 @@ def test_a_very_long_text_is_aligned_whole(spark):
     text = " ".join(f"word{i % 977} é" for i in range(100_000))
     row = align.alignment(spark.createDataFrame([(1, text, "x", "y", 1)], DOCS), BYTE_TOKENIZER, TOKENIZER).first()
     assert row.n_groups == row.n_links > 200_000 and row.n_best > 0
+
+
+# --- hard negatives ---------------------------------------------------------------------------------------------------
+
+VECTORS = "vec_id long, label int, embedding array<float>, q string, cell int, ids string"
+
+
+def plain_negatives(rows):
+    """Every anchor against every row."""
+    kept = {(i, lab, tuple(math.floor(256 * float(x)) for x in v)) for i, lab, v in rows if i is not None and lab is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    out = []
+    for i, lab, v in kept:
+        if i % 100 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), j, other) for j, other, w in kept)
+            mine = [(-s, j) for s, j, other in scored if other == lab and j != i][:5]
+            for ps, p in mine:
+                window = [(-s, j) for s, j, other in scored if other != lab and 80 * ps <= -100 * s <= 100 * ps][:5]
+                out += [(i, p, k + 1, j, ps, s) for k, (s, j) in enumerate(window)]
+    return sorted(out)
+
+
+def mined(spark, rows):
+    df = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], VECTORS)
+    return sorted(tuple(r) for r in negatives.hard_negatives(df).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())
+
+
+@pytest.mark.parametrize(("seed", "first", "block"), [(1, 2048, 1024), (2, 40, 16), (3, 1, 8)])
+def test_hard_negatives_equal_brute_force(spark, monkeypatch, seed, first, block):
+    """Clustered vectors, ties, copies with one label and with several, negative scores, wrong rows; small legs and blocks."""
+    monkeypatch.setattr(negatives, "FIRST", first)
+    monkeypatch.setattr(negatives, "BLOCK", block)
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, 5))
+    rows = [(int(i * 10), int(rng.integers(3)), [float(x) for x in np.float32(centres[rng.integers(6)] + 0.2 * rng.normal(size=5))]) for i in range(400)]
+    rows += [(5000 + k * 50, k % 2, rows[0][2]) for k in range(40)] + [(9000, 7, [1.0] * 5), (9001, 0, [0.0] * 5), (9100, 0, [0.0] * 5), (9200, 1, [0.5, -0.25])]
+    rows += rows[:5] + [(100, 1, rows[3][2])]
+    rows += [(None, 1, [1.0] * 5), (9300, None, [1.0] * 5), (9400, 1, None), (9500, 1, [1.0, None, 1.0, 1.0, 1.0]), (9600, 1, [float("nan")] * 5), (9700, 1, [float("inf")] * 5)]
+    assert mined(spark, rows) == plain_negatives(rows)
+
+
+def test_hard_negatives_of_small_and_empty_tables(spark):
+    assert mined(spark, []) == mined(spark, [(100, 1, [1.0])]) == mined(spark, [(0, 1, []), (1, 2, [])]) == []
+    rows = [(0, 1, []), (1, 1, []), (2, 2, [1.0])]
+    assert mined(spark, rows) == plain_negatives(rows) == [(0, 1, 1, 2, 0, 0)]
+    large = [(0, 1, [1e5, 1.0]), (1, 1, [1e5, 2.0]), (2, 2, [9e4, 3.0]), (3, 2, [9e4 + 0.25, 3.0])]
+    assert mined(spark, large) == plain_negatives(large) != []
+
+
+def test_the_walk_bounds_every_row(spark):
+    """No row scores above its cell's bound, nor above the sum at which the walk reaches the cell; sums fall; all cells come."""
+    rng = np.random.default_rng(4)
+    q = rng.integers(-200, 200, size=(500, 6))
+    df = spark.createDataFrame([(int(i % 3), [int(x) for x in v], [i]) for i, v in enumerate(q)], "label int, q array<long>, ids array<long>")
+    index, blocks = negatives.build(df)
+    cell_of = {int(r.cell): [] for r in blocks.select("cell").collect()}
+    for r in blocks.collect():
+        cell_of[r.cell] += [v for v in np.frombuffer(bytes(r.vectors), index.kept).reshape(-1, 6)]
+    assert sum(map(len, cell_of.values())) == 500
+    for query in q[:20]:
+        steps = list(negatives.walk(index, query))
+        assert sorted(c for _, c, _ in steps) == sorted(cell_of)
+        assert all(a[0] >= b[0] for a, b in zip(steps, steps[1:]))
+        assert all(v.astype(int) @ query <= min(total, own) for total, cell, own in steps for v in cell_of[cell])
+        both = negatives.leg(index, query, 1000, False) + negatives.leg(index, query, 1000, True)
+        assert len(set(both)) == len(both) and {c for _, c, own in steps if any(v.astype(int) @ query >= 1000 for v in cell_of[c])} <= set(both)
