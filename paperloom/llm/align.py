@@ -2,8 +2,9 @@
 
 Tokenizer A (byte-level BPE, a tokenizers file) spells a blank and the text, tokenizer B (a sentencepiece file) the text, before which
 it puts a blank itself; special tokens' strings are plain text. The cumulative byte ends of each become a dictionary
-from end to index; the ends that both dictionaries have, sorted, slice both lists of ids into groups, and the last
-tokens of a group's slices, whose ranges end together, are linked.
+from end to index, as an array in which an end is its own hash; the ends that both dictionaries have, sorted, slice both
+lists of ids into groups, and the last tokens of a group's slices, whose ranges end together, are linked. All texts of a
+block are laid end to end, so that few array operations do it.
 
 Tokens that end together are one the end of the other, so the two vocabularies bound the number of different linked pairs
 (``Tokenizers.bound``, 324,297 for the public files): tables of pair counts are small at any size of the corpus, and are
@@ -21,19 +22,20 @@ import hashlib
 import json
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.blocks import BLOCK_BYTES
 from paperloom.plans.staging import stage
 
 #: Fixed value: how byte-level BPE of this kind cuts texts before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Rows of a batch that a task returns together.
-ROWS = 512
 NO_GROUPS = ""
 
 
@@ -44,6 +46,51 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Pieces:
+    """A vocabulary's bytes, one piece after the other."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.begin, self.data = self.size.cumsum() - self.size, np.frombuffer(b"".join(pieces), np.uint8)
+
+
+class Tokens(NamedTuple):
+    """Tokens of a block of texts: ``ids``, ``first`` token of each text (and the end)."""
+
+    pieces: Pieces
+    ids: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, pieces: Pieces, texts: list[list[int]]) -> Tokens:
+        first = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+        return cls(pieces, np.fromiter(chain.from_iterable(texts), np.int64, int(first[-1])), first)
+
+    @property
+    def ends(self) -> np.ndarray:
+        return self.pieces.size[self.ids].cumsum()
+
+    def bytes_each(self) -> np.ndarray:
+        return np.diff(np.concatenate(([0], self.ends))[self.first])
+
+    def spelled(self) -> np.ndarray:
+        """The bytes of all tokens."""
+        size = self.pieces.size[self.ids]
+        at = np.repeat(self.pieces.begin[self.ids] - (size.cumsum() - size), size)
+        return self.pieces.data[at + np.arange(len(at))]
+
+    def only(self, kept: np.ndarray) -> Tokens:
+        """The tokens of some of the texts."""
+        n = np.diff(self.first)
+        return Tokens(self.pieces, self.ids[np.repeat(kept, n)], np.concatenate(([0], n[kept].cumsum())))
+
+    def spread(self, places: np.ndarray, n: int) -> Tokens:
+        """The same texts at their places among ``n``; the others have no tokens."""
+        each = np.zeros(n, np.int64)
+        each[places] = np.diff(self.first)
+        return Tokens(self.pieces, self.ids, np.concatenate(([0], each.cumsum())))
+
+
 class Tokenizers:
     """Both tokenizers, and the bytes of their tokens by id."""
 
@@ -63,8 +110,10 @@ class Tokenizers:
         for piece, i in vocabulary.items():
             self.a_bytes[i] = piece
         self.b_bytes = [self._piece(i) for i in range(self._b.vocab_size())]
-        self._sizes = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
-        self._names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.a, self.b = Pieces(self.a_bytes), Pieces(self.b_bytes)
+        names = [str(i)[::-1] for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        #: decimal digits of each id, the last first, and how many there are
+        self._digits = np.array([list(n.ljust(len(names[-1])).encode()) for n in names], np.uint8), np.array(list(map(len, names)))
 
     def __reduce__(self) -> tuple:
         return Tokenizers, self._paths
@@ -82,29 +131,67 @@ class Tokenizers:
         within = lambda one, other, first: sum(n * other[x[i:]] for x, n in one.items() for i in range(first, len(x)))
         return within(a, b, 0) + within(b, a, 1)
 
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of A and of B, or none where either spells other bytes than a blank and the text."""
-        if not text:
-            return [], []
-        a, b, spelled = self._a.encode_ordinary(f" {text}"), self._b.encode(text), f" {text}".encode()
-        same = b"".join(map(self.a_bytes.__getitem__, a)) == spelled and b"".join(map(self.b_bytes.__getitem__, b)) == spelled
-        return (a, b) if same else ([], [])
-
-    def groups(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-        """The indices after each group's last token, in A and in B."""
-        ends_a = dict(zip(accumulate(map(self._sizes[0].__getitem__, a)), range(1, len(a) + 1)))
-        ends_b = dict(zip(accumulate(map(self._sizes[1].__getitem__, b)), range(1, len(b) + 1)))
-        common = sorted(ends_a.keys() & ends_b.keys())
-        return list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common))
-
-    def spelled(self, a: list[int], b: list[int], to_a: list[int], to_b: list[int]) -> str:
-        """The groups as text: decimal ids, ``a1,a2|b1;a3|b2,b3``."""
-        a, b = list(map(self._names.__getitem__, a)), list(map(self._names.__getitem__, b))
-        out, i, j = [], 0, 0
-        for k, m in zip(to_a, to_b):
-            out.append(f"{a[i] if k == i + 1 else ','.join(a[i:k])}|{b[j] if m == j + 1 else ','.join(b[j:m])}")
-            i, j = k, m
-        return ";".join(out)
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and of B for each text."""
+        return [self._a.encode_ordinary(f" {t}") for t in texts], self._b.encode(texts, num_threads=1) if texts else []
+
+    def aligned(self, texts: list[str | None]) -> tuple[Tokens, Tokens, np.ndarray, np.ndarray]:
+        """Tokens of A and of B of a block of texts, and the indices behind each group's last token in both. Texts that
+        either spells with other bytes have none."""
+        spoken = [t or "" for t in texts]
+        some = [i for i, t in enumerate(spoken) if t]
+        ids = self.encode([spoken[i] for i in some])
+        data = [f" {spoken[i]}".encode() for i in some]
+        both = [Tokens.of(p, x) for p, x in zip((self.a, self.b), ids)]
+        want = np.fromiter(map(len, data), np.int64, len(data))
+        right = (both[0].bytes_each() == want) & (both[1].bytes_each() == want)
+        if not right.all():
+            both, data, want = [t.only(right) for t in both], [d for d, r in zip(data, right) if r], want[right]
+        some, whole = np.array(some, np.int64)[right], np.frombuffer(b"".join(data), np.uint8)
+        wrong = np.flatnonzero((both[0].spelled() != whole) | (both[1].spelled() != whole))
+        if len(wrong):
+            right = np.ones(len(data), bool)
+            right[np.searchsorted(want.cumsum(), wrong, side="right")] = False
+            both, some = [t.only(right) for t in both], some[right]
+        both = [t.spread(some, len(texts)) for t in both]
+        # dictionaries from end to index; an end is its own place in them
+        ends = [np.zeros(int(t.ends[-1]) + 1 if len(t.ids) else 1, np.int64) for t in both]
+        for index, t in zip(ends, both):
+            index[t.ends] = np.arange(1, len(t.ids) + 1)
+        common = np.flatnonzero((ends[0] > 0) & (ends[1] > 0))
+        return *both, ends[0][common], ends[1][common]
+
+    def spelled(self, a: Tokens, b: Tokens, to_a: np.ndarray, to_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The groups of all texts as ASCII, ``a1,a2|b1;a3|b2,b3;``, and where each text's begin (and the end)."""
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        place_a = np.arange(len(a.ids)) + np.repeat(to_b - n_b, n_a)
+        place_b = np.arange(len(b.ids)) + np.repeat(to_a, n_b)
+        ids, mark = np.zeros(len(a.ids) + len(b.ids), np.int64), np.full(len(a.ids) + len(b.ids), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a.ids, b.ids
+        mark[place_a[to_a - 1]], mark[place_b[to_b - 1]] = ord("|"), ord(";")
+        size = self._digits[1][ids]
+        ends = np.cumsum(size + 1)
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+        out[ends - 1] = mark
+        for k in range(1, int(size.max(initial=0)) + 1):
+            has = np.flatnonzero(size >= k)
+            out[ends[has] - 1 - k] = self._digits[0][ids[has], k - 1]
+        return out, np.concatenate(([0], ends))[a.first + b.first]
+
+    def rows(self, texts: list[str | None]) -> list[pa.Array]:
+        """What is kept of each text: numbers of tokens, groups and links, the groups' digest, distinct linked pairs and how
+        often they are linked. No token of the public vocabularies is empty, so each group has one link: that of its last tokens."""
+        a, b, to_a, to_b = self.aligned(texts)
+        text = np.searchsorted(a.first, to_a, side="left") - 1
+        n_groups = np.bincount(text, minlength=len(texts))
+        width, pairs = len(self.b_bytes), len(self.a_bytes) * len(self.b_bytes)
+        keys, times = np.unique(text * pairs + a.ids[to_a - 1] * width + b.ids[to_b - 1], return_counts=True)
+        at = np.searchsorted(keys, np.arange(len(texts) + 1) * pairs)
+        marks, begin = self.spelled(a, b, to_a, to_b)
+        said = marks.tobytes()
+        digests = [hashlib.sha256(said[i : j - 1]).hexdigest() if j > i else NO_GROUPS for i, j in zip(begin.tolist(), begin[1:].tolist())]
+        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v, pa.int32())) for v in (keys % pairs // width, keys % width, times)]
+        return [*(pa.array(v, pa.int64()) for v in (np.diff(a.first), np.diff(b.first), n_groups, n_groups)), pa.array(digests, pa.string()), *lists]
 
 
 _loaded: dict[tuple[str, str], Tokenizers] = {}
@@ -122,29 +209,32 @@ _COLUMNS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 strin
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and the distinct linked pairs with their numbers: a_ids, b_ids,
-    times), staged. No token of the public vocabularies is empty, so each group has one link: that of its last tokens."""
+    times), staged."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, schema = tokenizers(a_path, b_path), None
-        width = len(both.b_bytes)
         for batch in batches:
             schema = schema or pa.schema([batch.schema.field("doc_id"), *_fields()])
-            for low in range(0, len(batch), ROWS):
-                part = batch.slice(low, ROWS)
-                out = [[] for _ in _fields()]
-                for text in part.column("text"):
-                    a, b = both.encode(text.as_py())
-                    to_a, to_b = both.groups(a, b)
-                    pairs, times = np.unique(np.array([a[i - 1] for i in to_a], dtype=np.int64) * width + np.array([b[i - 1] for i in to_b], dtype=np.int64), return_counts=True)
-                    digest = hashlib.sha256(both.spelled(a, b, to_a, to_b).encode()).hexdigest() if a else NO_GROUPS
-                    for column, value in zip(out, (len(a), len(b), len(to_a), len(to_a), digest, pairs // width, pairs % width, times)):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(out, _fields()))], schema=schema)
+            for part in _blocks(batch):
+                # copies in a block are aligned once
+                texts = pc.dictionary_encode(part.column("text"), null_encoding="encode")
+                found = both.rows(texts.dictionary.to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(c.take(texts.indices) for c in found)], schema=schema)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return stage(docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, {_COLUMNS}"), "aligned")
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about a block's bytes, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(batch):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BLOCK_BYTES, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _fields() -> list[pa.Field]:
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     return [pa.field(*(name, kinds[kind])) for name, kind in (c.split(" ") for c in _COLUMNS.split(", "))]
