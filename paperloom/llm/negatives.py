@@ -11,8 +11,9 @@ Positives are searched first, then the windows below them.
 Rows of one label and vector are one point with its six smallest ids: of equal scores no more can come first (five, and the
 anchor itself). Anchors of one label and vector are one query. Cells are cut into blocks of about ``BLOCK`` points by a hash,
 queries travel in blocks of up to ``QUERIES``, and a task scores a block of one with a block of the other by one product
-of matrices. Codebooks are fitted on a hashed sample of about ``SAMPLE`` points; all rows are indexed. The cells'
-directory (``CODEWORDS`` squared rows at most) is the only thing that goes to the driver, beside the sample.
+of matrices. Codebooks are fitted on a hashed sample of about ``SAMPLE`` points; all rows are indexed. They have as many
+codewords as make cells of about ``CELL`` points, ``CODEWORDS`` at most, so that a product of matrices is worth its
+call. The cells' directory (``CODEWORDS`` squared rows at most) is the only thing that goes to the driver, beside the sample.
 
 Defined cases: rows with a null id, label or vector, or with a null or non-finite component, take no part; shorter vectors
 count as filled up with zeros; rows equal in id, label and vector are one; of rows that share an id none is a positive of
@@ -23,6 +24,7 @@ Scores must fit into a long, else an error says so.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from paperloom.plans.staging import discard, stage
 
-CODEWORDS, SAMPLE, ROUNDS = 64, 20_000, 8
+CODEWORDS, CELL, SAMPLE, ROUNDS = 256, 512, 20_000, 8
 BLOCK, QUERIES, FIRST = 1_024, 256, 2_048
 POSITIVES, NEGATIVES = 5, 5
 #: A negative scores between 80 and 100 per cent of the positive.
@@ -76,7 +78,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def codebook(sample: np.ndarray, size: int = CODEWORDS, rounds: int = ROUNDS) -> np.ndarray:
+def codebook(sample: np.ndarray, size: int, rounds: int = ROUNDS) -> np.ndarray:
     """Codewords of half vectors by k-means, from evenly spaced distinct rows of the sample."""
     distinct = np.unique(sample, axis=0).astype(np.float64) if sample.size else np.zeros((1, sample.shape[1]))
     codes = distinct[np.linspace(0, len(distinct) - 1, min(size, len(distinct))).astype(np.int64)]
@@ -119,7 +121,8 @@ def build(found: DataFrame) -> tuple[Index, DataFrame] | None:
     halves = (width + 1) // 2, width // 2
     share = F.pmod(F.xxhash64("label", "q"), F.lit(1_000_003)) < F.lit(int(1_000_003 * min(1, SAMPLE / about.n)) + 1)
     sample = _matrix(found.where(share).select("q").limit(2 * SAMPLE).toArrow().column("q").combine_chunks(), width)
-    codes = codebook(sample[:, : halves[0]]), codebook(sample[:, halves[0] :])
+    size = min(CODEWORDS, math.ceil(math.sqrt(about.n / CELL)))
+    codes = codebook(sample[:, : halves[0]], size), codebook(sample[:, halves[0] :], size)
     rows = stage(_indexed(found, halves, codes), "indexed")
     cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("r1").alias("r1"), F.max("r2").alias("r2")).toArrow()
     shape = len(codes[0]), len(codes[1])

@@ -195,6 +195,7 @@ def test_hard_negatives_equal_brute_force(spark, monkeypatch, seed, first, block
     """Clustered vectors, ties, copies with one label and with several, negative scores, wrong rows; small legs and blocks."""
     monkeypatch.setattr(negatives, "FIRST", first)
     monkeypatch.setattr(negatives, "BLOCK", block)
+    monkeypatch.setattr(negatives, "CELL", block // 8)
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(6, 5))
     rows = [(int(i * 10), int(rng.integers(3)), [float(x) for x in np.float32(centres[rng.integers(6)] + 0.2 * rng.normal(size=5))]) for i in range(400)]
@@ -212,8 +213,9 @@ def test_hard_negatives_of_small_and_empty_tables(spark):
     assert mined(spark, large) == plain_negatives(large) != []
 
 
-def test_the_walk_bounds_every_row(spark):
+def test_the_walk_bounds_every_row(spark, monkeypatch):
     """No row scores above its cell's bound, nor above the sum at which the walk reaches the cell; sums fall; all cells come."""
+    monkeypatch.setattr(negatives, "CELL", 4)
     rng = np.random.default_rng(4)
     q = rng.integers(-200, 200, size=(500, 6))
     df = spark.createDataFrame([(int(i % 3), [int(x) for x in v], [i]) for i, v in enumerate(q)], "label int, q array<long>, ids array<long>")
