@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -548,7 +549,7 @@ def _signals(s, d):
 
 
 def _scores(s, d):
-    return linkage.pair_score(_paper_rows(s, d), _signals(s, d))
+    return linkage.containment_score(_paper_rows(s, d), _signals(s, d))
 
 
 _ALL = r"regexp_extract_all(" + _SPLIT.format("lower({})") + r", '[\p{{L}}\p{{N}}]+')"
@@ -561,12 +562,30 @@ _ALL = r"regexp_extract_all(" + _SPLIT.format("lower({})") + r", '[\p{{L}}\p{{N}
     r AS (SELECT key, name, least(1.0, m / n + CASE WHEN py = sy THEN 0.15 ELSE 0.0 END) AS raw, py, sy FROM m)
     SELECT * FROM (SELECT key, name, CASE WHEN py <> sy THEN least(raw, 0.4) ELSE raw END AS score FROM r) WHERE score >= 0.25"""
 )
-def pair_score(s, d):
+def containment_score(s, d):
+    """Scores without near misses. What rests on scores is checked on these, which SQL can say."""
     return _scores(s, d)
 
 
+@query()
+def pair_score(s, d):
+    """All pairs with the whole formula. Its similarity of words is none of SQL's; tests compare it with plain loops."""
+    return linkage.pair_score(_paper_rows(s, d), _signals(s, d))
+
+
+def _named(suggestions):
+    """Candidates by their names alone."""
+    return suggestions.withColumn("candidates", F.transform("candidates", lambda c: c["name"]))
+
+
+@query()
+def near_miss_suggestions(s, d):
+    """Suggestions from the whole formula, with the documents that come next."""
+    return _named(linkage.match_suggestions(_paper_rows(s, d), linkage.pair_score(_paper_rows(s, d), _signals(s, d))))
+
+
 #: The greedy assignment, one pair after the other.
-_SCORES = ORACLE_SQL["pair_score"]
+_SCORES = ORACLE_SQL["containment_score"]
 _ASSIGNED = f"""WITH RECURSIVE scores AS MATERIALIZED ({_SCORES}), greedy AS (
     SELECT []::VARCHAR[] AS keys, []::VARCHAR[] AS names, NULL::STRUCT(s DOUBLE, k VARCHAR, n VARCHAR) AS pick, 0 AS i
     UNION ALL SELECT list_append(keys, pick.k), list_append(names, pick.n), pick, i FROM (SELECT keys, names, i + 1 AS i, (SELECT min({{'s': -score, 'k': key, 'n': name}}) FROM scores WHERE NOT list_contains(keys, key) AND NOT list_contains(names, name)) AS pick FROM greedy) WHERE pick IS NOT NULL),
@@ -582,13 +601,14 @@ def assign_one_to_one(s, d):
 
 @query()
 def match_suggestions(s, d):
-    return linkage.match_suggestions(_paper_rows(s, d), _scores(s, d))
+    return _named(linkage.match_suggestions(_paper_rows(s, d), _scores(s, d)))
 
 
 ORACLE_SQL["assign_one_to_one"] = _ASSIGNED + "SELECT * FROM assigned"
 ORACLE_SQL["match_suggestions"] = _ASSIGNED + (
-    "SELECT item_id::VARCHAR AS key, CASE WHEN band <> 'none' THEN name END AS name, CASE WHEN contested AND band IN ('high', 'medium') THEN 'low' ELSE band END AS confidence FROM (SELECT item_id, name, item_id::VARCHAR IN (SELECT key FROM rivals) AS contested, "
-    "CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.5 THEN 'medium' WHEN score >= 0.25 THEN 'low' ELSE 'none' END AS band FROM benchmark LEFT JOIN assigned ON key = item_id::VARCHAR)"
+    ", c AS (SELECT key, list(name ORDER BY score DESC, name) AS candidates FROM (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, name) <= 10) GROUP BY key) "
+    "SELECT item_id::VARCHAR AS key, coalesce(candidates, []) AS candidates, CASE WHEN band <> 'none' THEN name END AS name, CASE WHEN contested AND band IN ('high', 'medium') THEN 'low' ELSE band END AS confidence FROM (SELECT item_id, name, candidates, item_id::VARCHAR IN (SELECT key FROM rivals) AS contested, "
+    "CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.5 THEN 'medium' WHEN score >= 0.25 THEN 'low' ELSE 'none' END AS band FROM benchmark LEFT JOIN assigned ON key = item_id::VARCHAR LEFT JOIN c ON c.key = item_id::VARCHAR)"
 )
 
 
@@ -814,7 +834,7 @@ def safe_document_name(s, d):
     return table(s, d, "part").withColumn("r", tx.safe_document_name(given)).select(id_.alias("id"), "r.name", "r.error")
 
 
-_PAIRS = ORACLE_SQL["pair_score"]
+_PAIRS = ORACLE_SQL["containment_score"]
 
 
 @query()
@@ -828,11 +848,14 @@ ORACLE_SQL["contested_demotion"] = _ASSIGNED + "SELECT key, key IN (SELECT key F
 
 @query()
 def incremental_pair_scores(s, d):
+    """Half of the papers and two thirds of the documents are scored in advance; another version's scores must not count."""
     papers, signals = _paper_rows(s, d), _signals(s, d)
-    none = s.createDataFrame([], "paper_hash string, signal_hash string, score double")
-    _, stored = linkage.incremental_pair_scores(papers.where("cast(key as long) % 2 = 0"), signals.where("cast(name as long) % 3 <> 0"), none, none, none)
-    stored = staging.stage(stored, "stored")
-    return linkage.incremental_pair_scores(papers, signals, stored, stored, stored)[0]
+    none = s.createDataFrame([], "paper_hash string, signal_hash string, version string, score double")
+    score = functools.partial(linkage.incremental_pair_scores, score=linkage.containment_score)
+    _, stored = score(papers.where("cast(key as long) % 2 = 0"), signals.where("cast(name as long) % 3 <> 0"), none, none, none)
+    _, old = score(papers, signals, none, none, none, version="1")
+    stored = staging.stage(stored.unionByName(old.withColumn("score", F.lit(9.0))), "stored")
+    return score(papers, signals, stored, stored, stored)[0]
 
 
 ORACLE_SQL["incremental_pair_scores"] = _PAIRS
