@@ -5,9 +5,11 @@ its doc_id) to the next point. A shard holds at most its quota of rows, the quot
 up to all rows; an overfull shard keeps a quota's worth, spread over its points in proportion, and the documents that
 overflow go on clockwise to the next point with room. Own documents come first, so only overflow moves.
 
-The counts live in a table of one row per point (shards x vnodes rows, whatever the input): overflow and room are
-matched in ring order from the place where the running surplus is least, so that room always lies ahead of the
-overflow that fills it. Documents are ranked within their arc and find their shard by an equi-join with that plan.
+The counts live in a table of one row per point (shards x vnodes rows, whatever the input). Overflowing documents walk in
+the order of their places from 0 on, each to the next point that still has room; those that find none up to the ring's
+end take what the first walk has left, from 0 on again. Which room is taken in the first walk follows from the running
+surplus and its running minimum, so the walk is a few prefix sums. Documents are ranked within their arc by place, in
+chunks cut by place, and find their shard by an equi-join with that plan: the result is the walk's at any size.
 """
 
 from __future__ import annotations
@@ -62,19 +64,22 @@ def plan_loads(points: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
     p = p.withColumn("capacity", F.col("goal") - F.coalesce(F.lag("goal").over(own.orderBy("arc")), F.lit(0)))
     p = p.withColumn("slot0", F.col("goal") - F.col("capacity"))
     p = p.withColumn("over", F.greatest(F.col("load") - F.col("capacity"), F.lit(0))).withColumn("room", F.greatest(F.col("capacity") - F.col("load"), F.lit(0)))
-    p = p.withColumn("surplus", F.sum(F.col("over") - F.col("room")).over(every.orderBy("arc").rowsBetween(Window.unboundedPreceding, 0)))
-    begin = F.min(F.struct("surplus", "arc")).over(every)["arc"]
-    p = p.withColumn("turn", F.pmod(F.col("arc") - begin - 1, F.count("*").over(every)))
-    prefix = every.orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumn("over_to", F.sum("over").over(prefix)).withColumn("room_to", F.sum("room").over(prefix))
-    p = stage(p.select("arc", "shard", "load", "over", "room", "capacity", "slot0", "over_to", "room_to"), "ring")
+    in_order = every.orderBy("arc").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("surplus", F.sum(F.col("over") - F.col("room")).over(in_order)).withColumn("over_to", F.sum("over").over(in_order))
+    # where the surplus reaches a new minimum below 0 nobody waits, and that much room stays free in the first walk
+    p = p.withColumn("least", F.least(F.lit(0), F.min("surplus").over(in_order)))
+    p = p.withColumn("free", F.coalesce(F.lag("least").over(every.orderBy("arc")), F.lit(0)) - F.col("least"))
+    p = stage(p.select("arc", "shard", "load", "over", "room", "free", "capacity", "slot0", "over_to"), "ring")
+    walks = [F.struct(F.lit(1).alias("walk"), (F.col("room") - F.col("free")).alias("room"), (F.col("slot0") + F.col("load")).alias("filled")), F.struct(F.lit(2).alias("walk"), F.col("free").alias("room"), (F.col("slot0") + F.col("load") + F.col("room") - F.col("free")).alias("filled"))]
+    rooms = p.select("arc", "shard", F.explode(F.array(*walks)).alias("w")).select("arc", "shard", "w.*").where("room > 0")
+    rooms = rooms.withColumn("room_to", F.sum("room").over(every.orderBy("walk", "arc").rowsBetween(Window.unboundedPreceding, 0)))
     stay = p.select("arc", F.lit(0).cast("long").alias("from_rank"), F.least("load", "capacity").alias("to_rank"), "shard", F.col("slot0").alias("first_slot")).where("to_rank > 0")
     # cut the row of overflowing documents where an arc or a room ends; each piece has one arc and one room
-    cuts = p.where("over > 0").select(F.col("over_to").alias("cut")).union(p.where("room > 0").select("room_to")).distinct()
+    cuts = p.where("over > 0").select(F.col("over_to").alias("cut")).union(rooms.select("room_to")).distinct()
     # the cut lies in the arc, and in the room, that ends there or next
     marks = cuts.select("cut", F.lit(None).cast("long").alias("arc"), F.lit(None).cast("long").alias("over"), F.lit(None).cast("long").alias("keep"), F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("room"), F.lit(None).cast("long").alias("filled"))
     marks = marks.unionByName(p.where("over > 0").select(F.col("over_to").alias("cut"), "arc", "over", F.least("load", "capacity").alias("keep")), allowMissingColumns=True)
-    marks = marks.unionByName(p.where("room > 0").select(F.col("room_to").alias("cut"), "shard", "room", (F.col("slot0") + F.col("load")).alias("filled")), allowMissingColumns=True)
+    marks = marks.unionByName(rooms.select(F.col("room_to").alias("cut"), "shard", "room", "filled"), allowMissingColumns=True)
     m = marks.groupBy("cut").agg(
         F.max(F.when(F.col("arc").isNotNull(), F.struct("arc", "over", "keep", "cut"))).alias("a"),
         F.max(F.when(F.col("shard").isNotNull(), F.struct("shard", "room", "filled", "cut"))).alias("r"),
@@ -97,17 +102,21 @@ def assign_shards(docs: DataFrame, key: str, shards: int, vnodes: int = VNODES,
     spark = docs.sparkSession
     points = stage(ring(spark, shards, vnodes), "points")
     cells = arc_cells(points)
-    # an arc's rows are ranked in chunks of about ARC_ROWS
+    # an arc's rows are ranked in chunks of about ARC_ROWS; chunks are cut by place, so ranks are the same however many there are
     chunks = max(1, docs.count() // (shards * vnodes * ARC_ROWS))
     told = [F.col(c) for c in (key, *order_by)]
     place = ring_place(F.coalesce(F.col(key).cast("string"), F.concat_ws("/", F.lit(""), *(c.cast("string") for c in told[1:]))))
+    within = F.shiftright(F.col("_place") - F.col("low") - 1, 20) / (F.shiftright(F.col("high") - F.col("low"), 20) + 1)
+    # the places behind the last point come after those before the first
+    behind = (F.col("cell_arc") == 0) & (F.col("low") >= 0)
+    chunk = (F.floor(within * chunks) + F.when(behind, chunks).otherwise(0)).alias("_chunk")
 
     def on_ring(columns: list[str]) -> DataFrame:
         # the columns travel as one, so their names can't clash with the plan's
-        df = docs.select(F.struct(*columns).alias("_row"), place.alias("_place"), F.pmod(F.xxhash64(*told), F.lit(chunks)).alias("_chunk"))
+        df = docs.select(F.struct(*columns).alias("_row"), place.alias("_place"))
         df = df.withColumn("_cell", F.shiftright("_place", _RING_LOG2 - CELLS_LOG2))
         # bounded: 2^CELLS_LOG2 + shards * vnodes short rows
-        return df.join(F.broadcast(cells), (F.col("_cell") == F.col("cell")) & (F.col("_place") > F.col("low")) & (F.col("_place") <= F.col("high"))).select("_row", "_place", "cell_arc", "_chunk")
+        return df.join(F.broadcast(cells), (F.col("_cell") == F.col("cell")) & (F.col("_place") > F.col("low")) & (F.col("_place") <= F.col("high"))).select("_row", "_place", "cell_arc", chunk)
 
     loads = stage(on_ring([key]).groupBy(F.col("cell_arc").alias("arc"), F.col("_chunk").alias("chunk")).agg(F.count("*").alias("load")), "loads")
     plan = plan_loads(points, loads.groupBy("arc").agg(F.sum("load").alias("load")), shards).withColumnRenamed("arc", "plan_arc")
@@ -115,9 +124,8 @@ def assign_shards(docs: DataFrame, key: str, shards: int, vnodes: int = VNODES,
     order = [F.col("_row").getField(c) for c in (key, *order_by)]
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
     ranked = on_ring(kept).withColumn("_rank", F.row_number().over(Window.partitionBy("cell_arc", "_chunk").orderBy("_place", *order)) - 1)
-    if chunks > 1:
-        since = loads.select(F.col("arc").alias("b_arc"), F.col("chunk").alias("b_chunk"), before.alias("b_rows"))
-        ranked = ranked.join(since, (F.col("cell_arc") == F.col("b_arc")) & (F.col("_chunk") == F.col("b_chunk"))).withColumn("_rank", F.col("_rank") + F.col("b_rows"))
-    # bounded: at most 3 * shards * vnodes short rows
+    since = loads.select(F.col("arc").alias("b_arc"), F.col("chunk").alias("b_chunk"), before.alias("b_rows"))
+    ranked = ranked.join(since, (F.col("cell_arc") == F.col("b_arc")) & (F.col("_chunk") == F.col("b_chunk"))).withColumn("_rank", F.col("_rank") + F.col("b_rows"))
+    # bounded: at most 4 * shards * vnodes short rows
     out = ranked.join(F.broadcast(plan), (F.col("cell_arc") == F.col("plan_arc")) & (F.col("_rank") >= F.col("from_rank")) & (F.col("_rank") < F.col("to_rank")))
     return out.select(*(F.col("_row").getField(c).alias(c) for c in kept), "shard", (F.col("first_slot") + F.col("_rank") - F.col("from_rank")).alias("slot"))
