@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,9 +27,23 @@ def review_flags(repaired: Column, finish_reason: Column) -> Column:
     return F.array_compact(F.array(early, F.when(repaired.isNotNull(), F.lit("repaired JSON"))))
 
 
+#: What full case folding changes beyond lower case: final sigma, sharp s, ligatures, letters with a subscript and the
+#: like; taken from the Unicode tables at hand.
+_FOLDED = {c: c.casefold() for c in map(chr, range(0x110000)) if c == c.lower() != c.casefold()}
+_ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
+_SEVERAL = {c: f for c, f in _FOLDED.items() if len(f) > 1}
+
+
+def casefold(text: Column) -> Column:
+    """Text for comparison without regard to case: equal wherever full case folding makes it equal. Characters that fold to
+    several are looked for once; only texts that have some go through their replacements."""
+    low = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
+    return F.when(low.rlike(f"[{''.join(_SEVERAL)}]"), functools.reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(_SEVERAL[c])), _SEVERAL, low)).otherwise(low)
+
+
 def _folded(text: Column) -> Column:
-    """Case folded, runs of blanks as one, trimmed."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"\s+", " "))
+    """Case folded, runs of blanks of any kind as one, trimmed."""
+    return F.trim(F.regexp_replace(casefold(text), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def number_of(text: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.plans.staging import discard, stage
+
 
 def blob_dedupe(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blobs, references) of payloads (operation_id, sequence, content): each content once, by its digest."""
@@ -13,6 +16,35 @@ def blob_dedupe(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return blobs, p.select("operation_id", "sequence", "sha256")
 
 
+def append_blobs(payloads: DataFrame, store: str) -> DataFrame:
+    """Payloads (operation_id, sequence, content) into a store of contents below ``store`` (sha256, bytes, content, in folders by
+    the digest's first byte); gives the references (operation_id, sequence, sha256). A content that the store has, or that
+    comes twice, is kept once.
+
+    First only digests are compared, 64 characters a payload; then those payloads are read again whose digest is new. An
+    append that failed halfway leaves nothing, and may be repeated. One writer at a time."""
+    spark = payloads.sparkSession
+    p = payloads.withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256))
+    references = stage(p.select("operation_id", "sequence", "sha256"), "references")
+    try:
+        known = spark.read.parquet(store).select("sha256")
+    except AnalysisException as absent:
+        if absent.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = spark.createDataFrame([], "sha256 string")
+    new = stage(references.where("sha256 is not null").select("sha256").distinct().join(known, "sha256", "left_anti"), "new")
+    fresh = p.join(new, "sha256", "left_semi").groupBy("sha256").agg(F.first(F.col("content").cast("binary")).alias("content"))
+    out = fresh.select("sha256", F.octet_length("content").cast("long").alias("bytes"), "content", F.substring("sha256", 1, 2).alias("folder"))
+    out.write.mode("append").partitionBy("folder").parquet(store)
+    discard(new)
+    return references
+
+
+def read_blobs(spark: SparkSession, store: str, references: DataFrame) -> DataFrame:
+    """References with their content; one without content in the store has none."""
+    return references.join(spark.read.parquet(store).select("sha256", "bytes", "content"), "sha256", "left")
+
+
 def verify_checksums(expected: DataFrame, files: DataFrame) -> DataFrame:
     """(name, problem): files that are absent, unexpected, or differ from their digest."""
     e, f = expected.select("name", F.col("sha256").alias("want")), files.select("name", F.col("sha256").alias("have"))
@@ -21,11 +53,14 @@ def verify_checksums(expected: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def operation_rollup(operations: DataFrame, exchanges: DataFrame) -> DataFrame:
-    """Per operation: exchanges, duration in seconds, and whether it was interrupted."""
+    """Per operation: exchanges, duration in seconds with fractions, whether it was interrupted, and its final status: that
+    which it was finished with; interrupted where it never was; ``finished`` where none is told."""
     n = exchanges.groupBy("operation_id").agg(F.count("*").alias("exchanges"))
     out = operations.join(n, "operation_id", "left")
-    seconds = F.unix_timestamp("finished_at") - F.unix_timestamp("started_at")
-    return out.select("operation_id", F.coalesce("exchanges", F.lit(0)).alias("exchanges"), seconds.alias("seconds"), F.col("finished_at").isNull().alias("interrupted"))
+    seconds = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6
+    told = F.nullif(F.trim("status"), F.lit("")) if "status" in operations.columns else F.lit(None).cast("string")
+    open_ = F.col("finished_at").isNull()
+    return out.select("operation_id", F.coalesce("exchanges", F.lit(0)).alias("exchanges"), seconds.alias("seconds"), open_.alias("interrupted"), F.when(open_, "interrupted").otherwise(F.coalesce(told, F.lit("finished"))).alias("final_status"))
 
 
 #: The HTTP states after which each provider may be asked again, and who says how long to wait.

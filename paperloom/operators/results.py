@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.plans.staging import stage
+
 RETRY = ("error", "needs_review", "cancelled", "stale")
 
 
@@ -107,12 +109,45 @@ def sort_articles(articles: DataFrame, key: str = "source_pdf", descending: bool
     return articles.orderBy(by.desc() if descending else by.asc(), "source_pdf")
 
 
+#: Rows up to which a page is found as the top of all rows.
+TOP_ROWS = 10_000
+
+
+class Pages:
+    """Ordered rows cut into ranges of about equal numbers, staged, with the number of rows of each: a page, however deep, is
+    read from the range or the two that hold it, and sorted there. Rows that the order leaves equal are put in the order
+    of their other columns, so pages never overlap."""
+
+    def __init__(self, rows: DataFrame, order: list[str], page_size: int = 10, ranges: int | None = None):
+        self.order = [*order, *(c for c, kind in rows.dtypes if c not in order and not kind.startswith(("map", "variant")))]
+        self.page_size, self.columns = page_size, rows.columns
+        dealt = rows.repartitionByRange(ranges, *self.order) if ranges else rows.repartitionByRange(*self.order)
+        self.rows = stage(dealt.withColumn("_range", F.spark_partition_id()), "pages")
+        self.counts = {r["_range"]: r["n"] for r in self.rows.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # a number per range
+        self.n = sum(self.counts.values())
+
+    def page(self, page: int) -> DataFrame:
+        """One page; beyond the last it is the last, before the first the first."""
+        first = (min(max(page, 1), max(1, -(-self.n // self.page_size))) - 1) * self.page_size
+        held, since, before = [], 0, 0
+        for k in sorted(self.counts):
+            if since < first + self.page_size and since + self.counts[k] > first:
+                held, before = [*held, k], before if held else since
+            since += self.counts[k]
+        near = self.rows.where(F.col("_range").isin(held)) if held else self.rows.limit(0)
+        return near.orderBy(*self.order).offset(max(0, first - before)).limit(self.page_size).select(self.columns)
+
+
 def paginate(rows: DataFrame, order: list[str], page: int, page_size: int = 10) -> DataFrame:
     """One page of the ordered rows; a page beyond the last is the last, one before the first the first. The rows are
-    counted when this is called."""
-    pages = max(1, -(-rows.count() // page_size))
-    at = min(max(page, 1), pages)
-    return rows.orderBy(*order).offset((at - 1) * page_size).limit(page_size)
+    counted when this is called. A page among the first ``TOP_ROWS`` is the end of a top-k, a deeper one is read from the
+    range of rows that holds it; for many pages of the same rows keep a ``Pages``."""
+    n = rows.count()
+    at = min(max(page, 1), max(1, -(-n // page_size)))
+    if at * page_size > TOP_ROWS:
+        return Pages(rows, order, page_size).page(at)
+    ordered = [*order, *(c for c, kind in rows.dtypes if c not in order and not kind.startswith(("map", "variant")))]
+    return rows.orderBy(*ordered).offset((at - 1) * page_size).limit(page_size)
 
 
 def attempt_status(call_error: Column, cancelled: Column, problem: Column, flags: Column) -> Column:

@@ -11,8 +11,8 @@ MESSAGES = {
     "twice": "row_id `%1$s` is a duplicate (first used on row %3$d).",
     "no authors": "row_id `%1$s` has no authors.",
     "no year": "row_id `%1$s` has no year.",
-    "no source": "row_id `%1$s` has no source.",
-    "unknown": "row_id `%1$s` references `%2$s`, which is not there.",
+    "no source": "row_id `%1$s` has no source_pdf.",
+    "unknown": "row_id `%1$s` references `%2$s`, which has not been uploaded.",
 }
 FIELDS = ("row_id", "source_pdf", "locator", "authors", "year", "title", "doi")
 
@@ -55,6 +55,14 @@ def sheet_issue_kinds(issues: DataFrame) -> DataFrame:
     return issues.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def sheet_runnable(issues: DataFrame, valid: DataFrame) -> DataFrame:
+    """(runnable, sheet_issues, valid_rows), one row: a run may start if no issue is the sheet's own and some row is valid;
+    rows whose document is not there are left out of it."""
+    own = issues.where("kind = 'sheet'").agg(F.count("*").alias("sheet_issues"))
+    counts = own.crossJoin(F.broadcast(valid.agg(F.count("*").alias("valid_rows"))))  # one row each
+    return counts.select(((F.col("sheet_issues") == 0) & (F.col("valid_rows") > 0)).alias("runnable"), "sheet_issues", "valid_rows")
+
+
 def rows_per_document(valid: DataFrame) -> DataFrame:
     """All rows of a document together, in sheet order: what one request asks for."""
     rows = F.sort_array(F.collect_list(F.struct("ordinal", "row_id", "locator")))
@@ -89,9 +97,31 @@ def draft_sheet_validate(rows: DataFrame, require_complete: bool = False) -> Dat
     return rows.select("row_number", F.explode(found).alias("i")).select("row_number", "i.severity", "i.message")
 
 
+DRAFT_ROWS = 2_000
+
+
+def draft_shape_check(header: list[str], rows: DataFrame, max_rows: int = DRAFT_ROWS) -> DataFrame:
+    """(row_number, severity, message): what makes a drafted sheet as a whole unusable, the first problem only: other headers
+    or another order of them than the sheet's, no rows or too many, or a row (cells, an array) with another number of
+    cells, of which the first is named; ``ordinal`` counts rows from 0."""
+    wrong = F.min(F.when(F.coalesce(F.size("cells"), F.lit(0)) != len(FIELDS), F.col("ordinal"))).alias("wrong")
+    seen = rows.agg(F.count("*").alias("n"), wrong)
+    problem = (
+        F.when(F.lit(list(header) != list(FIELDS)), F.lit("the headers or their order differ"))
+        .when((F.col("n") < 1) | (F.col("n") > max_rows), F.lit(f"the sheet must have 1 to {max_rows} rows"))
+        .when(F.col("wrong").isNotNull(), F.lit("a row has the wrong number of cells"))
+    )
+    return seen.select((F.when(problem == "a row has the wrong number of cells", F.col("wrong") + 2)).cast("long").alias("row_number"), F.lit("error").alias("severity"), problem.alias("message")).where("message is not null")
+
+
+def untraced_rows(out: DataFrame) -> DataFrame:
+    """(ordinal) of output rows that list no source row at all."""
+    return out.where(F.coalesce(F.size("source_rows"), F.lit(0)) <= 0).select("ordinal")
+
+
 def lineage_coverage(out: DataFrame, source: DataFrame) -> DataFrame:
     """(source_row, problem): source rows that no output row (``source_rows`` array) lists, and listed rows that aren't
-    there."""
+    there, null ones among them. Output rows that list none are ``untraced_rows``."""
     listed = out.select(F.explode("source_rows").alias("source_row")).distinct()
     there = source.select("source_row").distinct()
     omitted = there.join(listed, "source_row", "left_anti").withColumn("problem", F.lit("omitted"))
@@ -122,21 +152,24 @@ def papers(rows: DataFrame, documents: DataFrame, key: Column, matched: bool) ->
 REQUIRED, OPTIONAL = ("row_id", "source_pdf", "locator", "authors", "year"), ("title", "doi")
 
 
-def sheet_shape_check(header: list[str], rows: DataFrame) -> DataFrame:
-    """(row_number, message): why a file as a whole is no sheet, at most one issue; rows (cells, an array) are looked at
-    only for their number of cells. Null cells count as none."""
+def shape_problem(header: list[str], ragged: bool) -> str | None:
+    """Why a file with this header is no sheet; ``ragged``: some row has another number of cells, which is judged before
+    names."""
     absent, other = [c for c in REQUIRED if c not in header], [c for c in header if c not in REQUIRED + OPTIONAL]
-    say = lambda df, text: df.select(F.lit(None).cast("int").alias("row_number"), F.lit(text).alias("message"))
-    one = rows.sparkSession.range(1)
     if len(header) != len(set(header)):
-        return say(one, "Duplicate coding-sheet column headers.")
-    ragged = say(rows.where(F.coalesce(F.size("cells"), F.lit(0)) != len(header)).limit(1), "A coding-sheet row has the wrong number of cells.")
+        return "Duplicate coding-sheet column headers."
+    if ragged:
+        return "A coding-sheet row has the wrong number of cells."
     if absent:
-        then = f"Missing required column(s): {', '.join(absent)}."
-    elif other:
-        then = f"Unexpected column(s): {', '.join(other)}. The coding sheet only accepts {', '.join(REQUIRED + OPTIONAL)}."
-    else:
-        return ragged
-    # cell counts are judged before names
-    both = ragged.withColumn("_at", F.lit(0)).unionByName(say(one, then).withColumn("_at", F.lit(1)))
-    return both.agg(F.min_by("message", "_at").alias("message")).select(F.lit(None).cast("int").alias("row_number"), "message")
+        return f"Missing required column(s): {', '.join(absent)}."
+    if other:
+        return f"Unexpected column(s): {', '.join(other)}. The coding sheet only accepts {', '.join(REQUIRED + OPTIONAL)}."
+    return None
+
+
+def sheet_shape_check(header: list[str], rows: DataFrame) -> DataFrame:
+    """(row_number, message): why a file as a whole is no sheet, at most one issue; rows (cells, an array) are looked at
+    only for their number of cells. Null cells count as none."""
+    ragged = rows.where(F.coalesce(F.size("cells"), F.lit(0)) != len(header)).limit(1)
+    both = ragged.agg(F.count("*").alias("n")).select(F.when(F.col("n") > 0, shape_problem(header, True)).otherwise(shape_problem(header, False)).alias("message"))
+    return both.where("message is not null").select(F.lit(None).cast("int").alias("row_number"), "message")

@@ -25,9 +25,9 @@ fu AS (SELECT row_id, min(ordinal) AS first_use FROM t WHERE row_id <> '' GROUP
 judged AS (SELECT t.*, first_use, CASE WHEN t.row_id = '' THEN 'row_id is required.'
   WHEN first_use < ordinal THEN 'row_id `' || t.row_id || '` is a duplicate (first used on row ' || (first_use + 2) || ').'
   WHEN authors = '' THEN 'row_id `' || t.row_id || '` has no authors.' WHEN year = '' THEN 'row_id `' || t.row_id || '` has no year.'
-  WHEN source_pdf = '' THEN 'row_id `' || t.row_id || '` has no source.' WHEN source_pdf NOT IN (SELECT name FROM uploaded) THEN 'row_id `' || t.row_id || '` references `' || source_pdf || '`, which is not there.' END AS message
+  WHEN source_pdf = '' THEN 'row_id `' || t.row_id || '` has no source_pdf.' WHEN source_pdf NOT IN (SELECT name FROM uploaded) THEN 'row_id `' || t.row_id || '` references `' || source_pdf || '`, which has not been uploaded.' END AS message
   FROM t LEFT JOIN fu USING (row_id)),
-issues AS (SELECT ordinal + 2 AS row_number, row_id, message, CASE WHEN message LIKE '%no source.' OR message LIKE '%not there.' THEN 'pdf' ELSE 'sheet' END AS kind FROM judged WHERE message IS NOT NULL),
+issues AS (SELECT ordinal + 2 AS row_number, row_id, message, CASE WHEN message LIKE '%no source_pdf.' OR message LIKE '%not been uploaded.' THEN 'pdf' ELSE 'sheet' END AS kind FROM judged WHERE message IS NOT NULL),
 valid AS (SELECT ordinal, row_id, source_pdf, locator, authors, year, title, doi FROM judged WHERE message IS NULL) """
 _LAST = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY source_pdf ORDER BY attempt_ts DESC, attempt DESC) AS r, row_number() OVER (PARTITION BY source_pdf ORDER BY status = 'ok' DESC, attempt_ts DESC, attempt DESC) AS s FROM attempts),
 latest AS (SELECT * EXCLUDE (r, s) FROM ranked WHERE r = 1), selected AS (SELECT * EXCLUDE (r, s) FROM ranked WHERE s = 1),
