@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import string
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,18 +28,19 @@ def review_flags(repaired: Column, finish_reason: Column) -> Column:
     return F.array_compact(F.array(early, F.when(repaired.isNotNull(), F.lit("repaired JSON"))))
 
 
-#: What full case folding changes beyond lower case: final sigma, sharp s, ligatures, letters with a subscript and the
-#: like; taken from the Unicode tables at hand.
-_FOLDED = {c: c.casefold() for c in map(chr, range(0x110000)) if c == c.lower() != c.casefold()}
+#: Full case folding, taken from the Unicode tables at hand: most characters fold to one, sharp s, ligatures and the like to
+#: several.
+_FOLDED = {c: f for c, f in ((c, c.casefold()) for c in map(chr, range(0x80, 0x110000))) if c != f}
 _ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
 _SEVERAL = {c: f for c, f in _FOLDED.items() if len(f) > 1}
 
 
 def casefold(text: Column) -> Column:
-    """Text for comparison without regard to case: equal wherever full case folding makes it equal. Characters that fold to
-    several are looked for once; only texts that have some go through their replacements."""
-    low = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
-    return F.when(low.rlike(f"[{''.join(_SEVERAL)}]"), functools.reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(_SEVERAL[c])), _SEVERAL, low)).otherwise(low)
+    """Text for comparison without regard to case: equal wherever full case folding makes it equal. Plain ASCII is
+    lower-cased; only texts with a character that folds to several go through their replacements."""
+    low = F.translate(text, string.ascii_uppercase + "".join(_ONE), string.ascii_lowercase + "".join(_ONE.values()))
+    several = functools.reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(_SEVERAL[c])), _SEVERAL, low)
+    return F.when(text.rlike(r"^[\x00-\x7f]*$"), F.lower(text)).otherwise(F.when(text.rlike(f"[{''.join(_SEVERAL)}]"), several).otherwise(low))
 
 
 def _folded(text: Column) -> Column:

@@ -57,7 +57,7 @@ def operation_rollup(operations: DataFrame, exchanges: DataFrame) -> DataFrame:
     which it was finished with; interrupted where it never was; ``finished`` where none is told."""
     n = exchanges.groupBy("operation_id").agg(F.count("*").alias("exchanges"))
     out = operations.join(n, "operation_id", "left")
-    seconds = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6
+    seconds = (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
     told = F.nullif(F.trim("status"), F.lit("")) if "status" in operations.columns else F.lit(None).cast("string")
     open_ = F.col("finished_at").isNull()
     return out.select("operation_id", F.coalesce("exchanges", F.lit(0)).alias("exchanges"), seconds.alias("seconds"), open_.alias("interrupted"), F.when(open_, "interrupted").otherwise(F.coalesce(told, F.lit("finished"))).alias("final_status"))

@@ -127,10 +127,14 @@ def validation_sample(rows: DataFrame, k: int, seed: str, strata: str | None = N
     return rows.join(drawn.select("source_pdf", *by), ["source_pdf", *by], "left_semi")
 
 
-def cost_estimate(attempts: DataFrame, n_docs: int, price_in: float, margin: float = 0.1) -> DataFrame:
-    """Mean input tokens, and the price (per million tokens) of coding ``n_docs`` documents with a retry margin."""
-    mean = attempts.where("input_tokens is not null").agg(F.avg("input_tokens").alias("mean_tokens"))
-    return mean.select("mean_tokens", (F.col("mean_tokens") * n_docs * price_in / 1e6 * (1 + margin)).alias("cost"))
+def cost_estimate(attempts: DataFrame, n_docs: int, price_in: float, price_out: float, margin: float = 0.1) -> DataFrame:
+    """Mean input and output tokens of the attempts that tell them, and the price (per million tokens of each) of coding
+    ``n_docs`` documents with a retry margin, by kind and in all. Where no attempt tells a kind, its cost is null, and so is
+    the sum."""
+    mean = attempts.agg(F.avg("input_tokens").alias("mean_tokens"), F.avg("output_tokens").alias("mean_output"))
+    share = n_docs / 1e6 * (1 + margin)
+    mean = mean.withColumn("cost_in", F.col("mean_tokens") * (price_in * share)).withColumn("cost_out", F.col("mean_output") * (price_out * share))
+    return mean.withColumn("cost", F.col("cost_in") + F.col("cost_out"))
 
 
 def numbers(cells: DataFrame) -> DataFrame:

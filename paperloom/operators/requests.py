@@ -12,13 +12,22 @@ from pyspark.sql import functions as F
 from paperloom.functions.values import normalize_finish_reason
 
 
-def build_requests(valid: DataFrame, texts: DataFrame, rules: str, codebook_text: str) -> DataFrame:
-    """(source_pdf, row_ids, prompt): rules, codebook, the rows asked for with their locators, and the text."""
-    rows = F.sort_array(F.collect_list(F.struct("ordinal", "row_id", F.when(F.col("locator") == "", "(none)").otherwise(F.col("locator")).alias("locator"))))
-    asked = valid.groupBy("source_pdf").agg(rows.alias("r"))
-    lines = F.array_join(F.transform("r", lambda x: F.concat(F.lit("- "), x["row_id"], F.lit(": "), x["locator"])), "\n")
-    prompt = F.concat_ws("\n\n", F.lit(rules), F.lit(codebook_text), F.concat(F.lit("Rows: "), F.size("r").cast("string")), lines, "text")
-    return asked.join(texts, asked.source_pdf == texts.name).select("source_pdf", F.transform("r", lambda x: x["row_id"]).alias("row_ids"), prompt.alias("prompt"))
+def build_requests(valid: DataFrame, texts: DataFrame, rules: str, codebooks: DataFrame, confidence_rule: str = "") -> DataFrame:
+    """(source_pdf, row_ids, prompt): rules, with the rule on confidence if the codebook asks for it; what an effect is; the
+    codebook; the rows asked for with their locators, and the text.
+
+    ``valid`` rows name their ``codebook_id``; ``codebooks`` (codebook_id, text, effect_definition, confidence) may be many.
+    A document whose rows have several codebooks gets a request for each; one whose codebook, or text, is not there gets
+    none."""
+    rows = F.sort_array(F.collect_list(F.struct("ordinal", "row_id", F.when(F.trim("locator") == "", "(none)").otherwise(F.col("locator")).alias("locator"))))
+    asked = valid.groupBy("source_pdf", "codebook_id").agg(rows.alias("r"))
+    books = codebooks.select("codebook_id", F.col("text").alias("_book"), "effect_definition", "confidence")
+    lines = F.array_join(F.transform("r", lambda x: F.concat(F.lit("- "), x["row_id"], F.lit(": "), F.coalesce(x["locator"], F.lit("(none)")))), "\n")
+    all_rules = F.when(F.col("confidence"), F.concat_ws("\n", F.lit(rules), F.nullif(F.lit(confidence_rule), F.lit("")))).otherwise(rules)
+    effect = F.concat(F.lit("An effect:\n"), "effect_definition")
+    prompt = F.concat_ws("\n\n", all_rules, effect, "_book", F.concat(F.lit("Rows: "), F.size("r").cast("string")), lines, "text")
+    out = asked.join(books, "codebook_id").join(texts.select(F.col("name").alias("source_pdf"), "text"), "source_pdf")
+    return out.select("source_pdf", "codebook_id", F.transform("r", lambda x: x["row_id"]).alias("row_ids"), prompt.alias("prompt"))
 
 
 def annotate_documents(requests: DataFrame, coder: Callable[[str, list[str]], str], max_attempts: int = 3, delay: float = 2.0) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from paperloom.functions.values import cell_type_check
+from paperloom.operators.json_repair import tolerant_json
 
 #: The degrees of confidence, and the field that needs none.
 CONFIDENCE = ("high", "medium", "low")
@@ -46,8 +47,13 @@ def _cell(field: str, value: object) -> dict:
 
 
 def repaired_json(raw: str) -> str | None:
-    """A broken answer as JSON, where no more is wrong with it than text around it, commas before a closing bracket, or an
-    end that is missing; else null."""
+    """A broken answer as JSON: as it stands, where no more is wrong with it than text around it, commas before a closing
+    bracket, or an end that is missing; else as a recovering reader understands it; null where that can't tell."""
+    closed = _closed_json(raw)
+    return tolerant_json(raw) if closed is None else closed
+
+
+def _closed_json(raw: str) -> str | None:
     starts = [i for i in (raw.find("{"), raw.find("[")) if i >= 0]
     out, open_, quoted, escaped = [], [], False, False
     for c in raw[min(starts) :] if starts else "":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from paperloom.functions import values as vl
 from paperloom.operators import audit, codebook, collate, evaluate, linkage, requests, responses, results, sheet, uploads
 from paperloom.plans import staging
 from paperloom.plans.fixtures import table, view, with_views
-from paperloom.sources import sheets
+from paperloom.sources import files, sheets
+from paperloom.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -475,9 +477,9 @@ def validation_sample(s, d):
     return evaluate.validation_sample(_valid(s, d), 3, "seed", "authors").select("ordinal", "source_pdf")
 
 
-@query("SELECT avg(input_tokens) AS mean_tokens, avg(input_tokens) * 200 * 0.375 / 1e6 * 1.1 AS cost FROM attempts")
+@query("SELECT *, cost_in + cost_out AS cost FROM (SELECT avg(input_tokens) AS mean_tokens, avg(output_tokens) AS mean_output, avg(input_tokens) * (0.375 * (200 / 1e6 * 1.1)) AS cost_in, avg(output_tokens) * (1.875 * (200 / 1e6 * 1.1)) AS cost_out FROM attempts)")
 def cost_estimate(s, d):
-    return evaluate.cost_estimate(view(s, d, "attempts"), 200, 0.375)
+    return evaluate.cost_estimate(view(s, d, "attempts"), 200, 0.375, 1.875)
 
 
 @query("SELECT 'cell count differs' AS problem FROM scored HAVING count(*) <> count(*) FILTER (field = 'quality') UNION ALL SELECT 'accuracy fell' FROM scored HAVING count(*) FILTER (ok) / count(*) < count(*) FILTER (ok AND field = 'quality') / count(*) FILTER (field = 'quality') - 0.05 UNION ALL SELECT 'providers differ'", _SCORED)
@@ -628,10 +630,11 @@ def verify_checksums(s, d):
     return audit.verify_checksums(want, files)
 
 
-@query("SELECT user_id AS operation_id, coalesce(n, 0) AS exchanges, CASE WHEN user_id % 4 = 0 THEN NULL ELSE date_diff('second', date_trunc('second', lo), date_trunc('second', hi)) END AS seconds, user_id % 4 = 0 AS interrupted FROM (SELECT user_id, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY user_id) LEFT JOIN (SELECT operation_id, count(*) AS n FROM exchanges GROUP BY operation_id) ON operation_id = user_id")
+@query("SELECT user_id AS operation_id, coalesce(n, 0) AS exchanges, CASE WHEN user_id % 4 = 0 THEN NULL ELSE date_diff('microsecond', lo, hi) / 1e6 END AS seconds, user_id % 4 = 0 AS interrupted, CASE WHEN user_id % 4 = 0 THEN 'interrupted' WHEN user_id % 3 = 0 THEN 'finished' ELSE 'stopped' END AS final_status FROM (SELECT user_id, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY user_id) LEFT JOIN (SELECT operation_id, count(*) AS n FROM exchanges GROUP BY operation_id) ON operation_id = user_id")
 def operation_rollup(s, d):
     e = table(s, d, "events").groupBy(F.col("user_id").alias("operation_id")).agg(F.min("ts").alias("started_at"), F.max("ts").alias("hi"))
-    return audit.operation_rollup(e.withColumn("finished_at", F.when(F.col("operation_id") % 4 != 0, F.col("hi"))), view(s, d, "exchanges"))
+    e = e.withColumn("finished_at", F.when(F.col("operation_id") % 4 != 0, F.col("hi"))).withColumn("status", F.when(F.col("operation_id") % 3 == 0, " ").otherwise("stopped"))
+    return audit.operation_rollup(e, view(s, d, "exchanges"))
 
 
 @query(
@@ -674,12 +677,18 @@ def export_manifest(s, d):
     return sheets.export_manifest(table(s, d, "documents").select(path.alias("path"), F.col("text").alias("content")))
 
 
-_REQUESTS = "SELECT v.source_pdf, list(row_id ORDER BY ordinal) AS row_ids, 'Rules.' || chr(10) || chr(10) || 'Book.' || chr(10) || chr(10) || 'Rows: ' || count(*) || chr(10) || chr(10) || string_agg('- ' || row_id || ': ' || CASE WHEN locator = '' THEN '(none)' ELSE locator END, chr(10) ORDER BY ordinal) || chr(10) || chr(10) || any_value(text) AS prompt FROM valid v JOIN uploaded ON name = source_pdf GROUP BY v.source_pdf"
+_BOOK = "CAST(1 + length(source_pdf) % 3 AS BIGINT)"
+_REQUESTS = (
+    "SELECT v.source_pdf, codebook_id, list(row_id ORDER BY ordinal) AS row_ids, 'Rules.' || CASE WHEN any_value(confidence) THEN chr(10) || 'How sure?' ELSE '' END || chr(10) || chr(10) || 'An effect:' || chr(10) || any_value(effect_definition) || chr(10) || chr(10) || any_value(name) || chr(10) || chr(10) "
+    "|| 'Rows: ' || count(*) || chr(10) || chr(10) || string_agg('- ' || row_id || ': ' || CASE WHEN locator = '' THEN '(none)' ELSE locator END, chr(10) ORDER BY ordinal) || chr(10) || chr(10) || any_value(text) AS prompt "
+    f"FROM (SELECT *, {_BOOK} AS codebook_id FROM valid) v JOIN codebooks USING (codebook_id) JOIN (SELECT name AS file, text FROM uploaded) u ON file = source_pdf GROUP BY v.source_pdf, codebook_id"
+)
 
 
 @query(_REQUESTS, _JUDGED)
 def build_requests(s, d):
-    return requests.build_requests(_valid(s, d), view(s, d, "uploaded"), "Rules.", "Book.")
+    books = view(s, d, "codebooks").select("codebook_id", F.col("name").alias("text"), "effect_definition", "confidence")
+    return requests.build_requests(_valid(s, d).withColumn("codebook_id", F.expr(_BOOK)), view(s, d, "uploaded"), "Rules.", books, "How sure?")
 
 
 @query(
@@ -933,3 +942,85 @@ def exchange_facts(s, d):
     http = F.when(F.col("event_type") == "error", 503).when(raw.isNotNull(), 200)
     error = F.when((F.col("user_id") % 6 == 0) & (F.col("event_type") != "error"), "timed out")
     return responses.exchange_facts(e.select(F.col("event_id").alias("id"), http.alias("http_status"), error.alias("error"), raw.alias("raw")))
+
+
+# Files and streams, written from the given tables and read back
+
+
+def _folder(s) -> str:
+    return f"{staging.shared_dir(s)}/paperloom-files-{uuid.uuid4().hex}"
+
+
+_SHEET_COLUMNS = ("row_id", "source_pdf", "locator", "authors", "year", "title", "doi")
+
+
+@query(f"SELECT {', '.join(f"coalesce({c}, '') AS {c}" for c in _SHEET_COLUMNS)} FROM sheet")
+def scan_sheet(s, d):
+    """The sheet, written as CSV files and read strictly."""
+    path = _folder(s)
+    view(s, d, "sheet").select(*_SHEET_COLUMNS).write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return sheets.scan_sheet(s, path)[0].select(*_SHEET_COLUMNS)
+
+
+@query(", n AS (SELECT count(*) FILTER (kind = 'sheet') AS sheet_issues FROM issues) SELECT sheet_issues = 0 AND valid_rows > 0 AS runnable, sheet_issues, valid_rows FROM n, (SELECT count(*) AS valid_rows FROM valid)", _JUDGED)
+def sheet_runnable(s, d):
+    return sheet.sheet_runnable(sheet.sheet_row_issues(view(s, d, "sheet"), view(s, d, "uploaded")), _valid(s, d))
+
+
+@query("SELECT CAST(min(doc_id) + 2 AS BIGINT) AS row_number, 'error' AS severity, 'a row has the wrong number of cells' AS message FROM documents WHERE doc_id % 10 = 7 HAVING count(*) > 0 AND (SELECT count(*) FROM documents) BETWEEN 1 AND 1000000000")
+def draft_shape_check(s, d):
+    cells = F.array(*_SHEET_COLUMNS)
+    rows = view(s, d, "sheet").select("ordinal", F.when(F.col("ordinal") % 10 == 7, F.slice(cells, 1, 6)).otherwise(cells).alias("cells"))
+    return sheet.draft_shape_check(list(_SHEET_COLUMNS), rows, 1_000_000_000)
+
+
+@query("SELECT o_orderkey AS ordinal FROM orders WHERE o_custkey % 4 = 0")
+def untraced_rows(s, d):
+    listed = F.when(F.col("o_custkey") % 4 != 0, F.array("o_orderkey")).when(F.col("o_custkey") % 8 == 0, F.array().cast("array<bigint>"))
+    return sheet.untraced_rows(table(s, d, "orders").select(F.col("o_orderkey").alias("ordinal"), listed.alias("source_rows")))
+
+
+def _coded(s, d):
+    """Records of coded values whose JSON types differ from supplier to supplier."""
+    t = table(s, d, "supplier")
+    yes = F.when(F.col("s_acctbal") > 5000, "true").otherwise('"true"')
+    fields = ('"name":{"value":"', F.col("s_name"), '","confidence":"low","evidence":"p. 1"},"nation":{"value":', F.col("s_nationkey").cast("string"), '},"big":{"value":', yes, '},"gone":{"value":null},"none":{"evidence":3},"odd":', F.when(F.col("s_suppkey") % 2 == 0, "1").otherwise("[]"))
+    text = F.concat(F.lit('{"r1":{'), *(F.lit(x) if isinstance(x, str) else x for x in fields), F.lit('},"r2":null}'))
+    return t.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".pdf")).alias("source_pdf"), F.when(F.col("s_suppkey") % 4 == 0, "").otherwise("ok").alias("status"), F.parse_json(text).alias("coded_by_row_id"))
+
+
+@query(
+    "SELECT 's' || s_suppkey || '.pdf' AS source_pdf, 'r1' AS row_id, field, is_object, present, value_type, value_text, CASE WHEN field = 'name' THEN 'low' END AS confidence, CASE field WHEN 'name' THEN 'p. 1' WHEN 'none' THEN '3' END AS evidence, field = 'name' AS evidence_is_string "
+    "FROM (SELECT s_suppkey, unnest([{'field': 'name', 'is_object': true, 'present': true, 'value_type': 'string', 'value_text': s_name}, {'field': 'nation', 'is_object': true, 'present': true, 'value_type': 'integer', 'value_text': s_nationkey::VARCHAR}, "
+    "{'field': 'big', 'is_object': true, 'present': true, 'value_type': CASE WHEN s_acctbal > 5000 THEN 'boolean' ELSE 'string' END, 'value_text': 'true'}, {'field': 'gone', 'is_object': true, 'present': true, 'value_type': 'null', 'value_text': NULL}, "
+    "{'field': 'none', 'is_object': true, 'present': false, 'value_type': NULL, 'value_text': NULL}, {'field': 'odd', 'is_object': false, 'present': false, 'value_type': NULL, 'value_text': NULL}], recursive := true) FROM supplier)"
+)
+def scan_results(s, d):
+    """A record per supplier, each in a file of its own, read with its values' types."""
+    path = _folder(s)
+    _coded(s, d).write.option("maxRecordsPerFile", 1).json(path)
+    return files.result_cells(files.scan_results(s, path)).drop("value")
+
+
+@query("SELECT DISTINCT sha256(content) AS sha256, strlen(content)::BIGINT AS bytes FROM exchanges WHERE content IS NOT NULL")
+def append_blobs(s, d):
+    """Two appends that overlap; the store has each content once."""
+    path, payloads = _folder(s), view(s, d, "exchanges").select("operation_id", "sequence", "content")
+    audit.append_blobs(payloads.where("operation_id % 3 <> 0"), path)
+    audit.append_blobs(payloads.where("operation_id % 3 <> 1"), path)
+    return s.read.parquet(path).select("sha256", "bytes")
+
+
+@query("SELECT source_pdf, attempt, status FROM selected", _LAST)
+def stream_selected_result(s, d):
+    """Attempts as a stream into a stored table; what stands in it."""
+    rows, at = staging.stage(view(s, d, "attempts").select("source_pdf", "attempt", "attempt_ts", "status"), "attempts"), _folder(s)
+    jobs.stream_results(s.readStream.schema(rows.schema).parquet(rows._staged), f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return results.selected_result(jobs.read_table(s, f"{at}/table", jobs.standing)).select("source_pdf", "attempt", "status")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT 10 OFFSET (SELECT 10 * (ceil(count(*) / 10)::BIGINT // 2 - 1) FROM orders)")
+def paginate_deep(s, d):
+    """The page in the middle, from the range of rows that holds it."""
+    pages = results.Pages(table(s, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ranges=16)
+    return pages.page(-(-pages.n // 10) // 2)

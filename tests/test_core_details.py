@@ -132,7 +132,7 @@ def test_staged_tables_go(spark):
 def test_broken_answers_are_repaired_where_they_can_be(spark):
     cases = {
         '```json\n{"effects": [1, 2,],}\n```': '{"effects": [1, 2]}', 'Here: [1] and more': "[1]", '{"a": "cut o': '{"a": "cut o"}', '{"a": 1, "b": ': '{"a": 1}', '{"a": [1, {"b": tr': '{"a": [1, {}]}',
-        '{"a": "x\\': '{"a": "x"}', "no record": None, "": None, '{"a": 1]': None, "{a: 1}": None,
+        '{"a": "x\\': '{"a": "x"}', "no record": None, "": None, '{"a": 1]': '{"a": 1}', "{a: 1}": '{"a": 1}', '{"a" 1}': None,
     }
     from paperloom.operators import responses
 
