@@ -4,12 +4,13 @@ import hashlib
 import math
 import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from paperloom.llm import align, chat, negatives
+from paperloom.llm import align, chat, html_text, negatives
 from paperloom.llm.queries import BYTE_TOKENIZER, QUERIES, TOKENIZER
 from sqlcheck import SF
 
@@ -231,3 +232,25 @@ def test_the_walk_bounds_every_row(spark, monkeypatch):
         assert all(v.astype(int) @ query <= min(total, own) for total, cell, own in steps for v in cell_of[cell])
         both = negatives.leg(index, query, 1000, False) + negatives.leg(index, query, 1000, True)
         assert len(set(both)) == len(both) and {c for _, c, own in steps if any(v.astype(int) @ query >= 1000 for v in cell_of[c])} <= set(both)
+
+
+# --- bounds of rendering ----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("markup", ["<script>" + "</script " * 60_000, "<ul><li>x" * 30_000, "<ol><li>word <b>y</b>" * 20_000, "<blockquote>q" * 30_000, "<textarea>" + "</textarea " * 60_000])
+def test_bad_pages_take_time_and_output_in_proportion(markup):
+    """With text at every level; ten times the page takes about ten times as long."""
+    took = []
+    for part in (markup[: len(markup) // 8], markup):
+        begin = time.process_time()
+        out = html_text.page_text(part)[1]
+        took.append(time.process_time() - begin)
+        assert len(out) <= 12 * len(part)
+    assert took[1] < 40 * took[0] + 2
+
+
+def test_blank_lines_of_preformatted_text_stay():
+    assert html_text.page_text("<p>a</p><pre>x\n\n\n\ny</pre><br><br><br>z")[1] == "a\n\nx\n\n\n\ny\n\nz"
+    assert html_text.page_text("<p>a<script>var x = '<p>'</script >b<textarea>kept</textarea\n>c")[1].replace("\n", "").startswith("ab")
+    text = html_text.page_text("<ul><li>x" * 18)[1].split("\n")
+    assert len(text) == 18 and text[15] == " " * 30 + "- x" and text[17] == " " * 30 + "+2 - x"
