@@ -3,7 +3,8 @@
 The items are the indexed documents and the passages are the queries. Each term has a list of postings (item, score as a
 share of the item's score against itself), in blocks of ``BLOCK_ITEMS`` items with the largest score of each. A text is
 read in cells; a passage is two neighbouring cells, each at least as long as the longest item, so an item that occurs lies
-within a passage.
+within a passage. Items are indexed by classes of length, each twice as long as the one before, with passages of their
+own: an item's passages are less than four times as long as it, whatever other items there are.
 
 As in block-max WAND, the largest scores of a passage's terms are added up, the longest lists first: the terms before the
 pivot, at which the sum reaches the threshold, can't retrieve an item alone, so their lists are never entered. The lists
@@ -14,8 +15,9 @@ once, so a task's work is numpy's; what is retrieved is what an exhaustive searc
 All items at or above the threshold are verified: words of the question and of the answer must stand in the passage in runs
 of ``RUN`` words. Words are letters and digits, so marks and blanks may differ.
 
-The index holds a posting for each word of the items, and is sent to the executors in segments of at most
-``SEGMENT_ITEMS`` items: one pass over the texts serves that many.
+The index holds a posting for each word of the items (some 3 KB for an item of 40 words), and is sent to the executors in
+segments of about ``SEGMENT_ITEMS`` items: one pass over the texts serves that many. Numbers of items, their mean length
+and the words' document frequencies are those of all items, so an item has the same score in whatever segment it is.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from paperloom.llm.blocks import MARKS, Block, blocks_of, constants, mixed, text
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 8
 SEGMENT_ITEMS = 100_000
+#: Words of the shortest class of items.
+SHORTEST = 32
 #: A passage retrieves items of which it reaches this share of the score of the item itself.
 MIN_SCORE = 0.6
 #: Runs of words for verification, and the shares of the question's and the answer's words that must stand in such runs: an
@@ -100,11 +104,45 @@ class Part:
         return float((np.cumsum(covered)[: self.n] > 0).mean())
 
 
+Item = tuple[int, str, str]
+
+
+class Statistics:
+    """Of all items: how many, their words, and how many hold each word (by its hash, sorted). 16 bytes a distinct word."""
+
+    def __init__(self) -> None:
+        self.n, self.words = 0, 0
+        self.terms, self.df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, items: list[Item]) -> Statistics:
+        items = [x for x in items if (x[1] + x[2]).strip()]
+        whole = _block([f"{q} {a}" for _, q, a in items])
+        hashes, lengths = whole.word_hashes(), whole.n_words
+        self.n, self.words = self.n + len(items), self.words + int(lengths.sum())
+        terms, term = np.unique(hashes, return_inverse=True)
+        each = np.unique(term * max(1, len(items)) + np.repeat(np.arange(len(items)), lengths)) // max(1, len(items))
+        df = np.bincount(each, minlength=len(terms)).astype(np.int64)
+        self.terms, place = np.unique(np.concatenate((self.terms, terms)), return_inverse=True)
+        self.df = np.bincount(place, np.concatenate((self.df, df)), len(self.terms)).astype(np.int64)
+        return self
+
+
+def by_length(items: list[Item]) -> list[list[Item]]:
+    """Items in classes of length, each up to twice as long as the one before."""
+    lengths = _block([f"{q} {a}" for _, q, a in items]).n_words
+    classes: dict[int, list[Item]] = {}
+    for item, n in zip(items, lengths.tolist()):
+        classes.setdefault(max(0, (n - 1) // SHORTEST).bit_length(), []).append(item)
+    return [classes[k] for k in sorted(classes)]
+
+
 class Index:
-    """Postings and block maxima of a segment of items [(item_id, question, answer), ...]."""
+    """Postings and block maxima of some of the items [(item_id, question, answer), ...]; ``of`` are the statistics of all of
+    them, ``share`` is the part of the tables' memory that this index may take."""
 
-    def __init__(self, items: list[tuple[int, str, str]], min_score: float = MIN_SCORE):
+    def __init__(self, items: list[Item], min_score: float = MIN_SCORE, of: Statistics | None = None, share: int = 1):
         items = [x for x in sorted(items) if (x[1] + x[2]).strip()]
+        of = of or Statistics().add(items)
         self.ids = np.array([x[0] for x in items], dtype=np.int64)
         self.min_score = min_score
         whole = _block([f"{q} {a}" for _, q, a in items])
@@ -115,8 +153,9 @@ class Index:
         key, tf = np.unique(term * max(1, len(items)) + row, return_counts=True)
         term, item = key // max(1, len(items)), key % max(1, len(items))
         df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1e-9, lengths.mean() if len(items) else 1))
+        everywhere = of.df[np.searchsorted(of.terms, self.terms)]
+        idf = np.log(1 + (of.n - everywhere + 0.5) / (everywhere + 0.5))
+        norm = K1 * (1 - B + B * lengths / max(1e-9, of.words / max(1, of.n)))
         score = idf[term] * tf * (K1 + 1) / (tf + norm[item])
         score /= np.maximum(np.bincount(item, score, minlength=len(items)), 1e-9)[item]
         # terms are numbered from the longest list to the shortest
@@ -134,12 +173,13 @@ class Index:
         self.lists = np.searchsorted(self.block_key, np.arange(len(df) + 1) * self.blocks)
         self.max = np.zeros(len(df))
         np.maximum.at(self.max, self.posting_term, self.posting_score)
-        self.dense = min(len(df), _DENSE // self.blocks)
+        self.dense = min(len(df), _DENSE // share // self.blocks)
         self.table = np.zeros((self.dense, self.blocks), dtype=np.float32)
         top = self.block_key < self.dense * self.blocks
         self.table.ravel()[self.block_key[top]] = self.block_max[top]
         # place of a term by the high bits of its hash; terms that share a place follow each other
-        self.slot = np.searchsorted(self.terms >> np.uint64(64 - _TABLE_LOG2), np.arange((1 << _TABLE_LOG2) + 1, dtype=np.uint64)).astype(np.int32)
+        self.table_log2 = min(_TABLE_LOG2, len(self.terms).bit_length() + 3)
+        self.slot = np.searchsorted(self.terms >> np.uint64(64 - self.table_log2), np.arange((1 << self.table_log2) + 1, dtype=np.uint64)).astype(np.int32)
         self.deepest = int(np.diff(self.slot).max(initial=0))
         sides = [_block([x[k] for x in items]) for k in (1, 2)]
         words = [x.word_hashes() for x in sides]
@@ -147,7 +187,7 @@ class Index:
 
     def term_of(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word's term, or -1."""
-        place = (hashes >> np.uint64(64 - _TABLE_LOG2)).astype(np.int64)
+        place = (hashes >> np.uint64(64 - self.table_log2)).astype(np.int64)
         low, high = self.slot[place], self.slot[place + 1]
         out = np.full(len(hashes), -1, dtype=np.int32)
         for step in range(self.deepest):
@@ -244,25 +284,26 @@ def _block(texts: list[str]) -> Block:
     return next((b for _, _, b in blocks_of(pa.array(texts, pa.string()), limit=1 << 40, blanks=MARKS)), Block(np.zeros(0, np.uint8), np.zeros(1, np.int64), True))
 
 
-def _search(index: Index) -> Callable:
+def _search(indexes: list[Index]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block in text_blocks(batches, blanks=MARKS):
             hashes = block.word_hashes()
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            last, runs = None, {}
-            for doc, low, high, item, score in zip(*(x.tolist() for x in index.hits(block, hashes))):
-                if last != low:
-                    last, runs = low, {}
-                told = []
-                for part in index.parts[item]:
-                    if part.size not in runs:
-                        runs[part.size] = np.unique(runs_of(hashes[low:high], part.size))
-                    told.append(part.overlap(runs[part.size]))
-                # of a text's passages the one that holds most of the item, then the one that scores best
-                here = (min(told), score, *told)
-                best[doc, item] = max(here, best.get((doc, item), here))
+            for index in indexes:
+                last, runs = None, {}
+                for doc, low, high, item, score in zip(*(x.tolist() for x in index.hits(block, hashes))):
+                    if last != low:
+                        last, runs = low, {}
+                    told = []
+                    for part in index.parts[item]:
+                        if part.size not in runs:
+                            runs[part.size] = np.unique(runs_of(hashes[low:high], part.size))
+                        told.append(part.overlap(runs[part.size]))
+                    # of a text's passages the one that holds most of the item, then the one that scores best
+                    here, key = (min(told), score, *told), (doc, int(index.ids[item]))
+                    best[key] = max(here, best.get(key, here))
             ids = batch.column("doc_id")
-            out = [(ids[doc].as_py(), int(index.ids[item]), score, q, a) for (doc, item), (_, score, q, a) in sorted(best.items())]
+            out = [(ids[doc].as_py(), item, score, q, a) for (doc, item), (_, score, q, a) in sorted(best.items())]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
     return run
@@ -282,13 +323,20 @@ def retrieved(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     out = docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), *(F.lit(0.0).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
     segments = -(-items.count() // SEGMENT_ITEMS)
-    for k in range(segments):
+
+    def segment(k: int) -> list[Item]:
         # bounded: a segment has about SEGMENT_ITEMS items
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(segments)) == k) if segments > 1 else items
-        rows = [(r.item_id, *(question_and_answer(r.question or "") if r.answer is None else (r.question or "", r.answer))) for r in part.collect()]
-        index = Index(rows, min_score)
-        if len(index.ids):
-            out = out.unionByName(docs.mapInArrow(_search(index), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"))
+        return [(r.item_id, *(question_and_answer(r.question or "") if r.answer is None else (r.question or "", r.answer))) for r in part.collect()]
+
+    of, first = Statistics(), segment(0) if segments else []
+    for k in range(segments):
+        of.add(segment(k) if k else first)
+    for k in range(segments):
+        classes = by_length(segment(k) if k else first)
+        indexes = [x for x in (Index(c, min_score, of, len(classes)) for c in classes) if len(x.ids)]
+        if indexes:
+            out = out.unionByName(docs.mapInArrow(_search(indexes), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"))
     return out
 
 

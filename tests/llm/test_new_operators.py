@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from paperloom.llm import align, chat, html_text, negatives
+from paperloom.llm import align, chat, decontaminate, html_text, negatives
 from paperloom.llm.queries import BYTE_TOKENIZER, QUERIES, TOKENIZER
 from sqlcheck import SF
 
@@ -254,3 +254,32 @@ def test_blank_lines_of_preformatted_text_stay():
     assert html_text.page_text("<p>a<script>var x = '<p>'</script >b<textarea>kept</textarea\n>c")[1].replace("\n", "").startswith("ab")
     text = html_text.page_text("<ul><li>x" * 18)[1].split("\n")
     assert len(text) == 18 and text[15] == " " * 30 + "- x" and text[17] == " " * 30 + "+2 - x"
+
+
+# --- decontamination: what segments and other items must not change ---------------------------------------------------
+
+
+def sentences(n, words, seed):
+    rng = random.Random(seed)
+    return [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(words)) + " end. Yes " + " ".join(f"w{rng.randrange(3000)}" for _ in range(5)) + ".") for i in range(n)]
+
+
+def test_segments_and_long_items_change_no_score(spark, monkeypatch):
+    items = sentences(60, 20, 1) + [(100 + i, t) for i, t in sentences(4, 300, 2)]
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(900))) + " " + rng.choice(items)[1] + " tail " * rng.randrange(50)) for i in range(80)]
+    docs, table = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    told = lambda items_: {(r.doc_id, r.item_id): (round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontaminate.retrieved(docs, items_).collect()}
+    one = told(table)
+    assert len(one) >= 80
+    monkeypatch.setattr(decontaminate, "SEGMENT_ITEMS", 9)
+    assert told(table) == one
+
+
+def test_a_long_item_costs_no_more_than_itself():
+    """The passages of short items do not grow with the longest."""
+    items, long = sentences(200, 30, 4), [(999, " ".join(f"x{i}" for i in range(1500)))]
+    lengths = lambda rows: [decontaminate.Index([(i, *decontaminate.question_and_answer(t)) for i, t in part]).longest for part in rows]
+    classes = decontaminate.by_length([(i, *decontaminate.question_and_answer(t)) for i, t in items + long])
+    assert [len(c) for c in classes] == [200, 1]
+    assert [decontaminate.Index(c).longest for c in classes] == lengths([items, long]) == [37, 1500]
