@@ -28,7 +28,9 @@ def _judged(rows: DataFrame, documents: DataFrame) -> DataFrame:
     # the first use of a row_id counts, whether or not that row is valid; blanks are never equal
     first = rows.where("row_id <> ''").groupBy("row_id").agg(F.min("ordinal").alias("first_use"))
     known = documents.select(F.col("name").alias("source_pdf"), F.lit(True).alias("_known")).distinct()
-    rows = rows.join(first, "row_id", "left").join(known, "source_pdf", "left").withColumn("row_number", F.col("ordinal") + 2)
+    # rows without an id have no first use; a key of their own each keeps them from meeting in one task
+    own = F.when(F.col("row_id") == "", F.concat(F.lit("\0"), F.col("ordinal").cast("string"))).otherwise(F.col("row_id"))
+    rows = rows.withColumn("_id", own).join(first.withColumnRenamed("row_id", "_id"), "_id", "left").drop("_id").join(known, "source_pdf", "left").withColumn("row_number", F.col("ordinal") + 2)
     say = lambda name: F.format_string(MESSAGES[name], F.col("row_id"), F.col("source_pdf"), F.col("first_use") + 2)
     problem = (
         F.when(F.col("row_id") == "", say("no id"))
