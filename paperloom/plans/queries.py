@@ -827,10 +827,14 @@ def sheet_shape_check(s, d):
     r"coalesce(nullif(regexp_extract(stem, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)', 1), ''), nullif(regexp_extract(page, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)', 1), '')) AS year FROM t"
 )
 def document_signal(s, d):
+    return linkage.document_signal(_named_texts(s, d))
+
+
+def _named_texts(s, d):
     docs, id_ = table(s, d, "documents"), F.col("doc_id")
     year = F.when(id_ % 2 == 0, F.concat(F.lit("_"), (1990 + id_ % 40).cast("string"))).otherwise("")
     text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n[Page 2]\nlater words of 1907"))
-    return linkage.document_signal(docs.select(F.concat(F.lit("Paper_X-"), id_.cast("string"), year, F.lit(".pdf")).alias("name"), text.alias("text")))
+    return docs.select(F.concat(F.lit("Paper_X-"), id_.cast("string"), year, F.lit(".pdf")).alias("name"), text.alias("text"))
 
 
 @query(
@@ -1024,3 +1028,18 @@ def paginate_deep(s, d):
     """The page in the middle, from the range of rows that holds it."""
     pages = results.Pages(table(s, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ranges=16)
     return pages.page(-(-pages.n // 10) // 2)
+
+
+@query()
+def stream_signals(s, d):
+    """Documents as a stream, each name twice, the older version last; the stored table has the signals of the newer ones."""
+    new = _named_texts(s, d).withColumn("arrived", F.lit(2).cast("long"))
+    old = new.withColumns({"text": F.lit("an older text of 1955"), "arrived": F.lit(1).cast("long")})
+    at = _folder(s)
+    for part in (new, old):
+        part.write.mode("append").parquet(f"{at}/arriving")
+        jobs.stream_signals(s.readStream.schema(new.schema).parquet(f"{at}/arriving"), f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return jobs.read_table(s, f"{at}/table", jobs.last_signal).select("name", "tokens", "year")
+
+
+ORACLE_SQL["stream_signals"] = ORACLE_SQL["document_signal"]

@@ -2,7 +2,7 @@
 
 A table is a log of batches, ``batch=<id>`` each, reduced to one row per key before it is written. A batch that is replayed
 after a failure overwrites its own folder, so it changes nothing; late rows lose against later ones when the table is
-read, as the order is in the rows. ``compact`` merges the log into a base, so that reading does not grow with its age.
+read, as the order is in the rows. Batches are numbered by the stream's checkpoint, so one table has one stream and one checkpoint. ``compact`` merges the log into a base, so that reading does not grow with its age.
 """
 
 from __future__ import annotations
