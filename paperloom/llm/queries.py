@@ -43,9 +43,8 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator where markup and addresses exist: declared language of the markup, host and its suffix."""
     pages = _table(spark, sf_dir, "pages")
     host = url_filter.host_of(F.col("url"))
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
     declared = F.substring(F.regexp_extract("html", r"(?i)<html[^>]*\slang=[\"']?([a-z]+)", 1), 1, 2)
-    docs = pages.select(F.col("page_id").alias("doc_id"), text.alias("text"), declared.alias("declared"), host.alias("host"), F.regexp_extract(host, r"([^.]*)$", 1).alias("suffix"))
+    docs = pages.select(F.col("page_id").alias("doc_id"), html_text.visible_text("html").alias("text"), declared.alias("declared"), host.alias("host"), F.regexp_extract(host, r"([^.]*)$", 1).alias("suffix"))
     return language_id.identified(docs).withColumnRenamed("doc_id", "page_id")
 
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import align, chat, decontaminate, html_text, negatives
 from paperloom.llm.queries import BYTE_TOKENIZER, QUERIES, TOKENIZER
@@ -283,3 +284,15 @@ def test_a_long_item_costs_no_more_than_itself():
     classes = decontaminate.by_length([(i, *decontaminate.question_and_answer(t)) for i, t in items + long])
     assert [len(c) for c in classes] == [200, 1]
     assert [decontaminate.Index(c).longest for c in classes] == lengths([items, long]) == [37, 1500]
+
+
+def test_what_a_page_hides_is_no_evidence_of_its_language(spark, tmp_path):
+    """The same verdicts as from the pages' rendered texts; hidden text and scripts in another language change nothing."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    noise = " der die und nicht eine ist das mit auf den" * 40
+    loud = pages.withColumn("html", F.concat("html", F.lit(f"<script>if (a < b) {{ '{noise}' }}</script><div hidden>{noise}</div><template>{noise}</template>")))
+    for name, table in (("plain", pages), ("loud", loud)):
+        (tmp_path / name).mkdir()
+        table.write.parquet(str(tmp_path / name / "pages.parquet"))
+    plain, same = ({r.page_id: (r.language, r.kept) for r in QUERIES["language_id_pages"](spark, str(tmp_path / x)).select("page_id", "language", "kept").collect()} for x in ("plain", "loud"))
+    assert plain == same and len(plain) == pages.count()
