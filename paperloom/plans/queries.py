@@ -1043,3 +1043,18 @@ def stream_signals(s, d):
 
 
 ORACLE_SQL["stream_signals"] = ORACLE_SQL["document_signal"]
+
+
+@query(
+    "SELECT '{\"source_pdf\":\"s' || s_suppkey || '.pdf\",\"status\":\"' || CASE WHEN s_suppkey % 4 = 0 THEN 'error' ELSE 'ok' END || '\",\"effects\":{\"r1\":{\"locator\":\"Table ' || s_nationkey || '\",\"fields\":{\"name\":{\"value\":\"' || s_name || '\",\"confidence\":\"low\",\"evidence\":\"p. 1\"},\"nation\":{\"value\":' || s_nationkey "
+    "|| ',\"evidence\":null},\"big\":{\"value\":' || CASE WHEN s_acctbal > 5000 THEN 'true' ELSE '\"true\"' END || ',\"evidence\":null},\"gone\":{\"value\":null,\"evidence\":null}}},\"r2\":{\"locator\":\"\",\"status\":\"not returned by the model\"}}}' AS record FROM supplier"
+)
+def sink_document_record(s, d):
+    """A record per supplier, from records read with their types; written, a file each, and read back."""
+    raw, out = _folder(s), _folder(s)
+    _coded(s, d).write.option("maxRecordsPerFile", 1).json(raw)
+    read = staging.stage(files.scan_results(s, raw).select("source_pdf", "status", "coded_by_row_id", "missing_ids", "extra_ids"), "records")
+    t = table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".pdf")).alias("source_pdf"), F.col("s_suppkey").cast("long").alias("at"), F.concat(F.lit("Table "), F.col("s_nationkey").cast("string")).alias("locator"))
+    rows = t.select("source_pdf", (F.col("at") * 2).alias("ordinal"), F.lit("r1").alias("row_id"), "locator").unionByName(t.select("source_pdf", (F.col("at") * 2 + 1).alias("ordinal"), F.lit("r2").alias("row_id"), F.lit("").alias("locator")))
+    sheets.sink_document_record(sheets.document_records(rows, files.result_cells(read), read, ["name", "nation", "big", "gone"], rated=("name",)), out)
+    return s.read.text(out, wholetext=True).select(F.trim(F.col("value"), F.lit("\n")).alias("record"))
