@@ -1058,3 +1058,15 @@ def sink_document_record(s, d):
     rows = t.select("source_pdf", (F.col("at") * 2).alias("ordinal"), F.lit("r1").alias("row_id"), "locator").unionByName(t.select("source_pdf", (F.col("at") * 2 + 1).alias("ordinal"), F.lit("r2").alias("row_id"), F.lit("").alias("locator")))
     sheets.sink_document_record(sheets.document_records(rows, files.result_cells(read), read, ["name", "nation", "big", "gone"], rated=("name",)), out)
     return s.read.text(out, wholetext=True).select(F.trim(F.col("value"), F.lit("\n")).alias("record"))
+
+
+@query()
+def sink_wide_csv(s, d):
+    """The coded table, written as CSV files and read back, where blanks are blank: CSV doesn't tell them from null."""
+    out, wide = _folder(s), QUERIES["collate_coded"](s, d)
+    sheets.sink_wide_csv(wide, FIELDS, out)
+    names = ("row_id", "source_pdf", "locator", "authors", "year", "status", *FIELDS)
+    return s.read.csv(out, header=True, schema=", ".join(f"`{c}` string" for c in names), quote='"', escape='"').na.fill("")
+
+
+ORACLE_SQL["sink_wide_csv"] = ORACLE_SQL["collate_coded"]
