@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+#: Rows of a batch that are converted together.
+SLICE_ROWS = 1_024
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Blanks, and everything else in ASCII that is no letter or digit.
@@ -107,18 +109,19 @@ class Block:
 
 def blocks_of(texts: pa.Array, lower: bool = True, limit: int = BLOCK_BYTES, blanks: np.ndarray = BLANK) -> Iterator[tuple[int, int, Block]]:
     """Cuts a string column into blocks: (first row, end row, block). A null text is an empty one."""
-    if not len(texts):
-        return
-    large = pc.fill_null(texts.cast(pa.large_string()), "")
-    _, where, bytes_ = large.buffers()
-    offsets = np.frombuffer(where, dtype=np.int64)[large.offset : large.offset + len(large) + 1]
-    data = np.frombuffer(bytes_, dtype=np.uint8) if bytes_ is not None else np.zeros(0, dtype=np.uint8)
-    low = 0
-    while low < len(large):
-        high = int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1
-        high = min(max(high, low + 1), len(large))
-        yield low, high, Block(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], lower, blanks)
-        low = high
+    # a batch may be much larger than a block: it is converted a part at a time
+    rows = SLICE_ROWS if limit <= BLOCK_BYTES else max(1, len(texts))
+    for begin in range(0, len(texts), rows):
+        large = pc.fill_null(texts.slice(begin, rows).cast(pa.large_string()), "")
+        _, where, bytes_ = large.buffers()
+        offsets = np.frombuffer(where, dtype=np.int64)[large.offset : large.offset + len(large) + 1]
+        data = np.frombuffer(bytes_, dtype=np.uint8) if bytes_ is not None else np.zeros(0, dtype=np.uint8)
+        low = 0
+        while low < len(large):
+            high = int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1
+            high = min(max(high, low + 1), len(large))
+            yield begin + low, begin + high, Block(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], lower, blanks)
+            low = high
 
 
 def text_blocks(batches: Iterable[pa.RecordBatch], lower: bool = True, blanks: np.ndarray = BLANK, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Block]]:
@@ -126,6 +129,8 @@ def text_blocks(batches: Iterable[pa.RecordBatch], lower: bool = True, blanks: n
     for batch in batches:
         for low, high, block in blocks_of(batch.column("text"), lower, limit, blanks):
             yield batch.slice(low, high - low), block
+        # what the batch took goes back to the system: the worker lives on, and so does the executor's limit
+        pa.default_memory_pool().release_unused()
 
 
 def spans(values: np.ndarray, at: np.ndarray) -> np.ndarray:

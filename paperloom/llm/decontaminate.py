@@ -44,7 +44,7 @@ MIN_SCORE = 0.6
 RUN = 3
 MIN_OVERLAP, MIN_ANSWER = 0.75, 0.6
 #: Entries that are expanded at once.
-STEP = 1 << 20
+STEP = 1 << 18
 _TABLE_LOG2 = 20
 #: Largest scores that are kept as a table of the most frequent terms by block.
 _DENSE = 1 << 21
