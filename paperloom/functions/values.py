@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import string
 
 from pyspark.sql import Column
@@ -38,8 +39,8 @@ def casefold(text: Column) -> Column:
     """Text for comparison without regard to case: equal wherever full case folding makes it equal. Plain ASCII is
     lower-cased; only texts with a character that folds to several go through their replacements."""
     low = F.translate(text, string.ascii_uppercase + "".join(_ONE), string.ascii_lowercase + "".join(_ONE.values()))
-    # a fold over a constant array stays one small expression, which only such texts evaluate
-    pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in _SEVERAL.items()))
+    # a fold over one constant, which the optimizer works out once, stays a small expression; only such texts evaluate it
+    pairs = F.from_json(F.lit(json.dumps([{"c": c, "f": f} for c, f in _SEVERAL.items()])), "array<struct<c: string, f: string>>")
     several = F.aggregate(pairs, low, lambda t, p: F.replace(t, p["c"], p["f"]))
     return F.when(text.rlike(r"^[\x00-\x7f]*$"), F.lower(text)).otherwise(F.when(text.rlike(f"[{''.join(_SEVERAL)}]"), several).otherwise(low))
 
