@@ -609,3 +609,11 @@ def test_html_tables(spark):
     pages = spark.createDataFrame([(1, "<p>a</p>"), (1, "<p>a</p>"), (None, None)], "page_id long, html string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extracted(pages).collect()) == [(0, ""), (1, "a"), (1, "a")]
     assert html_text.extracted(pages.limit(0)).count() == 0
+
+
+def test_html_columns_are_as_wide_in_large_tables_as_in_small_ones():
+    plain = [[(c, 1, "ab") for c in range(300)]]
+    spans = [[(0, 2, "x" * 30), (2, 3, "y" * 40), (5, 1, "z")], [(1, 4, "v" * 90), (298, 9, "w" * 50)]]
+    few, many = html_text._aligned(spans + plain * 5), html_text._aligned(spans + plain * 400)
+    assert many[:7] == few and set(many[2:]) == {few[2]}
+    assert few[0].startswith("x" * 30 + " | " + "y" * 40 + " " * 22 + " | z")
