@@ -993,6 +993,12 @@ def _coded(s, d):
     return t.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".pdf")).alias("source_pdf"), F.when(F.col("s_suppkey") % 4 == 0, "").otherwise("ok").alias("status"), F.parse_json(text).alias("coded_by_row_id"))
 
 
+def _write_records(records, path):
+    """A file per record. Opening files is the work, so tasks have few of them each, and move them themselves when they end."""
+    dealt = records.repartition(sheets.file_tasks(records.count()), "source_pdf")
+    dealt.write.option("maxRecordsPerFile", 1).option(*sheets.MOVED_BY_TASKS).json(path)
+
+
 @query(
     "SELECT 's' || s_suppkey || '.pdf' AS source_pdf, 'r1' AS row_id, field, is_object, present, value_type, value_text, CASE WHEN field = 'name' THEN 'low' END AS confidence, CASE field WHEN 'name' THEN 'p. 1' WHEN 'none' THEN '3' END AS evidence, field = 'name' AS evidence_is_string "
     "FROM (SELECT s_suppkey, unnest([{'field': 'name', 'is_object': true, 'present': true, 'value_type': 'string', 'value_text': s_name}, {'field': 'nation', 'is_object': true, 'present': true, 'value_type': 'integer', 'value_text': s_nationkey::VARCHAR}, "
@@ -1002,7 +1008,7 @@ def _coded(s, d):
 def scan_results(s, d):
     """A record per supplier, each in a file of its own, read with its values' types."""
     path = _folder(s)
-    _coded(s, d).write.option("maxRecordsPerFile", 1).json(path)
+    _write_records(_coded(s, d), path)
     return files.result_cells(files.scan_results(s, path)).drop("value")
 
 
@@ -1052,12 +1058,13 @@ ORACLE_SQL["stream_signals"] = ORACLE_SQL["document_signal"]
 def sink_document_record(s, d):
     """A record per supplier, from records read with their types; written, a file each, and read back."""
     raw, out = _folder(s), _folder(s)
-    _coded(s, d).write.option("maxRecordsPerFile", 1).json(raw)
+    _write_records(_coded(s, d), raw)
     read = staging.stage(files.scan_results(s, raw).select("source_pdf", "status", "coded_by_row_id", "missing_ids", "extra_ids"), "records")
     t = table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".pdf")).alias("source_pdf"), F.col("s_suppkey").cast("long").alias("at"), F.concat(F.lit("Table "), F.col("s_nationkey").cast("string")).alias("locator"))
     rows = t.select("source_pdf", (F.col("at") * 2).alias("ordinal"), F.lit("r1").alias("row_id"), "locator").unionByName(t.select("source_pdf", (F.col("at") * 2 + 1).alias("ordinal"), F.lit("r2").alias("row_id"), F.lit("").alias("locator")))
     sheets.sink_document_record(sheets.document_records(rows, files.result_cells(read), read, ["name", "nation", "big", "gone"], rated=("name",)), out)
-    return s.read.text(out, wholetext=True).select(F.trim(F.col("value"), F.lit("\n")).alias("record"))
+    # the folders' names aren't needed: no types are guessed from them
+    return s.read.text(out, wholetext=True, recursiveFileLookup=True).select(F.trim(F.col("value"), F.lit("\n")).alias("record"))
 
 
 @query()

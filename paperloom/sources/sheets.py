@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import collision_free_key, spreadsheet_safe
+from paperloom.plans.staging import discard, stage
 from paperloom.operators.sheet import FIELDS, shape_problem, sheet_row_issues, sheet_valid_rows
 
 PAGE_CHARS = 500_000
@@ -168,9 +169,21 @@ def document_records(rows: DataFrame, cells: DataFrame, results: DataFrame, fiel
     return out.select("source_pdf", F.concat(F.substring("_head", F.lit(1), F.char_length("_head") - 1), F.lit(',"effects":{'), "effects", F.lit("}}")).alias("record"))
 
 
+#: Files that one task writes; and the setting by which tasks, not the driver one after the other, move what they wrote.
+FILES_A_TASK = 256
+MOVED_BY_TASKS = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
+
+
+def file_tasks(n: int) -> int:
+    """Tasks for so many files; their bytes say little of the time that it takes to open them."""
+    return max(1, -(-n // FILES_A_TASK))
+
+
 def sink_document_record(records: DataFrame, path: str) -> None:
     """Records (source_pdf, record), one file per document in a folder of its own, ``document=<key>``. Files are written
-    aside and moved when the job commits, so a killed task leaves none half written; only the folders of the documents
-    that are written are replaced."""
-    keyed = records.withColumn("document", collision_free_key(F.col("source_pdf"))).select("document", "record")
-    keyed.repartition("document").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document").text(path)
+    aside, gathered by the tasks, and moved when the job commits, so a killed task leaves none half written; only the folders of the
+    documents that are written are replaced. Tasks are as many as the documents need, however small these are."""
+    keyed = stage(records.withColumn("document", collision_free_key(F.col("source_pdf"))).select("document", "record"), "records")
+    dealt = keyed.repartition(file_tasks(keyed.count()), "document")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(*MOVED_BY_TASKS).partitionBy("document").text(path)
+    discard(keyed)

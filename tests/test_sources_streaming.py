@@ -185,3 +185,15 @@ def test_streamed_results_equal_batch(spark, tmp_path):
     jobs.stream_selected_result(stream()).writeStream.format("memory").queryName("selected").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
     got = {(r.source_pdf, r.attempt, r.status) for r in spark.table("selected").collect()}
     assert got == {(r.source_pdf, r.attempt, r.status) for r in results.selected_result(a).collect()}
+
+
+def test_small_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from paperloom.plans import queries
+
+    monkeypatch.setattr(sheets, "FILES_A_TASK", 4)
+    records = spark.createDataFrame([(f"d{i}.pdf", f'{{"n":{i}}}') for i in range(40)], "source_pdf string, record string").coalesce(1)
+    tasks = lambda path: {p.name.split("-")[1] for p in path.rglob("part-*")}
+    sheets.sink_document_record(records, str(tmp_path / "sunk"))
+    assert len(list((tmp_path / "sunk").rglob("part-*"))) == 40 and len(tasks(tmp_path / "sunk")) > 4
+    queries._write_records(records, str(tmp_path / "raw"))
+    assert len(list((tmp_path / "raw").rglob("part-*"))) == 40 and len(tasks(tmp_path / "raw")) > 4
