@@ -121,13 +121,22 @@ def untraced_rows(out: DataFrame) -> DataFrame:
     return out.where(F.coalesce(F.size("source_rows"), F.lit(0)) <= 0).select("ordinal")
 
 
+#: Rows that one task compares.
+ROWS_A_TASK = 1_000_000
+
+
 def lineage_coverage(out: DataFrame, source: DataFrame) -> DataFrame:
     """(source_row, problem): source rows that no output row (``source_rows`` array) lists, and listed rows that aren't
     there, null ones among them. Output rows that list none are ``untraced_rows``."""
-    listed = out.select(F.explode("source_rows").alias("source_row")).distinct()
-    there = source.select("source_row").distinct()
-    omitted = there.join(listed, "source_row", "left_anti").withColumn("problem", F.lit("omitted"))
-    return omitted.unionByName(listed.join(there, "source_row", "left_anti").withColumn("problem", F.lit("invalid")))
+    listed = out.select(F.explode("source_rows").alias("source_row"), F.lit(True).alias("listed"))
+    both = listed.unionByName(source.select("source_row", F.lit(False).alias("listed")))
+    # one pass over both sides, in tasks of bounded size however well their rows are compressed
+    n = (out.agg(F.sum(F.greatest(F.size("source_rows"), F.lit(0)))).first()[0] or 0) + source.count()
+    seen = both.repartition(-(-n // ROWS_A_TASK) or 1, "source_row").groupBy("source_row").agg(F.bool_or("listed").alias("listed"), F.bool_and("listed").alias("absent"))
+    # nulls are equal to none
+    none = F.col("source_row").isNull()
+    problems = F.array_compact(F.array(F.when(~F.col("absent") & (none | ~F.col("listed")), "omitted"), F.when(F.col("listed") & (none | F.col("absent")), "invalid")))
+    return seen.select("source_row", F.explode(problems).alias("problem"))
 
 
 def unmatch(rows: DataFrame, name: str) -> DataFrame:

@@ -138,3 +138,12 @@ def test_costs_of_input_and_output(spark):
     row = evaluate.cost_estimate(attempts, 200, 0.375, 1.875, 0).first()
     assert row.cost_in == pytest.approx(0.525) and row.cost_out == pytest.approx(1.125) and row.cost == pytest.approx(1.65)
     assert evaluate.cost_estimate(attempts.withColumn("output_tokens", F.lit(None).cast("long")), 200, 0.375, 1.875).first().cost is None
+
+
+def test_lineage_is_compared_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(sheet, "ROWS_A_TASK", 5)
+    out = spark.createDataFrame([([1, 2, 2],), ([None, 9],), ([],), (None,), ([*range(20, 40)],)], "source_rows array<bigint>")
+    source = spark.createDataFrame([(1,), (3,), (3,), (None,), *((i,) for i in range(20, 40))], "source_row bigint")
+    found = sheet.lineage_coverage(out, source)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(2, "invalid"), (3, "omitted"), (9, "invalid"), (None, "invalid"), (None, "omitted")], key=str)
+    assert found.rdd.getNumPartitions() == 10
