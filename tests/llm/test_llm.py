@@ -617,3 +617,15 @@ def test_html_columns_are_as_wide_in_large_tables_as_in_small_ones():
     few, many = html_text._aligned(spans + plain * 5), html_text._aligned(spans + plain * 400)
     assert many[:7] == few and set(many[2:]) == {few[2]}
     assert few[0].startswith("x" * 30 + " | " + "y" * 40 + " " * 22 + " | z")
+
+
+def test_pages_are_rendered_a_few_at_a_time(spark):
+    pages = spark.createDataFrame([(i, f"<p>a<b>{i}</b>", f"h{i % 3}") for i in range(700)] + [(None, None, None)], "page_id long, html string, host string")
+    got = html_text.with_text(pages)
+    assert got.columns == ["page_id", "host", "text"]
+    assert {(r.page_id, r.host, r.text) for r in got.collect()} == {(i, f"h{i % 3}", f"a{i}") for i in range(700)} | {(None, None, "")}
+    (batch,) = [pa.RecordBatch.from_pydict({"html": ["<p>x"] * 700})]
+    sizes = []
+    stand_in = type("Pages", (), {"schema": pages.select("html").schema, "mapInArrow": lambda self, run, schema: sizes.extend(len(b) for b in run(iter([batch])))})()
+    html_text.with_text(stand_in)
+    assert sum(sizes) == 700 and max(sizes) <= html_text.PAGES_TOGETHER
